@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,3 +75,37 @@ def code_point_key(column):
 def crc_text(column):
     """crc32 of a column's text form."""
     return F.crc32(column.cast("string").cast("binary"))
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices start, start + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of two odd 64-bit bases, up, and of their inverses."""
+    out = []
+    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        for x in (base, pow(base, -1, 1 << 64)):
+            p = np.full(n, np.uint64(x))
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+    return out[0], out[1], out[2], out[3]
+
+
+_BYTE_CODES = np.random.default_rng(7).integers(1, 2**63, (2, 256), dtype=np.uint64) | np.uint64(1)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each byte range, by prefix sums of polynomial codes."""
+    size = 1 << max(10, int(np.ceil(np.log2(len(data) + 1))))
+    up1, down1, up2, down2 = _powers(size)
+    out = []
+    for codes, up, down in ((_BYTE_CODES[0], up1, down1), (_BYTE_CODES[1], up2, down2)):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(codes[data] * up[: len(data)], out=sums[1:])
+        out.append((sums[ends] - sums[starts]) * down[starts])
+    return out[0], out[1]

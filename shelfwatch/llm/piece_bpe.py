@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_slices, utf8_view, with_columns_replaced
+from .common import doc_slices, ranges, utf8_view, with_columns_replaced, word_hashes
 
 SPACE = "▁"
 OUT_BYTES = 2 << 20  # text of an output batch, but for a single longer text
@@ -25,40 +25,6 @@ NO_RANK = np.int32(2**31 - 1)
 CHAR = 1 << 20  # symbols from here on are code points without a piece of their own
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The indices start, start + 1, ... of each range, one range after the other."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of two odd 64-bit bases, up, and of their inverses."""
-    out = []
-    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        for x in (base, pow(base, -1, 1 << 64)):
-            p = np.full(n, np.uint64(x))
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-    return out[0], out[1], out[2], out[3]
-
-
-_BYTE_CODES = np.random.default_rng(7).integers(1, 2**63, (2, 256), dtype=np.uint64) | np.uint64(1)
-
-
-def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each byte range, by prefix sums of polynomial codes."""
-    size = 1 << max(10, int(np.ceil(np.log2(len(data) + 1))))
-    up1, down1, up2, down2 = _powers(size)
-    out = []
-    for codes, up, down in ((_BYTE_CODES[0], up1, down1), (_BYTE_CODES[1], up2, down2)):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(codes[data] * up[: len(data)], out=sums[1:])
-        out.append((sums[ends] - sums[starts]) * down[starts])
-    return out[0], out[1]
-
-
 class PieceVocabulary:
     """The pieces of a SentencePiece BPE model as arrays: char symbols and the ranks and results of pairs."""
 
@@ -176,7 +142,7 @@ class PieceVocabulary:
         ids, words, sizes = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(words, kind="stable")
         starts = np.cumsum(sizes) - sizes
-        ids, sizes = ids[_ranges(starts[order], sizes[order])], sizes[order]
+        ids, sizes = ids[ranges(starts[order], sizes[order])], sizes[order]
         if (ids >= CHAR).any():  # characters without a piece become bytes
             odd = ids >= CHAR
             points = (ids[odd] - CHAR).astype(np.uint32)
@@ -218,11 +184,11 @@ class PieceVocabulary:
             cut[1:] |= line[:-1]
         starts = np.flatnonzero(cut)
         sizes = np.diff(np.append(starts, len(s)))
-        one, two = _word_hashes(s, starts, starts + sizes)
+        one, two = word_hashes(s, starts, starts + sizes)
         _, pick, which = np.unique(one, return_index=True, return_inverse=True)
         if not (two[pick][which] == two).all():  # two words of one hash: no sharing
             pick = which = np.arange(len(starts))
-        raw = s[_ranges(starts[pick], sizes[pick])]
+        raw = s[ranges(starts[pick], sizes[pick])]
         lead = (raw & 0xC0) != 0x80
         chars = np.add.reduceat(lead, np.cumsum(sizes[pick]) - sizes[pick], dtype=np.int64)
         points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
@@ -230,13 +196,13 @@ class PieceVocabulary:
         at = np.cumsum(n) - n
         sizes = n[which]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        return ids[_ranges(at[which], sizes)], total[np.searchsorted(starts, ends)]
+        return ids[ranges(at[which], sizes)], total[np.searchsorted(starts, ends)]
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         """The library's decode() of each row's ids; row k has ids[ends[k]:ends[k + 1]]."""
         sizes = self.blob_len[ids]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        data = self.blob[_ranges(self.blob_at[ids], sizes)]
+        data = self.blob[ranges(self.blob_at[ids], sizes)]
         starts = total[ends]
         filled = np.flatnonzero(np.diff(ends) > 0)
         strip = filled[self.marked[ids[ends[filled]]]]  # the space that encoding put first

@@ -96,13 +96,13 @@ def train(texts: dict[str, list[bytes]], min_count: int = 2) -> PpmModel:
 
     grams: list[np.ndarray] = []
     for lang in langs:
-        parts = [x for t in texts[lang] for x in (np.zeros(ORDER, np.int64), alphabet[np.frombuffer(t, np.uint8)])]
-        s = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        parts = [x for t in texts[lang] for x in (np.zeros(ORDER, np.int16), alphabet[np.frombuffer(t, np.uint8)].astype(np.int16))]
+        s = np.concatenate(parts) if parts else np.zeros(0, np.int16)
         if len(s) <= ORDER:
-            grams.append(np.zeros((0, ORDER + 1), np.int64))
+            grams.append(np.zeros((0, ORDER + 1), np.int16))
             continue
         g = np.lib.stride_tricks.sliding_window_view(s, ORDER + 1)
-        grams.append(g[g[:, ORDER] > 0].astype(np.int64))
+        grams.append(g[g[:, ORDER] > 0])
 
     def key(g: np.ndarray, order: int) -> np.ndarray:
         k = np.zeros(len(g), np.int64)
@@ -113,7 +113,9 @@ def train(texts: dict[str, list[bytes]], min_count: int = 2) -> PpmModel:
     most = max(64, TABLE_BYTES // (2 * size * len(langs)) - size - 1)
     contexts: dict[int, np.ndarray] = {0: np.zeros(1, np.int64), 1: np.arange(size)}
     for order, share in ((2, most // 2), (3, most - most // 2)):
-        keys, n = np.unique(np.concatenate([key(g, order) for g in grams]), return_counts=True)
+        found = [np.unique(key(g, order), return_counts=True) for g in grams]
+        keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([c for _, c in found]), len(keys)).astype(np.int64)
         keep = np.flatnonzero(n >= min_count)
         keep = keep[np.lexsort((keys[keep], -n[keep]))][:share]
         contexts[order] = np.sort(keys[keep])

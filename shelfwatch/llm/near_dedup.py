@@ -13,8 +13,9 @@ equal sets form a class; everything below works on classes, so copies are never
 A bucket (documents that share a band) is never expanded into all pairs at first: each class is compared with the
 bucket's pivot, the class that shares most of its bands with others, which for a group of copies is their original.
 Confirmed links give components.  Only buckets that still hold several components are looked at again, pairing classes
-outside a bucket's main component with the rest; a class is left out of that only where its shingles that nobody else
-has prove that it can't reach the threshold (an exact bound).  So no candidate link is lost, however large the bucket.
+outside a bucket's main component with the rest, but for pairs that two exact bounds rule out: the shingles that nobody
+else has, and the odd sketches of the full sets, whose XOR counts at most the shingles that only one of two has.  So no
+candidate link is lost, however large the bucket.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from .common import doc_slices, materialise, utf8_view, word_hashes
 BANDS = 32
 ROWS = 4
 SKETCH_BITS = 512
+PARITY_WORDS = 16  # of 64 bits, of the parity bitmap of a full set
 PERCENT = 80
 CHUNK = 1 << 20
 
@@ -143,7 +145,7 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """cls, n, shingles of each text of the single column of docs."""
+    """cls, n, shingles and parity (bitmap of the whole set) of each text of the single column of docs."""
 
     def run(batches):
         for batch in batches:
@@ -155,11 +157,14 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
                     continue
                 ends = np.append(ends[some], ends[-1])
                 key = np.stack([np.add.reduceat(h, ends[:-1]), np.add.reduceat(_mixed(h ^ np.uint64(0xA0761D6478BD642F)), ends[:-1])], axis=1)
+                bits, n = PARITY_WORDS * 64, len(some)
+                cell = np.repeat(np.arange(n), np.diff(ends)) * bits + (h >> np.uint64(20)).astype(np.int64) % bits
+                parity = np.packbits((np.bincount(cell, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits), axis=1).view(np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.tobytes() for x in key], pa.binary()), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))],
-                    names=["cls", "n", "shingles"])
+                    [pa.array([x.tobytes() for x in key], pa.binary()), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64))),
+                     _lists(parity.ravel(), PARITY_WORDS)], names=["cls", "n", "shingles", "parity"])
 
-    return docs.mapInArrow(run, "cls binary, n long, shingles array<long>")
+    return docs.mapInArrow(run, "cls binary, n long, shingles array<long>, parity array<long>")
 
 
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
@@ -243,16 +248,18 @@ def find_components(docs: DataFrame, words: int = 5, text: str = "text", key: st
     people = open_.select("cls").distinct()
     alone = (sets.join(people, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", F.explode("shingles").alias("s"))
              .groupBy("s").agg(F.count("*").alias("c"), F.first("cls").alias("cls")).where("c = 1").groupBy("cls").agg(F.count("*").alias("alone")))
-    can = (sets.select("cls", "n").distinct().join(people, "cls", "left_semi").join(alone, "cls", "left")
-           .select("cls", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")).where(100 * F.col("common") >= PERCENT * F.col("n"))
-           .join(sketches, "cls"))
+    words_of = [f"p{k}" for k in range(PARITY_WORDS)]
+    can = (sets.select("cls", "n", *[F.col("parity")[k].alias(p) for k, p in enumerate(words_of)]).distinct().join(people, "cls", "left_semi").join(alone, "cls", "left")
+           .select("cls", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"), *words_of).where(100 * F.col("common") >= PERCENT * F.col("n")))
     able = materialise(open_.join(can, "cls"), "near-able")
-    x = able.where("label <> main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("cls", "label", "n", "common", "sketch", "main")])
-    y = able.select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("cls", "label", "n", "common", "sketch")])
+    x = able.where("label <> main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("cls", "label", "n", "common", "main", *words_of)])
+    y = able.select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("cls", "label", "n", "common", *words_of)])
     most = F.least("x_common", "y_common", "x_n", "y_n")
+    apart = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in words_of), F.lit(0))  # shingles that one has, at least
     rest = (x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_label") != F.col("y_label"))
                    & ((F.col("y_label") == F.col("x_main")) | (F.col("x_cls") < F.col("y_cls")))
-                   & (100 * most >= PERCENT * (F.col("x_n") + F.col("y_n") - most)) & _alike("x_sketch", "y_sketch"))
+                   & (100 * most >= PERCENT * (F.col("x_n") + F.col("y_n") - most))
+                   & ((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("x_n") + F.col("y_n"))))
             .select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct())
     more = materialise(_linked(rest, sets).distinct(), "near-more")
     labels = connected_components(links.unionByName(more), "near-last")

@@ -1,9 +1,367 @@
-"""Queries of this library over the driver's tables, and their SQL."""
+"""Queries of this library over the driver's tables, and their SQL.
+
+The tables are star-schema, event and text tables, not catalogs: each query applies an operator of the library to the
+nearest analogue, named in its docstring.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+from ..operators import alerts, baseline, identity, lifecycle, store
+from ..sources import landed
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a type in a day as the observations of a source."""
+    events = _table(spark, sf_dir, "events")
+    return events.groupBy("event_type", F.to_date("ts").alias("at")).agg(F.count("*").alias("value"))
+
+
+DAILY = 'daily AS (SELECT event_type, CAST(ts AS DATE) AS "at", count(*) AS value FROM events GROUP BY 1, 2)'
+
+
+@_query(f"""
+WITH {DAILY}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY "at" DESC) AS n FROM daily)
+SELECT event_type, quantile_cont(value, 0.5) AS median_value, min(value) AS min_value, max(value) AS max_value, quantile_cont(value, 0.1) AS p10_value,
+       quantile_cont(value, 0.9) AS p90_value, count(*) AS sample_count, CASE WHEN count(*) < 7 THEN 'learning' ELSE 'ready' END AS status
+FROM r WHERE n <= 14 GROUP BY event_type""")
+def baseline_last14(spark, sf_dir):
+    """Baseline of the last 14 comparable observations: daily counts by event type."""
+    rows = _daily(spark, sf_dir).withColumn("comparable", F.lit(True)).withColumn("config", F.lit("c"))
+    return baseline.latest(rows, ["event_type"]).select("event_type", "median_value", "min_value", "max_value", "p10_value", "p90_value", "sample_count", "status")
+
+
+@_query(f"""
+WITH {DAILY}
+SELECT event_type, "at", value, quantile_cont(value, 0.5) OVER w AS median_before, count(value) OVER w AS samples_before
+FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY "at" ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)""")
+def baseline_rolling(spark, sf_dir):
+    """Median of the 14 observations before each."""
+    return baseline.rolling(_daily(spark, sf_dir), ["event_type"])
+
+
+@_query(f"""
+WITH {DAILY}, r AS (
+  SELECT event_type, "at", value, quantile_cont(value, 0.5) OVER w AS median_before, count(value) OVER w AS samples_before
+  FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY "at" ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING))
+SELECT event_type, "at", value, median_before, samples_before, median_before - value AS change_abs,
+       CASE WHEN median_before = 0 THEN 0 ELSE (median_before - value) / median_before END AS change_pct,
+       value <= median_before * (1 - 0.2::DOUBLE) AND median_before - value >= 1 AS is_drop
+FROM r WHERE samples_before >= 7""")
+def catalog_drop(spark, sf_dir):
+    """Catalog drop against the rolling baseline: by 20 % and by 1 event at least."""
+    return baseline.catalog_drops(_daily(spark, sf_dir), ["event_type"], abs_=1)
+
+
+@_query("""
+WITH m AS (SELECT o_custkey, count(*) AS matched, count(*) FILTER (NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 25)) AS missing FROM orders GROUP BY 1)
+SELECT o_custkey, matched, missing, matched > 0 AND missing / greatest(matched, 1) >= 0.1 AND missing >= 2 AS is_loss FROM m""")
+def matched_loss(spark, sf_dir):
+    """Matched items that another source has lost: a customer's orders without a line above 25 pieces."""
+    orders = _table(spark, sf_dir, "orders")
+    seen = _table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("seen", F.lit(True))
+    rows = orders.select("o_orderkey", "o_custkey").join(seen, "o_orderkey", "left").groupBy("o_custkey").agg(F.count("*").alias("matched"), F.count_if(F.col("seen").isNull()).alias("missing"))
+    return rows.withColumn("is_loss", baseline.is_matched_loss(F.col("matched"), F.col("missing"), abs_=2))
+
+
+@_query("""
+SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS checks, count(*) FILTER (event_type <> 'error') AS good,
+       CASE WHEN bool_and(event_type <> 'error') THEN 'completed' WHEN bool_or(event_type <> 'error') THEN 'partial' ELSE 'failed' END AS status
+FROM events GROUP BY 1, 2""")
+def source_status_rollup(spark, sf_dir):
+    """Snapshot status from its checks: a user's events of a day."""
+    ok = F.col("event_type") != "error"
+    return _table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        F.count("*").alias("checks"), F.count_if(ok).alias("good"), F.when(F.bool_and(ok), "completed").when(F.bool_or(ok), "partial").otherwise("failed").alias("status"))
+
+
+@_query("""
+WITH r AS (SELECT user_id, event_type = 'error' AS failed, coalesce(sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC), 0) AS newer_ok FROM events)
+SELECT user_id, count(*) FILTER (failed AND newer_ok = 0) AS streak FROM r GROUP BY 1""")
+def failure_streak(spark, sf_dir):
+    """Consecutive failures up to the newest check, by user."""
+    events = _table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
+    return lifecycle.newest_streak(events, ["user_id"], "at", F.col("event_type") == "error")
+
+
+@_query("""
+WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2),
+s AS (SELECT *, errors >= 0.25 * n AS significant FROM d)
+SELECT user_id, day, n, errors, significant, CASE WHEN significant AND coalesce(lag(significant) OVER (PARTITION BY user_id ORDER BY day), false) THEN 'confirmed'
+       WHEN significant THEN 'pending' ELSE 'healthy' END AS debounce FROM s""")
+def debounce_two_strike(spark, sf_dir):
+    """Two-strike debounce: days on which a quarter of a user's events are errors."""
+    rows = _table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    return lifecycle.two_strikes(rows, ["user_id"], "day", F.col("errors") >= 0.25 * F.col("n"))
+
+
+@_query("""
+WITH RECURSIVE d AS (
+  SELECT user_id, CAST(ts AS DATE) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE)) AS n, count(*) >= 2 AS comparable, count(*) FILTER (event_type = 'error') = 0 AS healthy
+  FROM events GROUP BY 1, 2),
+f AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS n, 'open' AS status, '' AS event FROM (SELECT DISTINCT user_id FROM d)
+  UNION ALL
+  SELECT d.user_id, d.n,
+    CASE WHEN NOT comparable THEN status WHEN healthy AND status = 'open' THEN 'recovering' WHEN healthy AND status = 'recovering' THEN 'resolved' WHEN NOT healthy AND status = 'recovering' THEN 'open' ELSE status END,
+    CASE WHEN NOT comparable THEN '' WHEN healthy AND status = 'open' THEN 'recovery_started' WHEN healthy AND status = 'recovering' THEN 'resolved' WHEN NOT healthy AND status = 'recovering' THEN 'reopened' ELSE '' END
+  FROM f JOIN d ON d.user_id = f.user_id AND d.n = f.n + 1)
+SELECT f.user_id, "at", status, event FROM f JOIN d ON d.user_id = f.user_id AND d.n = f.n""")
+def recovery_fsm(spark, sf_dir):
+    """Recovery of an incident over the days of a user: a day without errors is healthy, of one event not comparable."""
+    rows = _table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("at")).agg(
+        (F.count("*") >= 2).alias("comparable"), (F.count_if(F.col("event_type") == "error") == 0).alias("healthy")).withColumn("snapshot", F.col("at").cast("string"))
+    return lifecycle.recovery_fold(rows, "user_id", "at")
+
+
+@_query("""
+WITH g AS (SELECT u.user_id, t.event_type FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) t(event_type)),
+l AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events)
+SELECT g.user_id, g.event_type, l.event_id, l.ts, l.value FROM g LEFT JOIN l ON l.user_id = g.user_id AND l.event_type = g.event_type AND l.n = 1""")
+def latest_per_source(spark, sf_dir):
+    """Latest check of each source of a fixed list, by user, sources without one included."""
+    events = _table(spark, sf_dir, "events")
+    grid = events.select("user_id").distinct().withColumn("event_type", F.explode(F.array(*[F.lit(t) for t in ("click", "error", "purchase", "signup", "view")])))
+    last = events.groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id", "value")).alias("l"))
+    return grid.join(last, ["user_id", "event_type"], "left").select("user_id", "event_type", "l.event_id", "l.ts", "l.value")
+
+
+@_query("""
+SELECT c_custkey, c_name, count(o_orderkey) AS orders_, count(*) FILTER (o_orderstatus = 'O') AS open_, count(*) FILTER (o_orderstatus = 'F') AS done, max(o_orderdate) AS last_
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""")
+def store_summary(spark, sf_dir):
+    """Summary of each store with conditional counts, stores without any included: customers and their orders."""
+    o = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders_"), F.count_if(F.col("o_orderstatus") == "O").alias("open_"),
+                                                                 F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.max("o_orderdate").alias("last_"))
+    c = _table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left").select("c_custkey", "c_name", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("orders_", "open_", "done")], "last_")
+
+
+@_query("""
+WITH r AS (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderpriority || ':' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS n FROM orders)
+SELECT o_orderpriority, o_orderkey, n FROM r WHERE n <= 25""")
+def stable_sample(spark, sf_dir):
+    """Deterministic sample of 25 a group, by md5 of group and id (a sampling operator)."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey")
+    h = F.md5(F.concat_ws(":", "o_orderpriority", F.col("o_orderkey").cast("string")).cast("binary"))
+    w = Window.partitionBy("o_orderpriority").orderBy("h", "o_orderkey")
+    return orders.withColumn("h", h).withColumn("n", F.row_number().over(w)).where("n <= 25").select("o_orderpriority", "o_orderkey", "n")
+
+
+@_query("""
+SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE (o_orderdate, o_orderkey) < (TIMESTAMP '1997-01-01 00:00:00', 500) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 51""")
+def keyset_page(spark, sf_dir):
+    """The page after a cursor, newest first, and one row more (a top-k report)."""
+    import datetime as dt
+
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return store.page(rows, [("o_orderdate", True), ("o_orderkey", True)], 50, (dt.datetime(1997, 1, 1), 500))
+
+
+@_query("""
+SELECT user_id, count(*) AS issues, count(DISTINCT json_extract_string(props, '$.k')) AS codes, count(DISTINCT concat_ws(chr(31), event_type, json_extract_string(props, '$.k'))) AS pairs,
+       max(CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 ELSE 1 END) AS priority FROM events GROUP BY 1""")
+def queue_rollup(spark, sf_dir):
+    """Remediation queue: issues out of JSON, rolled up by product with distinct composite keys and priority."""
+    code = F.get_json_object("props", "$.k")
+    return _table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count("*").alias("issues"), F.countDistinct(code).alias("codes"), F.countDistinct(F.concat_ws("\x1f", "event_type", code)).alias("pairs"),
+        F.max(F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 2).otherwise(1)).alias("priority"))
+
+
+@_query("""
+SELECT event_type, count(*) AS occurrences, count(DISTINCT user_id) AS products, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' ELSE 'normal' END AS priority
+FROM (SELECT DISTINCT event_type, user_id, json_extract_string(props, '$.k') AS k FROM events) GROUP BY 1""")
+def triage_groups(spark, sf_dir):
+    """Issue triage: groups of deduplicated issues with the products they touch."""
+    rows = _table(spark, sf_dir, "events").select("event_type", "user_id", F.get_json_object("props", "$.k").alias("k")).distinct()
+    return rows.groupBy("event_type").agg(F.count("*").alias("occurrences"), F.countDistinct("user_id").alias("products")).withColumn(
+        "priority", F.when(F.col("event_type") == "error", "critical").when(F.col("event_type") == "purchase", "high").otherwise("normal"))
+
+
+SIDES = """
+f AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN lower(trim(p_name)) END AS offer, CAST(p_partkey AS VARCHAR) AS stable FROM part WHERE p_partkey % 9 <> 0 AND p_partkey % 10 <> 0),
+m AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN lower(trim(p_name)) END AS offer, CAST(p_partkey AS VARCHAR) AS stable FROM part WHERE p_partkey % 7 <> 0),
+a AS (SELECT 'feed' AS side, * FROM f UNION ALL SELECT 'merchant', * FROM m),
+o AS (SELECT offer, CASE WHEN count(*) FILTER (side = 'feed') > 1 OR count(*) FILTER (side = 'merchant') > 1 THEN 'ambiguous'
+                         WHEN count(*) FILTER (side = 'feed') = 1 AND count(*) FILTER (side = 'merchant') = 1 THEN 'matched' END AS status FROM a WHERE offer IS NOT NULL GROUP BY offer),
+g AS (SELECT stable, count(*) FILTER (side = 'feed') AS nf, count(*) FILTER (side = 'merchant') AS nm, min(offer) AS offer FROM a
+      WHERE offer IS NULL OR offer NOT IN (SELECT offer FROM o WHERE status IS NOT NULL) GROUP BY stable),
+r AS (SELECT 'offer:' || offer AS identity, status FROM o WHERE status IS NOT NULL
+      UNION ALL SELECT coalesce('offer:' || offer, 'key:' || stable), CASE WHEN nf > 1 OR nm > 1 THEN 'ambiguous' WHEN nf = 1 AND nm = 1 THEN 'matched' WHEN nf = 1 THEN 'feed_only' ELSE 'merchant_only' END FROM g)
+"""
+
+
+def _mapping(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    rows = part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("offer_id"), F.col("p_partkey").cast("string").alias("stable_key"))
+    return identity.cross_source_mapping(rows.where("id % 9 <> 0 AND id % 10 <> 0"), rows.where("id % 7 <> 0"))
+
+
+@_query(f"WITH {SIDES} SELECT identity, status FROM r")
+def cross_source_mapping(spark, sf_dir):
+    """Two-stage product identity between two inventories made of parts."""
+    return _mapping(spark, sf_dir)
+
+
+@_query(f"""WITH {SIDES}, n AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY identity) AS rank, count(*) OVER (PARTITION BY status) > 50 AS truncated FROM r)
+SELECT identity, status, rank, truncated FROM n WHERE rank <= 50""")
+def mapping_samples(spark, sf_dir):
+    """The first 50 identities of each status (a top-k report)."""
+    return identity.samples(_mapping(spark, sf_dir))
+
+
+@_query("""
+SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS unit, p_retailprice, abs(l_extendedprice / l_quantity - p_retailprice) AS diff
+FROM lineitem JOIN part ON p_partkey = l_partkey
+WHERE abs(l_extendedprice / l_quantity - p_retailprice) >= 0.02 AND abs(l_extendedprice / l_quantity - p_retailprice) / greatest(abs(l_extendedprice / l_quantity), abs(p_retailprice), 1) >= 0.5""")
+def price_mismatch(spark, sf_dir):
+    """Prices of matched items beyond an absolute and a relative tolerance: unit prices of lines and retail prices."""
+    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
+    part = _table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    rows = li.join(part, li["l_partkey"] == part["p_partkey"]).withColumn("diff", F.abs(F.col("unit") - F.col("p_retailprice")))
+    return rows.where((F.col("diff") >= 0.02) & (F.col("diff") / F.greatest(F.abs("unit"), F.abs("p_retailprice"), F.lit(1)) >= 0.5)).select("l_orderkey", "l_linenumber", "unit", "p_retailprice", "diff")
+
+
+@_query("""
+WITH w AS (SELECT user_id, ts AS starts_at, ts + INTERVAL 1 HOUR AS ends_at, event_id AS window_id FROM events WHERE event_type = 'signup')
+SELECT e.event_id, e.user_id, arg_max(w.window_id, (w.starts_at, w.window_id)) AS window_id FROM events e LEFT JOIN w ON w.user_id = e.user_id AND w.starts_at <= e.ts AND w.ends_at > e.ts GROUP BY 1, 2""")
+def maintenance_join(spark, sf_dir):
+    """The maintenance window that holds each event, the latest start winning: an hour from each signup of a user."""
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    w = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("window_id"), F.col("ts").alias("starts_at"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ends_at"), F.lit(None).cast("timestamp").alias("cancelled_at"))
+    return store.active_window(events, w, "ts", ["user_id"], ["event_id"]).select("event_id", "user_id", "window_id")
+
+
+@_query("""
+SELECT event_id, channel, CASE WHEN user_id % 11 = 0 THEN 'alerts_disabled' WHEN channel = 'telegram' AND user_id % 2 = 0 THEN 'channel_disabled' WHEN event_type = 'click' THEN 'incident_type_muted'
+  WHEN event_type = 'view' AND user_id % 3 = 0 THEN 'open_notifications_disabled' WHEN event_type = 'signup' THEN 'recovery_notifications_disabled' WHEN event_id % 13 = 0 THEN 'maintenance_window' END AS suppression
+FROM events CROSS JOIN (VALUES ('email'), ('telegram')) c(channel)""")
+def delivery_decision(spark, sf_dir):
+    """Alert decisions for two channels, the first reason winning."""
+    rows = _table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_type") == "signup", "resolved").when(F.col("event_type") == "error", "worsened").otherwise("opened").alias("alert_type"), F.col("event_type").alias("incident_type"),
+        (F.col("user_id") % 11 != 0).alias("enabled"), F.lit(True).alias("email_enabled"), (F.col("user_id") % 2 != 0).alias("telegram_enabled"), F.array(F.lit("click")).alias("muted"),
+        (~((F.col("event_type") == "view") & (F.col("user_id") % 3 == 0))).alias("notify_on_open"), F.lit(True).alias("notify_on_worsening"), F.lit(False).alias("notify_on_recovery"),
+        F.when(F.col("event_id") % 13 == 0, F.col("event_id")).alias("window_id"))
+    return alerts.decisions(rows).select("event_id", "channel", "suppression")
+
+
+@_query("""
+SELECT event_id, CAST(CASE WHEN event_id % 5 = 0 THEN least(greatest(event_id, 1), 86400) ELSE CASE least(event_id % 6 + 1, 4) WHEN 1 THEN 60 WHEN 2 THEN 300 WHEN 3 THEN 900 ELSE 3600 END END AS BIGINT) AS delay FROM events""")
+def retry_schedule(spark, sf_dir):
+    """Delay before the next attempt: a ladder, or the server's wish within a day."""
+    return _table(spark, sf_dir, "events").select("event_id", C.retry_seconds((F.col("event_id") % 6 + 1), F.when(F.col("event_id") % 5 == 0, F.col("event_id"))).cast("long").alias("delay"))
+
+
+@_query("""
+WITH v AS (SELECT c_custkey, 1 AS seq, c_name, c_acctbal, c_mktsegment FROM customer
+           UNION ALL SELECT c_custkey, 2, c_name || '*', CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal + 1 END, CASE WHEN c_custkey % 4 = 0 THEN 'NEW' END FROM customer WHERE c_custkey % 2 = 0)
+SELECT c_custkey, max(seq) AS seq, arg_max(c_name, seq) AS c_name, arg_max(c_acctbal, seq) FILTER (c_acctbal IS NOT NULL) AS c_acctbal, arg_max(c_mktsegment, seq) FILTER (c_mktsegment IS NOT NULL) AS c_mktsegment FROM v GROUP BY 1""")
+def merge_coalesce(spark, sf_dir):
+    """Upsert in which nulls of the newer version don't overwrite: two versions of customers."""
+    old = _table(spark, sf_dir, "customer").select("c_custkey", F.lit(1).alias("seq"), "c_name", "c_acctbal", "c_mktsegment")
+    new = old.where("c_custkey % 2 = 0").select("c_custkey", F.lit(2).alias("seq"), F.concat("c_name", F.lit("*")).alias("c_name"),
+                                                F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal") + 1).alias("c_acctbal"), F.when(F.col("c_custkey") % 4 == 0, "NEW").alias("c_mktsegment"))
+    return store.merge_latest(old.unionByName(new), ["c_custkey"], "seq", ["c_acctbal", "c_mktsegment"])
+
+
+@_query(r"""
+WITH k AS (SELECT lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]+)', 1)) AS head, regexp_replace(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), '/+$', '') AS path FROM pages)
+SELECT head || CASE WHEN path = '' THEN '/' ELSE path END AS url_key, count(*) AS n FROM k GROUP BY 1""")
+def url_normalize(spark, sf_dir):
+    """Distinct normalised addresses, with the pages of each."""
+    return _table(spark, sf_dir, "pages").groupBy(C.url_key(F.col("url")).alias("url_key")).agg(F.count("*").alias("n"))
+
+
+@_query(r"""SELECT page_id, len(regexp_extract_all(html, '<a href')) AS links, html LIKE '%noindex%' AS noindex, 'missing' AS canonical_state, false AS schema_present FROM pages""")
+def page_links(spark, sf_dir):
+    """Product-page scan: robots, canonical address, structured data and links of every page."""
+    found = landed.product_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", F.col("links").cast("long").alias("links"), "noindex", "canonical_state", "schema_present")
+
+
+@_query("SELECT lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS offer, count(*) AS n, count(DISTINCT p_brand) AS brands FROM part GROUP BY 1")
+def offer_normalize(spark, sf_dir):
+    """Offer ids normalised and grouped: part names."""
+    return _table(spark, sf_dir, "part").groupBy(C.offer_key(F.col("p_name")).alias("offer")).agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("brands"))
+
+
+@_query("""SELECT s_suppkey, sha256('{"name":"' || s_name || '","nation":' || s_nationkey || '}') AS config_hash FROM supplier""")
+def config_hash(spark, sf_dir):
+    """Hash of a configuration's canonical JSON (keys in order)."""
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", F.sha2(F.to_json(F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))).cast("binary"), 256).alias("config_hash"))
+
+
+@_query(r"SELECT doc_id FROM documents WHERE text ILIKE '%license%' ESCAPE '\' OR source ILIKE '%c1\_%' ESCAPE '\' OR lang ILIKE 'es' ESCAPE '\'")
+def escaped_search(spark, sf_dir):
+    """Search without case over three columns, the wildcards of the words escaped."""
+    hit = F.lit(False)
+    for column, word in (("text", f"%{C.like_pattern('license')}%"), ("source", f"%{C.like_pattern('c1_')}%"), ("lang", "es")):
+        hit = hit | F.col(column).ilike(word)
+    return _table(spark, sf_dir, "documents").where(hit).select("doc_id")
+
+
+@_query("""
+WITH v AS (SELECT o_custkey, o_orderdate AS valid_from, max(o_totalprice) AS level FROM orders GROUP BY 1, 2),
+r AS (SELECT event_id, user_id, TIMESTAMP '1992-01-01' + INTERVAL 1 DAY * (event_id % 2500) AS at_ FROM events)
+SELECT r.event_id, r.user_id, v.level FROM r ASOF LEFT JOIN v ON v.o_custkey = r.user_id AND v.valid_from <= r.at_""")
+def threshold_asof(spark, sf_dir):
+    """The version in force at each row's time: a customer's last order as a version of its thresholds."""
+    v = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("valid_from")).agg(F.max("o_totalprice").alias("level"))
+    r = _table(spark, sf_dir, "events").select("event_id", "user_id", (F.expr("TIMESTAMP_NTZ '1992-01-01 00:00:00'") + F.expr("INTERVAL 1 DAY") * (F.col("event_id") % 2500)).alias("at"))
+    return store.as_of(r, v, "user_id", "at", "valid_from", ["level"]).select("event_id", "user_id", "level")
+
+
+@_query("""
+WITH m AS (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o FROM orders GROUP BY 1, 2),
+l AS (SELECT *, lag(f) OVER w AS pf, lag(o) OVER w AS po, lag(month) OVER w AS pm FROM m WINDOW w AS (PARTITION BY o_custkey ORDER BY month))
+SELECT month, count(*) FILTER (pf > 0 AND f = 0) AS lost_f, count(*) FILTER (po > 0 AND o = 0) AS lost_o, count(*) AS pairs FROM l WHERE pm IS NOT NULL GROUP BY 1""")
+def seo_transitions(spark, sf_dir):
+    """Transitions between a snapshot and its predecessor, counted by signal: order states of customers' months."""
+    orders = _table(spark, sf_dir, "orders")
+    m = orders.groupBy("o_custkey", F.trunc("o_orderdate", "month").alias("month")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderstatus") == "O").alias("o"))
+    w = Window.partitionBy("o_custkey").orderBy("month")
+    rows = m.select("*", F.lag("f").over(w).alias("pf"), F.lag("o").over(w).alias("po"), F.lag("month").over(w).alias("pm")).where("pm is not null")
+    return rows.groupBy("month").agg(F.count_if((F.col("pf") > 0) & (F.col("f") == 0)).alias("lost_f"), F.count_if((F.col("po") > 0) & (F.col("o") == 0)).alias("lost_o"), F.count("*").alias("pairs"))
+
+
+@_query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'in_stock' WHEN o_orderstatus = 'O' THEN 'out_of_stock' ELSE 'unknown' END AS availability FROM orders""")
+def availability_norm(spark, sf_dir):
+    """Wordings of availability, normalised: order states spelled out."""
+    said = F.when(F.col("o_orderstatus") == "F", " In Stock ").when(F.col("o_orderstatus") == "O", "out-of-stock").otherwise("pre-order")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", C.availability(said).alias("availability"))
+
+
+@_query("""
+WITH k AS (SELECT 'part' AS side, p_partkey AS id, 'offer:' || lower(p_name) AS key FROM part
+           UNION ALL SELECT 'storefront', p_partkey, 'offer:' || lower(p_name) FROM part WHERE p_partkey % 3 = 0)
+SELECT key AS matched_key, min(id) FILTER (side = 'part') AS feed_id, min(id) FILTER (side = 'storefront') AS storefront_id, 0.98 AS confidence, 'offer_id' AS method FROM k GROUP BY 1""")
+def product_matching(spark, sf_dir):
+    """Matches of items of two sources by shared keys: parts as feed items, every third also in the storefront."""
+    part = _table(spark, sf_dir, "part")
+    none = F.lit(None).cast("string")
+    item = lambda df, s: df.select(F.col("p_partkey").alias("id"), F.lit("s").alias("snapshot_id"), F.lit(s).alias("source"), F.col("p_name").alias("offer_id"), none.alias("url"), none.alias("canonical_url"), none.alias("final_url"))
+    got = identity.source_matches(item(part, "feed").unionByName(item(part.where("p_partkey % 3 = 0"), "storefront")))
+    return got.select("matched_key", "feed_id", "storefront_id", "confidence", "method")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Used only where the session names no shared folder (tests on one machine).
 DEFAULT_SHARED_DIR = "/tmp/checkpoints/shelfwatch"
@@ -40,6 +41,11 @@ def with_columns_replaced(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
 
 
+def schema_with(df: DataFrame, added: str) -> T.StructType:
+    """df's schema and the fields of a DDL string; df's own schema isn't touched."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(added).fields])
+
+
 def utf8_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string or binary Arrow array without copying the text; nulls are empty."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_text, doc_slices, utf8_view, with_columns_replaced
+from .common import crc_text, doc_slices, schema_with, utf8_view, with_columns_replaced
 
 ORDER = 3
 UNIT = 1024  # of a bit
@@ -215,7 +215,7 @@ def predict(docs: DataFrame, model: PpmModel | None, text: str = "text") -> Data
                 [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(np.where(has, post, 0.0)), pa.array(per_byte, mask=~has)],
                 names=[*batch.schema.names[:-1], "lang_pred", "score", "bits_per_byte"])
 
-    out = docs.schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    out = schema_with(docs, "lang_pred string, score double, bits_per_byte double")
     return docs.withColumn(letters, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(score, out)
 
 

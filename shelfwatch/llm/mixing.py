@@ -87,7 +87,7 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, cap: int = C
     done = F.least(F.lit(1.0), at / F.greatest(F.lit(1).cast("long"), whole))
     slope, w0 = F.col("w1") - F.col("w0"), F.col("w0")
     area = done * (w0 + F.col("w1")) / 2
-    time = F.when(F.abs(slope) < 1e-12, done).otherwise((F.sqrt(w0 * w0 + 2 * slope * area) - w0) / F.when(F.abs(slope) < 1e-12, 1.0).otherwise(slope))
+    time = F.when(F.abs(slope) < 1e-12, done).when(done == 0, 0.0).otherwise((F.sqrt(w0 * w0 + 2 * slope * area) - w0) / F.when(F.abs(slope) < 1e-12, 1.0).otherwise(slope))
     return placed.select(
         "doc_id", "size", "source", "source_size", "target", taken.alias("taken"),
         F.when(taken > 0, time).alias("position"))
@@ -105,19 +105,25 @@ ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-r AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s),
+n AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind FROM s),
+r AS (SELECT source, source_size, CASE kind WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
+             CASE kind WHEN 0 THEN 7.5::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END AS w0, CASE kind WHEN 0 THEN 2.5::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.5::DOUBLE END AS w1 FROM n),
 l AS (
   SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - 2 * coalesce(sum(source_size) OVER before, 0)) / ((SELECT sum(w) FROM r) - coalesce(sum(w) OVER before, 0)) AS level
   FROM r WINDOW before AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (
-  SELECT source, source_size, CASE WHEN level * w >= 2 * source_size THEN CAST(2 * source_size AS DOUBLE)
+  SELECT source, source_size, w0, w1, CASE WHEN level * w >= 2 * source_size THEN CAST(2 * source_size AS DOUBLE)
          ELSE (SELECT max(level) FROM l WHERE level * w < 2 * source_size) * w END AS target FROM l),
 c AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS whole,
+  SELECT d.doc_id, d.size, t.source_size, t.target, w0, w1, CAST(floor(t.target + 0.5) AS BIGINT) AS whole,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-k AS (SELECT *, CAST(greatest(0, least(size, whole - pos)) + greatest(0, least(size, whole - source_size - pos)) AS BIGINT) AS taken FROM c)
-SELECT doc_id, size, source_size, target, taken FROM k
+k AS (SELECT *, CAST(greatest(0, least(size, whole - pos)) + greatest(0, least(size, whole - source_size - pos)) AS BIGINT) AS taken,
+             least(1.0::DOUBLE, CAST(pos AS DOUBLE) / CAST(greatest(1, whole) AS DOUBLE)) AS done FROM c)
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken > 0 THEN CASE WHEN abs(w1 - w0) < 1e-12 THEN done WHEN done = 0 THEN 0.0::DOUBLE
+            ELSE (sqrt(w0 * w0 + 2 * (w1 - w0) * (done * (w0 + w1) / 2)) - w0) / (w1 - w0) END END AS position
+FROM k
 """
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_slices, ranges, utf8_view, with_columns_replaced, word_hashes
+from .common import doc_slices, ranges, schema_with, utf8_view, with_columns_replaced, word_hashes
 
 SPACE = "▁"
 OUT_BYTES = 2 << 20  # text of an output batch, but for a single longer text
@@ -247,7 +247,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text") -> DataF
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, column, v.decode(ids, ends)], names=[*part.schema.names, "ids", "decoded"])
 
-    return docs.mapInArrow(run, docs.schema.add("ids", "array<int>").add("decoded", "string"))
+    return docs.mapInArrow(run, schema_with(docs, "ids array<int>, decoded string"))
 
 
 def default_model() -> str:

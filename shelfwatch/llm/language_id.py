@@ -24,8 +24,8 @@ from .common import crc_text, doc_slices, schema_with, utf8_view, with_columns_r
 
 ORDER = 3
 UNIT = 1024  # of a bit
-TABLE_BYTES = 64 << 20  # bound of the compiled code-length table
-CHUNK = 1 << 20
+TABLE_BYTES = 16 << 20  # bound of the compiled code-length table
+CHUNK = 1 << 19
 UNDETERMINED = "und"
 
 

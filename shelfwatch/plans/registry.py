@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import alerts, baseline, identity, lifecycle, store
+from ..operators import alerts, baseline, identity, lifecycle, rules, store
 from ..sources import landed
 
 QUERIES: dict = {}
@@ -365,3 +365,17 @@ def product_matching(spark, sf_dir):
     item = lambda df, s: df.select(F.col("p_partkey").alias("id"), F.lit("s").alias("snapshot_id"), F.lit(s).alias("source"), F.col("p_name").alias("offer_id"), none.alias("url"), none.alias("canonical_url"), none.alias("final_url"))
     got = identity.source_matches(item(part, "feed").unionByName(item(part.where("p_partkey % 3 = 0"), "storefront")))
     return got.select("matched_key", "feed_id", "storefront_id", "confidence", "method")
+
+
+@_query("""
+WITH e AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'view' THEN 'success' WHEN 'click' THEN 'partial' WHEN 'purchase' THEN 'parse_failed' WHEN 'signup' THEN 'authentication_failed' ELSE 'timeout' END AS status FROM events),
+r AS (SELECT *, sum(CASE WHEN status IN ('success', 'partial') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM e),
+s AS (SELECT *, CAST(sum(CASE WHEN status IN ('success', 'partial') THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM r)
+SELECT event_id, user_id, status, streak, CASE WHEN status = 'success' THEN 'recover' WHEN status = 'partial' THEN 'ignore' WHEN status = 'authentication_failed' THEN 'open'
+       WHEN status = 'parse_failed' THEN CASE WHEN before = 'success' THEN 'open' ELSE 'wait' END WHEN streak >= 2 THEN 'open' ELSE 'wait' END AS action FROM s""")
+def feed_health(spark, sf_dir):
+    """Health of a source from its checks: a user's events as the statuses of its feed."""
+    kind = F.col("event_type")
+    status = F.when(kind == "view", "success").when(kind == "click", "partial").when(kind == "purchase", "parse_failed").when(kind == "signup", "authentication_failed").otherwise("timeout")
+    rows = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", status.alias("status"))
+    return rules.feed_health(rows, ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "status", F.col("streak").cast("long").alias("streak"), "action")

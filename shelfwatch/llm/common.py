@@ -90,7 +90,9 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
-@lru_cache(maxsize=2)
+KEPT_POWERS = 1 << 20  # bytes whose powers a worker keeps; a longer text has its own computed
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Powers of two odd 64-bit bases, up, and of their inverses."""
     out = []
@@ -102,13 +104,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return out[0], out[1], out[2], out[3]
 
 
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return _powers(KEPT_POWERS)
+
+
 _BYTE_CODES = np.random.default_rng(7).integers(1, 2**63, (2, 256), dtype=np.uint64) | np.uint64(1)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of each byte range, by prefix sums of polynomial codes."""
-    size = 1 << max(10, int(np.ceil(np.log2(len(data) + 1))))
-    up1, down1, up2, down2 = _powers(size)
+    up1, down1, up2, down2 = _kept_powers() if len(data) <= KEPT_POWERS else _powers(len(data))
     out = []
     for codes, up, down in ((_BYTE_CODES[0], up1, down1), (_BYTE_CODES[1], up2, down2)):
         sums = np.zeros(len(data) + 1, np.uint64)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import doc_slices, ranges, schema_with, utf8_view, with_columns_replaced, word_hashes
 
 SPACE = "▁"
-OUT_BYTES = 2 << 20  # text of an output batch, but for a single longer text
+OUT_BYTES = 1 << 19  # text of an output batch, but for a single longer text
 NO_RANK = np.int32(2**31 - 1)
 CHAR = 1 << 20  # symbols from here on are code points without a piece of their own
 

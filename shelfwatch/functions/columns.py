@@ -40,6 +40,22 @@ def url_key(url: Column) -> Column:
     return F.when(scheme.isin("http", "https") & (host != ""), F.concat(scheme, F.lit("://"), host, path))
 
 
+# Hosts and address ranges that aren't to be fetched from.
+INTERNAL_HOSTS = ("localhost", "metadata.google.internal")
+PRIVATE_V4 = r"^(0|10|127)\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^192\.168\.|^169\.254\.|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\."
+PRIVATE_V6 = r"^(::1$|fc|fd|fe80:|::ffff:(127|10|192\.168|169\.254)\.)"
+
+
+def is_public_url(url: Column) -> Column:
+    """Whether a url is http(s) and names neither an internal host nor a private address; false for null."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), r"\.$", "")
+    v6 = host.startswith("[")
+    bare = F.regexp_replace(host, r"[\[\]]", "")
+    v4 = bare.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    inside = bare.isin(*INTERNAL_HOSTS) | (v4 & bare.rlike(PRIVATE_V4)) | (v6 & bare.rlike(PRIVATE_V6))
+    return F.coalesce(url.rlike(r"(?i)^\s*https?://") & (bare != "") & ~inside, F.lit(False))
+
+
 def product_key(offer: Column, url: Column, canonical: Column, title: Column, image: Column, price: Column) -> Column:
     """offer:…, else url:…, else canonical:…, else a hash of title, image and price."""
     rest = F.concat_ws("|", *[F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (title, image, price)])

@@ -26,6 +26,14 @@ def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFram
     return rows.withColumn("file", F.input_file_name())
 
 
+def read_atom_feed(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of Atom feeds in the columns of read_feed(); a link is the address it refers to, else its text."""
+    shape = FEED_SCHEMA.replace("link string", "link array<struct<_href: string, _rel: string, _VALUE: string>>")
+    rows = spark.read.format("xml").option("rowTag", "entry").option("ignoreNamespace", "true").option("mode", "PERMISSIVE").schema(shape).load(path)
+    own = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    return rows.withColumn("link", F.get(F.transform(own, lambda x: F.coalesce(x["_href"], x["_VALUE"])), F.lit(0))).withColumn("file", F.input_file_name())
+
+
 def unsafe_files(spark: SparkSession, path: str) -> DataFrame:
     """Files that declare a document type or entities; their items aren't to be used."""
     text = spark.read.option("wholetext", "true").text(path).withColumn("file", F.input_file_name())
@@ -54,6 +62,12 @@ def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.input_file_name().alias("file"), url_key(F.trim("loc")).alias("url")).where("url is not null").distinct()
 
 
+def read_sitemap_index(spark: SparkSession, path: str) -> DataFrame:
+    """(file, url): the distinct normalised addresses of the sitemaps that index files (sitemapindex) name."""
+    rows = spark.read.format("xml").option("rowTag", "sitemap").option("ignoreNamespace", "true").schema("loc string").load(path)
+    return rows.select(F.input_file_name().alias("file"), url_key(F.trim("loc")).alias("url")).where("url is not null").distinct()
+
+
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__()

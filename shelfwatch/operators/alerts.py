@@ -35,3 +35,72 @@ def chat_text(title: Column, summary: Column, evidence: Column, most: int = 3900
     """Escaped lines, three pieces of evidence at most."""
     lines = F.concat(F.array(F.concat(F.lit("<b>"), escaped_html(title), F.lit("</b>")), escaped_html(summary)), F.transform(F.slice(evidence, 1, 3), lambda e: F.concat(F.lit("- "), escaped_html(e))))
     return shortened(F.array_join(lines, "\n"), most)
+
+
+#: The payload's version, its bounds, and the units of metrics that their names don't tell.
+VERSION, MOST_EVIDENCE, MOST_SAMPLES = "v1", 10, 8
+PAGE_METRICS = ("noindex", "canonical_away", "schema_missing", "http_error")
+PRODUCT_METRICS = ("matched_storefront_missing_from_feed", "merchant_inventory_missing_from_feed")
+
+
+def metric_unit(metric: Column) -> Column:
+    """checks, pages or products by a metric's name; null if it tells nothing."""
+    return (F.when(metric == "source_check_failure_count", "checks").when(metric.isin(*PAGE_METRICS), "pages")
+            .when(metric.contains("product") | metric.contains("mismatch") | metric.isin(*PRODUCT_METRICS), "products"))
+
+
+def _elements(json: Column) -> Column:
+    """The elements of a JSON array as variants; none if the text is null or something else."""
+    v = F.try_parse_json(json)
+    return F.coalesce(F.when(F.schema_of_variant(v).startswith("ARRAY"), v.try_cast("array<variant>")), F.array().cast("array<variant>"))
+
+
+def _said(v: Column, *names: str) -> Column:
+    """The first of an object's members that is a text with something in it."""
+    member = lambda n: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant")) == "STRING", F.nullif(F.trim(F.try_variant_get(v, f"$.{n}", "string")), F.lit("")))
+    return F.coalesce(*[member(n) for n in names])
+
+
+def evidence_texts(json: Column, message: Column) -> Column:
+    """Ten texts at most: strings, and what objects say by reason, message, description or status, else their JSON; if there are none, message."""
+    kind = F.schema_of_variant
+    text = lambda v: F.when(kind(v) == "STRING", F.nullif(F.trim(F.try_variant_get(v, "$", "string")), F.lit(""))).when(
+        kind(v).startswith("OBJECT"), F.coalesce(_said(v, "reason", "message", "description", "status"), F.nullif(F.to_json(v), F.lit("{}"))))
+    found = F.slice(F.filter(F.transform(_elements(json), text), lambda t: t.isNotNull()), 1, MOST_EVIDENCE)
+    return F.when(F.size(found) > 0, found).when(F.trim(message) != "", F.array(F.trim(message))).otherwise(F.array().cast("array<string>"))
+
+
+def sample_items(json: Column) -> Column:
+    """The objects of a JSON array as structs of stableKey, offerId, url and title, those that have one of them."""
+    item = lambda v: F.struct(_said(v, "stableKey", "stable_key").alias("stableKey"), _said(v, "offerId", "offer_id").alias("offerId"), _said(v, "url").alias("url"), _said(v, "title").alias("title"))
+    return F.filter(F.transform(_elements(json), item), lambda i: F.coalesce(i["stableKey"], i["offerId"], i["url"], i["title"]).isNotNull())
+
+
+def payloads(events: DataFrame, signals: DataFrame) -> DataFrame:
+    """(event_id, payload): the canonical JSON of each event, with its incident's signals.
+
+    events: event_id, alert_type, store_id, store_name, store_domain, incident_id, type, severity, title, summary, status,
+    affected_count, likely_source, confidence_score, first_detected_at, evidence_json, event_type, reason, message,
+    occurred_at. signals: incident_id, position, metric, before_value, after_value, sample_items_json; metrics and samples
+    follow position, metric and values, eight samples at most. A member that is null stays as null, but for those of samples.
+    """
+    each = F.struct("position", "metric", F.struct(F.col("metric").alias("name"), F.col("before_value").alias("beforeValue"), F.col("after_value").alias("afterValue"), metric_unit(F.col("metric")).alias("unit")).alias("m"),
+                    F.slice(sample_items(F.col("sample_items_json")), 1, MOST_SAMPLES).alias("s"))
+    per = signals.select("incident_id", each.alias("x")).groupBy("incident_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    per = per.select("incident_id", F.transform("x", lambda x: x["m"]).alias("metrics"), F.slice(F.flatten(F.transform("x", lambda x: x["s"])), 1, MOST_SAMPLES).alias("samples"))
+    rows = events.join(per, "incident_id", "left")
+    metric_type = per.schema["metrics"].dataType
+    named = lambda **parts: F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in parts.items()])
+    body = named(
+        version=F.lit(VERSION), alertType="alert_type", store=named(id="store_id", name="store_name", domain="store_domain"),
+        incident=named(id="incident_id", type="type", severity="severity", title="title", summary="summary", status="status", affectedCount="affected_count", likelySource="likely_source",
+                       confidenceScore="confidence_score", firstDetectedAt="first_detected_at"),
+        metrics=F.coalesce("metrics", F.array().cast(metric_type)), evidence=evidence_texts(F.col("evidence_json"), F.col("message")),
+        samples=F.coalesce(F.parse_json(F.to_json("samples")), F.parse_json(F.lit("[]"))), event=named(id="event_id", type="event_type", reason="reason", occurredAt="occurred_at"))
+    return rows.select("event_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def delivery_error(error: Column) -> Column:
+    """The code before a delivery error's first colon if it looks like one, else delivery_failed; null for null or nothing."""
+    code = F.trim(F.split(error, ":", 2)[0])
+    return F.when(error != "", F.when(code.rlike("^[a-z][a-z0-9_]{0,100}$"), code).otherwise("delivery_failed"))

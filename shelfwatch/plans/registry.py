@@ -379,3 +379,60 @@ def feed_health(spark, sf_dir):
     status = F.when(kind == "view", "success").when(kind == "click", "partial").when(kind == "purchase", "parse_failed").when(kind == "signup", "authentication_failed").otherwise("timeout")
     rows = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", status.alias("status"))
     return rules.feed_health(rows, ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "status", F.col("streak").cast("long").alias("streak"), "action")
+
+
+@_query(f"""
+WITH {DAILY}, o AS (SELECT *, CASE WHEN event_type = 'error' THEN 'b' ELSE 'a' END AS config FROM daily),
+h AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY "at" DESC) AS n FROM o WHERE "at" < DATE '2024-01-16'),
+c AS (SELECT event_type, quantile_cont(value, 0.5) AS median_value, count(*) AS sample_count FROM h WHERE n <= 14 GROUP BY 1),
+e AS (SELECT o.*, row_number() OVER (PARTITION BY o.event_type ORDER BY "at" DESC) AS n FROM o JOIN c USING (event_type)
+      WHERE o.event_type = 'error' OR abs(median_value - value) < 20 OR CASE WHEN median_value = 0 THEN 0 ELSE abs(median_value - value) / median_value END < 0.2),
+s AS (SELECT event_type, quantile_cont(value, 0.5) AS median_value, count(*) AS sample_count FROM e WHERE n <= 14 GROUP BY 1)
+SELECT event_type, 1 AS version, 'active' AS status, median_value, sample_count, 'unchanged' AS action FROM c WHERE event_type = 'click'
+UNION ALL SELECT event_type, 1, 'active', median_value, sample_count, 'updated' FROM s WHERE event_type NOT IN ('click', 'error') AND sample_count >= 7
+UNION ALL SELECT event_type, 1, 'learning', median_value, sample_count, 'updated' FROM s WHERE event_type NOT IN ('click', 'error') AND sample_count < 7
+UNION ALL SELECT event_type, 1, 'stale', median_value, sample_count, 'stale' FROM c WHERE event_type = 'error'
+UNION ALL SELECT event_type, 2, CASE WHEN sample_count < 7 THEN 'relearning' ELSE 'ready' END, median_value, sample_count, 'inserted' FROM s WHERE event_type = 'error'""")
+def baseline_revision(spark, sf_dir):
+    """A run over baselines in force: those of the first half month, clicks frozen, errors with another configuration now."""
+    rows = _daily(spark, sf_dir).withColumn("comparable", F.lit(True))
+    old = baseline.latest(rows.where("at < DATE '2024-01-16'").withColumn("config", F.lit("a")), ["event_type"]).drop("status")
+    old = old.withColumns({"version": F.lit(1), "status": F.lit("active"), "confirmed_at": F.lit(1)})
+    now = rows.withColumn("config", F.when(F.col("event_type") == "error", "b").otherwise("a"))
+    got = baseline.revised(old, now, old.where("event_type = 'click'"), ["event_type"])
+    return got.select("event_type", "version", "status", "median_value", "sample_count", "action")
+
+
+@_query(r"""
+WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'http://10.0.0.' || (page_id % 250) || '/' WHEN 2 THEN 'http://172.' || (page_id % 64) || '.0.1/x' ELSE replace(url, 'http', 'ftp') END AS url FROM pages)
+SELECT page_id, page_id % 4 = 0 OR page_id % 4 = 2 AND page_id % 64 NOT BETWEEN 16 AND 31 AS is_public FROM u""")
+def public_address(spark, sf_dir):
+    """Addresses that may be fetched: of pages, some of them with private hosts or another scheme instead."""
+    k = F.col("page_id") % 4
+    url = (F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("http://10.0.0."), F.col("page_id") % 250, F.lit("/"))).when(k == 2, F.concat(F.lit("http://172."), F.col("page_id") % 64, F.lit(".0.1/x")))
+           .otherwise(F.replace("url", F.lit("http"), F.lit("ftp"))))
+    return _table(spark, sf_dir, "pages").select("page_id", C.is_public_url(url).alias("is_public"))
+
+
+@_query("""
+WITH l AS (SELECT l_orderkey, list({name: CASE l_linenumber % 2 WHEN 0 THEN 'noindex' ELSE 'product_count' END, beforeValue: l_partkey, afterValue: l_suppkey, unit: CASE l_linenumber % 2 WHEN 0 THEN 'pages' ELSE 'products' END} ORDER BY l_linenumber, l_partkey, l_suppkey) AS metrics,
+                  list({offerId: 'p' || l_partkey} ORDER BY l_linenumber, l_partkey, l_suppkey) AS samples FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS event_id, CAST(to_json({version: 'v1', alertType: 'opened', store: {id: o_custkey, name: c_name, domain: NULL},
+  incident: {id: o_orderkey, type: o_orderpriority, severity: 'warning', title: c_name, summary: o_orderstatus, status: 'open', affectedCount: o_custkey, likelySource: NULL, confidenceScore: NULL, firstDetectedAt: strftime(o_orderdate, '%Y-%m-%d')},
+  metrics: coalesce(metrics, []), evidence: [o_orderstatus, o_orderpriority], samples: coalesce(samples, [])[1:8],
+  event: {id: o_orderkey, type: 'opened', reason: NULL, occurredAt: strftime(o_orderdate, '%Y-%m-%d')}}) AS VARCHAR) AS payload
+FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN l ON l_orderkey = o_orderkey""")
+def alert_payload(spark, sf_dir):
+    """Canonical alert payloads: orders as incidents, their lines as signals with a sample each."""
+    none, day = F.lit(None).cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    rows = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    events = rows.select(
+        F.col("o_orderkey").alias("event_id"), F.lit("opened").alias("alert_type"), F.col("o_custkey").alias("store_id"), F.col("c_name").alias("store_name"), none.alias("store_domain"),
+        F.col("o_orderkey").alias("incident_id"), F.col("o_orderpriority").alias("type"), F.lit("warning").alias("severity"), F.col("c_name").alias("title"), F.col("o_orderstatus").alias("summary"),
+        F.lit("open").alias("status"), F.col("o_custkey").alias("affected_count"), none.alias("likely_source"), none.alias("confidence_score"), day.alias("first_detected_at"),
+        F.concat(F.lit('[" '), "o_orderstatus", F.lit('", {"x": 1, "status": "'), "o_orderpriority", F.lit('"}, 7, {}]')).alias("evidence_json"), F.lit("opened").alias("event_type"), none.alias("reason"), F.lit("m").alias("message"),
+        day.alias("occurred_at"))
+    signals = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("incident_id"), F.col("l_linenumber").alias("position"), F.when(F.col("l_linenumber") % 2 == 0, "noindex").otherwise("product_count").alias("metric"), F.col("l_partkey").alias("before_value"),
+        F.col("l_suppkey").alias("after_value"), F.concat(F.lit('[{"offer_id": "p'), "l_partkey", F.lit('"}, {"title": " "}, 3]')).alias("sample_items_json"))
+    return alerts.payloads(events, signals)

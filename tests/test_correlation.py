@@ -5,8 +5,8 @@ import json
 import pytest
 
 from shelfwatch.functions import columns as C
-from shelfwatch.operators import baseline, correlation
-from shelfwatch.sources import landed, merchant
+from shelfwatch.operators import alerts, baseline, correlation
+from shelfwatch.sources import category, landed, merchant
 
 GOOD = {"type": "catalog_drop", "candidate": "confirmed", "incident": "open", "recorded": False, "pct": 0.2, "snapshot": "completed", "config": "c", "feed": 500, "identity": True, "approved": 480,
         "history": 8, "comparable": True, "ambiguous": 0, "truncated": False, "matched": 480, "merchant_only": 120}
@@ -81,3 +81,29 @@ def test_atom_and_sitemap_index(spark, tmp_path):
                                            ("http://172.32.0.1/", True), ("http://100.64.1.1", False), ("http://u:p@10.0.0.1/", False), ("http://[::1]/", False), ("http://[fd00::1]/", False), ("http://[2001:db8::1]/", True), ("http://10.example.org/", True)])
 def test_public_url(spark, url, want):
     assert spark.createDataFrame([(url,)], "u string").select(C.is_public_url(C.F.col("u"))).first()[0] is want
+
+
+def test_category_pages(spark):
+    product = {"@type": "Product", "url": "/products/x"}
+    script = lambda kind, value: f'<script type="{kind}">{json.dumps(value)}</script>'
+    base = "https://Shop.org/c"
+    pages = [("shop", 1, base, json.dumps({"products": [{"handle": "a"}, {"handle": "a"}, {"handle": "b"}, {"x": 1}, None], "products_count": 3})),
+             ("embedded", 1, base, script("application/json", {"state": [{"total": 1, "items": [{"url": "/products/a?v=1"}]}]}) + script("application/ld+json", product)),
+             ("linked", 1, base, script("application/json", {"a": 1}) + "<script type='application/ld+json'>{</script>" + script("application/ld+json", {"@graph": [product, product]})),
+             ("links", 1, base, '<a href="/products/a">A</a><a href="/about">x</a><a rel="next" href="?page=2">n</a>'), ("links", 2, base, '<a href="/products/b#f">B</a><a href="/products/a/">A</a>'),
+             ("open", 1, base, '<a href="/products/a">A</a><link rel="next" href="?page=2">'), ("endless", 1, base, '<a href="/products/a">A</a><button data-next-url="/x">Load more</button>'),
+             ("empty", 1, base, "<p>No products found</p>"), ("null", 1, None, None), ("bad", 1, "http://[", '<a href="/products/a">A</a>')]
+    parsed = category.category_pages(spark.createDataFrame(pages, "category string, page int, url string, body string"))
+    got = {r.category: tuple(r)[1:] for r in category.category_observations(parsed).collect()}
+    assert got == {"shop": ("shopify_json", 2, 3, False, False, 0.95), "embedded": ("embedded_json", 1, 1, True, False, 0.92), "linked": ("json_ld", 1, None, False, False, 0.55),
+                   "links": ("html_links", 2, None, True, False, 0.7), "open": ("html_links", 1, None, False, True, 0.4), "endless": ("html_links", 1, None, False, False, 0.4),
+                   "empty": ("html_links", 0, None, True, False, 0.7), "null": ("html_links", 0, None, True, False, 0.7), "bad": ("html_links", 0, None, True, False, 0.7)}
+    assert {r.url for r in category.category_products(parsed).where("category = 'links'").collect()} == {"https://shop.org/products/a", "https://shop.org/products/b"}
+
+
+def test_alert_texts(spark):
+    rows = [('["a", " ", {"reason": "r"}, {"reason": 5, "message": "m"}, {"x": 1}, {}, 7, null]', "z", ["a", "r", "m", '{"x":1}']), ("{", " z ", ["z"]), (None, "", []), ('"text"', None, []), ('{"a": [1]}', None, []), (json.dumps(["e"] * 30), None, ["e"] * 10)]
+    df = spark.createDataFrame([(j, m) for j, m, _ in rows], "j string, m string")
+    assert [r.e for r in df.select(alerts.evidence_texts(C.F.col("j"), C.F.col("m")).alias("e")).collect()] == [want for _, _, want in rows]
+    codes = spark.createDataFrame([("timeout: x",), ("Bad thing",), (None,), ("",), (":",)], "e string")
+    assert [r[0] for r in codes.select(alerts.delivery_error(C.F.col("e"))).collect()] == ["timeout", "delivery_failed", None, None, "delivery_failed"]

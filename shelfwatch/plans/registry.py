@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import alerts, baseline, identity, lifecycle, rules, store
-from ..sources import landed
+from ..operators import alerts, baseline, correlation, identity, lifecycle, rules, store
+from ..sources import category, landed, merchant
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -436,3 +436,55 @@ def alert_payload(spark, sf_dir):
         F.col("l_orderkey").alias("incident_id"), F.col("l_linenumber").alias("position"), F.when(F.col("l_linenumber") % 2 == 0, "noindex").otherwise("product_count").alias("metric"), F.col("l_partkey").alias("before_value"),
         F.col("l_suppkey").alias("after_value"), F.concat(F.lit('[{"offer_id": "p'), "l_partkey", F.lit('"}, {"title": " "}, 3]')).alias("sample_items_json"))
     return alerts.payloads(events, signals)
+
+
+@_query("""
+WITH n AS (SELECT s_nationkey AS category, count(*) AS discovered, max(s_suppkey % 3) < 2 AS more FROM supplier GROUP BY 1)
+SELECT category, 'html_links' AS strategy, discovered, NOT more AS complete, more AS truncated, CASE WHEN more THEN 0.4 ELSE 0.7 END AS confidence FROM n""")
+def category_scan(spark, sf_dir):
+    """Category pages as product counts: nations as categories of three pages, suppliers as linked products, each twice."""
+    part = (F.col("s_suppkey") % 3).cast("int")
+    links = _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("category"), part.alias("page"), F.format_string('<a href="/products/%d">x</a><a href="https://shop.org/products/%d/?v=1">y</a>', "s_suppkey", "s_suppkey").alias("a"))
+    pages = links.groupBy("category", "page").agg(F.array_join(F.collect_list("a"), "").alias("a"))
+    pages = pages.select("category", "page", F.lit("https://shop.org/c").alias("url"), F.concat("a", F.when(F.col("page") < 2, '<a rel="next" href="?p">n</a>').otherwise("")).alias("body"))
+    return category.category_observations(category.category_pages(pages)).drop("reported_total")
+
+
+@_query("""
+SELECT o_custkey AS store_id, 'accounts/' || o_custkey || '/products/' || o_orderkey AS name, CASE o_orderstatus WHEN 'F' THEN 'disapproved' WHEN 'O' THEN 'pending' ELSE 'approved' END AS status,
+       count(DISTINCT l_linenumber) AS issues FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
+def merchant_inventory(spark, sf_dir):
+    """Merchant products of landed pages: customers as accounts with two pages each, orders as products, lines as issues."""
+    lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(F.concat(F.lit("Line #"), "l_linenumber").alias("code"))).alias("itemLevelIssues"))
+    state = F.col("o_orderstatus")
+    places = lambda name, when: F.when(when, F.array(F.lit("US"))).alias(name)
+    place = F.struct(F.array(F.lit("DE")).alias("approvedCountries"), places("pendingCountries", state == "O"), places("disapprovedCountries", state == "F"))
+    rows = _table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").select(
+        F.col("o_custkey").alias("store_id"), (F.col("o_orderkey") % 2).cast("int").alias("page"),
+        F.struct(F.concat(F.lit("accounts/"), "o_custkey", F.lit("/products/"), "o_orderkey").alias("name"), F.struct(F.array(place).alias("destinationStatuses"), "itemLevelIssues").alias("productStatus")).alias("p"))
+    pages = rows.groupBy("store_id", "page").agg(F.to_json(F.struct(F.collect_list("p").alias("products"))).alias("body"))
+    return merchant.merchant_products(pages).select("store_id", "name", "status", F.when(F.col("issues").isNull(), 0).otherwise(F.size("issues")).cast("long").alias("issues"))
+
+
+@_query("""
+WITH d AS (SELECT event_type AS store, CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (event_id % 3 > 0) AS approved FROM events GROUP BY 1, 2),
+m AS (SELECT *, quantile_cont(n, 0.5) OVER w AS feed_median, quantile_cont(approved, 0.5) OVER w AS median, count(*) OVER w AS samples FROM d
+      WINDOW w AS (PARTITION BY store ORDER BY day ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)),
+r AS (SELECT *, CASE WHEN n % 10 = 0 THEN 'incident_unavailable' WHEN NOT coalesce(n <= feed_median * 0.95::DOUBLE AND feed_median - n >= 1, FALSE) THEN 'feed_drop_not_confirmed' WHEN samples < 7 THEN 'merchant_baseline_unavailable'
+      WHEN NOT (approved <= median * 0.95::DOUBLE AND median - approved >= 1) THEN 'merchant_approved_drop_not_confirmed' WHEN n % 7 = 0 THEN 'mapping_ambiguous' ELSE 'correlated' END AS reason FROM m)
+SELECT store || ' ' || CAST(day AS VARCHAR) AS candidate_id, reason, reason = 'correlated' AS correlated, median AS merchant_median, approved AS merchant_approved FROM r""")
+def merchant_correlation(spark, sf_dir):
+    """Whether a drop shows in both sources: days of an event type as snapshots, two thirds of its events as what a merchant approved."""
+    events = _table(spark, sf_dir, "events")
+    d = events.groupBy(F.col("event_type").alias("store_id"), F.to_date("ts").alias("at")).agg(F.count("*").alias("value"), F.count_if(F.col("event_id") % 3 > 0).alias("approved"))
+    d = baseline.rolling(d, ["store_id"]).withColumn("snapshot_id", F.concat_ws(" ", "store_id", F.col("at").cast("string")))
+    candidates = d.select(F.col("snapshot_id").alias("candidate_id"), F.col("snapshot_id").alias("incident_id"), "store_id", F.lit("catalog_drop").alias("type"), F.lit("confirmed").alias("status"), F.col("snapshot_id").alias("first_snapshot_id"),
+                          F.lit("next").alias("confirmation_snapshot_id"), F.col("median_before").alias("baseline_median"), F.lit(0.05).alias("percent_threshold"), F.lit(1).alias("absolute_threshold"))
+    incidents = d.select(F.col("snapshot_id").alias("incident_id"), F.when(F.col("value") % 10 == 0, "ignored").otherwise("open").alias("status"))
+    snapshots = d.select("snapshot_id", "store_id", F.lit("completed").alias("status"), F.lit("c").alias("config"), F.col("value").alias("feed_count"), F.col("at").alias("created_at"))
+    checks = d.withColumn("source", F.explode(F.array(*[F.lit(s) for s in correlation.SOURCES]))).select(
+        F.concat_ws(" ", "snapshot_id", "source").alias("check_id"), "snapshot_id", "source", F.lit("success").alias("status"), F.lit("c").alias("config"), F.lit(True).alias("complete"), "approved",
+        F.lit(0).alias("pending"), F.lit(0).alias("disapproved"), F.col("approved").alias("total"), F.col("at").alias("finished_at"))
+    mapping = d.select("snapshot_id", F.lit(True).alias("comparable"), F.col("value").alias("matched"), F.lit(0).alias("feed_only"), F.col("value").alias("merchant_only"), (F.col("value") % 7 == 0).cast("int").alias("ambiguous"), F.lit(False).alias("truncated"))
+    got = correlation.feed_merchant_correlation(candidates, incidents, candidates.where("false"), snapshots, checks, mapping)
+    return got.select("candidate_id", "reason", "correlated", "merchant_median", "merchant_approved")

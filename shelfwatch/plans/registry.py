@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import alerts, baseline, correlation, identity, lifecycle, rules, store
+from ..operators import alerts, baseline, correlation, identity, incidents, lifecycle, rules, store
 from ..sources import category, landed, merchant
 
 QUERIES: dict = {}
@@ -488,3 +488,24 @@ def merchant_correlation(spark, sf_dir):
     mapping = d.select("snapshot_id", F.lit(True).alias("comparable"), F.col("value").alias("matched"), F.lit(0).alias("feed_only"), F.col("value").alias("merchant_only"), (F.col("value") % 7 == 0).cast("int").alias("ambiguous"), F.lit(False).alias("truncated"))
     got = correlation.feed_merchant_correlation(candidates, incidents, candidates.where("false"), snapshots, checks, mapping)
     return got.select("candidate_id", "reason", "correlated", "merchant_median", "merchant_approved")
+
+
+@_query("""
+WITH i AS (SELECT c_custkey AS incident_id, CASE c_custkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'recovering' ELSE 'resolved' END AS status FROM customer),
+a AS (SELECT user_id AS incident_id, ts, event_id, CASE event_type WHEN 'click' THEN 'acknowledge' WHEN 'purchase' THEN 'ignore' ELSE 'comment' END AS action FROM events),
+s AS (SELECT a.*, status, count(*) FILTER (action = 'ignore') OVER w > 0 AND status <> 'resolved' AS ignored, count(*) FILTER (action = 'acknowledge') OVER w > 0 AND status = 'open' AS seen
+      FROM a LEFT JOIN i USING (incident_id) WINDOW w AS (PARTITION BY incident_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT event_id, incident_id, action, CASE WHEN ignored THEN 'ignored' WHEN seen THEN 'acknowledged' ELSE status END AS before FROM s)
+SELECT event_id, incident_id, action, before,
+       CASE WHEN action = 'acknowledge' AND before = 'open' THEN 'acknowledged' WHEN action = 'ignore' AND before IN ('open', 'acknowledged', 'recovering') THEN 'ignored' ELSE before END AS after,
+       CASE WHEN before IS NULL THEN 'refused' WHEN action = 'comment' THEN 'done' WHEN action = 'acknowledge' THEN CASE before WHEN 'acknowledged' THEN 'repeated' WHEN 'open' THEN 'done' ELSE 'refused' END
+            WHEN before = 'ignored' THEN 'repeated' WHEN before = 'resolved' THEN 'refused' ELSE 'done' END AS outcome
+FROM b""")
+def user_actions(spark, sf_dir):
+    """What users do to incidents: customers as incidents, events as acknowledgements, ignoring and comments."""
+    k = F.col("c_custkey") % 3
+    some = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("incident_id"), F.when(k == 0, "open").when(k == 1, "recovering").otherwise("resolved").alias("status"))
+    kind = F.col("event_type")
+    asked = _table(spark, sf_dir, "events").select(F.col("user_id").alias("incident_id"), F.col("ts").alias("at"), F.col("event_id").alias("action_id"),
+                                                   F.when(kind == "click", "acknowledge").when(kind == "purchase", "ignore").otherwise("comment").alias("action"))
+    return incidents.user_actions(some, asked).select(F.col("action_id").alias("event_id"), "incident_id", "action", "before", "after", "outcome")

@@ -1,17 +1,31 @@
 """Layout-aware text of HTML pages.
 
-A tolerant tree builder (implied end tags, elements without end tags, raw-text elements, unmatched end tags) and a
-renderer that emits all visible text: paragraphs and headings are set apart by blank lines, other blocks by line
-breaks, list items are marked and indented, table cells are aligned in columns, preformatted text keeps its spaces.
-Not visible: head, scripts, styles, templates, comments, elements with ``hidden`` or an inline ``display: none`` or
-``visibility: hidden``, hidden inputs.
-
-Elements nested deeper than ``MAX_DEPTH`` are flattened into their ancestor of that depth; no text is lost.
+A tolerant tree builder (implied end tags, elements without end tags, raw-text elements, unmatched end tags, table
+parts that clear the stack back to their table) and a renderer that emits all visible text.  Both work on explicit
+stacks, so nesting has no limit, and both look up open elements by name, so an unmatched tag costs no walk.
+
+Layout: paragraphs, headings, lists and tables are set apart by a blank line, other blocks by line breaks; list items
+have a mark and their further lines are indented below it; cells of a table are aligned in columns; preformatted text
+keeps its spaces and lines.  ``<br><br>`` is a blank line.
+
+Visibility: not rendered are head, scripts, styles, templates, comments, replaced elements' fallback, closed dialogs,
+what a closed ``details`` holds besides its summary, drawings but for their text, and elements whose inline style ends
+in ``display: none`` or which have the attribute ``hidden`` without a ``display`` of their own.  ``visibility`` is
+inherited and a descendant may turn it on again: invisible text isn't written, but its cell keeps its column.  Form
+fields' values and images' alternatives aren't text.
+
+Blanks that alignment puts in are bounded, so output grows with the input and not with cells times lines: a column is
+as wide as its widest line of at most ``CELL`` characters (longer ones run over), a column begins at ``ALIGN``
+characters at most, half of that inside a cell, a quarter two tables deep and so on, and lists indent a quarter of
+that.  So a line has less than 3 * ALIGN blanks of layout.  Where nothing of it is left (eight tables deep) the cells
+of a row follow one another.  A line that continues a cell begins at its column; separators are written between texts,
+and after the last cell of a row if the table has columns further on.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -19,319 +33,525 @@ from pyspark.sql import DataFrame
 
 from .common import doc_slices, utf8_view, with_columns_replaced
 
-MAX_DEPTH = 150
 OUT_BYTES = 4 << 20
+ALIGN = 160
+CELL = 40
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title meta link base area datalist object audio video canvas svg".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr form fieldset".split())
-BLOCK = SPACED | frozenset("html body div section article header footer nav main aside address li dt dd figcaption caption center details summary legend optgroup option tr td th thead tbody tfoot".split())
-CLOSES_P = BLOCK - frozenset("html body li dt dd tr td th thead tbody tfoot caption option optgroup summary legend figcaption".split())
-#: An element on the left ends open elements named on the right, up to one named last.
-IMPLIED = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "option": ({"option"}, {"select", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
-}
-#: End tags don't reach beyond these, unless they are their own.
+HEAD = frozenset("base link meta noframes noscript script style template title".split())
+HIDDEN = HEAD | frozenset("head iframe noembed area datalist object audio video canvas rp param".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl table blockquote pre listing xmp plaintext textarea figure hr form fieldset".split())
+BLOCK = SPACED | frozenset("html body div section article header footer nav main aside address li dt dd figcaption caption center details summary legend optgroup option tr td th thead tbody tfoot dialog search hgroup".split())
+CLOSES_P = BLOCK - frozenset("html body caption option optgroup legend figcaption textarea tr td th thead tbody tfoot".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PREFORMATTED = frozenset("pre listing xmp plaintext textarea".split())
+LISTS = frozenset("ul ol menu dir".split())
+GROUPS = frozenset("thead tbody tfoot".split())
+CELLS = frozenset("td th".split())
+#: An element on the left ends open elements named on the right, unless one named last is nearer.
+IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir", "td", "th", "table"}), "dt": ({"dt", "dd"}, {"dl", "td", "th", "table"}), "dd": ({"dt", "dd"}, {"dl", "td", "th", "table"}),
+           "option": ({"option"}, {"select", "optgroup", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"})}
+#: Parts of a table and what they may stand in: the nearest of these becomes the current element.
+PARENTS = {"tr": GROUPS | {"table"}, "td": GROUPS | {"table", "tr"}, "th": GROUPS | {"table", "tr"}, **dict.fromkeys([*GROUPS, "caption", "colgroup", "col"], {"table"})}
+#: End tags and implied ends don't reach beyond these, unless they are their own.
 FENCES = frozenset("table td th caption".split())
+INLINE_DISPLAY = frozenset("inline inline-block inline-flex inline-grid contents".split())
+BLOCK_DISPLAY = frozenset("block flex grid flow-root list-item table".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-HIDES = re.compile(r"\shidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|type\s*=\s*[\"']?hidden", re.I)
-SPAN = re.compile(r"(col|row)span\s*=\s*[\"']?(\d{1,3})", re.I)
-START = re.compile(r"\bstart\s*=\s*[\"']?(-?\d{1,6})", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 LINE_ENDS = re.compile(r"\r\n?")
+WHITE = " \t\n\r\f"
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "children", "shown")
+def attributes(raw: str) -> dict[str, str]:
+    """Attributes of a start tag by lower-case name; of repeated names the first counts."""
+    found: dict[str, str] = {}
+    for name, double, single, bare in ATTRIBUTE.findall(raw):
+        found.setdefault(name.lower(), unescape(double or single or bare))
+    return found
 
-    def __init__(self, tag: str, attrs: str = "", shown: bool = True):
-        self.tag, self.attrs, self.children, self.shown = tag, attrs, [], shown
 
+def declarations(style: str) -> dict[str, str]:
+    """Properties of an inline style: the last counts, an important one before others."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in style.split(";"):
+        name, colon, value = part.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        important = value.endswith("important") and "!" in value
+        if colon and (important or not found.get(name, (False, ""))[0]):
+            found[name] = important, value.rpartition("!")[0].strip() if important else value
+    return {k: v for k, (_, v) in found.items()}
 
-def parse(html: str) -> Node:
-    """The tree of a page: nodes and strings."""
-    root = Node("html")
-    stack = [root]
-    at, size = 0, len(html)
 
-    def text(a: int, b: int) -> None:
-        if b > a:
-            s = html[a:b]
-            stack[-1].children.append(unescape(s) if "&" in s else s)
+class Node:
+    """An element: shown is whether it is rendered at all, visible whether its own text can be seen."""
+
+    __slots__ = ("tag", "attrs", "children", "shown", "visible", "block")
+
+    def __init__(self, tag: str, raw: str = "", visible: bool = True):
+        self.tag, self.children, self.visible = tag, [], visible
+        self.attrs = attributes(raw) if raw and not raw.isspace() else {}
+        self.shown, self.block = tag not in HIDDEN, tag in BLOCK
+        if tag == "dialog" and "open" not in self.attrs:
+            self.shown = False
+        if self.attrs:
+            style = declarations(self.attrs["style"]) if "style" in self.attrs else {}
+            display = style.get("display")
+            if display == "none" or ("hidden" in self.attrs and (display is None or display in ("inherit", "initial"))) or (tag == "input" and self.attrs.get("type", "").strip().lower() == "hidden"):
+                self.shown = False
+            if display in INLINE_DISPLAY and tag not in PREFORMATTED:
+                self.block = False
+            elif display in BLOCK_DISPLAY:
+                self.block = True
+            seen = style.get("visibility")
+            if seen in ("hidden", "collapse"):
+                self.visible = False
+            elif seen in ("visible", "initial"):
+                self.visible = True
+
+    def number(self, name: str, most: int) -> int | None:
+        m = re.match(r"\s*(-?\d{1,9})", self.attrs.get(name, ""))
+        return None if m is None else min(int(m[1]), most)
+
+
+class _Builder:
+    """The stack of open elements, and for each name where in it elements of that name are."""
 
-    def pop_to(names, fence) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in fence:
-                return
-            if stack[k].tag in names:
-                del stack[k:]
+    def __init__(self):
+        self.root = Node("html")
+        self.stack, self.at = [self.root], {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, size: int) -> None:
+        """Close elements until size are open."""
+        for node in reversed(self.stack[size:]):
+            self.at[node.tag].pop()
+        del self.stack[size:]
+
+    def last(self, names) -> int:
+        """Place of the innermost open element of these names; 0 if there is none."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def close(self, names, fence) -> None:
+        """End the innermost of names unless one of fence is nearer."""
+        k = self.last(names)
+        if k and k > self.last(fence):
+            self.cut(k)
+
+    def close_all(self, names, fence) -> None:
+        """End all of names that are nearer than every one of fence."""
+        f, found = self.last(fence), []
+        for n in names:
+            places = self.at.get(n, ())
+            i = bisect_right(places, f)
+            if i < len(places):
+                found.append(places[i])
+        if found:
+            self.cut(min(found))
+
+    def text(self, s: str, verbatim: bool = False) -> None:
+        top = self.stack[-1]
+        if top.tag == "head":
+            if not s.strip(WHITE):
                 return
+            self.cut(len(self.stack) - 1)
+            top = self.stack[-1]
+        if top.shown and top.visible:
+            top.children.append(unescape(s) if "&" in s and not verbatim else s)
+
+    def end(self, name: str) -> None:
+        if name == "br":
+            self.stack[-1].children.append(Node("br"))
+        elif name in HEADINGS:
+            self.close(HEADINGS, FENCES)
+        elif name in ("td", "th"):
+            self.close({name}, {"table"})
+        elif name in PARENTS or name == "table":
+            self.close({name}, {"table"} - {name})
+        else:
+            self.close({name}, FENCES | LISTS if name == "li" else FENCES)
+
+    def start(self, name: str, raw: str) -> Node | None:
+        """The element of a start tag, put in its place; None where the tag makes none."""
+        drawing = self.last(("svg", "math"))
+        foreign = drawing > self.last(("foreignobject", "desc", "annotation-xml"))
+        if foreign and name in BLOCK | {"b", "i", "em", "strong", "span", "br", "img", "small", "sub", "sup", "code", "u"}:
+            self.cut(drawing)
+            foreign = False
+        if name in ("html", "body"):
+            own = Node(name, raw, self.root.visible)
+            if name == "body":
+                self.close({"head"}, ())
+            self.root.shown &= own.shown
+            self.root.visible = own.visible
+            return None
+        if name == "head" and (len(self.stack) > 1 or self.root.children):
+            return None
+        if self.stack[-1].tag == "head" and name not in HEAD:
+            self.cut(len(self.stack) - 1)
+        if name in PARENTS and self.at.get("table"):
+            self.cut(self.last(PARENTS[name]) + 1)
+        elif name in CELLS or name == "tr":
+            self.close_all({"td", "th"} | ({"tr"} if name == "tr" else set()), {"table"})
+        elif name in IMPLIED:
+            self.close_all(*IMPLIED[name])
+        if name in CLOSES_P:
+            self.close({"p"}, FENCES)
+        if name in HEADINGS and self.stack[-1].tag in HEADINGS:
+            self.cut(len(self.stack) - 1)
+        top = self.stack[-1]
+        node = Node(name, raw.rstrip("/") if foreign or name in ("svg", "math") else raw, top.visible)
+        top.children.append(node)
+        closed = (foreign or name in ("svg", "math")) and raw.endswith("/")
+        in_table = name == "form" and top.tag in GROUPS | {"table", "tr"}
+        if name not in VOID and not closed and not in_table:
+            self.push(node)
+        return node
 
+
+def parse(html: str) -> Node:
+    """The tree of a page: nodes and strings."""
+    build = _Builder()
+    at, size = 0, len(html)
     while at < size:
         m = TOKEN.search(html, at)
         if m is None:
-            text(at, size)
+            build.text(html[at:])
             break
-        text(at, m.start())
+        if m.start() > at:
+            build.text(html[at: m.start()])
         at = m.end()
         if m[1]:
-            name = m[1].lower()
-            fence = FENCES - {name} if name not in ("table", "tr", "tbody", "thead", "tfoot") else frozenset(["table"]) - {name}
-            pop_to({name}, fence)
-            if name == "br":
-                stack[-1].children.append(Node("br"))
+            build.end(m[1].lower())
             continue
-        name, attrs = (m[2], m[3]) if m[2] else (m[4], m[5])
+        name, raw = (m[2], m[3]) if m[2] else (m[4], m[5])
         if not name:
             continue
         name = name.lower()
-        if name in ("html", "head", "body"):
-            if name == "body" and any(n.tag == "head" for n in stack):
-                pop_to({"head"}, ())
-            if name != "head" or len(stack) > 1:
-                continue
-        elif stack[-1].tag == "head" and name not in HIDDEN:
-            stack.pop()  # content: the head is over
-        if name in IMPLIED:
-            # repeated, since a row ends its cell and itself
-            names, fence = IMPLIED[name]
-            k = len(stack)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in fence:
-                    break
-                if stack[i].tag in names:
-                    k = i
-            del stack[k:]
-        elif name in CLOSES_P:
-            pop_to({"p"}, FENCES)
-        node = Node(name, attrs, name not in HIDDEN and not (attrs and HIDES.search(attrs)))
-        stack[-1].children.append(node)
-        if name in VOID:
+        if name == "image":
+            name = "img"
+        node = build.start(name, raw)
+        if node is None or build.stack[-1] is not node:
             continue
+        if name in PREFORMATTED and html.startswith(("\n", "\r\n"), at):
+            at += 1 + html.startswith("\r", at)
+        if name == "plaintext":
+            build.text(html[at:], verbatim=True)
+            break
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
             stop = end.start() if end else size
-            raw = html[at:stop]
-            node.children.append(unescape(raw) if name in ("textarea", "title") and "&" in raw else raw)
+            if stop > at and node.shown:
+                build.text(html[at:stop], verbatim=name not in ("textarea", "title"))
+            build.cut(len(build.stack) - 1)
             gt = html.find(">", stop) if end else -1
             at = gt + 1 if gt >= 0 else size
-            continue
-        if not attrs.endswith("/") or name not in ("svg", "path"):
-            if len(stack) < MAX_DEPTH:
-                stack.append(node)
-    return root
+    return build.root
 
 
-class _Lines:
-    """Lines so far; None stands for a blank line between blocks."""
+class _Out:
+    """Lines of a page or a cell. None stands for a gap, a blank line between blocks that merges with others."""
 
-    def __init__(self):
+    def __init__(self, align: int):
         self.lines: list[str | None] = []
         self.held: list[str] = []
+        self.starts = [0]  # of containers whose first and last gaps don't count
+        self.marks: list[tuple[int, str]] = []  # of list items that have no line yet, with the indent they stand at
+        self.indents = [0]
+        self.align, self.pre = align, 0
+
+    def line(self, text: str) -> None:
+        if not text and not self.marks:
+            self.lines.append("")
+            return
+        marks = "".join(m for _, m in self.marks)
+        indent = min(self.marks[0][0] if self.marks else self.indents[-1], self.align // 4)
+        self.marks = []
+        self.lines.append((" " * indent + marks + text).rstrip(WHITE))
 
     def flush(self) -> None:
-        if self.held:
-            parts = "".join(self.held).split("\n")
-            for part in parts:
-                part = BLANKS.sub(" ", part).strip(" ")
-                if part or len(parts) > 1:
-                    self.lines.append(part)
-            while self.lines and self.lines[-1] == "":
-                self.lines.pop()
-            self.held = []
+        if not self.held:
+            return
+        parts = "".join(self.held).split("\n")
+        self.held = []
+        if not parts[-1].strip(" "):
+            parts.pop()
+        for part in parts:
+            self.line(part.rstrip(WHITE) if self.pre else BLANKS.sub(" ", part).strip(" "))
 
     def gap(self) -> None:
         self.flush()
-        if self.lines and self.lines[-1] is not None:
+        if not self.marks and len(self.lines) > self.starts[-1] and self.lines[-1] is not None:
             self.lines.append(None)
 
+    def open(self, indent: int = 0, mark: str | None = None) -> None:
+        self.flush()
+        self.starts.append(len(self.lines))
+        if mark is not None:
+            self.marks.append((self.indents[-1], mark))
+        self.indents.append(self.indents[-1] + indent)
+
+    def close(self, mark: bool = False) -> None:
+        self.flush()
+        if mark and self.marks:  # an item without text
+            self.line("")
+        start = self.starts.pop()
+        self.indents.pop()
+        while len(self.lines) > start and self.lines[-1] is None:
+            self.lines.pop()
 
-def _trim(lines: list[str | None]) -> list[str | None]:
-    while lines and not lines[-1]:
-        lines.pop()
-    while lines and not lines[0]:
-        lines.pop(0)
-    return lines
 
+class _Renderer:
+    """Walks a tree in document order: todo holds what comes next, the next last."""
 
-def _cells(table: Node, rows: list[list[Node]], captions: list[Node], loose: list) -> None:
-    bare = False
-    for child in table.children:
+    def __init__(self):
+        self.out = _Out(ALIGN)
+        self.outer: list[_Out] = []
+        self.drawn = [False]  # inside a drawing, but not in its text
+
+    def run(self, root: Node) -> list[str | None]:
+        todo: list = [root] if root.shown else []
+        while todo:
+            item = todo.pop()
+            if isinstance(item, str):
+                if not self.drawn[-1]:
+                    self.out.held.append(LINE_ENDS.sub("\n", item) if self.out.pre else BLANKS.sub(" ", item))
+            elif isinstance(item, Node):
+                if item.shown:
+                    self.enter(item, todo)
+            else:
+                item()
+        self.out.flush()
+        return self.out.lines
+
+    def enter(self, node: Node, todo: list) -> None:
+        out, tag = self.out, node.tag
+        if tag == "br":
+            out.held.append("\n")
+        elif tag in ("svg", "text", "foreignobject") and (tag == "svg" or len(self.drawn) > 1):
+            self.drawn.append(tag == "svg")
+            todo += [" ", self.drawn.pop, *reversed(node.children)]
+            out.held.append(" ")
+        elif tag in ("button", "select"):
+            todo += [" ", *reversed(node.children)]
+            out.held.append(" ")
+        elif not node.block:
+            todo += reversed(node.children)
+        elif tag == "hr":
+            out.gap()
+            if node.visible:
+                out.line("---")
+            out.gap()
+        elif tag in PREFORMATTED:
+            out.gap()
+            out.pre += 1
+            todo += [self.end_preformatted, *reversed(node.children)]
+        elif tag in LISTS:
+            out.gap()
+            todo.append(out.gap)
+            self.items(node, todo)
+        elif tag in ("blockquote", "dd"):
+            if tag == "blockquote":
+                out.gap()
+                todo.append(out.gap)
+            out.open(2)
+            todo += [out.close, *reversed(node.children)]
+        elif tag == "table":
+            out.gap()
+            todo.append(out.gap)
+            self.table(node, todo)
+        else:
+            end = out.gap if tag in SPACED else out.flush
+            end()
+            children = node.children
+            if tag == "details" and "open" not in node.attrs:
+                children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
+            todo += [end, *reversed(children)]
+
+    def end_preformatted(self) -> None:
+        self.out.flush()
+        self.out.pre -= 1
+        self.out.gap()
+
+    def items(self, node: Node, todo: list) -> None:
+        ordered, step = node.tag == "ol", 1
+        number = node.number("start", 10**9)
+        if ordered and "reversed" in node.attrs:
+            step = -1
+            number = sum(isinstance(c, Node) and c.tag == "li" and c.shown for c in node.children) if number is None else number
+        number = 1 if number is None else number
+        ops: list = []
+        for child in node.children:
+            if isinstance(child, str) or child.tag != "li":
+                if isinstance(child, Node) or child.strip(WHITE):
+                    ops.append(child)
+                continue
+            if not child.shown:
+                continue
+            own = child.number("value", 10**9) if ordered else None
+            number = number if own is None else own
+            ops.append(_Item(self, child, f"{number}. " if ordered else "- "))
+            number += step
+        todo += reversed([x if isinstance(x, (str, Node)) else (lambda x=x: x.open(todo)) for x in ops])
+
+    def table(self, node: Node, todo: list) -> None:
+        rows, before = _parts(node)
+        out = self.out
+        ops: list = []
+        for part in before:
+            ops += [out.open, *part, out.close]
+        if max(map(len, rows), default=0) < 2:
+            for row in rows:
+                for cell in row:
+                    ops += [out.open, *cell.children, out.close]
+        elif not out.align // 2:
+            for row in rows:
+                ops.append(out.flush)
+                for k, cell in enumerate(row):
+                    ops += [*([" | "] if k else []), *cell.children]
+                ops.append(out.flush)
+        else:
+            grid = _placed(rows)
+            bodies: list[list[list[str]]] = []
+            for row in rows:
+                bodies.append([])
+                for cell in row:
+                    ops += [self.begin_cell, *cell.children, lambda own=bodies[-1]: self.end_cell(own)]
+            ops.append(lambda: self.lay_out(grid, bodies))
+        todo += reversed(ops)
+
+    def begin_cell(self) -> None:
+        self.outer.append(self.out)
+        self.out = _Out(self.out.align // 2)
+
+    def end_cell(self, own: list[list[str]]) -> None:
+        self.out.flush()
+        own.append(_plain(self.out.lines))
+        self.out = self.outer.pop()
+
+    def lay_out(self, grid: list[list[int]], bodies: list[list[list[str]]]) -> None:
+        """Write the rows: each cell at its column's offset, as the module's docstring says."""
+        widths: dict[int, int] = {}
+        for row, cells in zip(grid, bodies, strict=True):
+            for column, lines in zip(row, cells, strict=True):
+                widths[column] = max(widths.get(column, 0), max((len(x) for x in lines if len(x) <= CELL), default=0))
+        offsets, at = {}, 0
+        order = sorted(widths)
+        for column in order:
+            offsets[column] = min(at, self.out.align)
+            at += widths[column] + 3
+        self.out.flush()
+        for row, cells in zip(grid, bodies, strict=True):
+            for k in range(max(map(len, cells), default=0)):
+                line = ""
+                for column, lines in zip(row, cells, strict=True) if k == 0 else [(c, x) for c, x in zip(row, cells, strict=True) if len(x) > k]:
+                    text = lines[k] if len(lines) > k else ""
+                    if k == 0 and column != row[0] or k and line.strip():
+                        line = line.ljust(offsets[column] - 3) + " | " + text
+                    else:
+                        line = line.ljust(offsets[column]) + text
+                if k == 0 and row[-1] != order[-1]:
+                    line = line.ljust(offsets[order[bisect_right(order, row[-1])]] - 3) + " |"
+                self.out.line(line.rstrip(WHITE))
+
+
+class _Item:
+    """A list item: its mark, and its children between the opening and the closing of a container."""
+
+    def __init__(self, renderer: _Renderer, node: Node, mark: str):
+        self.renderer, self.node, self.mark = renderer, node, mark
+
+    def open(self, todo: list) -> None:
+        out = self.renderer.out
+        out.open(len(self.mark), self.mark if self.node.visible else None)
+        todo += [lambda: out.close(mark=True), *reversed(self.node.children)]
+
+
+def _parts(table: Node) -> tuple[list[list[Node]], list[list]]:
+    """(rows of cells; captions and text that no cell holds, which come before the rows)."""
+    rows, captions, loose = [], [], []
+    todo, bare = list(reversed(table.children)), False
+    while todo:
+        child = todo.pop()
         if isinstance(child, str):
-            if child.strip(" \t\n\r\f"):
+            if child.strip(WHITE):
                 loose.append(child)
             continue
-        if not child.shown:
+        if not child.shown or child.tag in ("colgroup", "col"):
             continue
-        if child.tag == "tr":
-            own = []
-            for c in child.children:
-                if isinstance(c, str):
-                    if c.strip(" \t\n\r\f"):
-                        loose.append(c)
-                elif c.tag in ("td", "th"):
-                    if c.shown:
-                        own.append(c)
-                elif c.shown:
-                    loose.append(c)
-            rows.append(own)
-        elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):
-            _cells(child, rows, captions, loose)
-        elif child.tag in ("td", "th"):  # a row without its tag
+        if child.tag in CELLS:  # a row without its tag
             if not bare:
                 rows.append([])
-            bare = True
             rows[-1].append(child)
+            bare = True
             continue
+        bare = False
+        if child.tag in GROUPS:
+            todo += reversed(child.children)
+        elif child.tag == "tr":
+            rows.append([c for c in child.children if isinstance(c, Node) and c.tag in CELLS and c.shown])
+            loose += [c for c in child.children if (c.strip(WHITE) if isinstance(c, str) else c.tag not in CELLS)]
         elif child.tag == "caption":
-            captions.append(child)
+            captions.append(child.children)
         else:
             loose.append(child)
-        bare = False
+    return rows, [*captions, *([loose] if loose else [])]
 
 
-def _table(node: Node) -> list[str | None]:
-    rows: list[list[Node]] = []
-    captions: list[Node] = []
-    loose: list = []
-    _cells(node, rows, captions, loose)
-    lines: list[str | None] = []
-    for c in captions:
-        lines += _render(c.children)
-    if loose:  # text that no cell holds comes before the table, as browsers show it
-        lines += _render(loose)
-    grid: list[dict[int, list[str]]] = []
-    taken: dict[tuple[int, int], bool] = {}
+def _placed(rows: list[list[Node]]) -> list[list[int]]:
+    """The column of each cell, by the column and row spans of those before."""
+    held: list[tuple[int, int, int]] = []  # columns that cells from above reach into: first, last + 1, row + 1 where they end
+    grid = []
     for r, row in enumerate(rows):
-        column, own = 0, {}
+        held = [h for h in held if h[2] > r]
+        own, fresh, column, p = [], [], 0, 0
         for cell in row:
-            while (r, column) in taken:
-                column += 1
-            spans = {k.lower(): int(n) for k, n in SPAN.findall(cell.attrs)} if cell.attrs else {}
-            own[column] = [x or "" for x in _render(cell.children)]
-            wide, high = max(1, spans.get("col", 1)), max(1, spans.get("row", 1))
+            while p < len(held) and held[p][0] <= column:
+                column = max(column, held[p][1])
+                p += 1
+            wide = max(1, cell.number("colspan", 1000) or 1)
+            high = cell.number("rowspan", 65534)
+            high = len(rows) if high == 0 else max(1, high or 1)
+            own.append(column)
             if high > 1:
-                for dr in range(1, min(high, len(rows) - r)):
-                    for dc in range(wide):
-                        taken[r + dr, column + dc] = True
+                if fresh and fresh[-1][1:] == (column, r + high):
+                    fresh[-1] = fresh[-1][0], column + wide, r + high
+                else:
+                    fresh.append((column, column + wide, r + high))
             column += wide
+        held = sorted(held + fresh) if fresh else held
         grid.append(own)
-    widths: dict[int, int] = {}
-    for own in grid:
-        for c, cell in own.items():
-            widths[c] = max(widths.get(c, 0), *map(len, cell), 0) if cell else widths.get(c, 0)
-    order = sorted(widths)
-    for own in grid:
-        for k in range(max((len(c) for c in own.values()), default=0)):
-            parts = [(own.get(c, [])[k] if k < len(own.get(c, [])) else "").ljust(widths[c]) for c in order]
-            lines.append(" | ".join(parts).rstrip())
-    return lines
-
-
-def _list(node: Node) -> list[str | None]:
-    first = START.search(node.attrs) if node.tag == "ol" and node.attrs else None
-    number = int(first[1]) if first else 1
-    lines: list[str | None] = []
-    for child in node.children:
-        if isinstance(child, str) or child.tag != "li":
-            lines += _trim(_render([child]))
-            continue
-        if not child.shown:
-            continue
-        mark = f"{number}. " if node.tag == "ol" else "- "
-        number += 1
-        own = _trim(_render(child.children))
-        lines += [(mark if k == 0 else " " * len(mark)) + x if x is not None else None for k, x in enumerate(own or [""])]
-    return [x.rstrip() if x else x for x in lines]
-
-
-def _render(children: list) -> list[str | None]:
-    out = _Lines()
-    _flow(children, out)
-    out.flush()
-    return _trim(out.lines)
-
-
-def _flow(children: list, out: _Lines) -> None:
-    for child in children:
-        if isinstance(child, str):
-            out.held.append(BLANKS.sub(" ", child))
-            continue
-        if not child.shown:
-            continue
-        tag = child.tag
-        if tag == "br":
-            out.held.append("\n")
-            continue
-        if tag not in BLOCK and tag not in ("menu", "xmp", "textarea", "img", "input", "button", "select"):
-            _flow(child.children, out)
-            continue
-        if tag in ("img", "input"):
-            continue
-        if tag in ("button", "select"):
-            out.held.append(" ")
-            _flow(child.children, out)
-            out.held.append(" ")
-            continue
-        spaced = tag in SPACED or tag == "menu"
-        if spaced:
-            out.gap()
+    return grid
+
+
+def _plain(lines: list[str | None]) -> list[str]:
+    """Lines with gaps as blank lines (a gap merges with blank lines next to it), without those at both ends."""
+    out: list[str] = []
+    blanks, gap = 0, False
+    for x in lines:
+        if x is None:
+            gap = True
+        elif not x:
+            blanks += 1
         else:
-            out.flush()
-        if tag in ("pre", "xmp", "textarea"):
-            own = LINE_ENDS.sub("\n", _raw(child)).removeprefix("\n").split("\n")
-            out.lines += [x.rstrip() for x in own]
-        elif tag in ("ul", "ol", "menu"):
-            out.lines += _list(child)
-        elif tag == "table":
-            out.lines += _table(child)
-        elif tag in ("blockquote", "dd"):
-            out.lines += [("  " + x) if x else x for x in _render(child.children)]
-        elif tag == "hr":
-            out.lines.append("---")
-        else:
-            _flow(child.children, out)
-        if spaced:
-            out.gap()
-        else:
-            out.flush()
-
-
-def _raw(node: Node) -> str:
-    """Text of a preformatted element with its spaces and line ends."""
-    parts = []
-    for c in node.children:
-        if isinstance(c, str):
-            parts.append(c)
-        elif c.tag == "br":
-            parts.append("\n")
-        elif c.shown:
-            parts.append(_raw(c))
-    return "".join(parts)
+            if out:
+                out += [""] * max(blanks, int(gap))
+            out.append(x)
+            blanks, gap = 0, False
+    return out
 
 
 def text_of(html: str | None) -> str:
     """The rendered text of a page; empty for null, empty or invisible ones."""
-    if not html:
-        return ""
-    lines, blank = [], False
-    for x in _render([parse(html)]):
-        if not x:
-            blank = bool(lines)
-            continue
-        if blank:
-            lines.append("")
-            blank = False
-        lines.append(x)
-    return "\n".join(lines)
+    return "\n".join(_plain(_Renderer().run(parse(html)))) if html else ""
 
 
 def extract(pages: DataFrame, html: str = "html", keep_html: bool = False) -> DataFrame:

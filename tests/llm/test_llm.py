@@ -192,32 +192,163 @@ def test_layout():
     assert html_text.text_of("<div>" * 5000 + "deep") == "deep"
 
 
-def test_all_visible_words_of_every_page(spark):
+def slow_text(html):
+    """Text of a page by the standard library's parser and plain recursion: p, lists, tables and line breaks only."""
     from html.parser import HTMLParser
 
-    class Words(HTMLParser):
+    class Tree(HTMLParser):
         def __init__(self):
             super().__init__()
-            self.text, self.off = [], 0
+            self.top = ("html", [])
+            self.stack = [self.top]
+
+        def end(self, names, stop=()):
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k][0] in stop:
+                    return
+                if self.stack[k][0] in names:
+                    del self.stack[k:]
+                    return
 
         def handle_starttag(self, tag, attrs):
-            self.off += tag in ("script", "style", "title")
+            if tag in ("p", "ul", "ol", "table", "h1", "div", "nav", "article", "footer", "ul"):
+                self.end(("p",), ("td",))
+            node = (tag, [])
+            self.stack[-1][1].append(node)
+            if tag not in ("br", "meta"):
+                self.stack.append(node)
 
         def handle_endtag(self, tag):
-            self.off -= tag in ("script", "style", "title")
+            self.end((tag,), ("td",) if tag != "table" and tag not in ("tr", "td") else ())
 
         def handle_data(self, data):
-            if not self.off:
-                self.text.append(data)
-
-    letters = lambda s: sorted(re.sub(r"[\s|\-\d.]", "", s))
+            self.stack[-1][1].append(data)
+
+    def trimmed(lines):
+        while lines and lines[0] is None:
+            lines = lines[1:]
+        while lines and lines[-1] is None:
+            lines = lines[:-1]
+        return lines
+
+    def blocks(children):
+        lines, inline = [], ""
+
+        def done():
+            nonlocal inline
+            parts = inline.split("\n")
+            parts = parts[:-1] if not parts[-1].strip() else parts
+            lines.extend(" ".join(x.split(" ")).strip() if x.strip() else "" for x in [re.sub(" +", " ", x) for x in parts])
+            inline = ""
+
+        def walk(children):
+            nonlocal inline
+            for c in children:
+                if isinstance(c, str):
+                    inline += re.sub(r"[ \t\n\r\f]+", " ", c)
+                    continue
+                tag, own = c
+                if tag in ("head", "script", "style", "title"):
+                    continue
+                if tag == "br":
+                    inline += "\n"
+                elif tag in ("p", "ul", "ol", "table", "h1", "div", "nav", "article", "footer", "body", "html"):
+                    done()
+                    if tag in ("p", "ul", "ol", "table", "h1"):
+                        lines.append(None)
+                    if tag in ("ul", "ol"):
+                        for k, (_, item) in enumerate([x for x in own if not isinstance(x, str)]):
+                            mark = "- " if tag == "ul" else f"{k + 1}. "
+                            inner = trimmed(blocks(item)) or [""]
+                            lines.extend(None if x is None else ((mark if n == 0 else " " * len(mark)) + x).rstrip() for n, x in enumerate(inner))
+                    elif tag == "table":
+                        grid = [[trimmed(blocks(cell[1])) for cell in row[1] if not isinstance(cell, str)] for row in own if not isinstance(row, str)]
+                        grid = [[["" if x is None else x for x in cell] for cell in row] for row in grid]
+                        wide = [max((len(x) for row in grid for x in (row[c] if c < len(row) else [])), default=0) for c in range(max(map(len, grid)))]
+                        for row in grid:
+                            if len(wide) == 1:
+                                lines.extend(row[0])
+                                continue
+                            for k in range(max(map(len, row))):
+                                line = ""
+                                for c, cell in enumerate(row):
+                                    if k == 0 or len(cell) > k:
+                                        at = sum(wide[:c]) + 3 * c
+                                        line = (line.ljust(at - 3) + " | " if c and (k == 0 or line.strip()) else line.ljust(at)) + (cell[k] if len(cell) > k else "")
+                                lines.append(line.rstrip())
+                    else:
+                        walk(own)
+                    done()
+                    if tag in ("p", "ul", "ol", "table", "h1"):
+                        lines.append(None)
+                else:
+                    walk(own)
+
+        walk(children)
+        done()
+        return lines
+
+    tree = Tree()
+    tree.feed(html)
+    tree.close()
+    out = []
+    for x in trimmed(blocks([tree.top])):
+        if x is None and out[-1] is None:
+            continue
+        out.append(x)
+    return "\n".join(x or "" for x in out)
+
+
+def test_text_of_every_page(spark):
+    """Order, spacing, lists and line breaks of every page against the plain renderer."""
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
-    for r in html_text.query(spark, SMALL).collect():
-        p = Words()
-        p.feed(pages[r.page_id])
-        p.close()
-        assert letters("".join(p.text)) == letters(r.text)
+    got = html_text.query(spark, SMALL).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert r.text == slow_text(pages[r.page_id])
     assert html_text.extract(spark.createDataFrame([(1, None, 2)], "page_id long, html string, Text int")).collect()[0].text == ""
+    assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_text_of_random_layouts():
+    rnd = random.Random(8)
+
+    def block(depth):
+        kind = rnd.choice(["p", "div", "text", "br", "ul", "ol", "table"] if depth < 4 else ["p", "div", "text", "br"])
+        words = " ".join(rnd.choice(["a", "bb", "c  c", "d\ne", "<b>f</b> g"]) for _ in range(rnd.randint(1, 3)))
+        if kind in ("p", "div"):
+            return f"<{kind}>{words}</{kind}>"
+        if kind in ("ul", "ol"):
+            return f"<{kind}>" + "".join(f"<li>{words if rnd.random() < 0.7 else ''}{block(depth + 1)}</li>" for _ in range(rnd.randint(1, 3))) + f"</{kind}>"
+        if kind == "table":
+            n = rnd.randint(1, 3)
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{words if rnd.random() < 0.5 else ''}{block(depth + 2) if rnd.random() < 0.4 else 'x'}</td>" for _ in range(n)) + "</tr>" for _ in range(rnd.randint(1, 3))) + "</table>"
+        return f" {words} " if kind == "text" else f"{words}<br>{words}"
+
+    for _ in range(400):
+        html = "".join(block(0) for _ in range(rnd.randint(1, 4)))
+        assert html_text.text_of(html) == slow_text(html), html
+
+
+def test_visibility_is_read_from_attributes():
+    for shown in ("<div class=\"menu hidden x\">Hello</div>", "<p title=\"a hidden gem\">Hello</p>", "<p data-css=\"display:none\">Hello</p>", "<p style=\"visibility:hidden\">a<b style='visibility: visible'>Hello</b>b</p>",
+                  "<p hidden style='display:block'>Hello</p>", "<p style='display:none;display:block'>Hello</p>", "<input type=hidden value=x>Hello", "<a href='?type=hidden'>Hello</a>", "<svg><title>no</title><text>Hello</text></svg>"):
+        assert html_text.text_of(shown) == "Hello", shown
+    for gone in ("<p hidden>x</p>", "<p HIDDEN=''>x", "<p style='color:red; DISPLAY : None !important; display:block'>x", "<p style='visibility:hidden'>x<b>y", "<body hidden>x", "<dialog>x</dialog>", "<details>x</details>"):
+        assert html_text.text_of(gone) == "", gone
+    assert html_text.text_of("<table><tr><td style='visibility:hidden'>aaaa<td>b<tr><td>ccc<td>d</table>") == "    | b\nccc | d"
+
+
+def test_deep_and_wide_pages_keep_their_layout():
+    deep = "<div>" * 5000
+    assert html_text.text_of(deep + "<p hidden>secret</p>ok") == "ok"
+    assert html_text.text_of(deep + "<ul><li>a<li>b</ul><table><tr><td>x<td>yy<tr><td>zzz<td>w</table>") == "- a\n- b\n\nx   | yy\nzzz | w"
+    assert html_text.text_of("<ul><li>" * 3000 + "x") == "- " * 3000 + "x"
+    for html in ("<table>" + ("<td>" * 100 + "<tr>") * 10 + "<td>" + "x" * 1000 + "</table>", "<table><tr>" + "<td>" * 1000 + "<tr><td colspan=999><td>x" * 1000,
+                 "<table><tr>" + "<td>" * 50 + "<td>" + "x<br>" * 1000, "<ul><li>a" * 5000, "<table><tr><td>a<td>b" * 3000, "<table><tr><td rowspan=60000 colspan=1000>a" * 500):
+        text = html_text.text_of(html)
+        lines = text.count("\n") + 1
+        assert len(text) <= 2 * len(html) + 3 * html_text.ALIGN * lines and re.sub(r"[\s|-]", "", text) == re.sub("<[^>]*>", "", html)
 
 
 # 5 chat

@@ -5,9 +5,13 @@ sample of at most ``SAMPLE`` vectors), so a pair of centroids is one of k*k cell
 of the sum of its two distances with a heap (the multi-sequence algorithm) until the cells hold ``probe`` of all
 entries, and all entries of those cells are reranked by exact cosine in double precision.
 
-The walk leaves a threshold, the sum at which it ended: the cells it has seen are those within it.  Entries are dealt
-into blocks of neighbouring cells of about ``BLOCK`` rows (a larger cell is split), queries into parts of ``PART``, and
-each block meets each part that reaches it once; only the best of each pair travel on.
+The walk leaves a threshold, the sum at which it ended: the cells it has seen are those within it.  Entries lie in
+blocks of neighbouring cells (a cell larger than a block is split); queries are sent to the blocks that they reach.  A
+task holds one block and streams its queries past it, so memory is bounded by a block; only the best of each pair of
+query and block travel on.  Blocks grow with the table up to ``BLOCK`` entries, and a block meets its queries in parts
+of ``PART``, for tasks that don't grow with the table: entries are copied once for each ``PART`` queries, queries once
+for each block they reach.  With a fixed share of queries and of probed entries the number of comparisons grows with the
+square of the table, whatever the layout.
 
 Of equal vectors only the ``top + 1`` smallest ids can be answers, so others leave before indexing; this is exact, and
 a vector that many rows share doesn't fill a cell.
@@ -22,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, ranges
 
 SAMPLE = 8192
-BLOCK = 4096
-PART = 4096
+BLOCK = 1 << 16  # entries of a block at most
+PART = 1 << 18  # queries that meet a copy of a block
+WALK = 128  # queries that a task walks the cells for
 MATRIX = 1 << 21  # scores held at a time
-PROBE = 0.5  # share of the entries that a query reranks at least,
-LEAST = 2000  # and their least number (all, if there are fewer)
-MAX_K = 64
+PROBE = 0.3  # share of the entries that a query reranks at least
+MAX_K = 256
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -64,42 +68,47 @@ class MultiIndex:
         a, b = self.distances(unit)
         return a.argmin(1) * b.shape[1] + b.argmin(1)
 
-    def lay_out(self, counts: dict[int, int]) -> None:
+    def lay_out(self, counts: dict[int, int], most: int = BLOCK) -> None:
+        """Deal the cells, in their order, into blocks of at most ``most`` entries."""
         for cell, n in counts.items():
             self.counts[cell] = n
         self.first, self.split = np.zeros(len(self.counts), np.int64), np.ones(len(self.counts), np.int64)
         block, held = 0, 0
         for cell, n in enumerate(self.counts):
-            if n > BLOCK:
+            if n > most:
                 block += held > 0
-                self.first[cell], self.split[cell] = block, -(-n // BLOCK)
+                self.first[cell], self.split[cell] = block, -(-n // most)
                 block, held = block + self.split[cell], 0
                 continue
-            if held + n > BLOCK:
+            if held + n > most:
                 block, held = block + 1, 0
             self.first[cell] = block
             held += n
+        self.blocks = int(block) + int(held > 0)
+        self.counts_list = self.counts.tolist()
 
     def walk(self, a: np.ndarray, b: np.ndarray, wanted: int) -> tuple[float, set[int]]:
         """(threshold, blocks): cells in the order of a[i] + b[j] until they hold wanted entries."""
         p, q = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-        a, b, width = a[p].tolist(), b[q].tolist(), len(b)
+        a, b, p, q, width = a[p].tolist(), b[q].tolist(), p.tolist(), q.tolist(), len(b)
         heap, reach = [(a[0] + b[0], 0, 0)], [0] * len(a)  # of each row, the columns that are in the heap or done
         reach[0] = 1
-        found, last, blocks = 0, 0.0, set()
+        found, last, seen = 0, 0.0, []
+        counts = self.counts_list
         while heap and found < wanted:
             last, i, j = heapq.heappop(heap)
-            cell = int(p[i]) * width + int(q[j])
-            found += int(self.counts[cell])
-            if self.counts[cell]:
-                blocks.update(range(int(self.first[cell]), int(self.first[cell] + self.split[cell])))
+            cell = p[i] * width + q[j]
+            if counts[cell]:
+                found += counts[cell]
+                seen.append(cell)
             if j + 1 < width and reach[i] == j + 1 and (i == 0 or reach[i - 1] > j + 1):
                 heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
                 reach[i] = j + 2
             if i + 1 < len(a) and reach[i + 1] == j and reach[i] > j:
                 heapq.heappush(heap, (a[i + 1] + b[j], i + 1, j))
                 reach[i + 1] = j + 1
-        return last, blocks
+        first, split = self.first[seen], self.split[seen]
+        return last, set(np.unique(ranges(first, split)).tolist())
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -118,6 +127,42 @@ def usable(rows: DataFrame, vec: str = "vec") -> DataFrame:
                       & (size > 0) & (size < F.lit(float("inf"))))
 
 
+class _Block:
+    """The entries of a block, sorted by cell, and their meeting with queries."""
+
+    def __init__(self, vecs: np.ndarray, ids: np.ndarray, cells: np.ndarray):
+        order = np.argsort(cells, kind="stable")
+        self.vecs, self.ids = vecs[order], ids[order]
+        self.norm = np.sqrt((self.vecs * self.vecs).sum(1))
+        self.unit = self.vecs / self.norm[:, None]
+        self.cells, self.starts, self.sizes = np.unique(cells[order], return_index=True, return_counts=True)
+
+    def best(self, index: MultiIndex, queries: np.ndarray, q_id: np.ndarray, reach: np.ndarray, top: int):
+        """Record batches (query_id, vec_id, score): the top entries of the cells that each query has seen."""
+        n, width = len(self.ids), len(index.books[1])
+        step = max(1, MATRIX // n)
+        for s in range(0, len(queries), step):
+            q = queries[s: s + step]
+            unit = _unit(q)
+            a, b = index.distances(unit)
+            seen = a[:, self.cells // width] + b[:, self.cells % width] <= reach[s: s + step, None] + 1e-12
+            if n >= 64 * len(self.cells):  # large cells: only those that a query has seen
+                score = np.full((len(q), n), -np.inf)
+                for c, (at, size) in enumerate(zip(self.starts, self.sizes, strict=True)):
+                    who = np.flatnonzero(seen[:, c])
+                    score[who, at: at + size] = unit[who] @ self.unit[at: at + size].T
+            else:
+                score = np.where(np.repeat(seen, self.sizes, axis=1), unit @ self.unit.T, -np.inf)
+            score[self.ids[None, :] == q_id[s: s + step, None]] = -np.inf
+            low = np.partition(score, max(n - top, 0), axis=1)[:, max(n - top, 0)]
+            i, j = np.nonzero((score >= low[:, None] - 1e-9) & (score > -np.inf))
+            exact = (q[i] * self.vecs[j]).sum(1) / (np.sqrt((q[i] * q[i]).sum(1)) * self.norm[j])  # the same sum for equal vectors
+            order = np.lexsort((self.ids[j], -exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            kept = np.arange(len(i)) - np.searchsorted(i, np.arange(len(q)))[i] < top
+            yield pa.RecordBatch.from_arrays([pa.array(q_id[s + i[kept]]), pa.array(self.ids[j[kept]]), pa.array(exact[kept])], names=["query_id", "vec_id", "score"])
+
+
 def search(vectors: DataFrame, every: int = 50, top: int = 5, probe: float = PROBE, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose key is divisible by every, its top nearest of the others.
 
@@ -137,7 +182,7 @@ def search(vectors: DataFrame, every: int = 50, top: int = 5, probe: float = PRO
     rows = rows.where(F.size("vec") == dim)
     same = Window.partitionBy("vec").orderBy("id")
     entries = rows.distinct().withColumn("n", F.row_number().over(same)).where(F.col("n") <= top + 1).drop("n")
-    k = int(min(MAX_K, max(1, len(x) // 4)))
+    k = int(min(MAX_K, max(1, len(x) // 2)))
     index = MultiIndex(x, k)
 
     def place(batches):
@@ -147,31 +192,34 @@ def search(vectors: DataFrame, every: int = 50, top: int = 5, probe: float = PRO
     kind = rows.schema["vec"].dataType.simpleString()
     placed = materialise(entries.mapInArrow(place, f"id long, cell long, vec {kind}"), "imi-entries")
     counts = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # k * k rows at most
-    index.lay_out(counts)
-    wanted = max(LEAST, int(np.ceil(probe * sum(counts.values())))) + top + 1
+    total = sum(counts.values())
+    index.lay_out(counts, min(BLOCK, max(1024, 8 * int(total**0.5))))
+    wanted = int(np.ceil(probe * total)) + top + 1
 
-    queries = rows.where(F.col("id") % every == 0).distinct()
-    parts = max(1, -(-queries.count() // PART))
+    queries = materialise(rows.where(F.col("id") % every == 0).distinct(), "imi-queries")
+    asking = queries.count()
+    parts = max(1, -(-asking // PART))
     shared = spark.sparkContext.broadcast(index)
 
     def walk(batches):
         m: MultiIndex = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = m.distances(_unit(_matrix(batch.column(1))))
-            limits, at, blocks = [], [], []
-            for i in range(batch.num_rows):
-                limit, reached = m.walk(a[i], b[i], wanted)
-                at += [i] * len(reached)
-                blocks += sorted(reached)
-                limits += [limit] * len(reached)
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), batch.column(0).take(take), pa.array(limits, pa.float64()), batch.column(1).take(take)],
-                                             names=["block", "query_id", "reach", "q"])
-
-    dealt = F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")
-    asked = queries.mapInArrow(walk, f"block long, query_id long, reach double, q {kind}").select("block", dealt, "query_id", "reach", "q")
+            for s in range(0, batch.num_rows, WALK):
+                piece = batch.slice(s, WALK)
+                a, b = m.distances(_unit(_matrix(piece.column(1))))
+                limits, at, blocks = [], [], []
+                for i in range(piece.num_rows):
+                    limit, reached = m.walk(a[i], b[i], wanted)
+                    at += [i] * len(reached)
+                    blocks += sorted(reached)
+                    limits += [limit] * len(reached)
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), piece.column(0).take(take), pa.array(limits, pa.float64()), piece.column(1).take(take)],
+                                                 names=["block", "id", "reach", "vec"])
+
+    dealt = F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")
+    walked = queries.repartition(max(1, -(-asking // WALK)), "id").mapInArrow(walk, f"block long, id long, reach double, vec {kind}")
+    asked = walked.select("block", dealt, F.lit(1).alias("asks"), "id", F.lit(None).cast("long").alias("cell"), "reach", "vec")
 
     def block_of(batches):
         m: MultiIndex = shared.value
@@ -180,36 +228,33 @@ def search(vectors: DataFrame, every: int = 50, top: int = 5, probe: float = PRO
             yield pa.RecordBatch.from_arrays([pa.array(m.first[cell] + mix % m.split[cell]), *batch.columns[:3]], names=["block", "id", "cell", "vec"])
 
     stored = placed.withColumn("mix", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).mapInArrow(block_of, f"block long, id long, cell long, vec {kind}")
-    stored = stored.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    stored = stored.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(0).alias("asks"),
+                           "id", "cell", F.lit(None).cast("double").alias("reach"), "vec")
 
-    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
+    def rerank(batches):
         m: MultiIndex = shared.value
-        out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        if left.num_rows and right.num_rows:
-            e, e_id, e_cell = _matrix(right["vec"].combine_chunks()), right["id"].to_numpy(), right["cell"].to_numpy()
-            norm = np.sqrt((e * e).sum(1))
-            unit = e / norm[:, None]
-            cells, which = np.unique(e_cell, return_inverse=True)
-            queries, q_id, reach = _matrix(left["q"].combine_chunks()), left["query_id"].to_numpy(), left["reach"].to_numpy()
-            step = max(1, MATRIX // len(e))
-            for s in range(0, len(queries), step):
-                q = queries[s: s + step]
-                a, b = m.distances(_unit(q))
-                seen = a[:, cells // b.shape[1]] + b[:, cells % b.shape[1]] <= reach[s: s + step, None] + 1e-12
-                score = np.where(seen[:, which] & (e_id[None, :] != q_id[s: s + step, None]), _unit(q) @ unit.T, -np.inf)
-                low = np.partition(score, max(len(e) - top, 0), axis=1)[:, max(len(e) - top, 0)]
-                i, j = np.nonzero((score >= low[:, None] - 1e-9) & (score > -np.inf))
-                exact = (q[i] * e[j]).sum(1) / (np.sqrt((q[i] * q[i]).sum(1)) * norm[j])  # the same sum for equal vectors
-                order = np.lexsort((e_id[j], -exact, i))
-                i, j, exact = i[order], j[order], exact[order]
-                first = np.searchsorted(i, np.arange(len(q)))
-                best = np.arange(len(i)) - first[i] < top
-                out_q.append(q_id[s + i[best]])
-                out_v.append(e_id[j[best]])
-                out_s.append(exact[best])
-        return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
-
-    near = asked.groupBy("block", "part").cogroup(stored.groupBy("block", "part")).applyInArrow(rerank, "query_id long, vec_id long, score double")
+        key, held = None, None
+        for batch in batches:
+            keys = batch.column(0).to_numpy() * parts + batch.column(1).to_numpy()
+            asks = batch.column(2).to_numpy()
+            cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(asks) != 0)) + 1
+            for s, e in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if s == e:
+                    continue
+                if keys[s] != key:
+                    key, held = keys[s], []
+                piece = batch.slice(s, e - s)
+                if asks[s] == 0:
+                    held.append((_matrix(piece.column(6)), piece.column(3).to_numpy(), piece.column(4).to_numpy()))
+                    continue
+                if isinstance(held, list):
+                    held = _Block(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else None
+                if held is not None:
+                    yield from held.best(m, _matrix(piece.column(6)), piece.column(3).to_numpy(), piece.column(5).to_numpy(), top)
+
+    # as many tasks as blocks meet parts, for their work isn't what their bytes say
+    met = stored.unionByName(asked).repartition(max(1, min(20_000, index.blocks * parts)), "block", "part").sortWithinPartitions("block", "part", "asks")
+    near = met.mapInArrow(rerank, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

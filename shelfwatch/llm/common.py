@@ -11,30 +11,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only where the session names no shared folder (tests on one machine).
-DEFAULT_SHARED_DIR = "/tmp/checkpoints/shelfwatch"
+#: Used only where the session names no shared folder and runs on one machine (tests).
+LOCAL_SHARED_DIR = "/tmp/checkpoints/shelfwatch"
 
 #: What separates words in every contract of this subpackage: space and \t \n \v \f \r.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a default where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR).rstrip("/")
+    """The folder that driver and executors share, spark.checkpoint.dir.
+
+    Where it is unset, a local folder if the master is local; on a cluster that raises, for executors would write where
+    the driver can't read.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return LOCAL_SHARED_DIR
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
-def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
+#: By application, the paths that operators have written and not discarded.
+_written: dict[str, list[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete what operators have written to the shared folder in this application: for callers who have read their results."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def _stored(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+    return _stored(df, shared_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Written tables that an operator needs until it has written its result; drop deletes them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, shared_path(spark, name), 0
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        return _stored(df, f"{self.path}/{self.n}-{name}")
+
+    def drop(self) -> None:
+        _delete(self.spark, self.path)
+
+
 def with_columns_replaced(df: DataFrame, names: list[str]) -> DataFrame:
     """df without the columns called names (compared as Spark does, without case), so that an operator can add its own."""
     taken = {n.lower() for n in names}

@@ -15,7 +15,10 @@ bucket's pivot, the class that shares most of its bands with others, which for a
 Confirmed links give components.  Only buckets that still hold several components are looked at again, pairing classes
 outside a bucket's main component with the rest, but for pairs that two exact bounds rule out: the shingles that nobody
 else has, and the odd sketches of the full sets, whose XOR counts at most the shingles that only one of two has.  So no
-candidate link is lost, however large the bucket.
+candidate link is lost, however large the bucket.  Such a bucket is dealt into blocks of about ``BLOCK`` classes, and a
+pair of blocks is a key of the join, so no task meets a whole bucket.
+
+Where a hub has many edges, Spark's adaptive execution splits its partition once that is large.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_slices, materialise, utf8_view, word_hashes
+from .common import Scratch, doc_slices, materialise, utf8_view, word_hashes
 
 BANDS = 32
 ROWS = 4
@@ -33,6 +36,7 @@ SKETCH_BITS = 512
 PARITY_WORDS = 16  # of 64 bits, of the parity bitmap of a full set
 PERCENT = 80
 CHUNK = 1 << 20
+BLOCK = 256  # classes of an open bucket that meet another block in a task
 
 _MIX = np.random.default_rng(11).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -145,7 +149,7 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """cls, n, shingles and parity (bitmap of the whole set) of each text of the single column of docs."""
+    """cls, n, shingles, parity (bitmap of the whole set) and rows of each row (text, rows) of docs."""
 
     def run(batches):
         for batch in batches:
@@ -160,31 +164,32 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
                 bits, n = PARITY_WORDS * 64, len(some)
                 cell = np.repeat(np.arange(n), np.diff(ends)) * bits + (h >> np.uint64(20)).astype(np.int64) % bits
                 parity = np.packbits((np.bincount(cell, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits), axis=1).view(np.uint64)
+                again = batch.column(1).slice(i, j - i).take(pa.array(some))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x.tobytes() for x in key], pa.binary()), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64))),
-                     _lists(parity.ravel(), PARITY_WORDS)], names=["cls", "n", "shingles", "parity"])
+                     _lists(parity.ravel(), PARITY_WORDS), again], names=["cls", "n", "shingles", "parity", "rows"])
 
-    return docs.mapInArrow(run, "cls binary, n long, shingles array<long>, parity array<long>")
+    return docs.mapInArrow(run, "cls binary, n long, shingles array<long>, parity array<long>, rows long")
 
 
-def connected_components(edges: DataFrame, name: str) -> DataFrame:
+def connected_components(edges: DataFrame, keep: Scratch, name: str) -> DataFrame:
     """(node, label) of the nodes of edges (a, b): nodes have one label if and only if a path joins them.
 
     Each round maps every node to the smallest of itself and its neighbours and contracts the edges; labels are
     hashes, so chains are short and the rounds grow with the logarithm of the nodes.  Rounds are written tables.
     """
-    edges = materialise(edges.where(F.col("a") != F.col("b")).distinct(), f"{name}-edges")
+    edges = keep.table(edges.where(F.col("a") != F.col("b")).distinct(), f"{name}-edges")
     labels = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("to")), f"{name}-hooks")
+        hook = keep.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("to")), f"{name}-hooks")
         if labels is None:
             labels = hook.select("node", F.col("to").alias("label"))
         else:
             moved = hook.withColumnsRenamed({"node": "label"})
-            labels = materialise(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), f"{name}-labels")
+            labels = keep.table(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), f"{name}-labels")
         a, b = (hook.select(F.col("node").alias(c), F.col("to").alias(f"{c}2")) for c in ("a", "b"))
-        edges = materialise(edges.join(a, "a").join(b, "b").where(F.col("a2") != F.col("b2")).select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct(), f"{name}-edges")
+        edges = keep.table(edges.join(a, "a").join(b, "b").where(F.col("a2") != F.col("b2")).select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct(), f"{name}-edges")
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels
@@ -204,72 +209,103 @@ def _alike(x: str, y: str):
     return differing <= _most_differing_bits()
 
 
-def find_components(docs: DataFrame, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of docs, the whole text counting.
+def _blocks(able: DataFrame) -> DataFrame:
+    """able with blocks, the number of blocks that its bucket is dealt into, and block, that of the row."""
+    sizes = able.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return able.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("blocks")).cast("int"))
 
-    component_id is the smallest key that links reach, the row's own included; kept is whether it is the row's own.
-    Null and wordless texts have no shingles and no links: component_id is their own key.  Rows with a null key link
-    like others, take the component's smallest key and are kept only if nobody there has a key.  Rows that share key
-    and text are one document and are kept or not together.
+
+def _open_pairs(able: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes of a bucket and different labels, one at least outside the bucket's main label, that the bounds leave.
+
+    able: bucket, cls, label, main, n, common (shingles that others have too), p0, p1, ... (parity bitmap).
     """
+    words_of = [f"p{k}" for k in range(PARITY_WORDS)]
+    dealt = _blocks(able)
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    x = (dealt.where("label <> main").select("bucket", F.col("block").alias("i"), F.explode(every).alias("j"), *[F.col(c).alias(f"x_{c}") for c in ("cls", "label", "n", "common", *words_of)]))
+    # a block outside the main label meets each other such block once
+    y = (dealt.withColumn("in_main", F.col("label") == F.col("main"))
+         .select("bucket", F.explode(F.when(F.col("in_main"), every).otherwise(F.sequence(F.lit(0), F.col("block")))).alias("i"), F.col("block").alias("j"), "in_main",
+                 *[F.col(c).alias(f"y_{c}") for c in ("cls", "label", "n", "common", *words_of)]))
+    most = F.least("x_common", "y_common", "x_n", "y_n")
+    apart = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in words_of), F.lit(0))  # shingles that one has, at least
+    met = (x["bucket"] == y["bucket"]) & (x["i"] == y["i"]) & (x["j"] == y["j"])
+    return (x.join(y, met & (F.col("x_label") != F.col("y_label")) & (F.col("in_main") | (x["i"] < x["j"]) | (F.col("x_cls") < F.col("y_cls")))
+                   & (100 * most >= PERCENT * (F.col("x_n") + F.col("y_n") - most))
+                   & ((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("x_n") + F.col("y_n"))))
+            .select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct())
+
+
+def _components(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
+    """(doc_id, digest of the text, n_shingles, component_id, first) of each row; first: whether it is its component's first document by id and digest."""
+    keep = Scratch(docs.sparkSession, "near")
     plain = docs.select(F.col(key).alias("doc_id"), F.md5(F.col(text).cast("binary")).alias("digest"), F.col(text).alias("text"))
     sig = materialise(_sketched(plain, words), "near-sig")
-    classes = sig.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "digest")).alias("rep"), F.min("doc_id").alias("min_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    classes = materialise(classes, "near-classes")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "rows")
+    texts = sig.where("cls is not null").groupBy("cls", "doc_id", "digest").agg(F.count("*").alias("rows"))  # rows that repeat id and text are one
+    classes = texts.groupBy("cls").agg(F.min(rank).alias("rep"), F.sum("rows").alias("copies"))
+    classes = keep.table(classes, "classes")
 
     # buckets of several classes; who is in many of them
     rows = sig.where("cls is not null").select("cls", F.explode("bands").alias("bucket")).distinct()
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialise(rows.join(shared, "bucket"), "near-members")
+    members = keep.table(rows.join(shared, "bucket"), "members")
     popular = members.groupBy("cls").agg(F.sum("size").alias("seen"))
     pivots = (members.join(popular, "cls").groupBy("bucket").agg(F.max(F.struct("seen", "cls")).getField("cls").alias("pivot")))
     sketches = sig.where("cls is not null").select("cls", "sketch").join(popular.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("sketch").alias("sketch"))
-    sketches = materialise(sketches, "near-sketches")
+    sketches = keep.table(sketches, "sketches")
 
     stars = members.join(pivots, "bucket").where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
     stars = (stars.join(sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("k_a")), "a")
              .join(sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("k_b")), "b").where(_alike("k_a", "k_b")).select("a", "b"))
-    stars = materialise(stars, "near-stars")
+    stars = keep.table(stars, "stars")
 
     # full sets of the classes that may have links: one text for each
     wanted = stars.select(F.col("a").alias("cls")).union(stars.select("b")).union(members.where("size > 2").select("cls")).distinct()
-    reps = classes.join(wanted, "cls", "left_semi").select(F.col("rep.doc_id").alias("r_id"), F.col("rep.digest").alias("r_digest"))
-    texts = plain.join(reps, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left_semi").select("text")
-    sets = materialise(_full_sets(texts, words), "near-sets")
-    links = materialise(_linked(stars, sets).distinct(), "near-links")
-    labels = connected_components(links, "near-first")
+    reps = classes.join(wanted, "cls", "left_semi").select(F.col("rep.doc_id").alias("r_id"), F.col("rep.digest").alias("r_digest"), F.col("rep.rows").alias("rows"))
+    texts = plain.join(reps, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest"))).select("text", "rows")
+    every = keep.table(_full_sets(texts, words), "sets")
+    sets = every.where("rows = 1").unionByName(every.where("rows > 1").dropDuplicates(["cls"])).drop("rows")
+    links = keep.table(_linked(stars, sets).distinct(), "links")
+    labels = connected_components(links, keep, "first")
 
     # buckets whose classes are not one component yet
     placed = (members.where("size > 2").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
               .select("bucket", "cls", F.coalesce("label", "cls").alias("label")))
     counts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label")).getField("label").alias("main")).where("parts > 1")
-    open_ = materialise(placed.join(main, "bucket").drop("parts"), "near-open")
+    open_ = keep.table(placed.join(main, "bucket").drop("parts"), "open")
     people = open_.select("cls").distinct()
     alone = (sets.join(people, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", F.explode("shingles").alias("s"))
              .groupBy("s").agg(F.count("*").alias("c"), F.first("cls").alias("cls")).where("c = 1").groupBy("cls").agg(F.count("*").alias("alone")))
     words_of = [f"p{k}" for k in range(PARITY_WORDS)]
     can = (sets.select("cls", "n", *[F.col("parity")[k].alias(p) for k, p in enumerate(words_of)]).distinct().join(people, "cls", "left_semi").join(alone, "cls", "left")
            .select("cls", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"), *words_of).where(100 * F.col("common") >= PERCENT * F.col("n")))
-    able = materialise(open_.join(can, "cls"), "near-able")
-    x = able.where("label <> main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("cls", "label", "n", "common", "main", *words_of)])
-    y = able.select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("cls", "label", "n", "common", *words_of)])
-    most = F.least("x_common", "y_common", "x_n", "y_n")
-    apart = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in words_of), F.lit(0))  # shingles that one has, at least
-    rest = (x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_label") != F.col("y_label"))
-                   & ((F.col("y_label") == F.col("x_main")) | (F.col("x_cls") < F.col("y_cls")))
-                   & (100 * most >= PERCENT * (F.col("x_n") + F.col("y_n") - most))
-                   & ((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("x_n") + F.col("y_n"))))
-            .select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct())
-    more = materialise(_linked(rest, sets).distinct(), "near-more")
-    labels = connected_components(links.unionByName(more), "near-last")
+    able = keep.table(open_.join(can, "cls"), "able")
+    rest = _open_pairs(able)
+    more = keep.table(_linked(rest, sets).distinct(), "more")
+    labels = connected_components(links.unionByName(more), keep, "last")
 
     found = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    smallest = found.groupBy("label").agg(F.min("min_id").alias("component"), F.sum("copies").alias("all")).where(F.col("all") > 1)
-    to = found.join(smallest, "label").select("cls", "component")
-    return (sig.join(to, "cls", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())))
+    smallest = found.groupBy("label").agg(F.min("rep").alias("first"), F.sum("copies").alias("all")).where(F.col("all") > 1)
+    to = materialise(found.join(smallest, "label").select("cls", F.col("first.doc_id").alias("component"), F.col("first.digest").alias("first_digest")), "near-components")
+    keep.drop()
+    alone = F.col("first_digest").isNull()
+    return sig.join(to, "cls", "left").select(
+        "doc_id", "digest", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("component")) & (F.col("digest") == F.col("first_digest")))).alias("first"))
+
+
+def find_components(docs: DataFrame, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row of docs, the whole text counting.
+
+    component_id is the smallest key that links reach, the row's own included; kept is whether it is the row's own.
+    Null and wordless texts have no shingles and no links: component_id is their own key.  Rows with a null key link
+    like others and take the component's smallest key; where nobody there has a key, kept is whether the row's text is
+    the first by digest.  Extra columns of docs, whatever their names, play no part.
+    """
+    return _components(docs, words, text, key).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & F.col("first")).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -278,6 +314,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str, words: int = 5) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate component stays, that with the smallest id."""
-    gone = find_components(docs, words=words).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: one document of each near-duplicate component stays, that with the smallest id (null last, then the smallest digest of the text).
+
+    A document is its id and text: other texts under an id that is dropped are judged by themselves, and rows that
+    repeat id and text stay or go together.  Null and wordless texts stay.
+    """
+    gone = _components(docs, words, "text", "doc_id").where(~F.col("first")).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.md5(F.col("text").cast("binary")) == F.col("gone_digest"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)

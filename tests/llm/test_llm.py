@@ -496,7 +496,8 @@ def brute_components(docs, words):
 
 
 @pytest.mark.parametrize("words", [2, 5])
-def test_components_of_a_crowd_of_copies(spark, words):
+def test_components_of_a_crowd_of_copies(spark, words, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8 * words)  # open buckets are dealt into several blocks
     rnd = random.Random(words)
     vocab = [f"w{k}" for k in range(400)]
     hub = [rnd.choice(vocab) for _ in range(90)]
@@ -523,6 +524,38 @@ def test_components_of_odd_rows(spark):
     assert near_dedup.find_components(odd_docs(spark).limit(0), 2).count() == 0
 
 
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    """Open buckets: every pair of different labels that isn't within the main label meets, however small the blocks."""
+    rnd = random.Random(1)
+    flat = [0] * near_dedup.PARITY_WORDS
+    table = [(b, f"c{k:03}", f"l{rnd.randrange(5)}", f"l{b}", 10, 10, *flat) for b in range(3) for k in range(60) if rnd.random() < 0.8]
+    able = spark.createDataFrame(table, "bucket long, cls string, label string, main string, n long, common long, " + ", ".join(f"p{k} long" for k in range(near_dedup.PARITY_WORDS)))
+    want = {frozenset((x[1], y[1])) for x in table for y in table if x[0] == y[0] and x[2] != y[2] and x[1] < y[1]}
+    for block in (1000, 7):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = [frozenset(r) for r in near_dedup._open_pairs(able).collect()]
+        assert set(got) == want
+
+
+def test_dedup_stage_goes_by_id_and_text(spark):
+    base = " ".join(f"w{k}" for k in range(40))
+    other = " ".join(f"v{k}" for k in range(40))
+    docs = [(3, base), (7, base), (7, other), (None, base), (None, other + " x"), (9, None), (9, None), (10, ""), (3, base), (11, " ".join(f"u{k}" for k in range(9))), (None, "alone here"), (12, "big " * 30000)]
+    df = spark.createDataFrame([(k, t, "en", "a", 1, 2) for k, t in docs], DOCS + ", Digest int")
+    got = sorted(((r.doc_id, r.text) for r in near_dedup.stage(spark, df, "").collect()), key=str)
+    assert got == sorted([(3, base), (3, base), (7, other), (9, None), (9, None), (10, ""), (11, docs[9][1]), (None, "alone here"), (12, docs[11][1])], key=str)
+    assert near_dedup.stage(spark, df.limit(0), "").count() == 0
+
+
+def test_components_of_many_equal_rows(spark):
+    """Rows that repeat id and text don't multiply in the joins."""
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base[:-1], "z"])
+    df = spark.createDataFrame([(1, " ".join(base))] * 3000 + [(2, near)] * 3000, "doc_id long, text string")
+    got = near_dedup.find_components(df, 2).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 3000), (2, 1, 3000)]
+
+
 def test_sketches_screen_softly():
     rnd = np.random.default_rng(2)
     base = rnd.integers(0, 2**63, 400, dtype=np.uint64)

@@ -7,8 +7,13 @@ are frozen after training, so the code length of a byte given its last ``ORDER``
 compiled into one table of code lengths (fixed point, 1/1024 bit) and a text's code length is an exact integer sum of
 table entries, whatever the batch or partition it is read in.
 
-Training uses a bounded sample: ``sample_rows`` documents per language (in expectation; twice that in total at most)
-of the ``max_languages`` most frequent languages, chosen by a hash of the id.  Prediction reads every whole text.
+Every language of the labels is learned.  Languages are compiled in groups of ``GROUP``, each with an alphabet, contexts
+and a table of its own, so what is kept of a language doesn't shrink with the number of languages; a worker holds about
+``TABLE_BYTES`` a language.
+
+Training uses a bounded sample: of each language ``sample_rows`` documents in expectation, chosen by a hash of the id, as
+far as their texts come to ``sample_bytes`` (texts of more than an eighth of that come last; a language that has no
+others is learned from one of them).  Prediction reads every whole text.
 """
 
 from __future__ import annotations
@@ -17,26 +22,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_text, doc_slices, schema_with, utf8_view, with_columns_replaced
 
 ORDER = 3
 UNIT = 1024  # of a bit
-TABLE_BYTES = 16 << 20  # bound of the compiled code-length table
+GROUP = 4
+TABLE_BYTES = 4 << 20  # of compiled code lengths a language, about
 CHUNK = 1 << 19
 UNDETERMINED = "und"
 
 
 @dataclass
-class PpmModel:
-    """langs; alphabet: byte -> symbol; ctx: last three symbols -> context row; cost: row, symbol -> code length by language."""
+class PpmTrees:
+    """The compiled trees of a group of languages.
+
+    alphabet: byte -> symbol; pairs, triples: the last symbols -> context row (triples by the place of their first two, -1 if
+    the context isn't kept); cost: row, symbol -> code length by language.
+    """
 
     langs: list[str]
     alphabet: np.ndarray
     size: int
-    ctx: np.ndarray
+    pairs: np.ndarray
+    places: np.ndarray
+    triples: np.ndarray
     cost: np.ndarray
 
     def code_lengths(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -63,10 +75,26 @@ class PpmModel:
         return out
 
     def _costs(self, s: np.ndarray) -> np.ndarray:
-        rows = self.ctx[(s[:-3] * self.size + s[1:-2]) * self.size + s[2:-1]]
+        long = self.triples[self.places[s[:-3] * self.size + s[1:-2]] * self.size + s[2:-1]]
+        rows = np.where(long >= 0, long, self.pairs[s[1:-2] * self.size + s[2:-1]])
         return self.cost[rows * self.size + s[3:]]
 
 
+@dataclass
+class PpmModel:
+    """Groups of languages, all of them in the order of their names."""
+
+    groups: list[PpmTrees]
+
+    @property
+    def langs(self) -> list[str]:
+        return [lang for g in self.groups for lang in g.langs]
+
+    def code_lengths(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Exact code lengths, rows x languages, in 1/UNIT bit."""
+        return np.concatenate([g.code_lengths(offsets, data) for g in self.groups], axis=1)
+
+
 def _ppm_probabilities(counts: list[np.ndarray]) -> np.ndarray:
     """Probabilities of the symbols for n contexts; counts: per order, from the longest, n x symbols."""
     n, size = counts[0].shape
@@ -86,6 +114,11 @@ def _ppm_probabilities(counts: list[np.ndarray]) -> np.ndarray:
 def train(texts: dict[str, list[bytes]], min_count: int = 2) -> PpmModel:
     """Fit on labelled byte strings. Texts may be empty; at least one language is needed."""
     langs = sorted(texts)
+    return PpmModel([_compiled({lang: texts[lang] for lang in langs[k: k + GROUP]}, min_count) for k in range(0, len(langs), GROUP)])
+
+
+def _compiled(texts: dict[str, list[bytes]], min_count: int) -> PpmTrees:
+    langs = list(texts)
     present = np.zeros(256, bool)
     for lang in langs:
         for t in texts[lang]:
@@ -110,7 +143,7 @@ def train(texts: dict[str, list[bytes]], min_count: int = 2) -> PpmModel:
             k = k * size + g[:, d]
         return k
 
-    most = max(64, TABLE_BYTES // (2 * size * len(langs)) - size - 1)
+    most = max(64, TABLE_BYTES // (2 * size) - size - 1)
     contexts: dict[int, np.ndarray] = {0: np.zeros(1, np.int64), 1: np.arange(size)}
     for order, share in ((2, most // 2), (3, most - most // 2)):
         found = [np.unique(key(g, order), return_counts=True) for g in grams]
@@ -154,32 +187,33 @@ def train(texts: dict[str, list[bytes]], min_count: int = 2) -> PpmModel:
                 block[a: a + 4096, :, li] = np.rint(bits * UNIT).astype(np.uint16)
         block[:, 0, :] = 0
         blocks.append(block)
-    t1 = np.arange(size, dtype=np.int32) + first[1]
-    t2 = np.broadcast_to(t1, (size, size)).copy()
-    t2.reshape(-1)[contexts[2]] = first[2] + np.arange(len(contexts[2]), dtype=np.int32)
-    t3 = np.broadcast_to(t2, (size, size, size)).copy()
-    t3.reshape(-1)[contexts[3]] = first[3] + np.arange(len(contexts[3]), dtype=np.int32)
-    return PpmModel(langs, alphabet, size, t3.reshape(-1), np.concatenate(blocks).reshape(-1, len(langs)))
+    pairs = np.tile(np.arange(size, dtype=np.int32) + first[1], size)
+    pairs[contexts[2]] = first[2] + np.arange(len(contexts[2]), dtype=np.int32)
+    heads, at = np.unique(contexts[3] // size, return_inverse=True)
+    places = np.zeros(size * size, np.int32)
+    places[heads] = 1 + np.arange(len(heads), dtype=np.int32)
+    triples = np.full((len(heads) + 1) * size, -1, np.int32)
+    triples[(1 + at) * size + contexts[3] % size] = first[3] + np.arange(len(contexts[3]), dtype=np.int32)
+    return PpmTrees(langs, alphabet, size, pairs, places, triples, np.concatenate(blocks).reshape(-1, len(langs)))
 
 
 def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", key: str = "doc_id",
-        sample_rows: int = 600, max_languages: int = 64) -> PpmModel | None:
+        sample_rows: int = 600, sample_bytes: int = 4 << 20) -> PpmModel | None:
     """Train on the bounded sample described above of the rows where usable holds; None if no row is labelled.
 
     Rows with a null language, text or key, or for which usable is null, are not learned from.
     """
-    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(key).isNotNull())
-    counts = rows.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.col(lang)).limit(max_languages).collect()
-    if not counts:
-        return None
-    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30))
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col(lang) == F.lit(r[lang])) & (place < int(min(1.0, sample_rows / r["n"]) * (1 << 30))))
-    sample = rows.where(wanted & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"), place.alias("place"))
-    texts: dict[str, list[bytes]] = {r[lang]: [] for r in counts}
-    for r in sample.orderBy("place").limit(2 * sample_rows * len(counts)).collect():
-        texts[r["lang"]].append(bytes(r["text"]))
+    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)).alias("place"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
+    chosen = rows.join(counts, "lang").where(F.col("place") < F.least(F.lit(1.0), sample_rows / F.col("n")) * (1 << 30))
+    size = F.octet_length("text")
+    order = Window.partitionBy("lang").orderBy(size > sample_bytes // 8, "place", size, F.xxhash64("text"))
+    held = (chosen.withColumn("held", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(order))
+            .where((F.col("rank") == 1) | ((F.col("rank") <= 2 * sample_rows) & (F.col("held") <= sample_bytes))))
+    texts: dict[str, list[bytes]] = {}
+    for r in held.select("lang", "rank", "text").orderBy("lang", "rank").collect():
+        texts.setdefault(r["lang"], []).append(bytes(r["text"]))
     texts = {k: v for k, v in texts.items() if any(v)}
     return train(texts) if texts else None
 
@@ -233,7 +267,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str, least_score: float = 0.5) -> DataFrame:
-    """Pipeline stage: documents without a language, or less likely than least_score to be in the one found, go."""
+    """Pipeline stage: documents without a language, or less likely than least_score to be in the one found, go.
+
+    So null and letterless texts go; rows with null or repeated ids, null languages or sources are judged by their text
+    like others, and equal rows stay or go together. If no row is labelled, there is no language to find and all go.
+    """
     names = docs.columns
     model = fit(docs, ~held_out())
     return predict(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select(*names)

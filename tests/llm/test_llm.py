@@ -84,6 +84,22 @@ def test_code_lengths_equal_slow_ppm():
     assert seen
 
 
+def test_every_language_is_learned(spark):
+    """More languages than a group has, one of them rare, one of very long texts only; what is kept doesn't shrink."""
+    rnd = random.Random(6)
+    words = {f"l{k:02}": ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 5))) for _ in range(12)] for k in range(9)}
+    table = [(1000 * k + n, " ".join(rnd.choice(w) for _ in range(40)), lang, "s", 1) for k, (lang, w) in enumerate(words.items()) for n in range(1 if lang == "l07" else 12) if lang != "l03"]
+    table.append((5, " ".join(rnd.choice(words["l03"]) for _ in range(20000)), "l03", "s", 1))
+    docs = spark.createDataFrame(table, DOCS)
+    model = language_id.fit(docs, F.lit(True), sample_bytes=20000)
+    assert model.langs == sorted(words) and len(model.groups) == 3
+    tests = [(k, " ".join(rnd.choice(words[lang]) for _ in range(30)), lang, "s", 1) for k, lang in enumerate(words)]
+    got = language_id.predict(spark.createDataFrame(tests, DOCS), model).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+    one, many = (language_id.train({f"x{k}": [b"abcdefgh hgfedcba " * 20] for k in range(n)}) for n in (4, 40))
+    assert len(one.groups[0].cost) == len(many.groups[9].cost)
+
+
 def test_code_lengths_do_not_depend_on_chunks(monkeypatch):
     model = language_id.train({"a": [b"abc abd abe " * 9], "b": [b"xyz xyw " * 9]})
     parts = [b"abc", b"", b"xyz abc " * 50, b"q"]

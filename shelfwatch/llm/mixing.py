@@ -9,11 +9,13 @@ Selection: a source's documents form a stream in the order of the md5 of their i
 ``target`` words of the stream repeated ``cap`` times, so every document is taken between floor(target / size) and
 that plus one times, and only the last one in part.
 
-Positions: the integral of a source's schedule is its cumulative demand; inverting it at the stream offset of a
-document gives the training time at which the mix reaches it, and documents are range-sorted by that.
+Positions: the integral of a source's schedule is its cumulative demand; inverting it at the stream offset of a take
+(the k-th time round, k times the source's size further on) gives the training time at which the mix reaches it, and
+takes are range-sorted by that.
 
-Prefix sums over a stream are taken in two levels, hash buckets and then documents within a bucket, so a source
-that holds most rows is spread over many tasks.
+Prefix sums over a stream are taken in two levels, hash buckets and then rows within a bucket, so a source that holds
+most rows is spread over many tasks.  Rows that share source, id and size (null ids, say) are counted before that, so
+they are one row of a bucket.
 """
 
 from __future__ import annotations
@@ -64,33 +66,50 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, cap: int = C
     source's stream.  Rows of equal key are ordered by size; equal rows are interchangeable.  position is the training
     time, 0 to 1, at which the document is first met; null if it isn't taken.
     """
+    found = _takes(_groups(docs, schedules, share, cap, text, source, key), cap)
+    return found.select("doc_id", "size", "source", "source_size", "target",
+                        F.aggregate("takes", F.lit(0).cast("long"), lambda s, t: s + t["words"]).alias("taken"), F.get("takes", F.lit(0))["position"].alias("position"))
+
+
+def _groups(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, cap: int = CAP, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """The rows that share source, key and size: copies of them, and start, the words of their source's stream before them."""
     sizes = materialise(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "mix-sizes")
     targets = materialise(source_targets(sizes, schedules, share, cap), "mix-targets")
+    groups = sizes.groupBy("source", "doc_id", "size").agg(F.count("*").alias("copies"))
     hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    placed = sizes.withColumn("h", hashed).join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    # buckets in hash order: the first 52 bits of the hash over the number of buckets of the source
+    placed = groups.withColumn("h", hashed).join(targets, groups["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    # buckets in hash order: the first 32 bits of the hash over the number of buckets of the source
     buckets = F.greatest(F.lit(1), F.ceil(F.col("rows") / BUCKET_ROWS)).cast("long")
     part = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
     placed = placed.withColumn("bucket", F.floor(part * buckets / F.lit(float(1 << 32))).cast("long"))
-    sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
+    words = F.col("size") * F.col("copies")
+    sums = placed.groupBy("source", "bucket").agg(F.sum(words).alias("in_bucket"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("start"))
+    starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = placed.withColumn("inner", F.coalesce(F.sum(words).over(inside), F.lit(0)))
     placed = placed.join(starts, placed["source"].eqNullSafe(F.col("s")) & (placed["bucket"] == F.col("b")))
-    at = F.col("start") + F.col("inner")
+    return placed.select("source", "doc_id", "size", "copies", "source_size", "target", "w0", "w1", (F.col("before") + F.col("inner")).alias("start"))
+
+
+def _takes(groups: DataFrame, cap: int = CAP) -> DataFrame:
+    """A row for each copy of each group, numbered from 0, with takes: an array of (part, words, position), of positive words only."""
+    chunk = 1 << 16  # copies of an array
+    rows = groups.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(chunk).cast("long"))))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("chunk"), F.least(F.col("chunk") + chunk, F.col("copies")) - 1))).drop("chunk")
+    at = F.col("start") + F.col("copy") * F.col("size")
     whole = F.floor(F.col("target") + 0.5).cast("long")
-    taken = F.lit(0).cast("long")
-    for k in range(cap):
-        taken = taken + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), whole - k * F.col("source_size") - at))
-    # the share of its demand that the source has given when the document comes, inverted through the schedule's integral
-    done = F.least(F.lit(1.0), at / F.greatest(F.lit(1).cast("long"), whole))
     slope, w0 = F.col("w1") - F.col("w0"), F.col("w0")
-    area = done * (w0 + F.col("w1")) / 2
-    time = F.when(F.abs(slope) < 1e-12, done).when(done == 0, 0.0).otherwise((F.sqrt(w0 * w0 + 2 * slope * area) - w0) / F.when(F.abs(slope) < 1e-12, 1.0).otherwise(slope))
-    return placed.select(
-        "doc_id", "size", "source", "source_size", "target", taken.alias("taken"),
-        F.when(taken > 0, time).alias("position"))
+    takes = []
+    for k in range(cap):
+        offset = k * F.col("source_size") + at
+        # the share of its demand that the source has given by then, inverted through the schedule's integral
+        done = F.least(F.lit(1.0), offset / F.greatest(F.lit(1).cast("long"), whole))
+        area = done * (w0 + F.col("w1")) / 2
+        time = F.when(F.abs(slope) < 1e-12, done).when(done == 0, 0.0).otherwise((F.sqrt(w0 * w0 + 2 * slope * area) - w0) / F.when(F.abs(slope) < 1e-12, 1.0).otherwise(slope))
+        words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), whole - offset))
+        takes.append(F.struct(F.lit(k).alias("part"), words.alias("words"), time.alias("position")))
+    return rows.withColumn("takes", F.filter(F.array(*takes), lambda t: t["words"] > 0))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -128,19 +147,27 @@ FROM k
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents as often as the mix takes them, in the order of training.
+    """Pipeline stage: documents as often as the mix takes them, each take at its own position in the order of training.
 
-    A document taken once and in part appears whole and then as its first words, one space between them.  Rows of one
-    key, source and size are repeats of a document and are taken alike.
+    A take of a part of a document is its first words, one space between them.  Rows that share id, source and size are
+    told apart by the digest of their text; equal rows are interchangeable.  Null and wordless texts aren't taken.
     """
     names = docs.columns
-    found = (mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"))
-             .agg(F.min("taken").alias("taken"), F.min("position").alias("position")))
-    rows = docs.join(found, docs["doc_id"].eqNullSafe(F.col("m_id")) & docs["source"].eqNullSafe(F.col("m_source")) & (word_count(docs["text"]) == F.col("m_size")))
-    left = F.col("taken") - F.col("part") * F.col("m_size")
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("taken") / F.col("m_size")).cast("long") - 1)))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), left.cast("int")), " ")
-    rows = rows.withColumn("cut", F.when(left < F.col("m_size"), cut))
-    out = {"text": F.coalesce("cut", "text"), "n_chars": F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length("cut")).cast("long")}
-    rows = rows.repartitionByRange(F.col("position"), "doc_id").sortWithinPartitions("position", "doc_id", "part")
-    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in names])
+    groups = materialise(_groups(docs), "mix-groups")
+    takes = _takes(groups).where(F.size("takes") > 0).select(*[F.col(c).alias(f"m_{c}") for c in ("doc_id", "source", "size", "copies", "copy")], "takes")
+    # the row in a struct, so that no column of docs clashes with what is added
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col("doc_id").alias("id"), F.col("source").alias("origin"), word_count(F.col("text")).alias("n_words"))
+    same = F.col("id").eqNullSafe(F.col("m_doc_id")) & F.col("origin").eqNullSafe(F.col("m_source"))
+    rows = held.join(takes.where("m_copies = 1"), same & (F.col("n_words") == F.col("m_size")))
+    # rows of one id, source and size: numbered, so that each has the takes of its own number
+    several = groups.where("copies > 1").select(F.col("doc_id").alias("m_doc_id"), F.col("source").alias("m_source")).distinct()
+    alike = Window.partitionBy("id", "origin", "n_words").orderBy(F.md5(F.col("doc.text").cast("binary")))
+    numbered = held.join(several, same, "left_semi").withColumn("number", F.row_number().over(alike) - 1)
+    again = numbered.join(takes.where("m_copies > 1"), same & (F.col("n_words") == F.col("m_size")) & (F.col("number") == F.col("m_copy")))
+    took = ["doc", "n_words", F.explode("takes").alias("take")]
+    rows = rows.select(*took).unionByName(again.select(*took))
+    words = F.slice(F.regexp_extract_all("doc.text", F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), F.col("take.words").cast("int"))
+    rows = rows.withColumn("cut", F.when(F.col("take.words") < F.col("n_words"), F.array_join(words, " ")))
+    out = {"text": F.coalesce("cut", "doc.text"), "n_chars": F.when(F.col("cut").isNull(), F.col("doc.n_chars")).otherwise(F.length("cut")).cast("long")}
+    order = [F.col("take.position"), F.col("doc.doc_id"), F.col("take.part")]
+    return rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).select(*[(out[c] if c in out else F.col(f"doc.`{c}`")).alias(c) for c in names])

@@ -644,6 +644,28 @@ def test_positions_follow_the_schedule(spark):
         assert abs((2 * t - t * t) - k / 400) < 1e-6  # the integral of 2 - 2t is the share that came before
 
 
+def test_takes_come_at_their_own_positions(spark):
+    """The order of the stage's takes against a stream built by hand: one source run through again, the last take cut."""
+    sizes = {k: 3 + k % 5 for k in range(30)}
+    docs = spark.createDataFrame([(k, " ".join(f"d{k}w{n}" for n in range(z)), "s", 1) for k, z in sizes.items()], "doc_id long, text string, source string, n_chars long")
+    stream = sorted(sizes, key=lambda k: hashlib.md5(str(k).encode()).hexdigest())
+    left, want = int(1.5 * sum(sizes.values()) + 0.5), []
+    for k in stream * 2:
+        if left > 0:
+            want.append((k, min(left, sizes[k])))
+            left -= sizes[k]
+    got = [(r.doc_id, len(r.text.split())) for r in mixing.stage(spark, docs, "").collect()]
+    assert got == want
+
+
+def test_rows_of_one_key_are_taken_by_number(spark):
+    rows_ = [(None, f"text {k} of none", "s", 1) for k in range(40)] + [(7, "same words here", "s", 1)] * 10
+    out = mixing.stage(spark, spark.createDataFrame(rows_, "doc_id long, text string, source string, n_chars long").withColumn("Take", F.lit(1)).withColumn("m_size", F.lit(2)), "")
+    got = out.collect()
+    assert sum(len(r.text.split()) for r in got) == round(1.5 * (160 + 30)) and out.columns == ["doc_id", "text", "source", "n_chars", "Take", "m_size"]
+    assert {r.text for r in got if r.doc_id is None and len(r.text.split()) == 4} == {t for _, t, _, _ in rows_[:40]}
+
+
 def test_mix_stage_repeats_and_cuts(spark):
     docs = spark.createDataFrame([(k, f"a{k} b c d", s, 8) for k in range(20) for s in ("x",)], "doc_id long, text string, source string, n_chars long")
     out = mixing.stage(spark, docs, "").collect()

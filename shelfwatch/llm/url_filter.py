@@ -2,7 +2,10 @@
 
 DataFrame functions and Spark's own GBTClassifier only; no Python runs on the executors.  Labelled URLs train the trees;
 where a caller has no labels, the URLs that a rule fits are labelled by it.  Training takes a bounded sample of at
-most ``sample_rows`` labelled URLs, chosen by a hash of the URL.
+most twice ``sample_rows`` labelled URLs (``sample_rows`` in expectation), chosen by a hash of the URL; the statistics of
+host suffixes are a table of that sample's suffixes, all of them.
+
+A few rules are literals of the plan; a rule list of any length can be given as a table, which is joined.
 """
 
 from __future__ import annotations
@@ -12,11 +15,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_columns_replaced
+from .common import materialise, with_columns_replaced
 
 #: (verdict, host and path); the longest that fits wins.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-MAX_RULES = 10_000  # they are literals of the plan
+MAX_RULES = 10_000  # as literals of the plan; more are given as a table
 FEATURES = ("len_url", "len_host", "len_path", "len_query", "depth", "labels", "digit_ratio", "host_digits", "upper_ratio",
             "hyphens", "entropy", "parameters", "path_digits", "has_fragment", "secure", "suffix_share", "suffix_rate")
 
@@ -35,7 +38,7 @@ def path_of(url: Column) -> Column:
 def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     """struct(rule, verdict) of the longest rule that fits, or null. Of rules of one length the greater text wins."""
     if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are supported")
+        raise ValueError(f"{len(rules)} rules: give more than {MAX_RULES} as a table (rule, verdict)")
     by_host: dict[str, list[tuple[str, str, str]]] = {}
     for verdict, rule in rules:
         name, slash, rest = rule.partition("/")
@@ -53,6 +56,29 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.when(F.size(fits) > 0, F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
 
+def fitting_rules_of_table(pairs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, fit) of the distinct host and path pairs that a rule of the table rules (rule, verdict) fits, as fitting_rule says."""
+    cut = F.regexp_extract("rule", r"^([^/]*)", 1)
+    table = rules.where(F.col("rule").isNotNull()).select(cut.alias("r_host"), F.expr("substring(rule, length(regexp_extract(rule, '^([^/]*)', 1)) + 1)").alias("r_path"), "rule", "verdict").distinct()
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    tried = pairs.select("host", "path").distinct().withColumn("suffix", F.explode(suffixes))
+    fits = tried.join(table, (F.col("suffix") == F.col("r_host")) & F.col("path").startswith(F.col("r_path")))
+    best = F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict"))
+    return fits.groupBy("host", "path").agg(best.alias("best")).select("host", "path", F.struct("best.rule", "best.verdict").alias("fit"))
+
+
+def entropy_of(text: Column) -> Column:
+    """Shannon entropy of a text's characters in bits; 0 for an empty text."""
+    n = F.length(text).cast("double")
+
+    def more(so_far: Column, c: Column) -> Column:
+        share = (n - F.length(F.replace(text, c, F.lit("")))) / n
+        return so_far - share * F.log2(share)
+
+    return F.when(n > 0, F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), more)).otherwise(0.0)
+
+
 def parsed(df: DataFrame, url: str = "url") -> DataFrame:
     """df with host and path. Columns of df by these names are replaced, unless one is the URL itself."""
     df = with_columns_replaced(df, [c for c in ("host", "path") if c != url])
@@ -69,33 +95,26 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     n = F.greatest(F.lit(1), F.length(u)).cast("double")
     query = F.regexp_extract(u, r"\?([^#]*)", 1)
     digits, upper = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    shares = [_count(u, c) / n for c in "abcdefghijklmnopqrstuvwxyz0123456789./-_?=&#:"]
-    entropy = F.lit(0.0)
-    for p in shares:
-        entropy = entropy - F.when(p > 0, p * F.log2(p)).otherwise(0.0)
     return df.withColumns({
         "len_url": F.length(u), "len_host": F.length(host), "len_path": F.length(path), "len_query": F.length(query),
         "depth": _count(path, "/"), "labels": _count(host, ".") + 1, "digit_ratio": _count(u, digits) / n, "host_digits": _count(host, digits),
-        "upper_ratio": _count(u, upper) / n, "hyphens": _count(u, "-_"), "entropy": entropy,
+        "upper_ratio": _count(u, upper) / n, "hyphens": _count(u, "-_"), "entropy": entropy_of(u),
         "parameters": F.when(F.length(query) > 0, _count(query, "&") + 1).otherwise(0), "path_digits": _count(path, digits),
         "has_fragment": _count(u, "#"), "secure": F.when(u.startswith("https://"), 1).otherwise(0),
-        "suffix": F.regexp_extract(host, r"([^.]*)$", 1)})
+        "suffix": F.substring_index(host, ".", -1)})
 
 
-def suffix_statistics(labelled: DataFrame, most: int = 1000) -> dict[str, tuple[float, float]]:
-    """Share of the labelled rows and rate of blocks of the most frequent host suffixes: a bounded table."""
-    rows = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).orderBy(F.desc("n"), "suffix").limit(most).collect()
-    total = sum(r["n"] for r in rows) or 1
-    return {r["suffix"]: (r["n"] / total, (r["bad"] + 1) / (r["n"] + 2)) for r in rows}
+def suffix_statistics(labelled: DataFrame) -> DataFrame:
+    """(suffix, suffix_share, suffix_rate): share of the labelled rows and rate of blocks of each host suffix."""
+    per = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
+    whole = labelled.agg(F.count("*").alias("all"))
+    return per.join(F.broadcast(whole), F.lit(True)).select("suffix", (F.col("n") / F.col("all")).alias("suffix_share"), ((F.col("bad") + 1) / (F.col("n") + 2)).alias("suffix_rate"))
 
 
-def with_suffix_statistics(df: DataFrame, table: dict[str, tuple[float, float]]) -> DataFrame:
-    """Unseen suffixes have share 0 and rate 0.5."""
-    if not table:
-        return df.withColumns({"suffix_share": F.lit(0.0), "suffix_rate": F.lit(0.5)})
-    share, rate = (F.create_map(*[x for s, v in table.items() for x in (F.lit(s), F.lit(float(v[k])))]) for k in (0, 1))
-    return df.withColumns({"suffix_share": F.coalesce(F.try_element_at(share, F.col("suffix")), F.lit(0.0)),
-                           "suffix_rate": F.coalesce(F.try_element_at(rate, F.col("suffix")), F.lit(0.5))})
+def with_suffix_statistics(df: DataFrame, table: DataFrame) -> DataFrame:
+    """Unseen suffixes have share 0 and rate 0.5. The table has no more rows than the bounded training sample."""
+    known = table.withColumnRenamed("suffix", "known_suffix")
+    return df.join(F.broadcast(known), F.col("suffix") == F.col("known_suffix"), "left").drop("known_suffix").fillna({"suffix_share": 0.0, "suffix_rate": 0.5})
 
 
 class UrlModel:
@@ -108,12 +127,12 @@ class UrlModel:
         """df with score (probability of block) from the trees, for rows with host and path."""
         if self.trees is None:
             return df.withColumn("score", F.lit(1.0 if self.constant == "block" else 0.0))
-        names = df.columns
-        rows = with_suffix_statistics(lexical(df, url), self.suffixes)
+        held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(url).alias("url"), "host", "path")  # no clash with the features
+        rows = with_suffix_statistics(lexical(held), self.suffixes)
         rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
         from pyspark.ml.functions import vector_to_array
 
-        return self.trees.transform(rows).select(*[F.col(f"`{c}`") for c in names], vector_to_array("probability")[1].alias("score"))
+        return self.trees.transform(rows).select("row.*", vector_to_array("probability")[1].alias("score"))
 
 
 def train(labelled: DataFrame, url: str = "url", label: str = "label", sample_rows: int = 20_000, trees: int = 10, depth: int = 4) -> UrlModel:
@@ -122,24 +141,30 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", sample_ro
     n = rows.count()
     keep = F.pmod(F.xxhash64("url", F.lit(7)), F.lit(1 << 30)) < int(min(1.0, sample_rows / max(n, 1)) * (1 << 30))
     sample = lexical(parsed(rows.where(keep)).orderBy(F.xxhash64("url"), "url", "label").limit(2 * sample_rows)).coalesce(1).persist()
-    classes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(classes) < 2:
-        return UrlModel(None, {}, "block" if classes and 1.0 in classes else "allow")
-    suffixes = suffix_statistics(sample)
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_suffix_statistics(sample, suffixes))
-    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, seed=5, maxBins=32).fit(rows)
-    sample.unpersist()
+    try:
+        classes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+        if len(classes) < 2:
+            return UrlModel(None, None, "block" if classes and 1.0 in classes else "allow")
+        suffixes = materialise(suffix_statistics(sample), "url-suffixes")
+        rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_suffix_statistics(sample, suffixes))
+        model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, seed=5, maxBins=32).fit(rows)
+    finally:
+        sample.unpersist()
     return UrlModel(model, suffixes, "allow")
 
 
 def judge(pages: DataFrame, rules=RULES, model: UrlModel | None = None, url: str = "url") -> DataFrame:
     """pages with host, path, rule, verdict and score (of the trees). Columns of pages by these names are replaced.
 
-    Without a model, the trees are trained on the URLs that a rule fits.  Null URLs have an empty host and path, fit no
+    rules: pairs (verdict, rule) or a table (rule, verdict).  Without a model, the trees are trained on the URLs that a rule fits.  Null URLs have an empty host and path, fit no
     rule and are judged by the trees as an empty URL.
     """
-    rows = parsed(with_columns_replaced(pages, ["rule", "verdict", "score"]), url)
-    rows = rows.withColumn("__fit", fitting_rule(F.col("host"), F.col("path"), rules))
+    rows = parsed(with_columns_replaced(pages, ["rule", "verdict", "score", "__fit"]), url)
+    if isinstance(rules, DataFrame):
+        fits = fitting_rules_of_table(rows, rules).select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("fit").alias("__fit"))
+        rows = rows.join(fits, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left").drop("__host", "__path")
+    else:
+        rows = rows.withColumn("__fit", fitting_rule(F.col("host"), F.col("path"), rules))
     if model is None:
         labelled = rows.where("__fit is not null").select(F.col(url).alias("url"), F.when(F.col("__fit.verdict") == "block", 1.0).otherwise(0.0).alias("label"))
         model = train(labelled)

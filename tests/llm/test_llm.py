@@ -607,6 +607,44 @@ def test_rules(spark):
         assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == (host, path, rule, verdict), u
 
 
+def test_rules_of_a_table_equal_literals(spark):
+    rnd = random.Random(9)
+    hosts = ["a.b.net", "b.net", "net", "c.net", "xb.net", "org"]
+    rules = sorted({(rnd.choice(["block", "allow"]), rnd.choice(hosts) + rnd.choice(["/", "/x", "/x/", "/x/y"])) for _ in range(14)})
+    urls = [f"http://{rnd.choice(['', 'w.'])}{rnd.choice(hosts)}{rnd.choice(['', '/', '/x', '/x/yz', '/q'])}" for _ in range(80)] + [None, ""]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    model = url_filter.UrlModel(None, None, "allow")
+    table = spark.createDataFrame([(r, v) for v, r in rules], "rule string, verdict string")
+    one, two = (url_filter.judge(pages, rules=r, model=model) for r in (tuple(rules), table))
+    assert rows(one, "page_id", "host", "path", "rule", "verdict") == rows(two, "page_id", "host", "path", "rule", "verdict")
+
+
+def test_entropy_of_characters(spark):
+    texts = ["", "a", "aab", "Aa", "héé𝒳𝒳", "http://x.y/?q=[a]\\$", "z" * 50000 + "y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", url_filter.entropy_of(F.col("t")).alias("e")).collect():
+        shares = [r.t.count(c) / len(r.t) for c in set(r.t)]
+        assert abs(r.e + sum(p * np.log2(p) for p in shares)) < 1e-9
+
+
+def test_url_query_against_sql(spark):
+    """Host, path and rule of every page by SQL, whose rules are written out; verdicts follow rule or score; the trees learn what the rules say."""
+    got = url_filter.query(spark, SMALL)
+    sql = r"""
+    WITH p AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN regexp_extract(url, '://([^/?#]*)', 1) ELSE '' END AS raw FROM pages),
+    h AS (SELECT page_id, translate(coalesce(raw, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, CASE WHEN contains(url, '://') THEN regexp_extract(url, '://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM p)
+    SELECT page_id, host, coalesce(path, ''), CASE WHEN concat('.', host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/' WHEN concat('.', host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+      WHEN concat('.', host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/' WHEN concat('.', host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END FROM h"""
+    assert rows(got, "page_id", "host", "path", "rule") == duck(sql, {"pages": spark.read.parquet(f"{SMALL}/pages.parquet")})
+    said = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+    table = got.collect()
+    assert all(r.verdict == (said[r.rule] if r.rule else "block" if r.score >= 0.5 else "allow") for r in table)
+    ruled = [r for r in table if r.rule]
+    assert np.mean([(r.score >= 0.5) == (said[r.rule] == "block") for r in ruled]) > 0.9 and len({r.verdict for r in table}) == 2
+    odd = spark.createDataFrame([(1, "http://" + "x" * 100000 + ".net/" + "y" * 100000, 0, 1)], "page_id long, url string, Score int, entropy int")
+    assert url_filter.judge(odd.unionByName(odd)).select("verdict").distinct().collect()[0][0] == "block"
+
+
 def test_trees_learn_labels(spark):
     rnd = random.Random(3)
     rows_ = [(f"https://{'spam' if b else 'shop'}{rnd.randrange(99)}.example.{'biz' if b else 'com'}/{'/'.join(str(rnd.randrange(10**6)) for _ in range(5 if b else 1))}", int(b)) for b in (rnd.random() < 0.4 for _ in range(600))]

@@ -6,13 +6,16 @@ Conversion gives each record a WARC identifier (a name-based UUID of what the AR
 date from the 14-digit one, a type (``response`` for an HTTP exchange, else ``resource``) and SHA-1 digests.
 
 Records with equal payloads: that with the smallest page id stays a response, the others become ``revisit`` records
-without payload.  WARC files are written by Spark's text writer, a record a row with the record end as the line
-separator, gzipped; at most ``RECORDS_PER_FILE`` records a file, so a file fits a task when it is read whole.
+without payload.  WARC files are gzipped, a member a record.  They are written by Spark's text writer, whose rows are
+runs of members of some ``SEGMENT_BYTES`` and whose line separator is an empty gzip member, ``SEGMENTS_PER_FILE`` rows
+a file; so a file has a bounded size, but for a record that is larger itself, and its name is the writer's.  Archives of
+both kinds are read record by record, decompressed piece by piece.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import shared_path
 
-RECORDS_PER_FILE = 2000
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 4 << 20  # of records, before compression
+SEGMENTS_PER_FILE = 16
+PIECE = 1 << 20  # bytes decompressed at a time
+EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 PAGE_HEADER = "X-Page-Id"
 FIELDS = {  # of the record lines by version
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -61,29 +66,90 @@ def arc_record(version: int, uri: str, ip: str, date: str, mime: str, body: byte
     return f"{uri} {ip} {date} {mime} {middle}{len(body)}\n".encode() + body + b"\n"
 
 
+class Stream:
+    """Bytes of an archive, plain or gzipped in any number of members, decompressed as they are asked for."""
+
+    def __init__(self, data: bytes):
+        self.more = self._members(data) if data[:2] == b"\x1f\x8b" else iter([data])
+        self.held, self.at = b"", 0
+
+    @staticmethod
+    def _members(data: bytes):
+        view, at = memoryview(data), 0
+        while at < len(data):
+            z, given = zlib.decompressobj(31), view[at: at + PIECE]
+            while not z.eof:
+                out = z.decompress(given, PIECE)
+                if out:
+                    yield out
+                given = z.unconsumed_tail
+                if not given and not z.eof and not out:
+                    raise ValueError("a gzip member that is cut off")
+                if not given and not z.eof:
+                    at += PIECE
+                    given = view[at: at + PIECE]
+            at = min(at + PIECE, len(data)) - len(z.unused_data)
+
+    def _fill(self) -> bool:
+        piece = next(self.more, None)
+        if piece is None:
+            return False
+        self.held, self.at = self.held[self.at:] + piece, 0
+        return True
+
+    def before(self, mark: bytes) -> bytes | None:
+        """What comes before mark, which is passed over; None at the end of the bytes."""
+        start = self.at
+        while (end := self.held.find(mark, start)) < 0:
+            behind = len(self.held) - self.at
+            if not self._fill():
+                return None
+            start = max(self.at, self.at + behind - len(mark) + 1)
+        found, self.at = self.held[self.at: end], end + len(mark)
+        return found
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes, or what there is."""
+        parts, left = [], n
+        while True:
+            part = self.held[self.at: self.at + left]
+            self.at += len(part)
+            left -= len(part)
+            parts.append(part)
+            if not left or not self._fill():
+                return b"".join(parts)
+
+    def skip(self, c: bytes) -> None:
+        """Pass over repetitions of one byte."""
+        while self.at < len(self.held) or self._fill():
+            if self.held[self.at: self.at + 1] != c:
+                return
+            self.at += 1
+
+    def done(self) -> bool:
+        return self.at >= len(self.held) and not self._fill()
+
+
 def arc_records(data: bytes):
     """(fields of the record line, body) of the records of an ARC file, whichever its version; gzip is seen through.
 
     Raises ValueError where the version block or a declared length doesn't hold.
     """
-    if data[:2] == b"\x1f\x8b":
-        data = gunzipped(data)
-    at, names = 0, None
-    while at < len(data):
-        if data[at: at + 1] == b"\n":  # between records
-            at += 1
-            continue
-        end = data.find(b"\n", at)
-        if end < 0:
+    stream, names = Stream(data), None
+    while True:
+        stream.skip(b"\n")  # between records
+        if stream.done():
+            return
+        head = stream.before(b"\n")
+        if head is None:
             raise ValueError("an ARC record line without an end")
-        line = data[at:end].decode("utf-8", "replace").split(" ")
+        line = head.decode("utf-8", "replace").split(" ")
         if not line[-1].strip().isdigit():
             raise ValueError("an ARC record line without a length")
         size = int(line[-1])
-        body = data[end + 1: end + 1 + size]
+        body = stream.take(size)
         if len(body) < size:
             raise ValueError("an ARC record shorter than it declares")
-        at = end + 1 + size
         if names is None:
             rows = body.decode("utf-8", "replace").split("\n")
             if not line[0].startswith("filedesc:") or len(rows) < 2 or rows[0].split(" ")[0] not in ("1", "2"):
@@ -95,17 +161,6 @@ def arc_records(data: bytes):
         yield dict(zip(names, line, strict=False)), body
 
 
-def gunzipped(data: bytes) -> bytes:
-    """All members of a gzip file."""
-    out = []
-    while data:
-        z = zlib.decompressobj(31)
-        out.append(z.decompress(data))
-        out.append(z.flush())
-        data = z.unused_data
-    return b"".join(out)
-
-
 def iso_date(digits: str) -> str:
     """WARC date of a 14-digit ARC date (shorter ones are filled with the earliest moment; others give the epoch)."""
     if not re.fullmatch(r"\d{4,14}", digits):
@@ -223,25 +278,40 @@ def write_warc(records: DataFrame, path: str) -> None:
         F.when(again, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.coalesce("refers_id", F.lit(""))),
                                F.coalesce(line("X-Refers-To-Page-Id", F.col("refers_page").cast("string")), F.lit("")))).otherwise(F.lit("")),
         line("Content-Length", F.octet_length("block").cast("string")), F.lit("\r\n"))
-    rows = records.withColumn("block", block).select(F.concat(head.cast("binary"), "block").cast("string").alias("value"))
-    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows = records.withColumn("block", block).select(F.concat(head.cast("binary"), "block", F.lit(b"\r\n\r\n")).alias("record"))
+
+    def pack(batches):
+        held, n = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                raw = record.as_py()
+                held.append(gzip.compress(raw, 6, mtime=0))
+                n += len(raw)
+                if n >= SEGMENT_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+                    held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+
+    packed = rows.mapInArrow(pack, "value binary").select(F.col("value").cast("string"))
+    (packed.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("compression", "none")
+     .option("maxRecordsPerFile", SEGMENTS_PER_FILE).text(path))
 
 
 def warc_records(data: bytes):
     """(headers, block) of the records of a WARC file, gzipped in one member or one for each record, or plain."""
-    if data[:2] == b"\x1f\x8b":
-        data = gunzipped(data)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
+    stream = Stream(data)
+    while not stream.done():
+        head = stream.before(b"\r\n\r\n")
+        if head is None or not head.startswith(b"WARC/"):
             raise ValueError("not a WARC record")
-        headers = dict(x.split(": ", 1) for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
+        headers = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
         size = int(headers["Content-Length"])
-        if end + 4 + size > len(data):
+        block = stream.take(size)
+        if len(block) < size:
             raise ValueError("a WARC record shorter than it declares")
-        yield headers, data[end + 4: end + 4 + size]
-        at = end + 4 + size + 4
+        stream.take(4)
+        yield headers, block
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -270,11 +340,17 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
-                rows = [told(h, b) for h, b in warc_records(data.as_py() or b"")]
+                rows, n = [], 0
+                for headers, block in warc_records(data.as_py() or b""):
+                    rows.append(told(headers, block))
+                    n += len(block)
+                    if n >= SEGMENT_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        rows, n = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(run, "record_type string, record_id string, target_uri string, warc_date string, refers_id string, refers_page long, http binary, payload binary, payload_bytes long, payload_digest string")
 
 

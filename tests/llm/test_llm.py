@@ -130,6 +130,54 @@ def test_archives_against_sql(spark, tmp_path):
     assert [r[4] for r in got] == [None, 1, None, None, 3, 1, None]
 
 
+def test_archive_files_are_bounded_and_a_member_a_record(spark, tmp_path, monkeypatch):
+    import glob
+    import zlib as z
+
+    monkeypatch.setattr(warc, "SEGMENT_BYTES", 20000)
+    monkeypatch.setattr(warc, "SEGMENTS_PER_FILE", 2)
+    rnd = random.Random(2)
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "".join(chr(rnd.randrange(32, 1000)) for _ in range(5000)), 5) for k in range(40)], "page_id long, url string, html string, Payload int").coalesce(1)
+    records = warc.convert_arc(warc.pages_as_arc(pages)).withColumns({"refers_id": F.lit(None).cast("string"), "refers_page": F.lit(None).cast("long")})
+    warc.write_warc(records, str(tmp_path / "w"))
+    files, n = glob.glob(str(tmp_path / "w" / "part-*")), 0
+    assert len(files) > 3
+    for name in files:
+        data = open(name, "rb").read()
+        whole = 0
+        while data:
+            d = z.decompressobj(31)
+            out = d.decompress(data)
+            data = d.unused_data
+            whole += len(out)
+            n += out.startswith(b"WARC/1.1")
+            assert out == b"" or (out.count(b"WARC-Type") == 1 and out.endswith(b"\r\n\r\n"))
+        assert whole < 2 * (20000 + 20000)
+    got = warc.read_warc(spark, str(tmp_path / "w"), with_payload=True)
+    assert n == 40 and rows(got, "payload") == rows(pages.select(F.col("html").cast("binary").alias("payload")), "payload")
+    nothing = pages.limit(0)
+    nothing.write.parquet(str(tmp_path / "pages.parquet"))
+    assert warc.query(spark, str(tmp_path)).count() == 0
+
+
+def test_streams_of_any_cut():
+    import gzip
+
+    rnd = random.Random(3)
+    raw = bytes(rnd.randrange(3) + 65 for _ in range(50000))
+    for data in (raw, gzip.compress(raw), b"".join(gzip.compress(raw[k: k + 7000]) + warc.EMPTY_MEMBER for k in range(0, 50000, 7000))):
+        for piece in (100, 3000, 1 << 20):
+            old, warc.PIECE = warc.PIECE, piece
+            stream = warc.Stream(data)
+            one, two, three = stream.before(b"CBA"), stream.take(30000), stream.before(b"ABAB")
+            at = raw.index(b"CBA")
+            assert one == raw[:at] and two == raw[at + 3: at + 30003] and three == raw[at + 30003: raw.index(b"ABAB", at + 30003)]
+            assert len(stream.take(10**6)) == 50000 - raw.index(b"ABAB", at + 30003) - 4 and stream.done() and stream.before(b"A") is None
+            warc.PIECE = old
+    with pytest.raises(ValueError):
+        warc.Stream(gzip.compress(raw)[:-30]).take(10**6)
+
+
 def test_legacy_headers_of_both_versions():
     for version in (1, 2):
         data = warc.arc_head("x.arc", version, "19990102030405") + b"".join(

@@ -464,6 +464,69 @@ def test_audio_round_trip(spark, tmp_path):
     assert len({r.feature for r in got if r.doc_id == 5}) == 1 and len(got) == 8
 
 
+def slow_features(raw, rate):
+    """Log-mels and energy segments by their definitions, in double precision: no phases, no fast transform, no blocks."""
+    g = np.gcd(rate, audio.TARGET)
+    up, down = audio.TARGET // g, rate // g
+    most, half = max(up, down), 8
+    taps = np.array([np.sinc(k / most) * (0.5 + 0.5 * np.cos(2 * np.pi * k / (2 * half * most + 2))) for k in range(-half * most, half * most + 1)])
+    taps *= up / taps.sum()
+    x = np.zeros(len(raw) * up)
+    x[::up] = (np.frombuffer(raw, np.uint8) - 128.0) / 128
+    n = -(-len(raw) * up // down)
+    frames = max(1, -(-(n - audio.FRAME) // audio.HOP) + 1)
+    y = np.convolve(x, taps)[half * most:][::down]
+    y = np.append(y, np.zeros(frames * audio.HOP + audio.FRAME))
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, 2595 * np.log10(1 + audio.TARGET / 2 / 700), audio.MELS + 2)]
+    bins = np.arange(audio.FRAME // 2 + 1)
+    dft = np.exp(-2j * np.pi * np.outer(bins, np.arange(audio.FRAME)) / audio.FRAME)
+    mels, energy = [], []
+    for f in range(frames):
+        cut = y[f * audio.HOP: f * audio.HOP + audio.FRAME]
+        power = np.abs(dft @ (cut * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.FRAME) / audio.FRAME)))) ** 2
+        hz = bins * audio.TARGET / audio.FRAME
+        mels.append([np.log(1e-6 + sum(p * max(0, min((h - a) / (b - a), (c - h) / (c - b))) for p, h in zip(power, hz, strict=True) if a < h < c)) for a, b, c in zip(edges, edges[1:], edges[2:], strict=False)])
+        energy.append(10 * np.log10((cut**2).sum() / audio.FRAME + 1e-9))
+    middle, on, segments = np.median(np.float32(energy)), False, []
+    for f, e in enumerate(energy):
+        if not on and e > middle + audio.ON_DB:
+            on, begin = True, f
+        elif on and e < middle + audio.OFF_DB:
+            on = False
+            segments.append((begin, f))
+    return np.array(mels), segments + ([(begin, frames)] if on else [])
+
+
+def test_stored_features_equal_slow_ones(spark):
+    """Tensors, spans and segments that were stored and read back, for clips of several rates."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("n_chars").limit(12).collect()}
+    clips = [(k, audio.wav_of(audio.payload_of((t or "").encode()), rate)) for k, t in docs.items() for rate in (12000,)]
+    clips += [(10**6 + rate, audio.wav_of(bytes(int(128 + 90 * np.sin(k * k / 9000) * (k % 3000 < 1500)) for k in range(9000)), rate)) for rate in (16000, 8000, 11025)] + [(-1, None)]
+    got = audio.features(spark.createDataFrame(clips, "doc_id long, media binary"))
+    raws = dict(clips)
+    for r in got.collect():
+        if r.tensors is None:
+            assert r.doc_id == -1 and r.segments is None
+            continue
+        view, rate = audio.samples_of(raws[r.doc_id])
+        mels, segments = slow_features(bytes(view), rate)
+        spans, stored = audio.tensors_of(r.tensors)
+        flat = stored.reshape(-1, audio.MELS)
+        assert stored.shape[1:] == (audio.WINDOW_FRAMES, audio.MELS) and np.abs(flat[: len(mels)] - mels).max() < 0.03 and (flat[len(mels):] == np.float16(np.log(1e-6))).all()
+        assert spans[0, 0] == 0 and spans[-1, 1] == len(mels) * 16.0 and (spans[1:, 0] == spans[:-1, 1]).all()
+        assert [(s.start_ms, s.end_ms) for s in r.segments] == [(a * 16.0, b * 16.0) for a, b in segments]
+    told = {r.doc_id: r.feature for r in audio.with_feature(got).collect()}
+    assert told[-1] is None and all(t.startswith("logmel ") for k, t in told.items() if k != -1)
+
+
+def test_audio_of_odd_tables(spark, tmp_path):
+    odd = odd_docs(spark).withColumns({"Feature": F.lit(1), "N_Bytes": F.lit(2), "media": F.lit("x")})
+    got = audio.with_feature(audio.features(audio.with_media(odd))).collect()
+    assert len(got) == 8 and {r.n_bytes for r in got if r.doc_id == 1} == {0} and all(r.feature for r in got)
+    odd.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert audio.query(spark, str(tmp_path)).count() == 0
+
+
 def test_resampling_keeps_a_tone_and_blocks_agree(monkeypatch):
     t = np.arange(16000)
     tone = np.rint(128 + 100 * np.sin(2 * np.pi * 440 * t / 16000)).astype(np.uint8)
@@ -484,7 +547,7 @@ def test_resampling_keeps_a_tone_and_blocks_agree(monkeypatch):
 def test_segments_and_tensors():
     energy = np.array([0, 0, 0, 2, 0.2, 0.1, -1, 0, 0, 5, 5, 0], np.float32)
     assert audio.energy_segments(energy).tolist() == [[3, 6], [9, 12]]
-    (batch,) = list(pa.ipc.open_stream(audio.tensor_stream(np.zeros((70, audio.MELS), np.float32), 16000)))
+    (batch,) = list(pa.ipc.open_stream(audio.tensor_stream(np.zeros((70, audio.MELS), np.float32))))
     assert batch.schema.field("log_mel").type.shape == [audio.WINDOW_FRAMES, audio.MELS] and batch.num_rows == 2
     assert batch.column("end_ms").to_pylist() == [62 * 16.0, 70 * 16.0]
 

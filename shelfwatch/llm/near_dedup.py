@@ -18,7 +18,8 @@ else has, and the odd sketches of the full sets, whose XOR counts at most the sh
 candidate link is lost, however large the bucket.  Such a bucket is dealt into blocks of about ``BLOCK`` classes, and a
 pair of blocks is a key of the join, so no task meets a whole bucket.
 
-Where a hub has many edges, Spark's adaptive execution splits its partition once that is large.
+Where a bucket or a hub has many rows, Spark's adaptive execution splits its partition; so that it can, what is joined
+by bucket is a written table on both sides, not an aggregate of the same stage.
 """
 
 from __future__ import annotations
@@ -209,19 +210,13 @@ def _alike(x: str, y: str):
     return differing <= _most_differing_bits()
 
 
-def _blocks(able: DataFrame) -> DataFrame:
-    """able with blocks, the number of blocks that its bucket is dealt into, and block, that of the row."""
-    sizes = able.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    return able.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("blocks")).cast("int"))
-
-
 def _open_pairs(able: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes of a bucket and different labels, one at least outside the bucket's main label, that the bounds leave.
 
-    able: bucket, cls, label, main, n, common (shingles that others have too), p0, p1, ... (parity bitmap).
+    able: bucket, size (rows of the bucket), cls, label, main, n, common (shingles that others have too), p0, p1, ... (parity bitmap).
     """
     words_of = [f"p{k}" for k in range(PARITY_WORDS)]
-    dealt = _blocks(able)
+    dealt = able.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     x = (dealt.where("label <> main").select("bucket", F.col("block").alias("i"), F.explode(every).alias("j"), *[F.col(c).alias(f"x_{c}") for c in ("cls", "label", "n", "common", *words_of)]))
     # a block outside the main label meets each other such block once
@@ -250,9 +245,11 @@ def _components(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
     # buckets of several classes; who is in many of them
     rows = sig.where("cls is not null").select("cls", F.explode("bands").alias("bucket")).distinct()
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = keep.table(shared, "shared")
     members = keep.table(rows.join(shared, "bucket"), "members")
     popular = members.groupBy("cls").agg(F.sum("size").alias("seen"))
     pivots = (members.join(popular, "cls").groupBy("bucket").agg(F.max(F.struct("seen", "cls")).getField("cls").alias("pivot")))
+    pivots = keep.table(pivots, "pivots")
     sketches = sig.where("cls is not null").select("cls", "sketch").join(popular.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("sketch").alias("sketch"))
     sketches = keep.table(sketches, "sketches")
 
@@ -274,7 +271,8 @@ def _components(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
     placed = (members.where("size > 2").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
               .select("bucket", "cls", F.coalesce("label", "cls").alias("label")))
     counts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label")).getField("label").alias("main")).where("parts > 1")
+    main = counts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "label")).getField("label").alias("main")).where("parts > 1")
+    main = keep.table(main, "main")
     open_ = keep.table(placed.join(main, "bucket").drop("parts"), "open")
     people = open_.select("cls").distinct()
     alone = (sets.join(people, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", F.explode("shingles").alias("s"))

@@ -656,7 +656,7 @@ def test_blocks_lose_no_pair(spark, monkeypatch):
     rnd = random.Random(1)
     flat = [0] * near_dedup.PARITY_WORDS
     table = [(b, f"c{k:03}", f"l{rnd.randrange(5)}", f"l{b}", 10, 10, *flat) for b in range(3) for k in range(60) if rnd.random() < 0.8]
-    able = spark.createDataFrame(table, "bucket long, cls string, label string, main string, n long, common long, " + ", ".join(f"p{k} long" for k in range(near_dedup.PARITY_WORDS)))
+    able = spark.createDataFrame(table, "bucket long, cls string, label string, main string, n long, common long, " + ", ".join(f"p{k} long" for k in range(near_dedup.PARITY_WORDS))).withColumn("size", F.lit(48))
     want = {frozenset((x[1], y[1])) for x in table for y in table if x[0] == y[0] and x[2] != y[2] and x[1] < y[1]}
     for block in (1000, 7):
         monkeypatch.setattr(near_dedup, "BLOCK", block)

@@ -65,9 +65,9 @@ def product_key(offer: Column, url: Column, canonical: Column, title: Column, im
 
 def price_number(text: Column) -> Column:
     """Number in a price text: other characters than digits, comma, point and minus go, the first comma is a point.
-    A text without digits counts as 0, as sources read it; what is no number then is null."""
+    An empty text is null; another one without digits counts as 0, as sources read it; what is no number then is null."""
     kept = F.regexp_replace(F.regexp_replace(text, "[^0-9.,-]", ""), "^([^,]*),", "$1.")
-    return F.when(kept == "", 0.0).when(kept.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), kept.try_cast("double"))
+    return F.when(text == "", None).when(kept == "", 0.0).when(kept.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), kept.try_cast("double"))
 
 
 def money(text: Column) -> Column:
@@ -77,12 +77,18 @@ def money(text: Column) -> Column:
                     F.nullif(F.upper(F.regexp_extract(text, shape, 2)), F.lit("")).alias("currency"))
 
 
+#: The wordings of availability.
+IN_STOCK = ("in_stock", "instock", "available")
+OUT_OF_STOCK = ("out_of_stock", "outofstock", "sold_out", "unavailable")
+
+
 def availability(text: Column) -> Column:
-    """in_stock, out_of_stock, preorder, backorder or unknown of a source's wording ("pre-order" is unknown)."""
-    t = F.regexp_replace(F.lower(F.trim(text)), r"[\s-]+", "_")
-    return (F.when(t.isNull() | (t == ""), "unknown").when(t.contains("out_of_stock") | t.contains("outofstock") | t.contains("sold_out") | t.contains("soldout"), "out_of_stock")
-            .when(t.contains("preorder"), "preorder").when(t.contains("backorder"), "backorder")
-            .when(t.contains("in_stock") | t.contains("instock") | (t == "available"), "in_stock").otherwise("unknown"))
+    """in_stock, out_of_stock, preorder, backorder or unknown of a source's wording ("pre-order" is unknown, and so is one with blanks around it).
+
+    The vocabulary's address before the word goes, runs of white space and hyphens are one underscore.
+    """
+    t = F.regexp_replace(F.regexp_replace(F.lower(text), r"^(?s)(.*?)https?://schema\.org/", "$1"), rf"({SPACE}|-)+", "_")
+    return F.coalesce(F.when(t.isin(*IN_STOCK), "in_stock").when(t.isin(*OUT_OF_STOCK), "out_of_stock").when(t.contains("preorder"), "preorder").when(t.contains("backorder"), "backorder"), F.lit("unknown"))
 
 
 def countries(codes: Column) -> Column:

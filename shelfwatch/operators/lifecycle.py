@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,30 +21,42 @@ def recovery_step(status: str, comparable: bool, healthy: bool) -> tuple[str, st
 def recovery_fold(observations: DataFrame, key: str, at: str, initial: str = "open") -> DataFrame:
     """(key, at, status, event) of each observation (key, at, snapshot, comparable, healthy) of an incident, in order.
 
-    A snapshot that comes again changes nothing. The log of an incident is what one task folds.
+    A snapshot that comes again changes nothing. Windows only: among the observations that count, a healthy one starts
+    recovery, a second healthy one at once resolves for good, an unhealthy one reopens.
+    """
+    if initial not in (*HEALTHY, "open"):
+        return observations.select(key, at, F.lit(initial).alias("status"), F.lit("").alias("event"))
+    order = Window.partitionBy(key).orderBy(at, "snapshot")
+    past, before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
+    again = (F.row_number().over(order) > 1) & F.col("snapshot").eqNullSafe(F.lag("snapshot").over(order))
+    rows = observations.select(key, at, "snapshot", F.when(F.coalesce("comparable", F.lit(False)) & ~again, F.coalesce("healthy", F.lit(False))).alias("counts"))
+    rows = rows.withColumns({"prior": F.coalesce(F.last("counts", ignorenulls=True).over(before), F.lit(initial == "recovering")), "latest": F.coalesce(F.last("counts", ignorenulls=True).over(past), F.lit(initial == "recovering")),
+                             "ever": F.coalesce(F.bool_or("counts").over(past), F.lit(False)) | F.lit(initial == "recovering")})
+    rows = rows.withColumn("ends", F.coalesce(F.col("counts") & F.col("prior"), F.lit(False)))
+    rows = rows.withColumns({"over": F.bool_or("ends").over(past), "was_over": F.coalesce(F.bool_or("ends").over(before), F.lit(False))})
+    status = F.when(F.col("over"), "resolved").when(F.col("latest"), "recovering").when(F.col("ever"), "open").otherwise(initial)
+    event = F.when(F.col("counts").isNull() | F.col("was_over"), "").when(F.col("ends"), "resolved").when(F.col("counts"), "recovery_started").when(F.col("prior"), "reopened").otherwise("")
+    return rows.select(key, at, status.alias("status"), event.alias("event"))
+
+
+def two_strikes(observations: DataFrame, keys: list[str], at: str, significant: Column, comparable: Column | None = None, snapshot: str | None = None) -> DataFrame:
+    """observations with debounce: confirmed where the comparable one before was significant too, pending where it wasn't, else healthy.
+
+    One that isn't comparable is not_comparable and counts for nothing. Where snapshot is given, an observation of the
+    snapshot of the one before is its rerun: it has the same debounce and doesn't count again.
     """
-    kinds = f"{key} {observations.schema[key].dataType.simpleString()}, {at} {observations.schema[at].dataType.simpleString()}, status string, event string"
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([at, "snapshot"], kind="stable")
-        status, last, out = initial, None, []
-        for t, snapshot, comparable, healthy in rows[[at, "snapshot", "comparable", "healthy"]].itertuples(index=False):
-            event = ""
-            if snapshot != last:
-                status, event = recovery_step(status, bool(comparable), bool(healthy))
-            last = snapshot
-            out.append((t, status, event))
-        return pd.DataFrame({key: rows[key].to_numpy(), at: [o[0] for o in out], "status": [o[1] for o in out], "event": [o[2] for o in out]})
-
-    return observations.select(key, at, "snapshot", "comparable", "healthy").groupBy(key).applyInPandas(fold, kinds)
-
-
-def two_strikes(observations: DataFrame, keys: list[str], at: str, significant: Column) -> DataFrame:
-    """observations with debounce: confirmed where the comparable one before was significant too, pending where it wasn't, else healthy."""
     w = Window.partitionBy(*keys).orderBy(at)
-    rows = observations.withColumn("significant", significant)
-    before = F.coalesce(F.lag("significant").over(w), F.lit(False))
-    return rows.withColumn("debounce", F.when(F.col("significant") & before, "confirmed").when(F.col("significant"), "pending").otherwise("healthy"))
+    counts = F.lit(True) if comparable is None else F.coalesce(comparable, F.lit(False))
+    if snapshot is not None:
+        counts = counts & ~((F.row_number().over(w) > 1) & F.col(snapshot).eqNullSafe(F.lag(snapshot).over(w)))
+    rows = observations.withColumn("significant", significant).withColumn("__counts", counts)
+    before = F.coalesce(F.last(F.when(F.col("__counts"), F.col("significant")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    said = F.when(F.col("significant") & before, "confirmed").when(F.col("significant"), "pending").otherwise("healthy")
+    rows = rows.withColumn("debounce", F.when(F.col("__counts"), said))
+    if snapshot is not None:
+        run = Window.partitionBy(*keys, snapshot).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumn("debounce", F.coalesce("debounce", F.last("debounce", ignorenulls=True).over(run)))
+    return rows.withColumn("debounce", F.coalesce("debounce", F.lit("not_comparable"))).drop("__counts")
 
 
 def newest_streak(checks: DataFrame, keys: list[str], at: str, failed: Column) -> DataFrame:

@@ -12,8 +12,9 @@ from ..functions.columns import availability, price_number
 from .baseline import is_matched_loss
 
 SEVERE = ("critical", "error", "disapproved", "severe")
-#: Least number and least share of the common pages at which a signal counts.
-SEO_SIGNALS = {"noindex": (5, 0.05), "canonical": (5, 0.05), "schema": (5, 0.10), "http_error": (5, 0.10)}
+#: Least number and least share of the common pages at which a signal counts, and the versions of comparable samples.
+SEO_SIGNALS = {"noindex": (5, 0.05), "canonical_away": (5, 0.05), "schema_missing": (5, 0.10), "http_error": (5, 0.10)}
+SAMPLE = {"sample_strategy": "stable_hash_v1", "parser_version": "product_page_parser_v1", "normalization_version": "product_page_normalizer_v1", "schema_version": "schema_valid_enough_v1"}
 
 
 def source_divergence(matches: DataFrame, checks: DataFrame, pct: float = 0.1, abs_: float = 20) -> DataFrame:
@@ -34,48 +35,64 @@ def source_divergence(matches: DataFrame, checks: DataFrame, pct: float = 0.1, a
 
 
 def price_availability(pairs: DataFrame, checks: DataFrame, abs_: float = 0.02, rel: float = 0.001, least: int = 5, ratio: float = 0.2, comparable: int = 20) -> DataFrame:
-    """(snapshot_id, compared, price_bad, availability_bad, affected, is_open, severity) of matched products.
+    """(snapshot_id, compared, price_bad, availability_bad, affected, signals, total_affected, affected_count, is_open, severity) of matched products.
 
     pairs: snapshot_id, product, confidence, and price, currency and availability of both sides (feed_, shop_). Only
-    confidences of 0.9 or more count. Prices compare if both are numbers in one currency (none on both sides is one),
-    availabilities if both are known. Needs a feed check and a product_page check of success.
+    confidences of 0.9 or more count, and a product once. Prices compare if both are numbers and both have the same
+    currency, upper-cased; availabilities if both are known. Each of the two signals needs least products and their ratio
+    of all compared ones; total_affected counts the products of the signals that do. Needs a feed check and a
+    product_page check of success.
     """
     good = F.col("status") == "success"
     gate = checks.groupBy("snapshot_id").agg(F.bool_or(good & (F.col("source") == "feed")).alias("f"), F.bool_or(good & (F.col("source") == "product_page")).alias("p")).where("f and p")
     a, b = price_number(F.col("feed_price")), price_number(F.col("shop_price"))
-    priced = a.isNotNull() & b.isNotNull() & F.col("feed_currency").eqNullSafe(F.col("shop_currency"))
+    one = (F.col("feed_currency") != "") & (F.upper("feed_currency") == F.upper("shop_currency"))
     diff = F.abs(a - b)
     x, y = availability(F.col("feed_availability")), availability(F.col("shop_availability"))
-    known = (x != "unknown") & (y != "unknown")
     far = (diff >= abs_) & (diff / F.greatest(F.abs(a), F.abs(b), F.lit(1.0)) >= rel)
-    rows = pairs.where("confidence >= 0.9").select("snapshot_id", "product", (priced | known).alias("can"), F.coalesce(priced & far, F.lit(False)).alias("p"), (known & (x != y)).alias("v"))
-    per = rows.groupBy("snapshot_id", "product").agg(F.bool_or("can").alias("can"), F.bool_or("p").alias("p"), F.bool_or("v").alias("v"))
-    out = per.groupBy("snapshot_id").agg(F.count_if("can").alias("compared"), F.count_if("p").alias("price_bad"), F.count_if("v").alias("availability_bad"), F.count_if(F.col("p") | F.col("v")).alias("affected"))
-    opens = (F.col("compared") >= comparable) & (F.col("affected") >= least) & (F.col("affected") >= ratio * F.col("compared"))
+    no = F.lit(False)
+    rows = pairs.where("confidence >= 0.9").select("snapshot_id", "product", F.coalesce(one & far, no).alias("p"), ((x != "unknown") & (y != "unknown") & (x != y)).alias("v"))
+    per = rows.groupBy("snapshot_id", "product").agg(F.bool_or("p").alias("p"), F.bool_or("v").alias("v"))
+    out = per.groupBy("snapshot_id").agg(F.count("*").alias("compared"), F.count_if("p").alias("price_bad"), F.count_if("v").alias("availability_bad"), F.count_if(F.col("p") | F.col("v")).alias("affected"))
+    signal = lambda n: (F.col(n) >= least) & (F.col(n) >= ratio * F.col("compared"))
+    p, v = signal("price_bad"), signal("availability_bad")
+    total = F.when(p & v, F.col("affected")).when(p, F.col("price_bad")).when(v, F.col("availability_bad")).otherwise(0)
+    most = F.greatest(F.when(p, F.col("price_bad")).otherwise(0), F.when(v, F.col("availability_bad")).otherwise(0))
+    named = F.filter(F.array(F.when(p, "price_mismatch_count"), F.when(v, "availability_mismatch_count")), lambda s: s.isNotNull())
+    out = out.withColumns({"signals": named, "total_affected": total, "affected_count": most})
+    opens = (F.col("compared") >= comparable) & (F.size("signals") > 0) & (F.col("total_affected") >= least) & (F.col("total_affected") >= ratio * F.col("compared"))
     return out.join(gate.select("snapshot_id"), "snapshot_id").select("*", opens.alias("is_open"), F.lit("warning").alias("severity"))
 
 
 def seo_regression(items: DataFrame, snapshots: DataFrame, coverage: float = 0.8, common: int = 20) -> DataFrame:
     """(snapshot_id, previous_id, common, coverage, a count for each of SEO_SIGNALS, signals, affected, confidence, is_open).
 
-    snapshots: snapshot_id, store_id, manifest, finished_at; a snapshot is compared with the one before it of its store
-    and manifest. items: snapshot_id, stable_key (once a snapshot), noindex, canonical_state, schema_present,
-    http_status. Pairs of too few common pages or too little coverage are absent.
+    snapshots: snapshot_id, store_id, finished_at, urls_hash, the versions named in SAMPLE, selected_count,
+    comparable_checks, failed_checks. A snapshot is compared with the one before it of its store, hash and versions that
+    selected 20 or more; both must have the versions of SAMPLE, a hash, 20 selected, 20 comparable checks and four fifths
+    of all checks comparable. items: snapshot_id, stable_key (once a snapshot), indexability, canonical_state,
+    schema_valid, http_status, each null if unknown. Pairs of too few common pages or too little coverage are absent.
     """
-    w = Window.partitionBy("store_id", "manifest").orderBy("finished_at", "snapshot_id")
-    pairs = snapshots.select("snapshot_id", F.lag("snapshot_id").over(w).alias("previous_id")).where("previous_id is not null")
+    manifest = ["urls_hash", *SAMPLE]
+    w = Window.partitionBy("store_id", *manifest).orderBy("finished_at", "snapshot_id")
+    fit = F.col("urls_hash").isNotNull() & (F.col("urls_hash") != "") & (F.col("comparable_checks") >= 20) & (F.col("comparable_checks") >= 0.8 * (F.col("comparable_checks") + F.col("failed_checks")))
+    for name, value in SAMPLE.items():
+        fit = fit & (F.col(name) == value)
+    rows = snapshots.where("selected_count >= 20").withColumn("fit", F.coalesce(fit, F.lit(False)))
+    pairs = rows.select("snapshot_id", "fit", F.lag(F.struct("snapshot_id", "fit")).over(w).alias("p")).where("fit and p.fit").select("snapshot_id", F.col("p.snapshot_id").alias("previous_id"))
     sizes = items.groupBy("snapshot_id").agg(F.count("*").alias("size"))
-    now = items.join(pairs, "snapshot_id")
-    old = items.select(F.col("snapshot_id").alias("previous_id"), "stable_key", *[F.col(c).alias(f"o_{c}") for c in ("noindex", "canonical_state", "schema_present", "http_status")])
+    seen = ("indexability", "canonical_state", "schema_valid", "http_status")
+    now = items.select("snapshot_id", "stable_key", *seen).join(pairs, "snapshot_id")
+    old = items.select(F.col("snapshot_id").alias("previous_id"), "stable_key", *[F.col(c).alias(f"o_{c}") for c in seen])
     both = now.join(old, ["previous_id", "stable_key"])
-    turned = {"noindex": F.col("noindex") & ~F.col("o_noindex"), "canonical": (F.col("o_canonical_state") == "self") & (F.col("canonical_state") != "self"),
-              "schema": F.col("o_schema_present") & ~F.col("schema_present"), "http_error": (F.col("http_status") >= 400) & (F.col("o_http_status") < 400)}
+    turned = {"noindex": (F.col("indexability") == "noindex") & ~F.col("o_indexability").eqNullSafe("noindex"), "canonical_away": (F.col("o_canonical_state") == "self") & (F.col("canonical_state") == "different"),
+              "schema_missing": F.col("o_schema_valid") & ~F.coalesce("schema_valid", F.lit(False)), "http_error": (F.col("http_status") >= 400) & F.col("o_http_status").between(200, 399)}
     got = both.groupBy("snapshot_id", "previous_id").agg(F.count("*").alias("common"), *[F.count_if(t).alias(n) for n, t in turned.items()])
     got = got.join(sizes, "snapshot_id").join(sizes.select(F.col("snapshot_id").alias("previous_id"), F.col("size").alias("o_size")), "previous_id")
     got = got.withColumn("coverage", F.col("common") / F.least("size", "o_size")).where((F.col("common") >= common) & (F.col("coverage") >= coverage))
-    counted = [F.when((F.col(n) >= k) & (F.col(n) >= share * F.col("common")), F.lit(n)) for n, (k, share) in SEO_SIGNALS.items()]
-    got = got.withColumn("signals", F.filter(F.array(*counted), lambda s: s.isNotNull()))
-    return got.select("snapshot_id", "previous_id", "common", "coverage", *SEO_SIGNALS, "signals", F.greatest(*SEO_SIGNALS).alias("affected"),
+    counted = {n: (F.col(n) >= k) & (F.col(n) >= share * F.col("common")) for n, (k, share) in SEO_SIGNALS.items()}
+    got = got.withColumn("signals", F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in counted.items()]), lambda s: s.isNotNull()))
+    return got.select("snapshot_id", "previous_id", "common", "coverage", *SEO_SIGNALS, "signals", F.greatest(*[F.when(c, F.col(n)).otherwise(0) for n, c in counted.items()]).alias("affected"),
                       F.when(F.size("signals") >= 2, 0.70).otherwise(0.55).alias("confidence"), (F.size("signals") > 0).alias("is_open"))
 
 

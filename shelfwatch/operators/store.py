@@ -39,7 +39,13 @@ def encode_cursor(values: tuple) -> str:
 
 
 def decode_cursor(cursor: str) -> tuple:
-    return tuple(json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4))))
+    """The values of a cursor. Raises ValueError for what is none: too long, not base64, not a JSON list."""
+    if len(cursor) > 4096:
+        raise ValueError("a cursor of more than 4096 characters")
+    values = json.loads(base64.b64decode(cursor + "=" * (-len(cursor) % 4), altchars=b"-_", validate=True))
+    if not isinstance(values, list):
+        raise ValueError("a cursor that holds no list")
+    return tuple(values)
 
 
 def active_window(events: DataFrame, windows: DataFrame, at: str, keys: list[str], id_: list[str]) -> DataFrame:

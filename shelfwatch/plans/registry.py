@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import alerts, baseline, correlation, identity, incidents, lifecycle, rules, store
+from ..operators import alerts, baseline, correlation, identity, incidents, lifecycle, reports, rules, store
 from ..sources import category, landed, merchant
 
 QUERIES: dict = {}
@@ -346,14 +346,159 @@ def seo_transitions(spark, sf_dir):
     return rows.groupBy("month").agg(F.count_if((F.col("pf") > 0) & (F.col("f") == 0)).alias("lost_f"), F.count_if((F.col("po") > 0) & (F.col("o") == 0)).alias("lost_o"), F.count("*").alias("pairs"))
 
 
-@_query("""
-SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'in_stock' WHEN o_orderstatus = 'O' THEN 'out_of_stock' ELSE 'unknown' END AS availability FROM orders""")
+#: Wordings of availability that the queries below take in turn.
+WORDINGS = ("in stock", "InStock", "available", "https://schema.org/InStock", "http://schema.org/OutOfStock", "Out-of-Stock", "sold out", "unavailable", "not_in_stock", "PreOrder", "pre-order", "on backorder", "", "soon", "In  -Stock", " in stock")
+
+
+def _worded(n):
+    return F.element_at(F.array(*[F.lit(w) for w in WORDINGS]), (n % len(WORDINGS) + 1).cast("int"))
+
+
+def _worded_sql(n):
+    """The wording and its meaning, by plain rules."""
+    said = f"list_extract([{', '.join(repr(w) for w in WORDINGS)}], CAST({n} % {len(WORDINGS)} AS INTEGER) + 1)"
+    word = f"regexp_replace(regexp_replace(lower({said}), 'https?://schema[.]org/', ''), '[ -]+', '_', 'g')"
+    return (f"CASE WHEN {word} IN ('in_stock', 'instock', 'available') THEN 'in_stock' WHEN {word} IN ('out_of_stock', 'outofstock', 'sold_out', 'unavailable') THEN 'out_of_stock' "
+            f"WHEN contains({word}, 'preorder') THEN 'preorder' WHEN contains({word}, 'backorder') THEN 'backorder' ELSE 'unknown' END")
+
+
+@_query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'unknown' ELSE {_worded_sql('o_orderkey')} END AS availability FROM orders")
 def availability_norm(spark, sf_dir):
-    """Wordings of availability, normalised: order states spelled out."""
-    said = F.when(F.col("o_orderstatus") == "F", " In Stock ").when(F.col("o_orderstatus") == "O", "out-of-stock").otherwise("pre-order")
+    """Wordings of availability, normalised: the order's number chooses one, none for some."""
+    said = F.when(F.col("o_orderkey") % 97 != 0, _worded(F.col("o_orderkey")))
     return _table(spark, sf_dir, "orders").select("o_orderkey", C.availability(said).alias("availability"))
 
 
+@_query(f"""
+WITH l AS (SELECT l_suppkey % 20 AS snapshot_id, l_orderkey * 10 + l_linenumber AS product, p_size, l_orderkey AS o, l_linenumber AS n, l_partkey AS k FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <> 7),
+j AS (SELECT snapshot_id, product, CASE WHEN o % 11 <> 0 AND o % 13 NOT IN (0, 1) THEN abs((p_size + 0.5) - (p_size + CASE WHEN (o + n) % 4 = 0 THEN 1 ELSE 0 END + 0.51)) END AS diff, p_size + CASE WHEN (o + n) % 4 = 0 THEN 1 ELSE 0 END + 0.51 AS most,
+             {_worded_sql('o')} AS x, {_worded_sql('(k + 1)')} AS y FROM l),
+f AS (SELECT snapshot_id, product, bool_or(coalesce(diff >= 0.02 AND diff / most >= 0.001, false)) AS p, bool_or(x <> 'unknown' AND y <> 'unknown' AND x <> y) AS v FROM j GROUP BY 1, 2),
+c AS (SELECT snapshot_id, count(*) AS compared, count(*) FILTER (p) AS price_bad, count(*) FILTER (v) AS availability_bad, count(*) FILTER (p OR v) AS affected FROM f WHERE snapshot_id % 7 <> 3 GROUP BY 1),
+g AS (SELECT *, price_bad >= 5 AND price_bad >= 0.2 * compared AS ps, availability_bad >= 5 AND availability_bad >= 0.2 * compared AS vs FROM c),
+t AS (SELECT *, CASE WHEN ps AND vs THEN affected WHEN ps THEN price_bad WHEN vs THEN availability_bad ELSE 0 END AS total_affected FROM g)
+SELECT snapshot_id, compared, price_bad, availability_bad, concat_ws(',', CASE WHEN ps THEN 'price_mismatch_count' END, CASE WHEN vs THEN 'availability_mismatch_count' END) AS signals, total_affected,
+       compared >= 20 AND (ps OR vs) AND total_affected >= 5 AND total_affected >= 0.2 * compared AS is_open FROM t""")
+def price_availability(spark, sf_dir):
+    """Price and availability rule: order lines as pairs of a feed and a shop item; some lack a currency or have different ones, one line number is a doubtful match."""
+    li, part = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"), _table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    o = F.col("l_orderkey")
+    rows = li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        (F.col("l_suppkey") % 20).alias("snapshot_id"), (o * 10 + F.col("l_linenumber")).alias("product"), F.when(F.col("l_linenumber") == 7, 0.5).otherwise(0.98).alias("confidence"),
+        F.concat(F.col("p_size").cast("string"), F.lit(",50 EUR")).alias("feed_price"), F.when(o % 11 != 0, F.when(o % 2 == 0, "eur").otherwise("EUR")).alias("feed_currency"), _worded(o).alias("feed_availability"),
+        F.concat((F.col("p_size") + F.when((o + F.col("l_linenumber")) % 4 == 0, 1).otherwise(0)).cast("string"), F.lit(".51")).alias("shop_price"),
+        F.when(o % 13 == 0, "").when(o % 13 == 1, "USD").otherwise("EUR").alias("shop_currency"), _worded(F.col("l_partkey") + 1).alias("shop_availability"))
+    checks = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 20).alias("snapshot_id"), F.explode(F.array(F.lit("feed"), F.lit("product_page"))).alias("source"))
+    checks = checks.withColumn("status", F.when((F.col("snapshot_id") % 7 == 3) & (F.col("source") == "feed"), "partial").otherwise("success"))
+    got = rules.price_availability(rows, checks)
+    return got.select("snapshot_id", "compared", "price_bad", "availability_bad", F.array_join("signals", ",").alias("signals"), "total_affected", "is_open")
+
+
+@_query("""
+WITH i AS (SELECT l_suppkey % 5 AS store, CAST(year(l_shipdate) AS BIGINT) AS y, l_partkey % 150 AS k, CAST(sum(l_linenumber) AS BIGINT) + l_partkey % 150 AS q FROM lineitem WHERE l_suppkey % 5 <> 3 OR l_partkey % 7 <> year(l_shipdate) % 7 GROUP BY 1, 2, 3),
+s AS (SELECT store, y, count(*) AS size, count(*) FILTER (q % 10 <> 1) AS good, store <> 4 AND count(*) >= 20 AND count(*) FILTER (q % 10 <> 1) >= 20 AND count(*) FILTER (q % 10 <> 1) >= 0.8 * count(*) AS fit FROM i GROUP BY 1, 2),
+p AS (SELECT *, lag(y) OVER w AS py, lag(fit) OVER w AS pfit, lag(size) OVER w AS psize FROM s WHERE size >= 20 WINDOW w AS (PARTITION BY store ORDER BY y)),
+b AS (SELECT p.store, p.y, p.py, least(p.size, p.psize) AS most, n.q, o.q AS oq FROM p JOIN i n ON n.store = p.store AND n.y = p.y JOIN i o ON o.store = p.store AND o.y = p.py AND o.k = n.k WHERE p.fit AND p.pfit),
+c AS (SELECT store, y, py, count(*) AS common, count(*) / max(most) AS coverage, count(*) FILTER (q % 9 = 0 AND oq % 9 <> 0) AS noindex, count(*) FILTER (oq % 8 > 1 AND q % 8 = 0) AS canonical_away,
+             count(*) FILTER (oq % 6 > 1 AND q % 6 <= 1) AS schema_missing, count(*) FILTER (q % 10 = 0 AND oq % 10 > 1) AS http_error FROM b GROUP BY 1, 2, 3 HAVING count(*) >= 20 AND count(*) / max(most) >= 0.8),
+g AS (SELECT *, CASE WHEN noindex >= 5 AND noindex >= 0.05 * common THEN noindex END AS a, CASE WHEN canonical_away >= 5 AND canonical_away >= 0.05 * common THEN canonical_away END AS b,
+             CASE WHEN schema_missing >= 5 AND schema_missing >= 0.1 * common THEN schema_missing END AS c, CASE WHEN http_error >= 5 AND http_error >= 0.1 * common THEN http_error END AS d FROM c)
+SELECT store * 10000 + y AS snapshot_id, store * 10000 + py AS previous_id, common, coverage, noindex, canonical_away, schema_missing, http_error,
+       concat_ws(',', CASE WHEN a IS NOT NULL THEN 'noindex' END, CASE WHEN b IS NOT NULL THEN 'canonical_away' END, CASE WHEN c IS NOT NULL THEN 'schema_missing' END, CASE WHEN d IS NOT NULL THEN 'http_error' END) AS signals,
+       greatest(coalesce(a, 0), coalesce(b, 0), coalesce(c, 0), coalesce(d, 0)) AS affected, coalesce(a, b, c, d) IS NOT NULL AS is_open FROM g""")
+def seo_regression(spark, sf_dir):
+    """Page-signal rule: parts shipped in a year as the pages of a supplier group's snapshot; one group's parser differs, another's pages change from year to year."""
+    li = _table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 5).alias("store"), F.year("l_shipdate").cast("long").alias("y"), "l_partkey", "l_linenumber")
+    q = F.col("q")
+    items = (li.where((F.col("store") != 3) | (F.col("l_partkey") % 7 != F.col("y") % 7)).groupBy("store", "y", (F.col("l_partkey") % 150).alias("stable_key")).agg(F.sum("l_linenumber").alias("q")).withColumn("q", q + F.col("stable_key"))
+             .select("store", "y", (F.col("store") * 10000 + F.col("y")).alias("snapshot_id"), "stable_key", F.when(q % 9 == 0, "noindex").when(q % 9 > 1, "index").alias("indexability"),
+                     F.when(q % 8 == 0, "different").when(q % 8 == 1, "missing").otherwise("self").alias("canonical_state"), F.when(q % 6 != 1, q % 6 > 1).alias("schema_valid"), F.when(q % 10 == 0, 404).when(q % 10 == 2, 301).when(q % 10 > 2, 200).alias("http_status")))
+    snapshots = items.groupBy("snapshot_id", F.col("store").alias("store_id"), F.col("y").alias("finished_at")).agg(
+        F.count("*").alias("selected_count"), F.count("http_status").alias("comparable_checks"), F.count_if(F.col("http_status").isNull()).alias("failed_checks")).withColumn("urls_hash", F.lit("h"))
+    for name, value in rules.SAMPLE.items():
+        snapshots = snapshots.withColumn(name, F.when((F.col("store_id") == 4) & (name == "parser_version"), "other").otherwise(value))
+    got = rules.seo_regression(items, snapshots)
+    return got.select("snapshot_id", "previous_id", "common", "coverage", *rules.SEO_SIGNALS, F.array_join("signals", ",").alias("signals"), "affected", "is_open")
+
+
+@_query("""
+WITH c AS (SELECT store_id, source, max(k) AS k FROM (SELECT user_id AS store_id, CASE event_type WHEN 'click' THEN 'sitemap' WHEN 'error' THEN 'feed' WHEN 'purchase' THEN 'category' WHEN 'signup' THEN 'product_page' ELSE 'merchant_center' END AS source,
+             (ts, event_id) AS k FROM events) GROUP BY 1, 2),
+d AS (SELECT store_id, source, e.ts, e.event_id FROM c JOIN events e ON e.ts = c.k[1] AND e.event_id = c.k[2]),
+i AS (SELECT o_custkey, CASE o_orderkey % 6 WHEN 0 THEN 'open' WHEN 1 THEN 'investigating' WHEN 2 THEN 'acknowledged' WHEN 3 THEN 'recovering' ELSE 'resolved' END AS status, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'critical' ELSE 'warning' END AS severity, o_orderdate FROM orders),
+n AS (SELECT o_custkey, count(*) FILTER (status IN ('open', 'investigating', 'acknowledged')) AS a, count(*) FILTER (status <> 'resolved' AND severity = 'critical') AS b, count(*) FILTER (status <> 'resolved' AND severity = 'warning') AS c, count(*) FILTER (status = 'recovering') AS d, max(o_orderdate) AS u FROM i GROUP BY 1)
+SELECT c_custkey AS store_id, c_name AS name, g.source, n.u AS baseline_updated_at, coalesce(n.a, 0) AS open_incidents, coalesce(n.b, 0) AS critical_incidents, coalesce(n.c, 0) AS high_incidents, coalesce(n.d, 0) AS recovering_incidents,
+       l.t AS last_checked_at, CASE WHEN d.event_id % 3 = 0 THEN 'partial' WHEN d.event_id IS NOT NULL THEN 'success' END AS source_status, d.event_id % 100 AS source_items, d.ts AS source_checked_at
+FROM customer CROSS JOIN (VALUES ('sitemap'), ('feed'), ('category'), ('product_page'), ('merchant_center')) g(source) LEFT JOIN d ON d.store_id = c_custkey AND d.source = g.source LEFT JOIN n ON n.o_custkey = c_custkey
+LEFT JOIN (SELECT user_id, max(ts) AS t FROM events GROUP BY 1) l ON l.user_id = c_custkey""")
+def store_grid(spark, sf_dir):
+    """Summary of every store and source: customers as stores, events as checks, orders as incidents and baselines."""
+    kind = F.col("event_type")
+    source = F.when(kind == "click", "sitemap").when(kind == "error", "feed").when(kind == "purchase", "category").when(kind == "signup", "product_page").otherwise("merchant_center")
+    checks = _table(spark, sf_dir, "events").select(F.col("user_id").alias("store_id"), source.alias("source"), F.when(F.col("event_id") % 3 == 0, "partial").otherwise("success").alias("status"), (F.col("event_id") % 100).alias("items_observed"),
+                                                    F.col("ts").alias("finished_at"), F.col("ts").alias("created_at"), F.col("event_id").alias("check_id"))
+    orders = _table(spark, sf_dir, "orders")
+    six = F.col("o_orderkey") % 6
+    incident = orders.select(F.col("o_custkey").alias("store_id"), F.when(six == 0, "open").when(six == 1, "investigating").when(six == 2, "acknowledged").when(six == 3, "recovering").otherwise("resolved").alias("status"),
+                             F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "critical").otherwise("warning").alias("severity"))
+    stores = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("store_id"), F.col("c_name").alias("name"), F.lit("d").alias("domain"), F.lit("active").alias("baseline_status"))
+    got = reports.store_summary(stores, checks, incident, orders.select(F.col("o_custkey").alias("store_id"), F.col("o_orderdate").alias("updated_at")))
+    return got.drop("domain", "baseline_status")
+
+
+ISSUES = """
+e AS (SELECT event_type AS scope, user_id, event_id, nullif(trim(json_extract_string(props, '$.k')), '') AS code, CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' WHEN 2 THEN 'info' ELSE 'unknown' END AS severity,
+             CASE WHEN event_id % 20 = 0 THEN 'unknown' ELSE 'a' || (event_id % 20) END AS attribute, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS k FROM events),
+u AS (SELECT scope, user_id, row_number() OVER (PARTITION BY scope ORDER BY user_id) AS n FROM (SELECT DISTINCT scope, user_id FROM e)),
+i AS (SELECT e.scope, e.user_id, u.n, code, severity, attribute, min(u.n * 1000 + k) AS came, CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END AS urgency
+      FROM e JOIN u ON u.scope = e.scope AND u.user_id = e.user_id WHERE k <= 100 AND n <= 500 AND code IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6)"""
+
+
+def _issue_products(spark, sf_dir):
+    """Events of a type and user as the issues of a product, types as incidents."""
+    e = F.col("event_id")
+    row = F.struct("event_id", F.get_json_object("props", "$.k").alias("code"), F.when(e % 4 == 0, "ERROR").when(e % 4 == 1, " warning").when(e % 4 == 2, "info").alias("severity"), F.when(e % 20 != 0, F.concat(F.lit("a"), (e % 20).cast("string"))).alias("attribute"))
+    per = _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("incident_id"), F.col("user_id").alias("position")).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    issues = F.transform("r", lambda i: F.struct(i["code"].alias("code"), i["severity"].alias("severity"), i["attribute"].alias("attribute")))
+    return per.select("incident_id", "position", F.concat(F.lit("u"), F.col("position").cast("string")).alias("stable_key"), F.lit(None).cast("string").alias("offer_id"), F.lit("t").alias("title"), issues.alias("issues"))
+
+
+@_query(f"""
+WITH {ISSUES},
+c AS (SELECT scope, code, count(*) AS issue_count, count(DISTINCT user_id) AS product_count, max(urgency) AS urgency, row_number() OVER (PARTITION BY scope ORDER BY min(came)) AS r FROM i GROUP BY 1, 2),
+s AS (SELECT scope, code, severity, row_number() OVER (PARTITION BY scope, code ORDER BY min(came)) AS r FROM i GROUP BY 1, 2, 3), a AS (SELECT scope, code, attribute, row_number() OVER (PARTITION BY scope, code ORDER BY min(came)) AS r FROM i GROUP BY 1, 2, 3),
+s2 AS (SELECT scope, code, string_agg(severity, ',' ORDER BY severity) AS severities FROM s WHERE r <= 8 GROUP BY 1, 2), a2 AS (SELECT scope, code, string_agg(attribute, ',' ORDER BY attribute) AS attributes FROM a WHERE r <= 16 GROUP BY 1, 2)
+SELECT c.scope AS incident_id, row_number() OVER (PARTITION BY c.scope ORDER BY urgency DESC, issue_count DESC, c.code) AS rank, c.code, issue_count, product_count, CASE urgency WHEN 3 THEN 'critical' WHEN 2 THEN 'high' ELSE 'normal' END AS priority, severities, attributes
+FROM c JOIN s2 ON s2.scope = c.scope AND s2.code = c.code JOIN a2 ON a2.scope = c.scope AND a2.code = c.code WHERE c.r <= 100""")
+def issue_groups(spark, sf_dir):
+    """Issue triage by code: limits on products, issues, codes, severities and attributes apply in order of arrival."""
+    got = reports.issue_groups(_issue_products(spark, sf_dir))
+    return got.withColumn("severities", F.array_join("severities", ",")).withColumn("attributes", F.array_join("attributes", ","))
+
+
+@_query(f"""
+WITH {ISSUES}, p AS (SELECT scope, user_id, max(urgency) AS urgency, count(*) AS issue_count FROM i GROUP BY 1, 2),
+o AS (SELECT scope, user_id, code, row_number() OVER (PARTITION BY scope, user_id ORDER BY min(came)) AS r FROM i GROUP BY 1, 2, 3), o2 AS (SELECT scope, user_id, string_agg(code, ',' ORDER BY code) AS issue_codes FROM o WHERE r <= 16 GROUP BY 1, 2),
+r AS (SELECT p.scope AS incident_id, row_number() OVER (PARTITION BY p.scope ORDER BY urgency DESC, issue_count DESC, 'u' || p.user_id) AS rank, 'u' || p.user_id AS stable_key, CASE urgency WHEN 3 THEN 'critical' WHEN 2 THEN 'high' ELSE 'normal' END AS priority, issue_count, issue_codes
+      FROM p JOIN o2 ON o2.scope = p.scope AND o2.user_id = p.user_id)
+SELECT * FROM r WHERE rank <= 50""")
+def issue_products(spark, sf_dir):
+    """The most urgent products of each incident (a top-k report)."""
+    got = reports.issue_products(_issue_products(spark, sf_dir))
+    return got.select("incident_id", "rank", "stable_key", "priority", "issue_count", F.array_join("issue_codes", ",").alias("issue_codes"))
+
+
+@_query("""
+WITH e AS (SELECT event_type, user_id, event_id, nullif(trim(json_extract_string(props, '$.k')), '') AS code, CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' WHEN 2 THEN 'info' ELSE 'unknown' END AS severity,
+             CASE WHEN event_id % 20 = 0 THEN 'unknown' ELSE 'a' || (event_id % 20) END AS attribute, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_type, user_id) > 100 AS truncated FROM events)
+SELECT event_type AS incident_id, 'u' || user_id AS stable_key, count(DISTINCT (code, severity, attribute)) AS issue_count, max(CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END) AS priority_rank, bool_or(truncated) AS truncated
+FROM e WHERE k <= 100 AND code IS NOT NULL AND contains('u' || user_id, '1') GROUP BY 1, 2 HAVING bool_or(severity = 'warning') AND NOT bool_or(severity = 'error')""")
+def remediation_queue(spark, sf_dir):
+    """The remediation queue of all incidents under filters on severity, priority and a search."""
+    items = _issue_products(spark, sf_dir).withColumn("item_id", F.col("stable_key"))
+    return reports.remediation_rows(items, severity="Warning", priority="high", search="1").select("incident_id", "stable_key", "issue_count", "priority_rank", "truncated")
+
+
 @_query("""
 WITH k AS (SELECT 'part' AS side, p_partkey AS id, 'offer:' || lower(p_name) AS key FROM part
            UNION ALL SELECT 'storefront', p_partkey, 'offer:' || lower(p_name) FROM part WHERE p_partkey % 3 = 0)

@@ -25,12 +25,75 @@ def test_prices_and_availability(spark):
     assert got == {"a": (25, 5, 1, 5, True), "b": (25, 4, 1, 4, False)}
 
 
+def test_currencies_and_signals_apart(spark):
+    """Currencies compare upper-cased, a missing one doesn't; each signal needs its own count."""
+    def pair(s, n, fc, sc, bad=False, av="in stock"):
+        return (s, f"p{n}", 0.98, "10.00", fc, "available", "11.00" if bad else "10.00", sc, av)
+
+    data = [pair("a", n, "eur", "EUR", n < 5) for n in range(20)] + [pair("b", n, None, None, True) for n in range(20)] + [pair("c", n, "EUR", "EUR", n < 4, "unavailable" if 4 <= n < 8 else "in stock") for n in range(20)]
+    data += [pair("d", n, "EUR", "EUR", n < 4) for n in range(19)]
+    df = spark.createDataFrame(data, "snapshot_id string, product string, confidence double, feed_price string, feed_currency string, feed_availability string, shop_price string, shop_currency string, shop_availability string")
+    checks = spark.createDataFrame([(s, x, "success", 1) for s in "abcd" for x in ("feed", "product_page")], CHECKS)
+    got = {r.snapshot_id: (r.price_bad, r.availability_bad, r.signals, r.total_affected, r.is_open) for r in rules.price_availability(df, checks).collect()}
+    assert got == {"a": (5, 0, ["price_mismatch_count"], 5, True), "b": (0, 0, [], 0, False), "c": (4, 4, [], 0, False), "d": (4, 0, [], 0, False)}
+
+
 def test_seo(spark):
-    rows = [(s, f"u{n}", s == "s2" and n < 6, "different" if s == "s2" and n < 5 else "self", True, 404 if s == "s2" and n == 0 else 200) for s in ("s1", "s2", "s3") for n in range(25 if s != "s3" else 10)]
-    items = spark.createDataFrame(rows, "snapshot_id string, stable_key string, noindex boolean, canonical_state string, schema_present boolean, http_status int")
-    snapshots = spark.createDataFrame([("s1", "a", "m", 1), ("s2", "a", "m", 2), ("s3", "a", "m", 3), ("s4", "a", "other", 4)], "snapshot_id string, store_id string, manifest string, finished_at int")
+    rows = [(s, f"u{n}", ("noindex" if n < 6 else None) if s == "s2" else None, "different" if s == "s2" and n < 5 else "missing" if s == "s2" and n == 5 else "self", None if s == "s2" and n < 2 else True, 404 if s == "s2" and n == 0 else 200)
+            for s in ("s1", "s2", "s3", "s5") for n in range(25 if s != "s3" else 10)]
+    items = spark.createDataFrame(rows, "snapshot_id string, stable_key string, indexability string, canonical_state string, schema_valid boolean, http_status int")
+    same = tuple(rules.SAMPLE.values())
+    table = [("s1", "a", 1, "m", *same, 25, 25, 0), ("s2", "a", 2, "m", *same, 25, 25, 0), ("s3", "a", 3, "m", *same, 25, 25, 0), ("s4", "a", 4, "other", *same, 25, 25, 0), ("s5", "a", 5, "m", *same, 25, 10, 15), ("s6", "b", 1, "m", *same, 25, 25, 0)]
+    snapshots = spark.createDataFrame(table, "snapshot_id string, store_id string, finished_at int, urls_hash string, " + ", ".join(f"{c} string" for c in rules.SAMPLE) + ", selected_count int, comparable_checks int, failed_checks int")
     (r,) = rules.seo_regression(items, snapshots).collect()
-    assert (r.snapshot_id, r.previous_id, r.common, r.noindex, r.canonical, r.http_error, r.signals, r.affected, r.confidence, r.is_open) == ("s2", "s1", 25, 6, 5, 1, ["noindex", "canonical"], 6, 0.7, True)
+    assert (r.snapshot_id, r.previous_id, r.common, r.noindex, r.canonical_away, r.schema_missing, r.http_error) == ("s2", "s1", 25, 6, 5, 2, 1)
+    assert (r.signals, r.affected, r.confidence, r.is_open) == (["noindex", "canonical_away"], 6, 0.7, True)
+
+
+def test_wordings(spark):
+    from shelfwatch.functions import columns as C
+
+    want = {"unavailable": "out_of_stock", "not_in_stock": "unknown", "In Stock": "in_stock", " in stock": "unknown", "http://schema.org/InStock": "in_stock", "": "unknown", None: "unknown", "on_backorder": "backorder", "pre-order": "unknown", "PreOrder": "preorder"}
+    df = spark.createDataFrame([(w,) for w in want], "w string")
+    assert {r.w: r.a for r in df.select("w", C.availability(df["w"]).alias("a")).collect()} == want
+    prices = {"": None, "EUR": 0.0, "1,50": 1.5, "1.2.3": None, "-": None, None: None, "12.": 12.0}
+    df = spark.createDataFrame([(w,) for w in prices], "w string")
+    assert {r.w: r.a for r in df.select("w", C.price_number(df["w"]).alias("a")).collect()} == prices
+
+
+def test_two_strikes_of_comparable_snapshots(spark):
+    from shelfwatch.operators import lifecycle
+
+    said = [("s1", True, True), ("s1", True, True), ("s2", True, False), ("s3", True, True), ("s3", True, True), ("s4", False, True), ("s5", True, True)]
+    df = spark.createDataFrame([(1, n, *x) for n, x in enumerate(said)], "k int, at int, snapshot string, bad boolean, can boolean")
+    got = lifecycle.two_strikes(df, ["k"], "at", F.col("bad"), F.col("can"), "snapshot").orderBy("at").collect()
+    assert [r.debounce for r in got] == ["pending", "pending", "not_comparable", "confirmed", "confirmed", "healthy", "pending"]
+
+
+def test_malformed_cursors():
+    from shelfwatch.operators import store
+
+    assert store.decode_cursor(store.encode_cursor((1, "ä"))) == (1, "ä")
+    for cursor in ("", "%%%", "e30", "x" * 5000, store.encode_cursor((1,))[:-2]):
+        with pytest.raises(ValueError):
+            store.decode_cursor(cursor)
+
+
+def test_triage_limits(spark):
+    from shelfwatch.operators import reports
+
+    kinds = f"incident_id int, position int, stable_key string, offer_id string, title string, issues array<{reports.ISSUE}>"
+    many = [(f"c{k:03}", "Warning", f"a{k}") for k in range(120)]
+    table = [(1, 1, None, " o1 ", None, [("x", "error", None), ("x", "ERROR", "unknown"), (" ", "error", "b"), ("y", None, "b")]), (1, 2, "k2", None, None, many), (1, 3, None, None, None, [("x", "error", "z")]), (1, 4, "k4", None, "t", None), (2, 1, "k", None, None, [])]
+    df = spark.createDataFrame(table, kinds)
+    groups = {(r.incident_id, r.code): (r.rank, r.issue_count, r.product_count, r.priority, r.severities, r.attributes) for r in reports.issue_groups(df).collect()}
+    assert len(groups) == 100 and groups[1, "x"] == (1, 1, 1, "critical", ["error"], ["unknown"]) and groups[1, "y"] == (100, 1, 1, "normal", ["unknown"], ["b"]) and (1, "c098") not in groups
+    shown = reports.issue_products(df).orderBy("rank").collect()
+    assert [(r.stable_key, r.offer_id, r.priority, r.issue_count, len(r.issue_codes)) for r in shown] == [(None, "o1", "critical", 2, 2), ("k2", None, "high", 100, 16)]
+    totals = {r.incident_id: tuple(r)[1:] for r in reports.issue_totals(df).collect()}
+    assert totals == {1: (2, 102, False, True, True), 2: (0, 0, False, False, False)}
+    queue = reports.remediation_rows(df.withColumn("item_id", F.col("position")), code="c001").collect()
+    assert [(r.item_id, r.issue_count, r.priority_rank, r.truncated) for r in queue] == [(2, 100, 2, True)]
 
 
 def test_feed_health(spark):

@@ -205,8 +205,8 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
     """
     rows = docs.where(usable & F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)).alias("place"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
-    chosen = rows.join(counts, "lang").where(F.col("place") < F.least(F.lit(1.0), sample_rows / F.col("n")) * (1 << 30))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language: broadcast, so that only the sample is shuffled
+    chosen = rows.join(F.broadcast(counts), "lang").where(F.col("place") < F.least(F.lit(1.0), sample_rows / F.col("n")) * (1 << 30))
     size = F.octet_length("text")
     order = Window.partitionBy("lang").orderBy(size > sample_bytes // 8, "place", size, F.xxhash64("text"))
     held = (chosen.withColumn("held", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(order))

@@ -37,7 +37,7 @@ SKETCH_BITS = 512
 PARITY_WORDS = 16  # of 64 bits, of the parity bitmap of a full set
 PERCENT = 80
 CHUNK = 1 << 20
-BLOCK = 256  # classes of an open bucket that meet another block in a task
+BLOCK = 512  # classes of an open bucket that meet another block in a task
 
 _MIX = np.random.default_rng(11).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -245,12 +245,11 @@ def _components(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
     # buckets of several classes; who is in many of them
     rows = sig.where("cls is not null").select("cls", F.explode("bands").alias("bucket")).distinct()
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = keep.table(shared, "shared")
     members = keep.table(rows.join(shared, "bucket"), "members")
     popular = members.groupBy("cls").agg(F.sum("size").alias("seen"))
     pivots = (members.join(popular, "cls").groupBy("bucket").agg(F.max(F.struct("seen", "cls")).getField("cls").alias("pivot")))
     pivots = keep.table(pivots, "pivots")
-    sketches = sig.where("cls is not null").select("cls", "sketch").join(popular.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("sketch").alias("sketch"))
+    sketches = sig.where("cls is not null").groupBy("cls").agg(F.first("sketch").alias("sketch")).join(popular.select("cls"), "cls", "left_semi")  # copies meet before the shuffle
     sketches = keep.table(sketches, "sketches")
 
     stars = members.join(pivots, "bucket").where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -270,6 +269,7 @@ def _components(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
     # buckets whose classes are not one component yet
     placed = (members.where("size > 2").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
               .select("bucket", "cls", F.coalesce("label", "cls").alias("label")))
+    placed = keep.table(placed, "placed")
     counts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "label")).getField("label").alias("main")).where("parts > 1")
     main = keep.table(main, "main")

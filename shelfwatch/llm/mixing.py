@@ -158,14 +158,16 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     # the row in a struct, so that no column of docs clashes with what is added
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col("doc_id").alias("id"), F.col("source").alias("origin"), word_count(F.col("text")).alias("n_words"))
     same = F.col("id").eqNullSafe(F.col("m_doc_id")) & F.col("origin").eqNullSafe(F.col("m_source"))
-    rows = held.join(takes.where("m_copies = 1"), same & (F.col("n_words") == F.col("m_size")))
-    # rows of one id, source and size: numbered, so that each has the takes of its own number
-    several = groups.where("copies > 1").select(F.col("doc_id").alias("m_doc_id"), F.col("source").alias("m_source")).distinct()
-    alike = Window.partitionBy("id", "origin", "n_words").orderBy(F.md5(F.col("doc.text").cast("binary")))
-    numbered = held.join(several, same, "left_semi").withColumn("number", F.row_number().over(alike) - 1)
-    again = numbered.join(takes.where("m_copies > 1"), same & (F.col("n_words") == F.col("m_size")) & (F.col("number") == F.col("m_copy")))
     took = ["doc", "n_words", F.explode("takes").alias("take")]
-    rows = rows.select(*took).unionByName(again.select(*took))
+    # takes grow with the documents: never broadcast
+    rows = held.join(takes.where("m_copies = 1").hint("merge"), same & (F.col("n_words") == F.col("m_size"))).select(*took)
+    if not groups.where("copies > 1").isEmpty():
+        # rows of one id, source and size: numbered, so that each has the takes of its own number
+        several = groups.where("copies > 1").select(F.col("doc_id").alias("m_doc_id"), F.col("source").alias("m_source")).distinct()
+        alike = Window.partitionBy("id", "origin", "n_words").orderBy(F.md5(F.col("doc.text").cast("binary")))
+        numbered = held.join(several, same, "left_semi").withColumn("number", F.row_number().over(alike) - 1)
+        again = numbered.join(takes.where("m_copies > 1"), same & (F.col("n_words") == F.col("m_size")) & (F.col("number") == F.col("m_copy")))
+        rows = rows.unionByName(again.select(*took))
     words = F.slice(F.regexp_extract_all("doc.text", F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), F.col("take.words").cast("int"))
     rows = rows.withColumn("cut", F.when(F.col("take.words") < F.col("n_words"), F.array_join(words, " ")))
     out = {"text": F.coalesce("cut", "doc.text"), "n_chars": F.when(F.col("cut").isNull(), F.col("doc.n_chars")).otherwise(F.length("cut")).cast("long")}

@@ -26,3 +26,18 @@ def test_stages(spark):
     assert all(r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() and r.n_tokens == len(r.ids) for r in got)
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert all(r.ids == library.encode(texts[r.doc_id]) for r in got if len(library.encode(texts[r.doc_id])) == r.n_tokens)
+
+
+def test_run_on_odd_and_empty_tables(spark, tmp_path):
+    from .test_llm import odd_docs
+
+    words = " ".join(f"the word{k} is here" for k in range(30))
+    more = spark.createDataFrame([(20, words, "en", "a", 1), (21, words, "en", "b", 1), (None, words + " and", "en", None, 1)], odd_docs(spark).schema)
+    docs = odd_docs(spark).unionByName(more)
+    docs.write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    library = piece_bpe.PieceVocabulary(piece_bpe.default_model()).library
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert {r.doc_id for r in got} <= {None, 5, 6, 7, 20} and 20 in {r.doc_id for r in got} and 21 not in {r.doc_id for r in got}
+    assert all(r.n_tokens == len(r.ids) and library.decode(r.ids) is not None for r in got)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

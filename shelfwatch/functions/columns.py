@@ -40,6 +40,11 @@ def url_key(url: Column) -> Column:
     return F.when(scheme.isin("http", "https") & (host != ""), F.concat(scheme, F.lit("://"), host, path))
 
 
+def domain_key(url: Column) -> Column:
+    """Scheme and host (with a port of its own) of an http(s) address, lower-cased; null if it isn't one."""
+    return F.nullif(F.regexp_extract(url_key(url), "^https?://[^/]+", 0), F.lit(""))
+
+
 # Hosts and address ranges that aren't to be fetched from.
 INTERNAL_HOSTS = ("localhost", "metadata.google.internal")
 PRIVATE_V4 = r"^(0|10|127)\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^192\.168\.|^169\.254\.|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\."
@@ -91,6 +96,30 @@ def availability(text: Column) -> Column:
     return F.coalesce(F.when(t.isin(*IN_STOCK), "in_stock").when(t.isin(*OUT_OF_STOCK), "out_of_stock").when(t.contains("preorder"), "preorder").when(t.contains("backorder"), "backorder"), F.lit("unknown"))
 
 
+def comparable(status: Column, before_status: Column, value: Column, before: Column, extracted: Column, before_extracted: Column) -> Column:
+    """Whether a field may be compared: both checks success or partial, no extraction failed (null: it didn't), both values known."""
+    useful = status.isin("success", "partial") & before_status.isin("success", "partial")
+    return F.coalesce(useful & F.coalesce(extracted, F.lit(True)) & F.coalesce(before_extracted, F.lit(True)) & value.isNotNull() & before.isNotNull(), F.lit(False))
+
+
+def shifted(text: Column, places: int) -> Column:
+    """A decimal text times a power of ten, exactly: digits only move. Null for other texts than digits with one point, and beyond 512 characters."""
+    shape = r"^\s*(\d+)(?:\.(\d+))?\s*$"
+    whole, part = F.regexp_extract(text, shape, 1), F.regexp_extract(text, shape, 2)
+    if places >= 0:
+        whole, part = F.concat(whole, F.rpad(F.left(part, F.lit(places)), places, "0")) if places else whole, F.substring(part, places + 1, 512)
+    else:
+        padded = F.concat(F.lit("0" * -places), whole)
+        whole, part = F.left(padded, F.length(padded) + places), F.concat(F.right(padded, F.lit(-places)), part)
+    moved = F.concat(F.regexp_replace(whole, r"^0+(?=\d)", ""), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
+    return F.when(text.rlike(shape) & (F.length(text) <= 512), moved)
+
+
+def fingerprint(store: Column, kind: Column, *scope: Column) -> Column:
+    """store:kind and the scope's parts, joined by colons; a null part is empty."""
+    return F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in (store, kind, *scope)])
+
+
 def countries(codes: Column) -> Column:
     """Distinct two-letter country codes, upper-cased, 50 at most."""
     return F.slice(F.array_distinct(F.filter(F.transform(codes, lambda c: F.upper(F.trim(c))), lambda c: c.rlike("^[A-Z]{2}$"))), 1, 50)

@@ -18,25 +18,28 @@ def recovery_step(status: str, comparable: bool, healthy: bool) -> tuple[str, st
     return (HEALTHY if healthy else UNHEALTHY).get(status, (status, ""))
 
 
-def recovery_fold(observations: DataFrame, key: str, at: str, initial: str = "open") -> DataFrame:
-    """(key, at, status, event) of each observation (key, at, snapshot, comparable, healthy) of an incident, in order.
+def recovery_fold(observations: DataFrame, key: str, at: str, initial: str | Column = "open", keep: list[str] = ()) -> DataFrame:
+    """(key, at, keep, status, event) of each observation (key, at, snapshot, comparable, healthy) of an incident, in order.
+
+    initial: the status before the first one, a text for all or a column that is the same in all rows of a key.
 
     A snapshot that comes again changes nothing. Windows only: among the observations that count, a healthy one starts
     recovery, a second healthy one at once resolves for good, an unhealthy one reopens.
     """
-    if initial not in (*HEALTHY, "open"):
-        return observations.select(key, at, F.lit(initial).alias("status"), F.lit("").alias("event"))
     order = Window.partitionBy(key).orderBy(at, "snapshot")
     past, before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
     again = (F.row_number().over(order) > 1) & F.col("snapshot").eqNullSafe(F.lag("snapshot").over(order))
-    rows = observations.select(key, at, "snapshot", F.when(F.coalesce("comparable", F.lit(False)) & ~again, F.coalesce("healthy", F.lit(False))).alias("counts"))
-    rows = rows.withColumns({"prior": F.coalesce(F.last("counts", ignorenulls=True).over(before), F.lit(initial == "recovering")), "latest": F.coalesce(F.last("counts", ignorenulls=True).over(past), F.lit(initial == "recovering")),
-                             "ever": F.coalesce(F.bool_or("counts").over(past), F.lit(False)) | F.lit(initial == "recovering")})
-    rows = rows.withColumn("ends", F.coalesce(F.col("counts") & F.col("prior"), F.lit(False)))
-    rows = rows.withColumns({"over": F.bool_or("ends").over(past), "was_over": F.coalesce(F.bool_or("ends").over(before), F.lit(False))})
-    status = F.when(F.col("over"), "resolved").when(F.col("latest"), "recovering").when(F.col("ever"), "open").otherwise(initial)
-    event = F.when(F.col("counts").isNull() | F.col("was_over"), "").when(F.col("ends"), "resolved").when(F.col("counts"), "recovery_started").when(F.col("prior"), "reopened").otherwise("")
-    return rows.select(key, at, status.alias("status"), event.alias("event"))
+    first = F.lit(initial) if isinstance(initial, str) else initial
+    rows = observations.withColumns({"__first": first, "__counts": F.when(F.coalesce("comparable", F.lit(False)) & ~again, F.coalesce("healthy", F.lit(False)))})
+    begun = F.col("__first") == "recovering"
+    rows = rows.withColumns({"__prior": F.coalesce(F.last("__counts", ignorenulls=True).over(before), begun), "__latest": F.coalesce(F.last("__counts", ignorenulls=True).over(past), begun),
+                             "__ever": F.coalesce(F.bool_or("__counts").over(past), F.lit(False)) | begun})
+    rows = rows.withColumn("__ends", F.coalesce(F.col("__counts") & F.col("__prior"), F.lit(False)))
+    rows = rows.withColumns({"__over": F.bool_or("__ends").over(past), "__was_over": F.coalesce(F.bool_or("__ends").over(before), F.lit(False))})
+    fixed = ~F.col("__first").isin(*HEALTHY)
+    status = F.when(fixed, F.col("__first")).when(F.col("__over"), "resolved").when(F.col("__latest"), "recovering").when(F.col("__ever"), "open").otherwise(F.col("__first"))
+    event = F.when(fixed | F.col("__counts").isNull() | F.col("__was_over"), "").when(F.col("__ends"), "resolved").when(F.col("__counts"), "recovery_started").when(F.col("__prior"), "reopened").otherwise("")
+    return rows.select(key, at, *keep, status.alias("status"), event.alias("event"))
 
 
 def two_strikes(observations: DataFrame, keys: list[str], at: str, significant: Column, comparable: Column | None = None, snapshot: str | None = None) -> DataFrame:

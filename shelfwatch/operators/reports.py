@@ -12,6 +12,7 @@ SOURCES = ("sitemap", "feed", "category", "product_page", "merchant_center")
 OPEN = ("open", "investigating", "acknowledged")
 SEVERE = ("critical", "error", "disapproved", "severe")
 MOST_PRODUCTS, MOST_ISSUES, MOST_GROUPS, MOST_SEVERITIES, MOST_ATTRIBUTES, MOST_CODES, MOST_SHOWN, MOST_TEXT = 500, 100, 100, 8, 16, 16, 50, 256
+FILTERS = ("store_id", "status", "severity", "type", "likely_source")
 ISSUE = "struct<code:string,severity:string,attribute:string>"
 
 
@@ -132,3 +133,27 @@ def remediation_rows(items: DataFrame, code: str | None = None, severity: str |
         held = f"%{like_pattern(search)}%"
         rows = rows.where(F.col("stable_key_key").ilike(held) | F.left(F.coalesce("offer_id", F.lit("")), F.lit(MOST_TEXT)).ilike(held) | F.col("title_key").ilike(held))
     return rows.drop("issues")
+
+
+def incident_list(incidents: DataFrame, stores: DataFrame, **filters: object) -> DataFrame:
+    """incidents of known stores with store_name and updated_at_cursor (UTC, six digits), those that equal the filters given.
+
+    filters: any of FILTERS; None is no filter, another name raises. Page with store.page, by updated_at and incident_id descending.
+    """
+    if unknown := set(filters) - set(FILTERS):
+        raise ValueError(f"no filters of an incident list: {sorted(unknown)}")
+    for name, value in filters.items():
+        if value is not None:
+            incidents = incidents.where(F.col(name) == F.lit(value))
+    stamp = F.date_format(F.col("updated_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return incidents.join(stores.select("store_id", F.col("name").alias("store_name")), "store_id").withColumn("updated_at_cursor", stamp)
+
+
+def store_list(stores: DataFrame, snapshots: DataFrame, incidents: DataFrame, categories: DataFrame) -> DataFrame:
+    """stores with latest_status and latest_at of the newest snapshot (ties: the larger id), active_incidents and categories, each side counted before it is joined."""
+    newest = snapshots.groupBy("store_id").agg(F.max(F.struct("created_at", "snapshot_id", "status")).alias("s")).select("store_id", F.col("s.status").alias("latest_status"), F.col("s.created_at").alias("latest_at"))
+    active = incidents.where(F.col("status").isin(*OPEN, "recovering")).groupBy("store_id").agg(F.countDistinct("incident_id").alias("active_incidents"))
+    of = categories.groupBy("store_id").agg(F.countDistinct("category_id").alias("categories"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    rows = stores.join(newest, "store_id", "left").join(active, "store_id", "left").join(of, "store_id", "left")
+    return rows.select(*stores.columns, "latest_status", "latest_at", none("active_incidents"), none("categories"))

@@ -64,22 +64,23 @@ def price_availability(pairs: DataFrame, checks: DataFrame, abs_: float = 0.02,
     return out.join(gate.select("snapshot_id"), "snapshot_id").select("*", opens.alias("is_open"), F.lit("warning").alias("severity"))
 
 
-def seo_regression(items: DataFrame, snapshots: DataFrame, coverage: float = 0.8, common: int = 20) -> DataFrame:
-    """(snapshot_id, previous_id, common, coverage, a count for each of SEO_SIGNALS, signals, affected, confidence, is_open).
+def comparable_samples(snapshots: DataFrame) -> DataFrame:
+    """(snapshot_id, fit, previous_id, previous_fit) of snapshots that selected 20 pages or more, with the one before it of its store, hash and versions.
 
     snapshots: snapshot_id, store_id, finished_at, urls_hash, the versions named in SAMPLE, selected_count,
-    comparable_checks, failed_checks. A snapshot is compared with the one before it of its store, hash and versions that
-    selected 20 or more; both must have the versions of SAMPLE, a hash, 20 selected, 20 comparable checks and four fifths
-    of all checks comparable. items: snapshot_id, stable_key (once a snapshot), indexability, canonical_state,
-    schema_valid, http_status, each null if unknown. Pairs of too few common pages or too little coverage are absent.
+    comparable_checks, failed_checks. fit: the versions of SAMPLE, a hash, 20 comparable checks and four fifths of all
+    checks comparable.
     """
-    manifest = ["urls_hash", *SAMPLE]
-    w = Window.partitionBy("store_id", *manifest).orderBy("finished_at", "snapshot_id")
+    w = Window.partitionBy("store_id", "urls_hash", *SAMPLE).orderBy("finished_at", "snapshot_id")
     fit = F.col("urls_hash").isNotNull() & (F.col("urls_hash") != "") & (F.col("comparable_checks") >= 20) & (F.col("comparable_checks") >= 0.8 * (F.col("comparable_checks") + F.col("failed_checks")))
     for name, value in SAMPLE.items():
         fit = fit & (F.col(name) == value)
     rows = snapshots.where("selected_count >= 20").withColumn("fit", F.coalesce(fit, F.lit(False)))
-    pairs = rows.select("snapshot_id", "fit", F.lag(F.struct("snapshot_id", "fit")).over(w).alias("p")).where("fit and p.fit").select("snapshot_id", F.col("p.snapshot_id").alias("previous_id"))
+    return rows.select("snapshot_id", "fit", F.lag(F.struct("snapshot_id", "fit")).over(w).alias("p")).select("snapshot_id", "fit", F.col("p.snapshot_id").alias("previous_id"), F.col("p.fit").alias("previous_fit"))
+
+
+def seo_changes(items: DataFrame, pairs: DataFrame, coverage: float = 0.8, common: int = 20) -> DataFrame:
+    """What seo_regression returns, for given pairs (snapshot_id, previous_id), each once."""
     sizes = items.groupBy("snapshot_id").agg(F.count("*").alias("size"))
     seen = ("indexability", "canonical_state", "schema_valid", "http_status")
     now = items.select("snapshot_id", "stable_key", *seen).join(pairs, "snapshot_id")
@@ -96,6 +97,17 @@ def seo_regression(items: DataFrame, snapshots: DataFrame, coverage: float = 0.8
                       F.when(F.size("signals") >= 2, 0.70).otherwise(0.55).alias("confidence"), (F.size("signals") > 0).alias("is_open"))
 
 
+def seo_regression(items: DataFrame, snapshots: DataFrame, coverage: float = 0.8, common: int = 20) -> DataFrame:
+    """(snapshot_id, previous_id, common, coverage, a count for each of SEO_SIGNALS, signals, affected, confidence, is_open).
+
+    A snapshot is compared with the one before it in comparable_samples, if both are fit. items: snapshot_id, stable_key
+    (once a snapshot), indexability, canonical_state, schema_valid, http_status, each null if unknown. Pairs of too few
+    common pages or too little coverage are absent.
+    """
+    pairs = comparable_samples(snapshots).where("fit and previous_fit").select("snapshot_id", "previous_id")
+    return seo_changes(items, pairs, coverage, common)
+
+
 def feed_health(checks: DataFrame, keys: list[str], order: list[str], failures: int = 2) -> DataFrame:
     """checks with streak (failures in a row up to this check) and action: recover, ignore, open or wait.
 

@@ -48,6 +48,44 @@ def decode_cursor(cursor: str) -> tuple:
     return tuple(values)
 
 
+def absent(rows: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose keys are not in present yet, each key once (the smallest row wins); keys with a null never match."""
+    rest = [c for c in rows.columns if c not in keys]
+    once = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(*keys, "__r.*") if rest else rows.distinct()
+    return once.join(present.select(*keys), keys, "left_anti").select(*rows.columns)
+
+
+def merged_issues(old: Column, new: Column) -> Column:
+    """Issues of both arrays, old ones first, each once by code, severity, resolution, attribute, context and countries in any order. Null arrays are empty.
+
+    An issue: struct of code, severity, resolution, attribute, reporting_context, applicable_countries (array) and others.
+    """
+    def identity(i: Column) -> Column:
+        return F.struct(*[i[c] for c in ("code", "severity", "resolution", "attribute", "reporting_context")], F.array_sort(F.coalesce(i["applicable_countries"], F.array())))
+
+    def add(kept: Column, i: Column) -> Column:
+        return F.when(F.exists(kept, lambda k: identity(k).eqNullSafe(identity(i))), kept).otherwise(F.concat(kept, F.array(i)))
+
+    both = F.concat(F.coalesce(old, F.slice(new, 1, 0), F.array()), F.coalesce(new, F.slice(old, 1, 0), F.array()))
+    return F.aggregate(both, F.slice(both, 1, 0), add)
+
+
+def replaced_inventory(items: DataFrame, incoming: DataFrame, scans: DataFrame) -> DataFrame:
+    """Merchant items of all snapshots after their scans: a complete scan replaces what its snapshot holds, a partial one adds and merges issues.
+
+    items and incoming: snapshot_id, stable_key (once a snapshot), issues (see merged_issues). scans: one row a snapshot
+    with config and held_config (of an earlier scan, null: none), status and complete. A scan whose config isn't 64
+    lower-case hex digits, or differs from the held one, changes nothing. A partial scan brings only items with issues;
+    known items keep their old issues and gain the new ones, after a success the new ones alone.
+    """
+    fence = scans.where(F.col("config").rlike("^[0-9a-f]{64}$") & (F.col("held_config").isNull() | (F.col("held_config") == F.col("config")))).select(
+        "snapshot_id", F.coalesce(F.col("complete") & (F.col("status") == "success"), F.lit(False)).alias("whole"), (F.col("status") == "success").alias("fine"))
+    kept = items.join(fence.where("whole").select("snapshot_id"), "snapshot_id", "left_anti").select("snapshot_id", "stable_key", F.col("issues").alias("old"), F.lit(True).alias("was"))
+    come = incoming.join(fence, "snapshot_id").where(F.col("whole") | (F.size("issues") > 0)).select("snapshot_id", "stable_key", F.col("issues").alias("new"), "fine", F.lit(True).alias("comes"))
+    rows = kept.join(come, ["snapshot_id", "stable_key"], "full")
+    return rows.select("snapshot_id", "stable_key", F.when(F.col("comes").isNull(), F.col("old")).when(F.col("was").isNull() | F.col("fine"), F.col("new")).otherwise(merged_issues(F.col("old"), F.col("new"))).alias("issues"))
+
+
 def active_window(events: DataFrame, windows: DataFrame, at: str, keys: list[str], id_: list[str]) -> DataFrame:
     """events with the window of their keys that holds at (starts_at <= at < ends_at, not cancelled), the latest start winning; null if none."""
     w = windows.where("cancelled_at is null").select(*[F.col(k).alias(f"w_{k}") for k in keys], "window_id", "starts_at", "ends_at")

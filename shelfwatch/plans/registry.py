@@ -6,11 +6,13 @@ nearest analogue, named in its docstring.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import alerts, baseline, correlation, identity, incidents, lifecycle, reports, rules, store
+from ..operators import alerts, baseline, correlation, identity, incidents, lifecycle, recovery, reports, rules, store
 from ..sources import category, landed, merchant
 
 QUERIES: dict = {}
@@ -654,3 +656,98 @@ def user_actions(spark, sf_dir):
     asked = _table(spark, sf_dir, "events").select(F.col("user_id").alias("incident_id"), F.col("ts").alias("at"), F.col("event_id").alias("action_id"),
                                                    F.when(kind == "click", "acknowledge").when(kind == "purchase", "ignore").otherwise("comment").alias("action"))
     return incidents.user_actions(some, asked).select(F.col("action_id").alias("event_id"), "incident_id", "action", "before", "after", "outcome")
+
+
+@_query("""
+WITH d AS (SELECT user_id % 20 AS store, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY day) AS r FROM d),
+b AS (SELECT store, quantile_cont(n, 0.5) AS median FROM k WHERE r <= 14 GROUP BY 1),
+i AS (SELECT k.store, k.store * 1000 + r AS incident_id, k.day, CASE WHEN r % 4 > 0 THEN median * 1.5 END AS m, r % 5 > 0 AS same FROM k JOIN b USING (store) WHERE r % 3 = 0 AND r % 7 <> 0),
+p AS (SELECT i.incident_id, k.store * 1000 + k.r AS snapshot_id, k.day AS "at", n, m, same, median, k.r % 6 = 0 AS other FROM i JOIN k ON k.store = i.store AND k.day > i.day JOIN b ON b.store = i.store WHERE k.r % 11 <> 0),
+s AS (SELECT *, CASE WHEN m IS NULL THEN 'no_baseline_context' WHEN NOT same THEN 'baseline_not_in_force' WHEN other THEN 'configuration_changed'
+      WHEN abs(median - n) / median < 0.2::DOUBLE OR abs(median - n) < 20 THEN 'inside_guardrails' WHEN n <= m * (1 - 0.2::DOUBLE) AND m - n >= 1 THEN 'drop_returned' ELSE 'between_thresholds' END AS reason FROM p)
+SELECT incident_id, snapshot_id, "at", reason IN ('inside_guardrails', 'drop_returned') AS comparable, reason = 'inside_guardrails' AS healthy, reason FROM s""")
+def recovery_outcomes(spark, sf_dir):
+    """Catalog-drop incidents against all later snapshots of their stores: daily events of user groups as feeds, every third day opening an incident."""
+    incidents_, snapshots, baselines = _drop_recovery(spark, sf_dir)
+    return recovery.catalog_drop(incidents_, snapshots, baselines)
+
+
+def _drop_recovery(spark, sf_dir):
+    d = _table(spark, sf_dir, "events").groupBy((F.col("user_id") % 20).alias("store_id"), F.to_date("ts").alias("at")).agg(F.count("*").alias("feed_count"))
+    d = d.withColumn("r", F.row_number().over(Window.partitionBy("store_id").orderBy("at"))).withColumn("snapshot_id", F.col("store_id") * 1000 + F.col("r"))
+    r = F.col("r")
+    base = d.where("r <= 14").groupBy("store_id").agg(F.expr("percentile(feed_count, 0.5)").alias("median"))
+    baselines = base.select(F.col("store_id").alias("baseline_id"), "store_id", F.lit(1).alias("version"), F.lit("c").alias("config"), F.lit("active").alias("status"), F.lit(None).cast("date").alias("valid_to"), "median")
+    some = d.where("r % 3 = 0").join(base, "store_id").select(
+        F.col("snapshot_id").alias("incident_id"), "store_id", F.when(r % 7 == 0, "resolved").when(r % 2 == 0, "open").otherwise("recovering").alias("status"), F.lit("c").alias("config"), F.col("at").alias("opened_at"),
+        F.col("store_id").alias("baseline_id"), F.when(r % 5 > 0, 1).otherwise(2).alias("baseline_version"), F.when(r % 4 > 0, F.col("median") * 1.5).alias("baseline_median"), F.lit(None).cast("double").alias("percent_threshold"), F.lit(1).alias("absolute_threshold"))
+    snapshots = d.select("snapshot_id", "store_id", "at", F.when(r % 6 == 0, "d").otherwise("c").alias("config"), F.when(r % 11 == 0, "confirmation_check").otherwise("scheduled").alias("role"), F.lit("success").alias("feed_status"), "feed_count")
+    return some, snapshots, baselines
+
+
+@_query("""
+WITH p AS (SELECT s_suppkey % 10 AS store, c_custkey AS incident_id, s_suppkey AS snapshot_id, s_suppkey AS "at", CASE c_custkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'recovering' ELSE 'ignored' END AS status,
+             CASE WHEN c_custkey % 2 = 0 THEN 20 ELSE 10 END AS least, s_nationkey * 4 AS missing, CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE 200 END AS matched, s_suppkey % 9 <> 1 AS whole
+           FROM supplier JOIN customer ON c_custkey % 10 = s_suppkey % 10 AND s_suppkey > c_custkey % 30),
+s AS (SELECT *, CASE WHEN NOT whole OR matched = 0 THEN 'checks_incomplete' WHEN missing < least AND missing / 200 < 0.1::DOUBLE THEN 'below_thresholds' WHEN missing / 200 >= 0.1::DOUBLE AND missing >= least THEN 'divergence_returned' ELSE 'between_thresholds' END AS reason FROM p WHERE status <> 'ignored')
+SELECT incident_id, snapshot_id, "at", reason IN ('below_thresholds', 'divergence_returned') AS comparable, reason = 'below_thresholds' AS healthy, reason FROM s""")
+def divergence_recovery(spark, sf_dir):
+    """Source-divergence incidents against later snapshots: customers as incidents of ten stores, suppliers as snapshots."""
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    some = _table(spark, sf_dir, "customer").select(k.alias("incident_id"), (k % 10).alias("store_id"), F.when(k % 3 == 0, "open").when(k % 3 == 1, "recovering").otherwise("ignored").alias("status"), F.lit("c").alias("config"),
+                                                    (k % 30).alias("opened_at"), F.lit(None).cast("double").alias("percent_threshold"), F.when(k % 2 == 1, 10).alias("absolute_threshold"))
+    snapshots = _table(spark, sf_dir, "supplier").select(s.alias("snapshot_id"), (s % 10).alias("store_id"), s.alias("at"), F.lit("c").alias("config"), F.when(s % 9 == 1, "partial").otherwise("success").alias("feed_status"),
+                                                         F.lit(2).alias("category_checks"), F.lit(True).alias("categories_ok"), F.when(s % 4 == 0, 0).otherwise(200).alias("matched"), (F.col("s_nationkey") * 4).alias("missing"))
+    return recovery.source_divergence(some, snapshots)
+
+
+@_query("""
+WITH l AS (SELECT o_orderkey AS incident_id, c_name AS store_name, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS updated_at_cursor, o_orderdate AS u FROM orders JOIN customer ON c_custkey = o_custkey
+           WHERE o_orderstatus = 'O' AND o_orderpriority = '2-HIGH')
+SELECT incident_id, store_name, updated_at_cursor FROM l WHERE (u, incident_id) < (DATE '1997-06-01', 0) ORDER BY u DESC, incident_id DESC LIMIT 51""")
+def incident_list(spark, sf_dir):
+    """A page of the incident list under two filters (a top-k report): orders as incidents, customers as stores."""
+    some = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("incident_id"), F.col("o_custkey").alias("store_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("severity"), F.col("o_orderdate").cast("date").alias("updated_at"))
+    stores = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("store_id"), F.col("c_name").alias("name"))
+    rows = reports.incident_list(some, stores, status="O", severity="2-HIGH", type=None)
+    return store.page(rows, [("updated_at", True), ("incident_id", True)], 50, (datetime.date(1997, 6, 1), 0)).select("incident_id", "store_name", "updated_at_cursor")
+
+
+@_query("""
+WITH o AS (SELECT o_custkey, count(*) FILTER (o_orderkey % 5 < 4) AS n FROM orders GROUP BY 1),
+e AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),
+s AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1)
+SELECT c_custkey AS store_id, event_type AS latest_status, event_id AS latest_id, coalesce(o.n, 0) AS active_incidents, coalesce(s.n, 0) AS categories
+FROM customer LEFT JOIN o ON o_custkey = c_custkey LEFT JOIN e ON user_id = c_custkey AND r = 1 LEFT JOIN s ON s.s_nationkey = c_custkey""")
+def store_list(spark, sf_dir):
+    """All stores with their newest snapshot and counts: customers as stores, events as snapshots, orders as incidents, suppliers as categories of the first stores."""
+    k = F.col("o_orderkey") % 5
+    stores = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("store_id"))
+    snapshots = _table(spark, sf_dir, "events").select(F.col("user_id").alias("store_id"), F.struct("ts", "event_id").alias("created_at"), F.col("event_id").alias("snapshot_id"), F.col("event_type").alias("status"))
+    some = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("store_id"), F.col("o_orderkey").alias("incident_id"), F.when(k == 0, "open").when(k == 1, "investigating").when(k == 2, "acknowledged").when(k == 3, "recovering").otherwise("resolved").alias("status"))
+    categories = _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("store_id"), F.col("s_suppkey").alias("category_id"))
+    got = reports.store_list(stores, snapshots, some, categories)
+    return got.select("store_id", "latest_status", F.col("latest_at.event_id").alias("latest_id"), "active_incidents", "categories")
+
+
+@_query("""
+WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_linenumber % 2 = 0 AS recent FROM lineitem),
+s AS (SELECT o_orderkey, o_orderkey % 3 AS k, o_orderkey % 5 = 0 AS shut FROM orders)
+SELECT o_orderkey AS snapshot_id, 'line ' || l_linenumber AS stable_key, CAST(CASE WHEN shut THEN 1 WHEN k = 1 AND recent THEN 2 ELSE 1 END AS BIGINT) AS issues
+FROM s JOIN l ON l_orderkey = o_orderkey WHERE CASE WHEN shut THEN l_linenumber <= 3 WHEN k = 0 THEN recent ELSE recent OR l_linenumber <= 3 END
+  AND NOT (k = 1 AND NOT shut AND recent AND l_linenumber > 3)
+UNION ALL
+SELECT o_orderkey, 'line ' || l_linenumber, 1 FROM s JOIN l ON l_orderkey = o_orderkey WHERE k = 1 AND NOT shut AND recent AND l_linenumber > 3""")
+def replaced_inventory(spark, sf_dir):
+    """Inventories after a scan: distinct line numbers as items, 1 to 3 of an order are held, the even ones come; an order in five has another configuration."""
+    n, o = F.col("l_linenumber"), F.col("o_orderkey")
+    text = lambda v: F.lit(v).cast("string")
+
+    def issues(code):
+        return F.array(F.struct(text(code).alias("code"), text("error").alias("severity"), text(None).alias("resolution"), text(None).alias("attribute"), text(None).alias("reporting_context"), F.array(F.lit("DE")).alias("applicable_countries"))).alias("issues")
+
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("snapshot_id"), "l_linenumber", F.concat(F.lit("line "), n).alias("stable_key")).distinct()
+    held, come = lines.where(n <= 3).select("snapshot_id", "stable_key", issues("a")), lines.where(n % 2 == 0).select("snapshot_id", "stable_key", issues("b"))
+    scans = _table(spark, sf_dir, "orders").select(o.alias("snapshot_id"), F.lit("ab" * 32).alias("config"), F.when(o % 5 == 0, "cd" * 32).alias("held_config"), F.when(o % 3 == 1, "partial").otherwise("success").alias("status"), (o % 3 == 0).alias("complete"))
+    return store.replaced_inventory(held, come, scans).select("snapshot_id", "stable_key", F.size("issues").cast("long").alias("issues"))

@@ -120,6 +120,31 @@ def fingerprint(store: Column, kind: Column, *scope: Column) -> Column:
     return F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in (store, kind, *scope)])
 
 
+def _over(old: Column, new: Column) -> Column:
+    """The entries of two maps, the new ones winning."""
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
+
+
+def _object(json: Column) -> Column:
+    """A JSON object's fields as map<string,variant>; empty for other JSON and null."""
+    return F.coalesce(F.when(json.rlike(r"^\s*\{"), F.from_json(json, "map<string,variant>")), F.from_json(F.lit("{}"), "map<string,variant>"))
+
+
+def merged_metadata(old: Column, new: Column) -> Column:
+    """JSON text of two JSON objects merged, the new fields winning; but the elements of both discoveredFrom arrays stay, each
+    once by its JSON text, and so do the fields of both sourceHashes objects. Null and what is no object count as empty."""
+    a, b = _object(old), _object(new)
+    field = lambda m, name: F.to_json(F.element_at(m, name))
+    texts = lambda json: F.coalesce(F.when(json.rlike(r"^\["), F.transform(F.from_json(json, "array<variant>"), lambda v: F.to_json(v))), F.array().cast("array<string>"))
+    all_of = lambda name, shape: F.coalesce(field(a, name).rlike(shape), F.lit(False)) | F.coalesce(field(b, name).rlike(shape), F.lit(False))
+    found = F.concat(F.lit("["), F.array_join(F.array_distinct(F.concat(texts(field(a, "discoveredFrom")), texts(field(b, "discoveredFrom")))), ","), F.lit("]"))
+    hashes = F.to_json(_over(_object(field(a, "sourceHashes")), _object(field(b, "sourceHashes"))))
+    whole = _over(a, b)
+    for name, shape, json in (("discoveredFrom", r"^\[", found), ("sourceHashes", r"^\{", hashes)):
+        whole = F.when(all_of(name, shape), _over(whole, F.create_map(F.lit(name), F.parse_json(json)))).otherwise(whole)
+    return F.to_json(whole)
+
+
 def countries(codes: Column) -> Column:
     """Distinct two-letter country codes, upper-cased, 50 at most."""
     return F.slice(F.array_distinct(F.filter(F.transform(codes, lambda c: F.upper(F.trim(c))), lambda c: c.rlike("^[A-Z]{2}$"))), 1, 50)

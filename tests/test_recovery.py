@@ -1,5 +1,6 @@
 """Recovery by rule, authoritative replacement, lists and small functions on fixtures of their own."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -123,3 +124,12 @@ def test_small_functions(spark):
                                "s string, t string, a int, b int, x boolean, y boolean")
     assert [r[0] for r in df.select(C.comparable(*[F.col(c) for c in df.columns])).collect()] == [True, False, False, False, False]
     assert spark.range(1).select(C.fingerprint(F.lit("s"), F.lit("k"), F.lit(None), F.lit(3))).first()[0] == "s:k::3"
+
+
+def test_merged_metadata(spark):
+    rows = [('{"a": 1, "b": "x", "discoveredFrom": ["p", {"q": 1}], "sourceHashes": {"u": "1", "v": "2"}}', '{"b": null, "c": [1.5], "discoveredFrom": [{"q":1}, "r"], "sourceHashes": {"v": "3"}}'),
+            ('{"discoveredFrom": "text", "sourceHashes": [1]}', '{"a": true}'), (None, '{"discoveredFrom": ["p", "p"]}'), ("[1]", None)]
+    df = spark.createDataFrame(rows, "o string, n string").coalesce(1)
+    got = [json.loads(r[0]) for r in df.select(C.merged_metadata(F.col("o"), F.col("n"))).collect()]
+    assert got == [{"a": 1, "b": None, "c": [1.5], "discoveredFrom": ["p", {"q": 1}, "r"], "sourceHashes": {"u": "1", "v": "3"}},
+                   {"discoveredFrom": "text", "sourceHashes": [1], "a": True}, {"discoveredFrom": ["p"]}, {}]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, chat, html_text, language_id, mixing, near_dedup, piece_bpe, url_filter, vector_search, warc
+from . import audio, chat, html_text, language_id, mixing, near_dedup, piece_bpe, token_alignment, url_filter, vector_search, warc
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.query,
     "op9_url_filter": url_filter.query,
     "op10_mix_sources": mixing.query,
+    "op12_token_alignment": token_alignment.query,
 }
 
 ORACLE_SQL = {

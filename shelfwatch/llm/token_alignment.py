@@ -165,7 +165,7 @@ def align_texts(texts: pa.Array, a: ByteVocabulary, b) -> dict[str, np.ndarray |
     return out
 
 
-def align(docs: DataFrame, a_file: str, b_file: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def align(docs: DataFrame, a_file: str, b_file: str, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Aligned documents and the pairs of their blocks, as rows of two kinds.
 
     A document's row: block, key, n_a, n_b, n_groups, n_links, groups (``a1,a2|b1;a3|b2,b3``) and codes, the links' pairs
@@ -201,8 +201,8 @@ def align(docs: DataFrame, a_file: str, b_file: str, text: str = "text", key: st
 
         for batch in batches:
             offsets, _ = utf8_view(batch.column(1))
-            for i, j in doc_slices(offsets, SLICE_BYTES):
-                if held and size + offsets[j] - offsets[i] > BLOCK_BYTES:
+            for i, j in doc_slices(offsets, min(SLICE_BYTES, block_bytes)):
+                if held and size + offsets[j] - offsets[i] > block_bytes:
                     yield from block_rows()
                     held, size, count = [], 0, count + 1
                 held.append((batch.column(0).slice(i, j - i), align_texts(batch.column(1).slice(i, j - i), a, b)))

@@ -115,6 +115,21 @@ def shifted(text: Column, places: int) -> Column:
     return F.when(text.rlike(shape) & (F.length(text) <= 512), moved)
 
 
+def fixed(value: Column, places: int) -> Column:
+    """value with so many decimals, the nearest by its exact binary value, ties up: as evidence texts show shares. Values from 0 below 1e9."""
+    scale = float(10**places)
+    product = value * scale
+    split = lambda x: x * 134217729.0 - (x * 134217729.0 - x)  # the upper half of a double's bits
+    high = split(value)
+    error = high * scale - product + (value - high) * scale  # what the product has lost, exactly: scale has few bits
+    whole = F.floor(product)
+    part = product - whole
+    up = (part > 0.5) | ((part == 0.5) & (error >= 0))
+    digits = (whole + up.cast("int")).cast("long").cast("string")
+    digits = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(places + 1) - F.length(digits))), digits)
+    return F.concat(F.left(digits, F.length(digits) - places), F.lit("."), F.right(digits, F.lit(places))) if places else digits
+
+
 def fingerprint(store: Column, kind: Column, *scope: Column) -> Column:
     """store:kind and the scope's parts, joined by colons; a null part is empty."""
     return F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in (store, kind, *scope)])

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .timeline import bins
+
 
 def merge_latest(versions: DataFrame, keys: list[str], seq: str, coalesce: list[str] = ()) -> DataFrame:
     """One row a key: the last by seq, but each of the coalesce columns from the last row where it isn't null."""
@@ -87,19 +89,15 @@ def replaced_inventory(items: DataFrame, incoming: DataFrame, scans: DataFrame)
 
 
 def active_window(events: DataFrame, windows: DataFrame, at: str, keys: list[str], id_: list[str]) -> DataFrame:
-    """events with the window of their keys that holds at (starts_at <= at < ends_at, not cancelled), the latest start winning; null if none."""
-    w = windows.where("cancelled_at is null").select(*[F.col(k).alias(f"w_{k}") for k in keys], "window_id", "starts_at", "ends_at")
-    on = (F.col("starts_at") <= F.col(at)) & (F.col("ends_at") > F.col(at))
+    """events with the window of their keys that holds at (starts_at <= at < ends_at, not cancelled), the latest start winning; null if none.
+
+    The join is on keys and a bin of time (timeline.bins), so neither a hot key nor a long window meets all events.
+    """
+    live = windows.where("cancelled_at is null").select(*[F.col(k).alias(f"w_{k}") for k in keys], "window_id", "starts_at", "ends_at")
+    w, e = bins(live, events.select(*id_, *keys, at), keys, "starts_at", "ends_at", at)
+    w = w.withColumnsRenamed({"__level": "w_level", "__bin": "w_bin"})
+    on = (F.col("__level") == F.col("w_level")) & (F.col("__bin") == F.col("w_bin")) & (F.col("starts_at") <= F.col(at)) & (F.col("ends_at") > F.col(at))
     for k in keys:
         on = on & (F.col(k) == F.col(f"w_{k}"))
-    best = events.join(w, on).groupBy(*id_).agg(F.max_by("window_id", F.struct("starts_at", "window_id")).alias("window_id"))
+    best = e.join(w, on).groupBy(*id_).agg(F.max_by("window_id", F.struct("starts_at", "window_id")).alias("window_id"))
     return events.join(best, id_, "left")
-
-
-def as_of(rows: DataFrame, versions: DataFrame, key: str, at: str, valid_from: str, values: list[str]) -> DataFrame:
-    """rows with the values of the version in force at their time: one union, one window, no range join."""
-    v = versions.select(F.col(key), F.col(valid_from).alias("__t"), F.lit(0).alias("__kind"), F.struct(*values).alias("__v"), F.lit(None).cast(rows.schema.simpleString()).alias("__row"))
-    r = rows.select(F.col(key), F.col(at).alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast(v.schema["__v"].dataType.simpleString()).alias("__v"), F.struct(*rows.columns).alias("__row"))
-    w = Window.partitionBy(key).orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = v.unionByName(r).withColumn("__in", F.last("__v", ignorenulls=True).over(w)).where("__kind = 1")
-    return both.select("__row.*", *[F.col(f"__in.{c}").alias(c) for c in values])

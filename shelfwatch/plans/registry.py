@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import alerts, baseline, correlation, identity, incidents, lifecycle, recovery, reports, rules, store
+from ..operators import alerts, baseline, correlation, identity, incidents, lifecycle, recovery, reports, rules, store, timeline
 from ..sources import category, landed, merchant
 
 QUERIES: dict = {}
@@ -332,7 +332,7 @@ def threshold_asof(spark, sf_dir):
     """The version in force at each row's time: a customer's last order as a version of its thresholds."""
     v = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("valid_from")).agg(F.max("o_totalprice").alias("level"))
     r = _table(spark, sf_dir, "events").select("event_id", "user_id", (F.expr("TIMESTAMP_NTZ '1992-01-01 00:00:00'") + F.expr("INTERVAL 1 DAY") * (F.col("event_id") % 2500)).alias("at"))
-    return store.as_of(r, v, "user_id", "at", "valid_from", ["level"]).select("event_id", "user_id", "level")
+    return timeline.as_of(r, v, "user_id", "at", "valid_from", ["level"]).select("event_id", "user_id", "level")
 
 
 @_query("""

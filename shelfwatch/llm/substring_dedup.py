@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import doc_slices, materialise, ranges, utf8_view, word_hashes
 
 WORDS = 13
-GRAM = 3
+GRAM = 2
 HOT = 4096
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
@@ -132,9 +132,8 @@ def distinct_strings(packed: np.ndarray, first: np.ndarray, n_words: np.ndarray)
     return found.indices.to_numpy(), found.dictionary
 
 
-def _pressed(x) -> pa.Buffer:
-    data = pa.py_buffer(np.ascontiguousarray(x)) if isinstance(x, np.ndarray) else x
-    return pa.compress(data, codec="zstd", asbytes=True)
+def _pressed(x: np.ndarray) -> bytes:
+    return pa.Codec("zstd", compression_level=3).compress(pa.py_buffer(np.ascontiguousarray(x)), asbytes=True)
 
 
 def _unpressed(x: bytes, size: int, kind) -> np.ndarray:
@@ -225,10 +224,10 @@ def _sent(stored: DataFrame, hot: np.ndarray, buckets: int, words: int) -> DataF
                     size = int(offsets[-1])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([int(bucket[mine[0]])]), pa.array([row["block"]]), pa.array([len(mine)]), pa.array([size]),
-                         *[pa.array([_pressed(x)], pa.binary()) for x in (raw, mine.astype(np.int32), windows[one[mine]].astype(np.uint8), lo[mine], hi[mine])]],
-                        names=["bucket", "block", "n", "size", "strings", "which", "windows", "lo", "hi"])
+                         *[pa.array([_pressed(x)], pa.binary()) for x in (raw, np.diff(mine, prepend=0).astype(np.int32), windows[one[mine]].astype(np.uint8), lo[mine], hi[mine] - lo[mine])]],
+                        names=["bucket", "block", "n", "size", "strings", "steps", "windows", "lo", "span"])
 
-    return stored.mapInArrow(run, "bucket long, block long, n long, size long, strings binary, which binary, windows binary, lo binary, hi binary")
+    return stored.mapInArrow(run, "bucket long, block long, n long, size long, strings binary, steps binary, windows binary, lo binary, span binary")
 
 
 def equal_windows(codes: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +263,8 @@ def _repeated(words: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         raw = np.concatenate([_unpressed(r["strings"], r["size"], np.uint8) for r in rows])
-        which, windows, lo, hi = (np.concatenate([_unpressed(r[c], r["n"], t) for r in rows]) for c, t in (("which", np.int32), ("windows", np.uint8), ("lo", np.int64), ("hi", np.int64)))
+        windows, lo, span = (np.concatenate([_unpressed(r[c], r["n"], t) for r in rows]) for c, t in (("windows", np.uint8), ("lo", np.int64), ("span", np.int64)))
+        which, hi = np.concatenate([np.cumsum(_unpressed(r["steps"], r["n"], np.int32), dtype=np.int32) for r in rows]), lo + span
         home, windows = np.repeat(np.arange(len(rows)), [r["n"] for r in rows]), windows.astype(np.int64)
         ends = np.flatnonzero(raw == 32) + 1
         codes = (pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(raw)])

@@ -25,8 +25,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Scratch, doc_slices, materialise, ranges, utf8_view
 
-BLOCK_BYTES = 8 << 20
-BLOCK_DOCS = 1 << 16
+BLOCK_BYTES = 16 << 20
+BLOCK_DOCS = 1 << 16  # places fit two bytes
 SLICE_BYTES = 1 << 20  # text that is cut into terms at once
 BATCH = 256  # items that a task answers in a block
 TOP = 20
@@ -52,15 +52,12 @@ def terms_of(offsets: np.ndarray, data: np.ndarray) -> tuple[pa.Array, np.ndarra
     return words.dictionary, words.indices.to_numpy(), np.searchsorted(offsets, at, side="right") - 1
 
 
-def _filled_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(documents with a term, terms) of a text column."""
-    offsets, data = utf8_view(column)
+def term_counts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """How many terms each text has, with repeats."""
     inside = _INSIDE[data]
     before = np.append(False, inside[:-1])
-    filled = np.diff(offsets) > 0
-    before[offsets[:-1][filled]] = False
-    n = np.diff(np.append(0, np.cumsum(inside & ~before))[offsets])
-    return n > 0, n
+    before[offsets[:-1][np.diff(offsets) > 0]] = False
+    return np.diff(np.append(0, np.cumsum(inside & ~before))[offsets])
 
 
 def corpus_counts(docs: DataFrame, text: str = "text") -> tuple[int, int]:
@@ -68,8 +65,10 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> tuple[int, int]:
 
     def run(batches):
         for batch in batches:
-            some, n = _filled_counts(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([int(some.sum())]), pa.array([int(n.sum())])], names=["docs", "terms"])
+            offsets, data = utf8_view(batch.column(0))
+            for i, j in doc_slices(offsets, SLICE_BYTES):
+                n = term_counts(offsets[i: j + 1] - offsets[i], data[offsets[i]: offsets[j]])
+                yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], names=["docs", "terms"])
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(run, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
     return found[0] or 0, found[1] or 0
@@ -87,9 +86,10 @@ def weights(df, docs: int):
 
 
 def postings(docs: DataFrame, n_docs: int, n_terms: int, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """A row for each block and term: n documents, their places in the block and saturated frequencies; and a row for each block with its ids, where term is null.
+    """A row for each block and term, and one for each block with its ids, where term is null.
 
-    Places follow the ids' order (null last), so that of equal scores the first place has the smallest id.
+    data: the places in the block of the documents that hold the term (two bytes each), then their saturated frequencies
+    (four bytes each). Places follow the ids' order (null last), so that of equal scores the first place has the smallest id.
     """
     kind = docs.schema[key].dataType
 
@@ -109,18 +109,17 @@ def postings(docs: DataFrame, n_docs: int, n_terms: int, text: str = "text", key
             value = saturated(tf.astype(np.int64), each[place], n_docs, n_terms)
             starts = np.append(np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else [], len(term)).astype(np.int64)
             per = np.diff(starts)
-            names = ["block", "size", "term", "n", "places", "values", "ids"]
-            lists = pa.list_(pa.int32())
+            names = ["block", "term", "data", "ids"]
             for i in range(0, len(per), 1 << 14):
-                a, b = starts[i], starts[min(i + (1 << 14), len(per))]
-                ends = pa.array(starts[i: i + (1 << 14) + 1] - a, pa.int32())
-                k = len(ends) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, name)), pa.array(np.full(k, len(ids))), terms.slice(i, k).cast(pa.binary()), pa.array(per[i: i + k]),
-                     pa.ListArray.from_arrays(ends, pa.array(place[a:b].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value[a:b].astype(np.int32))), pa.nulls(k, pa.list_(ids.type))],
-                    names=names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([len(ids)]), pa.nulls(1, pa.binary()), pa.array([0]), pa.nulls(1, lists), pa.nulls(1, lists), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=names)
+                some = per[i: i + (1 << 14)]
+                a, b = starts[i], starts[i + len(some)]
+                begin = 6 * (starts[i: i + len(some)] - a)
+                raw = np.empty(6 * (b - a), np.uint8)
+                raw[ranges(begin, 2 * some)] = place[a:b].astype("<u2").view(np.uint8)
+                raw[ranges(begin + 2 * some, 4 * some)] = value[a:b].astype("<u4").view(np.uint8)
+                data_of = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(np.append(begin, len(raw)).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), name)), terms.slice(i, len(some)).cast(pa.binary()), data_of, pa.nulls(len(some), pa.list_(ids.type))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=names)
 
         for batch in batches:
             offsets, _ = utf8_view(batch.column(1))
@@ -136,7 +135,7 @@ def postings(docs: DataFrame, n_docs: int, n_terms: int, text: str = "text", key
             yield from rows()
 
     found = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return found.mapInArrow(run, f"block long, size long, term binary, n long, places array<int>, `values` array<int>, ids array<{kind.simpleString()}>")
+    return found.mapInArrow(run, f"block long, term binary, data binary, ids array<{kind.simpleString()}>")
 
 
 def _spread_terms(offsets: np.ndarray, data: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -172,7 +171,7 @@ def sliced(impacts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[bytes
 
 
 def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """The written index of every term of docs: block, size, term, n, depth, slices, places, and a row with ids for each block.
+    """The written index of every term of docs: block, term, depth, slices and places, and a row with ids for each block.
 
     Null and empty texts, and texts without a term, hold nothing; they stay in their block and are never found.  Rows
     that repeat are documents of their own.  Columns of docs but text and key play no part.
@@ -180,22 +179,25 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", block_
     keep = Scratch(docs.sparkSession, "impacts")
     n_docs, n_terms = corpus_counts(docs, text)
     rows = keep.table(postings(docs, n_docs, n_terms, text, key, block_bytes, block_docs), "postings")
-    df = rows.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
-    weighed = rows.where("term is not null").join(df, "term").select("block", "size", "term", "n", "places", "values", weights(F.col("df"), n_docs).alias("weight"))
+    held = rows.where("term is not null")
+    df = held.groupBy("term").agg(F.sum((F.octet_length("data") / 6).cast("long")).alias("df"))
+    # hashed, not sorted: rows come as their blocks sent them, so a batch mixes frequent and rare terms
+    weighed = held.join(df.hint("shuffle_hash"), "term").select("block", "term", "data", weights(F.col("df"), n_docs).alias("weight"))
 
     def run(batches):
         for batch in batches:
-            per = pc.list_value_length(batch.column("values")).to_numpy()
-            ends = np.concatenate([[0], np.cumsum(per)])
-            for i, j in doc_slices(ends, CHUNK):
-                part = batch.slice(i, j - i)
-                impacts = pc.list_flatten(part.column("values")).to_numpy() * np.repeat(part.column("weight").to_numpy(), per[i:j])
-                depth, slices = sliced(impacts, ends[i: j + 1] - ends[i])
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("block", "size", "term", "n")], pa.array(depth, pa.int32()), pa.array(slices, pa.binary()), part.column("places")],
-                                                 names=["block", "size", "term", "n", "depth", "slices", "places"])
-
-    terms = weighed.mapInArrow(run, "block long, size long, term binary, n long, depth int, slices binary, places array<int>")
-    whole = terms.unionByName(rows.where("term is null").select("block", "size", "ids"), allowMissingColumns=True)
+            offsets, raw = utf8_view(batch.column("data"))
+            for i, j in doc_slices(offsets, 6 * CHUNK):
+                part, begin = batch.slice(i, j - i), offsets[i:j]
+                per = np.diff(offsets[i: j + 1]) // 6
+                places, values = raw[ranges(begin, 2 * per)], raw[ranges(begin + 2 * per, 4 * per)].view("<u4")
+                ends = np.concatenate([[0], np.cumsum(per)])
+                depth, slices = sliced(values * np.repeat(part.column("weight").to_numpy(), per), ends)
+                where = pa.Array.from_buffers(pa.binary(), len(per), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(places)])
+                yield pa.RecordBatch.from_arrays([part.column("block"), part.column("term"), pa.array(depth, pa.int32()), pa.array(slices, pa.binary()), where], names=["block", "term", "depth", "slices", "places"])
+
+    terms = weighed.mapInArrow(run, "block long, term binary, depth int, slices binary, places binary")
+    whole = terms.unionByName(rows.where("term is null").select("block", "ids"), allowMissingColumns=True)
     index = materialise(whole, "impact-index")
     keep.drop()
     return index
@@ -268,19 +270,18 @@ def _answers(k: int, id_type: pa.DataType):
     def run(table: pa.Table) -> pa.Table:
         home = table.filter(pc.is_valid(table.column("ids")))
         rows = table.filter(pc.is_valid(table.column("uses")))
-        ids, size = home.column("ids").combine_chunks().flatten(), home.column("size")[0].as_py()
+        ids = home.column("ids").combine_chunks().flatten()
+        size = len(ids)
         uses = rows.column("uses").combine_chunks()
         per = pc.list_value_length(uses).to_numpy()
         flat = uses.flatten()
         item, times, row = flat.field("item").to_numpy(), flat.field("times").to_numpy(), np.repeat(np.arange(len(per)), per)
         raw, depth = rows.column("slices").to_pylist(), rows.column("depth").to_numpy()
-        spots = rows.column("places").combine_chunks()
-        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(spots).to_numpy())])
-        spots = spots.flatten().to_numpy()
+        spots = [np.frombuffer(x, "<u2") for x in rows.column("places").to_pylist()]
         order = np.argsort(item, kind="stable")
         edges = np.append(np.flatnonzero(np.append(True, np.diff(item[order]) != 0)), len(order)) if len(order) else np.zeros(1, np.int64)
         kept: dict[int, np.ndarray] = {}
-        shared = np.bincount(row, minlength=len(per)) * (np.diff(ends) > size // 64)  # terms of several items and many places
+        shared = np.bincount(row, minlength=len(per)) * (np.array([len(x) for x in spots], np.int64) > size // 64)  # terms of several items and many places
         out_item, out_place, out_score = [], [], []
         for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             numbers = []
@@ -289,7 +290,7 @@ def _answers(k: int, id_type: pa.DataType):
                 if t == 1 and r in kept:
                     numbers.append(kept[r])
                     continue
-                numbers.append(dense(raw[r], int(depth[r]), spots[ends[r]: ends[r + 1]], size, t))
+                numbers.append(dense(raw[r], int(depth[r]), spots[r], size, t))
                 if t == 1 and shared[r] > 2 and len(kept) < 256:
                     kept[r] = numbers[-1]
             places, scores = top_places(added(numbers), k)
@@ -334,8 +335,8 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP, text: str = "text",
     batches = max(1, -(-named.count() // batch))
     wanted = _item_terms(named.withColumnRenamed("text", "said"), "said").withColumn("batch", F.pmod("item", F.lit(batches)).cast("int"))
     uses = wanted.groupBy("batch", "term").agg(F.collect_list(F.struct("item", "times")).alias("uses"))  # a batch's items at most
-    hits = index.where("term is not null").join(uses, "term").select("block", "batch", "size", "depth", "slices", "places", "uses")
-    homes = index.where("term is null").select("block", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"), "size", "ids")
+    hits = index.where("term is not null").join(uses, "term").select("block", "batch", "depth", "slices", "places", "uses")
+    homes = index.where("term is null").select("block", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"), "ids")
     both = hits.unionByName(homes, allowMissingColumns=True)
     found = both.groupBy("block", "batch").applyInArrow(_answers(k, to_arrow_type(id_type)), f"item long, id {id_type.simpleString()}, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id")))).where(F.col("rank") <= k)

@@ -67,17 +67,3 @@ def newest_streak(checks: DataFrame, keys: list[str], at: str, failed: Column) -
     w = Window.partitionBy(*keys).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = checks.withColumn("failed", failed).withColumn("newer_ok", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(w))
     return rows.groupBy(*keys).agg(F.count_if(F.col("failed") & (F.col("newer_ok") == 0)).alias("streak"))
-
-
-def confirmation(candidates: DataFrame) -> DataFrame:
-    """candidates with status and reason after their confirming observation.
-
-    candidates: status, now, expires_at, baseline_current, config_same, source_ok, still_drop. The first rule that
-    applies decides.
-    """
-    status = (F.when(F.col("status") != "pending_confirmation", F.col("status")).when(F.col("now") > F.col("expires_at"), "expired")
-              .when(~F.col("baseline_current") | ~F.col("config_same"), "expired").when(~F.col("source_ok"), "source_failure")
-              .when(~F.col("still_drop"), "dismissed").otherwise("confirmed"))
-    reason = (F.when(F.col("status") != "pending_confirmation", None).when(F.col("now") > F.col("expires_at"), "deadline_passed")
-              .when(~F.col("baseline_current"), "baseline_replaced").when(~F.col("config_same"), "configuration_changed"))
-    return candidates.withColumn("new_status", status).withColumn("status_reason", reason)

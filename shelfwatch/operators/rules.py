@@ -34,34 +34,66 @@ def source_divergence(matches: DataFrame, checks: DataFrame, pct: float = 0.1, a
         "snapshot_id", "matched", "missing", is_matched_loss(F.col("matched"), F.col("missing"), pct, abs_).alias("is_open"), F.lit("warning").alias("severity"), F.lit(0.75).alias("confidence"))
 
 
-def price_availability(pairs: DataFrame, checks: DataFrame, abs_: float = 0.02, rel: float = 0.001, least: int = 5, ratio: float = 0.2, comparable: int = 20) -> DataFrame:
-    """(snapshot_id, compared, price_bad, availability_bad, affected, signals, total_affected, affected_count, is_open, severity) of matched products.
-
-    pairs: snapshot_id, product, confidence, and price, currency and availability of both sides (feed_, shop_). Only
-    confidences of 0.9 or more count, and a product once. Prices compare if both are numbers and both have the same
-    currency, upper-cased; availabilities if both are known. Each of the two signals needs least products and their ratio
-    of all compared ones; total_affected counts the products of the signals that do. Needs a feed check and a
-    product_page check of success.
+#: The ways of matching that the price rule takes, and its thresholds where an incident names no others.
+METHODS = ("offer_id", "normalized_url", "canonical_url")
+PRICE_THRESHOLDS = {"minimum_affected_count": 5, "minimum_affected_ratio": 0.2, "minimum_comparable_matches": 20, "price_absolute": 0.02, "price_relative": 0.001}
+SIDE = ("url", "title", "price", "currency", "availability")
+
+
+def match_rows(matches: DataFrame, items: DataFrame, checks: DataFrame) -> DataFrame:
+    """Matches that the price rule compares, a row each: snapshot_id, match_method, and SIDE of both items (feed_, shop_).
+
+    matches: snapshot_id, feed_item_id, storefront_item_id, match_method, match_confidence; those without both items, or
+    of a confidence below 0.9, are left out, and a product matched twice is two rows. items: item_id and SIDE. checks:
+    snapshot_id, source, status; a snapshot needs a feed check and a product_page check of success.
     """
     good = F.col("status") == "success"
-    gate = checks.groupBy("snapshot_id").agg(F.bool_or(good & (F.col("source") == "feed")).alias("f"), F.bool_or(good & (F.col("source") == "product_page")).alias("p")).where("f and p")
+    gate = checks.groupBy("snapshot_id").agg(F.bool_or(good & (F.col("source") == "feed")).alias("f"), F.bool_or(good & (F.col("source") == "product_page")).alias("p")).where("f and p").select("snapshot_id")
+    side = lambda name, prefix: items.select(F.col("item_id").alias(name), *[F.col(c).alias(f"{prefix}_{c}") for c in SIDE])
+    rows = matches.where("match_confidence >= 0.9").join(gate, "snapshot_id", "left_semi")
+    return (rows.join(side("feed_item_id", "feed"), "feed_item_id").join(side("storefront_item_id", "shop"), "storefront_item_id")
+            .select("snapshot_id", "match_method", *[f"{p}_{c}" for p in ("feed", "shop") for c in SIDE]))
+
+
+def price_signals(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, compared, price_bad, availability_bad, signals, total_affected, affected_count, is_open, severity) of match rows by keys.
+
+    rows: keys, the columns of ``match_rows`` and those of PRICE_THRESHOLDS, alike in all rows of a key (null: the rule's
+    own). Prices compare if both are numbers and both have the same currency, upper-cased; availabilities if both are
+    known. Every match row counts. A signal needs the least count and its ratio of all rows; total_affected counts the
+    distinct pairs of address and title (the shop's, else the feed's) in the signals that do, and opens by the same two
+    thresholds.
+    """
+    own = {n: F.coalesce(F.col(n), F.lit(v)) if n in rows.columns else F.lit(v) for n, v in PRICE_THRESHOLDS.items()}
     a, b = price_number(F.col("feed_price")), price_number(F.col("shop_price"))
     one = (F.col("feed_currency") != "") & (F.upper("feed_currency") == F.upper("shop_currency"))
     diff = F.abs(a - b)
     x, y = availability(F.col("feed_availability")), availability(F.col("shop_availability"))
-    far = (diff >= abs_) & (diff / F.greatest(F.abs(a), F.abs(b), F.lit(1.0)) >= rel)
+    far = (diff >= own["price_absolute"]) & (diff / F.greatest(F.abs(a), F.abs(b), F.lit(1.0)) >= own["price_relative"])
     no = F.lit(False)
-    rows = pairs.where("confidence >= 0.9").select("snapshot_id", "product", F.coalesce(one & far, no).alias("p"), ((x != "unknown") & (y != "unknown") & (x != y)).alias("v"))
-    per = rows.groupBy("snapshot_id", "product").agg(F.bool_or("p").alias("p"), F.bool_or("v").alias("v"))
-    out = per.groupBy("snapshot_id").agg(F.count("*").alias("compared"), F.count_if("p").alias("price_bad"), F.count_if("v").alias("availability_bad"), F.count_if(F.col("p") | F.col("v")).alias("affected"))
-    signal = lambda n: (F.col(n) >= least) & (F.col(n) >= ratio * F.col("compared"))
-    p, v = signal("price_bad"), signal("availability_bad")
-    total = F.when(p & v, F.col("affected")).when(p, F.col("price_bad")).when(v, F.col("availability_bad")).otherwise(0)
+    text = lambda c: F.coalesce(f"shop_{c}", f"feed_{c}", F.lit(""))
+    flagged = rows.select(*keys, *[v.alias(f"t_{n}") for n, v in own.items()], F.coalesce(one & far, no).alias("p"), F.coalesce((x != "unknown") & (y != "unknown") & (x != y), no).alias("v"),
+                          F.concat(text("url"), F.lit(":"), text("title")).alias("named"))
+    groups = [*keys, *[f"t_{n}" for n in own]]
+    # distinct names by which of the two signals they are in, so that no name is kept for whole groups
+    names = flagged.where("p or v").groupBy(*groups, "named").agg(F.bool_or("p").alias("p"), F.bool_or("v").alias("v")).groupBy(*groups).agg(
+        F.count_if("p").alias("p_names"), F.count_if("v").alias("v_names"), F.count("*").alias("names"))
+    out = flagged.groupBy(*groups).agg(F.count("*").alias("compared"), F.count_if("p").alias("price_bad"), F.count_if("v").alias("availability_bad")).join(names, groups, "left")
+    least, ratio = F.col("t_minimum_affected_count"), F.col("t_minimum_affected_ratio")
+    p, v = ((F.col(n) >= least) & (F.col(n) / F.col("compared") >= ratio) for n in ("price_bad", "availability_bad"))
+    total = F.coalesce(F.when(p & v, F.col("names")).when(p, F.col("p_names")).when(v, F.col("v_names")), F.lit(0))
     most = F.greatest(F.when(p, F.col("price_bad")).otherwise(0), F.when(v, F.col("availability_bad")).otherwise(0))
     named = F.filter(F.array(F.when(p, "price_mismatch_count"), F.when(v, "availability_mismatch_count")), lambda s: s.isNotNull())
     out = out.withColumns({"signals": named, "total_affected": total, "affected_count": most})
-    opens = (F.col("compared") >= comparable) & (F.size("signals") > 0) & (F.col("total_affected") >= least) & (F.col("total_affected") >= ratio * F.col("compared"))
-    return out.join(gate.select("snapshot_id"), "snapshot_id").select("*", opens.alias("is_open"), F.lit("warning").alias("severity"))
+    opens = (F.size("signals") > 0) & (F.col("total_affected") >= least) & (F.col("total_affected") / F.col("compared") >= ratio) & (F.col("compared") >= F.col("t_minimum_comparable_matches"))
+    return out.select(*keys, "compared", "price_bad", "availability_bad", "signals", "total_affected", "affected_count", opens.alias("is_open"), F.lit("warning").alias("severity"),
+                      (F.col("compared") >= F.col("t_minimum_comparable_matches")).alias("enough"))
+
+
+def price_availability(matches: DataFrame, items: DataFrame, checks: DataFrame, methods: tuple[str, ...] = METHODS) -> DataFrame:
+    """What price_signals gives for each snapshot under the rule's own thresholds and ways of matching."""
+    rows = match_rows(matches, items, checks).where(F.col("match_method").isin(*methods))
+    return price_signals(rows, ["snapshot_id"])
 
 
 def comparable_samples(snapshots: DataFrame) -> DataFrame:

@@ -12,26 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.canonical import canonical_hash
 from ..operators import alerts, baseline, correlation, identity, incidents, lifecycle, recovery, reports, rules, store, timeline
 from ..sources import category, landed, merchant
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from . import decisions  # noqa: F401 (its queries register themselves)
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
+from .base import query as _query
+from .base import table as _table
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a type in a day as the observations of a source."""
@@ -312,7 +299,7 @@ def offer_normalize(spark, sf_dir):
 @_query("""SELECT s_suppkey, sha256('{"name":"' || s_name || '","nation":' || s_nationkey || '}') AS config_hash FROM supplier""")
 def config_hash(spark, sf_dir):
     """Hash of a configuration's canonical JSON (keys in order)."""
-    return _table(spark, sf_dir, "supplier").select("s_suppkey", F.sha2(F.to_json(F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))).cast("binary"), 256).alias("config_hash"))
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", canonical_hash(F.to_json(F.struct(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name")))).alias("config_hash"))
 
 
 @_query(r"SELECT doc_id FROM documents WHERE text ILIKE '%license%' ESCAPE '\' OR source ILIKE '%c1\_%' ESCAPE '\' OR lang ILIKE 'es' ESCAPE '\'")
@@ -371,31 +358,70 @@ def availability_norm(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", C.availability(said).alias("availability"))
 
 
+#: Match rows of the price rule: order lines as matches of a feed and a shop item; the third of a part's lines have its name, the others one of their own.
+PRICE_ROWS = f"""l AS (SELECT l_suppkey % 20 AS snapshot_id, l_linenumber AS n, l_orderkey AS o, l_partkey AS k, p_size, l_linenumber % 3 AS way FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) JOIN part ON p_partkey = l_partkey WHERE l_linenumber <> 7 AND l_suppkey % 20 % 7 <> 3),
+j AS (SELECT snapshot_id, way, CASE WHEN o % 11 <> 0 AND o % 13 NOT IN (0, 1) THEN abs((p_size + 0.5) - (p_size + CASE WHEN (o + n) % 4 = 0 THEN 1 ELSE 0 END + 0.51)) END AS diff, p_size + CASE WHEN (o + n) % 4 = 0 THEN 1 ELSE 0 END + 0.51 AS most,
+             {_worded_sql('o')} AS x, {_worded_sql('(k + 1)')} AS y, CASE WHEN o % 3 = 0 THEN 'u' || k ELSE 'u' || o || '-' || n END || ':' || CASE WHEN o % 3 = 0 THEN '' ELSE 't' END AS named FROM l),
+f AS (SELECT snapshot_id, way, coalesce(diff >= 0.02 AND diff / most >= 0.001, false) AS p, x <> 'unknown' AND y <> 'unknown' AND x <> y AS v, named FROM j)"""
+
+
+def _price_tables(spark, sf_dir):
+    """(matches, items, checks) as rules.match_rows takes them."""
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    li = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey"))  # line numbers repeat
+    li = li.join(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    line = F.concat_ws("-", o.cast("string"), n.cast("string"))
+    way = F.element_at(F.array(*[F.lit(m) for m in rules.METHODS]), (n % 3 + 1).cast("int"))
+    matches = li.select((F.col("l_suppkey") % 20).alias("snapshot_id"), F.concat(F.lit("f"), line).alias("feed_item_id"), F.concat(F.lit("s"), line).alias("storefront_item_id"), way.alias("match_method"),
+                        F.when(n == 7, 0.5).otherwise(0.98).alias("match_confidence"))
+    feed = li.select(F.concat(F.lit("f"), line).alias("item_id"), F.concat(F.lit("u"), line).alias("url"), F.lit("t").alias("title"), F.concat(F.col("p_size").cast("string"), F.lit(",50 EUR")).alias("price"),
+                     F.when(o % 11 != 0, F.when(o % 2 == 0, "eur").otherwise("EUR")).alias("currency"), _worded(o).alias("availability"))
+    shop = li.select(F.concat(F.lit("s"), line).alias("item_id"), F.when(o % 3 == 0, F.concat(F.lit("u"), F.col("l_partkey").cast("string"))).alias("url"), F.when(o % 3 == 0, "").alias("title"),
+                     F.concat((F.col("p_size") + F.when((o + n) % 4 == 0, 1).otherwise(0)).cast("string"), F.lit(".51")).alias("price"), F.when(o % 13 == 0, "").when(o % 13 == 1, "USD").otherwise("EUR").alias("currency"),
+                     _worded(F.col("l_partkey") + 1).alias("availability"))
+    checks = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 20).alias("snapshot_id"), F.explode(F.array(F.lit("feed"), F.lit("product_page"))).alias("source"))
+    return matches, feed.unionByName(shop), checks.withColumn("status", F.when((F.col("snapshot_id") % 7 == 3) & (F.col("source") == "feed"), "partial").otherwise("success"))
+
+
 @_query(f"""
-WITH l AS (SELECT l_suppkey % 20 AS snapshot_id, l_orderkey * 10 + l_linenumber AS product, p_size, l_orderkey AS o, l_linenumber AS n, l_partkey AS k FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <> 7),
-j AS (SELECT snapshot_id, product, CASE WHEN o % 11 <> 0 AND o % 13 NOT IN (0, 1) THEN abs((p_size + 0.5) - (p_size + CASE WHEN (o + n) % 4 = 0 THEN 1 ELSE 0 END + 0.51)) END AS diff, p_size + CASE WHEN (o + n) % 4 = 0 THEN 1 ELSE 0 END + 0.51 AS most,
-             {_worded_sql('o')} AS x, {_worded_sql('(k + 1)')} AS y FROM l),
-f AS (SELECT snapshot_id, product, bool_or(coalesce(diff >= 0.02 AND diff / most >= 0.001, false)) AS p, bool_or(x <> 'unknown' AND y <> 'unknown' AND x <> y) AS v FROM j GROUP BY 1, 2),
-c AS (SELECT snapshot_id, count(*) AS compared, count(*) FILTER (p) AS price_bad, count(*) FILTER (v) AS availability_bad, count(*) FILTER (p OR v) AS affected FROM f WHERE snapshot_id % 7 <> 3 GROUP BY 1),
+WITH {PRICE_ROWS},
+c AS (SELECT snapshot_id, count(*) AS compared, count(*) FILTER (p) AS price_bad, count(*) FILTER (v) AS availability_bad, count(DISTINCT named) FILTER (p) AS pn, count(DISTINCT named) FILTER (v) AS vn, count(DISTINCT named) FILTER (p OR v) AS bn FROM f GROUP BY 1),
 g AS (SELECT *, price_bad >= 5 AND price_bad >= 0.2 * compared AS ps, availability_bad >= 5 AND availability_bad >= 0.2 * compared AS vs FROM c),
-t AS (SELECT *, CASE WHEN ps AND vs THEN affected WHEN ps THEN price_bad WHEN vs THEN availability_bad ELSE 0 END AS total_affected FROM g)
+t AS (SELECT *, CASE WHEN ps AND vs THEN bn WHEN ps THEN pn WHEN vs THEN vn ELSE 0 END AS total_affected FROM g)
 SELECT snapshot_id, compared, price_bad, availability_bad, concat_ws(',', CASE WHEN ps THEN 'price_mismatch_count' END, CASE WHEN vs THEN 'availability_mismatch_count' END) AS signals, total_affected,
        compared >= 20 AND (ps OR vs) AND total_affected >= 5 AND total_affected >= 0.2 * compared AS is_open FROM t""")
 def price_availability(spark, sf_dir):
-    """Price and availability rule: order lines as pairs of a feed and a shop item; some lack a currency or have different ones, one line number is a doubtful match."""
-    li, part = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"), _table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    o = F.col("l_orderkey")
-    rows = li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        (F.col("l_suppkey") % 20).alias("snapshot_id"), (o * 10 + F.col("l_linenumber")).alias("product"), F.when(F.col("l_linenumber") == 7, 0.5).otherwise(0.98).alias("confidence"),
-        F.concat(F.col("p_size").cast("string"), F.lit(",50 EUR")).alias("feed_price"), F.when(o % 11 != 0, F.when(o % 2 == 0, "eur").otherwise("EUR")).alias("feed_currency"), _worded(o).alias("feed_availability"),
-        F.concat((F.col("p_size") + F.when((o + F.col("l_linenumber")) % 4 == 0, 1).otherwise(0)).cast("string"), F.lit(".51")).alias("shop_price"),
-        F.when(o % 13 == 0, "").when(o % 13 == 1, "USD").otherwise("EUR").alias("shop_currency"), _worded(F.col("l_partkey") + 1).alias("shop_availability"))
-    checks = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 20).alias("snapshot_id"), F.explode(F.array(F.lit("feed"), F.lit("product_page"))).alias("source"))
-    checks = checks.withColumn("status", F.when((F.col("snapshot_id") % 7 == 3) & (F.col("source") == "feed"), "partial").otherwise("success"))
-    got = rules.price_availability(rows, checks)
+    """Price and availability rule from matches and items by id; some lack a currency or have different ones, one line number is a doubtful match, products match several times."""
+    got = rules.price_availability(*_price_tables(spark, sf_dir))
     return got.select("snapshot_id", "compared", "price_bad", "availability_bad", F.array_join("signals", ",").alias("signals"), "total_affected", "is_open")
 
 
+@_query(f"""
+WITH {PRICE_ROWS},
+i AS (SELECT s_suppkey AS incident_id, s_suppkey % 5 AS store, s_suppkey % 10 AS opened, CASE WHEN s_suppkey % 3 = 0 THEN 700 ELSE 5 END AS least, CASE WHEN s_suppkey % 4 = 0 THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END AS ratio, CASE WHEN s_suppkey % 7 = 0 THEN 1000000 ELSE 20 END AS enough,
+             s_suppkey % 2 = 0 AS one_way, s_suppkey % 11 = 0 AS other FROM supplier WHERE s_suppkey % 6 <> 5),
+s AS (SELECT DISTINCT s_suppkey % 20 AS snapshot_id FROM supplier),
+e AS (SELECT incident_id, s.snapshot_id, least, ratio, enough, other, one_way FROM i JOIN s ON s.snapshot_id % 5 = store AND s.snapshot_id > opened),
+u AS (SELECT snapshot_id, w AS one_way, count(*) AS compared, count(*) FILTER (p) AS a, count(*) FILTER (v) AS b, count(DISTINCT named) FILTER (p) AS pn, count(DISTINCT named) FILTER (v) AS vn, count(DISTINCT named) FILTER (p OR v) AS bn
+      FROM f JOIN (VALUES (true), (false)) t(w) ON NOT w OR way = 0 GROUP BY 1, 2),
+g AS (SELECT e.*, compared, a, b, pn, vn, bn, coalesce(a >= least AND a / compared >= ratio, false) AS ps, coalesce(b >= least AND b / compared >= ratio, false) AS vs FROM e LEFT JOIN u USING (snapshot_id, one_way)),
+t AS (SELECT *, CASE WHEN ps AND vs THEN bn WHEN ps THEN pn WHEN vs THEN vn ELSE 0 END AS total FROM g),
+r AS (SELECT *, coalesce(compared >= enough, false) AS fine, (ps OR vs) AND total >= least AND total / compared >= ratio AS bad FROM t)
+SELECT incident_id, snapshot_id, CASE WHEN other THEN 'configuration_changed' WHEN NOT fine THEN 'too_few_matches' WHEN bad THEN 'mismatch_returned' ELSE 'below_thresholds' END AS reason, NOT other AND fine AS comparable, NOT other AND fine AND NOT bad AS healthy,
+       CASE WHEN NOT other AND fine AND bad THEN concat_ws(',', CASE WHEN ps THEN 'price_mismatch_count' END, CASE WHEN vs THEN 'availability_mismatch_count' END) ELSE '' END AS unhealthy FROM r""")
+def price_recovery(spark, sf_dir):
+    """Price incidents against later snapshots under their own thresholds and ways of matching: suppliers as incidents of five stores."""
+    k = F.col("s_suppkey")
+    some = _table(spark, sf_dir, "supplier").select(
+        k.alias("incident_id"), (k % 5).alias("store_id"), F.when(k % 6 == 5, "resolved").otherwise("open").alias("status"), F.when(k % 11 == 0, "d").otherwise("c").alias("config"), (k % 10).alias("opened_at"),
+        F.when(k % 3 == 0, 700).alias("minimum_affected_count"), F.when(k % 4 == 0, 0.5).alias("minimum_affected_ratio"), F.when(k % 7 == 0, 1000000).alias("minimum_comparable_matches"),
+        F.lit(None).cast("double").alias("price_absolute"), F.lit(None).cast("double").alias("price_relative"), F.when(k % 2 == 0, F.array(F.lit("offer_id"))).alias("methods"))
+    s = _table(spark, sf_dir, "supplier").select((k % 20).alias("snapshot_id")).distinct()
+    snapshots = s.select("snapshot_id", (F.col("snapshot_id") % 5).alias("store_id"), F.col("snapshot_id").alias("at"), F.lit("c").alias("config"))
+    got = recovery.price_availability(some, snapshots, rules.match_rows(*_price_tables(spark, sf_dir)))
+    return got.select("incident_id", "snapshot_id", "reason", "comparable", "healthy", F.array_join("unhealthy", ",").alias("unhealthy"))
+
+
 @_query("""
 WITH i AS (SELECT l_suppkey % 5 AS store, CAST(year(l_shipdate) AS BIGINT) AS y, l_partkey % 150 AS k, CAST(sum(l_linenumber) AS BIGINT) + l_partkey % 150 AS q FROM lineitem WHERE l_suppkey % 5 <> 3 OR l_partkey % 7 <> year(l_shipdate) % 7 GROUP BY 1, 2, 3),
 s AS (SELECT store, y, count(*) AS size, count(*) FILTER (q % 10 <> 1) AS good, store <> 4 AND count(*) >= 20 AND count(*) FILTER (q % 10 <> 1) >= 20 AND count(*) FILTER (q % 10 <> 1) >= 0.8 * count(*) AS fit FROM i GROUP BY 1, 2),
@@ -410,6 +436,12 @@ SELECT store * 10000 + y AS snapshot_id, store * 10000 + py AS previous_id, comm
        greatest(coalesce(a, 0), coalesce(b, 0), coalesce(c, 0), coalesce(d, 0)) AS affected, coalesce(a, b, c, d) IS NOT NULL AS is_open FROM g""")
 def seo_regression(spark, sf_dir):
     """Page-signal rule: parts shipped in a year as the pages of a supplier group's snapshot; one group's parser differs, another's pages change from year to year."""
+    got = rules.seo_regression(*_pages(spark, sf_dir))
+    return got.select("snapshot_id", "previous_id", "common", "coverage", *rules.SEO_SIGNALS, F.array_join("signals", ",").alias("signals"), "affected", "is_open")
+
+
+def _pages(spark, sf_dir):
+    """(items, snapshots) of the page-signal rule."""
     li = _table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 5).alias("store"), F.year("l_shipdate").cast("long").alias("y"), "l_partkey", "l_linenumber")
     q = F.col("q")
     items = (li.where((F.col("store") != 3) | (F.col("l_partkey") % 7 != F.col("y") % 7)).groupBy("store", "y", (F.col("l_partkey") % 150).alias("stable_key")).agg(F.sum("l_linenumber").alias("q")).withColumn("q", q + F.col("stable_key"))
@@ -419,8 +451,32 @@ def seo_regression(spark, sf_dir):
         F.count("*").alias("selected_count"), F.count("http_status").alias("comparable_checks"), F.count_if(F.col("http_status").isNull()).alias("failed_checks")).withColumn("urls_hash", F.lit("h"))
     for name, value in rules.SAMPLE.items():
         snapshots = snapshots.withColumn(name, F.when((F.col("store_id") == 4) & (name == "parser_version"), "other").otherwise(value))
-    got = rules.seo_regression(items, snapshots)
-    return got.select("snapshot_id", "previous_id", "common", "coverage", *rules.SEO_SIGNALS, F.array_join("signals", ",").alias("signals"), "affected", "is_open")
+    return items, snapshots
+
+
+@_query("""
+WITH i AS (SELECT l_suppkey % 5 AS store, CAST(year(l_shipdate) AS BIGINT) AS y, l_partkey % 150 AS k, CAST(sum(l_linenumber) AS BIGINT) + l_partkey % 150 AS q FROM lineitem WHERE l_suppkey % 5 <> 3 OR l_partkey % 7 <> year(l_shipdate) % 7 GROUP BY 1, 2, 3),
+s AS (SELECT store, y, count(*) AS size, count(*) FILTER (q % 10 <> 1) AS good, store <> 4 AND count(*) >= 20 AND count(*) FILTER (q % 10 <> 1) >= 20 AND count(*) FILTER (q % 10 <> 1) >= 0.8 * count(*) AS fit FROM i GROUP BY 1, 2),
+p AS (SELECT *, lag(y) OVER w AS py FROM s WHERE size >= 20 WINDOW w AS (PARTITION BY store ORDER BY y)),
+c AS (SELECT store * 10 + e AS incident_id, p.store, p.y AS oy, p.py, p.fit AS ofit, CASE WHEN e = 1 THEN 0.95::DOUBLE ELSE 0.8::DOUBLE END AS least FROM p, (VALUES (0), (1)) t(e) WHERE p.y = 1993 + e),
+x AS (SELECT c.*, s.y, s.size, coalesce(s.size >= 20 AND s.fit, false) AS fit FROM c JOIN s ON s.store = c.store AND s.y > c.oy),
+b AS (SELECT x.incident_id, x.y, count(*) AS common, count(*) / min(least(x.size, z.size)) AS coverage, count(*) FILTER (n.q % 9 = 0 AND o.q % 9 <> 0) AS e1, count(*) FILTER (o.q % 8 > 1 AND n.q % 8 = 0) AS e2,
+             count(*) FILTER (o.q % 6 > 1 AND n.q % 6 <= 1) AS e3, count(*) FILTER (n.q % 10 = 0 AND o.q % 10 > 1) AS e4
+      FROM x JOIN s z ON z.store = x.store AND z.y = x.py JOIN i n ON n.store = x.store AND n.y = x.y JOIN i o ON o.store = x.store AND o.y = x.py AND o.k = n.k GROUP BY 1, 2 HAVING count(*) >= 20),
+g AS (SELECT *, concat_ws(',', CASE WHEN e1 >= 5 AND e1 >= 0.05 * common THEN 'noindex' END, CASE WHEN e2 >= 5 AND e2 >= 0.05 * common THEN 'canonical_away' END, CASE WHEN e3 >= 5 AND e3 >= 0.1 * common THEN 'schema_missing' END,
+             CASE WHEN e4 >= 5 AND e4 >= 0.1 * common THEN 'http_error' END) AS signals FROM b),
+r AS (SELECT x.incident_id, x.store * 10000 + x.y AS snapshot_id, CASE WHEN NOT x.fit THEN 'sample_not_comparable' WHEN NOT ofit THEN 'opening_sample_not_comparable' WHEN py IS NULL THEN 'no_reference_sample'
+             WHEN coverage >= least AND signals = '' THEN 'below_thresholds' WHEN coverage >= least THEN 'signals_returned' ELSE 'coverage_too_low' END AS reason, signals, x.fit AND ofit AS known FROM x LEFT JOIN g USING (incident_id, y))
+SELECT incident_id, snapshot_id, reason, reason IN ('below_thresholds', 'signals_returned') AS comparable, reason = 'below_thresholds' AS healthy, CASE WHEN known THEN coalesce(signals, '') ELSE '' END AS unhealthy FROM r""")
+def page_recovery(spark, sf_dir):
+    """Page incidents of two years in each group, one with a stricter coverage, against all later snapshots."""
+    items, snapshots = _pages(spark, sf_dir)
+    snapshots = snapshots.withColumn("config", F.lit("c"))
+    e = F.col("finished_at") - 1993
+    some = snapshots.where("finished_at in (1993, 1994)").select((F.col("store_id") * 10 + e).alias("incident_id"), "store_id", F.lit("open").alias("status"), "config", F.col("finished_at").alias("opened_at"),
+                                                                 F.col("snapshot_id").alias("opened_snapshot_id"), F.when(e == 1, 0.95).alias("coverage_minimum"))
+    got = recovery.page_signals(some, items, snapshots)
+    return got.select("incident_id", "snapshot_id", "reason", "comparable", "healthy", F.array_join("unhealthy", ",").alias("unhealthy"))
 
 
 @_query("""

@@ -42,11 +42,22 @@ def test_divergence_recovery(spark):
 
 
 def test_price_recovery(spark):
-    some = spark.createDataFrame([("a", "s", "open", "c", 0, None, None)], INCIDENT)
+    """An incident's own counts, ratio, coverage, tolerance and ways of matching decide."""
+    rows = [(s, "offer_id" if n < 20 else "canonical_url", f"u{n}", "t", "10", "EUR", "in stock", None, None, "10.03" if n < bad else "10", "EUR", "in stock")
+            for s, total, bad in (("1", 20, 0), ("2", 30, 9), ("3", 19, 9), ("5", 30, 9)) for n in range(total)]
+    matched = spark.createDataFrame(rows, "snapshot_id string, match_method string, feed_url string, feed_title string, feed_price string, feed_currency string, feed_availability string, "
+                                          "shop_url string, shop_title string, shop_price string, shop_currency string, shop_availability string")
     snapshots = spark.createDataFrame([(str(n), "s", n, "c" if n < 5 else "d") for n in range(1, 6)], "snapshot_id string, store_id string, at int, config string")
-    rows = spark.createDataFrame([("1", 20, False), ("2", 20, True), ("3", 19, False), ("5", 30, False)], "snapshot_id string, compared int, is_open boolean")
-    got = {k[1]: v[2] for k, v in judged(recovery.price_availability(some, snapshots, rows)).items()}
-    assert got == {"1": "below_thresholds", "2": "mismatch_returned", "3": "too_few_matches", "4": "too_few_matches", "5": "configuration_changed"}
+    own = {"plain": (None, None, None, None, None), "many": (10, None, None, None, None), "share": (None, 0.31, None, None, None), "few": (None, None, 19, None, None), "wide": (None, None, None, 0.04, None), "offers": (None, None, None, None, ["offer_id"])}
+    some = spark.createDataFrame([(i, "s", "open", "c", 0, *v) for i, v in own.items()],
+                                 "incident_id string, store_id string, status string, config string, opened_at int, minimum_affected_count int, minimum_affected_ratio double, minimum_comparable_matches int, price_absolute double, methods array<string>")
+    some = some.withColumn("price_relative", F.lit(None).cast("double"))
+    outcomes = recovery.price_availability(some, snapshots, matched).collect()
+    got = {(r.incident_id, r.snapshot_id): r.reason for r in outcomes}
+    good, bad, few, other = "below_thresholds", "mismatch_returned", "too_few_matches", "configuration_changed"
+    assert {i: [got[i, s] for s in "12345"] for i in own} == {"plain": [good, bad, few, few, other], "many": [good, good, few, few, other], "share": [good, good, few, few, other], "few": [good, bad, bad, few, other],
+                                                             "wide": [good, good, few, few, other], "offers": [good, bad, few, few, other]}
+    assert {tuple(r.unhealthy) for r in outcomes if r.reason == bad} == {("price_mismatch_count",)} and {tuple(r.unhealthy) for r in outcomes if r.reason != bad} == {()}
 
 
 def test_page_recovery_compares_with_the_sample_before(spark):
@@ -57,11 +68,47 @@ def test_page_recovery_compares_with_the_sample_before(spark):
     rows = [(s, "s", n, "h", 25, 25 if s != "s5" else 3, 0, "c", *rules.SAMPLE.values()) for n, s in enumerate([*states, "s5"])]
     snapshots = spark.createDataFrame(rows, "snapshot_id string, store_id string, finished_at int, urls_hash string, selected_count int, comparable_checks int, failed_checks int, config string, " + ", ".join(f"{c} string" for c in rules.SAMPLE))
     some = spark.createDataFrame([("a", "s", "open", "c", 1, None, None, "s2"), ("first", "s", "open", "c", 0, None, None, "s1")], INCIDENT + ", opened_snapshot_id string")
-    got = judged(recovery.page_signals(some, items, snapshots))
+    got = judged(recovery.page_signals(some.withColumn("coverage_minimum", F.lit(None).cast("double")), items, snapshots))
     assert got["a", "s3"] == (True, False, "signals_returned") and got["a", "s4"] == (True, True, "below_thresholds") and got["a", "s5"] == (False, False, "sample_not_comparable")
     assert got["first", "s2"] == (False, False, "no_reference_sample")
 
 
+def test_page_recovery_takes_an_unfit_reference_and_the_incidents_coverage(spark):
+    """The sample before the opening one needs no successful checks of its own; coverage is the incident's."""
+    items = [(s, f"p{k}", "noindex" if s == "s2" and k < 9 else "index", "self", True, 200) for s, n in (("s1", 30), ("s2", 30), ("s3", 27)) for k in range(n)]
+    items = spark.createDataFrame(items, "snapshot_id string, stable_key string, indexability string, canonical_state string, schema_valid boolean, http_status int").withColumn("stable_key", F.when((F.col("snapshot_id") == "s3") & (F.col("stable_key") == "p0"), "other").otherwise(F.col("stable_key")))
+    rows = [(s, "s", n, "h", 30, 30 if s != "s1" else 2, 0 if s != "s1" else 28, "c", *rules.SAMPLE.values()) for n, s in enumerate(("s1", "s2", "s3"))]
+    snapshots = spark.createDataFrame(rows, "snapshot_id string, store_id string, finished_at int, urls_hash string, selected_count int, comparable_checks int, failed_checks int, config string, " + ", ".join(f"{c} string" for c in rules.SAMPLE))
+    some = spark.createDataFrame([("a", "s", "open", "c", 1, "s2", None), ("b", "s", "open", "c", 1, "s2", 0.97)], "incident_id string, store_id string, status string, config string, opened_at int, opened_snapshot_id string, coverage_minimum double")
+    got = judged(recovery.page_signals(some, items, snapshots))
+    assert got == {("a", "s3"): (True, True, "below_thresholds"), ("b", "s3"): (False, False, "coverage_too_low")}
+
+
+def test_signals_recover_and_return(spark):
+    active = spark.createDataFrame([("i", ["noindex", "http_error", "noindex"]), ("j", ["canonical_away"])], "incident_id string, signals array<string>")
+    seen = [("s1", 1, True, ["noindex", "http_error"]), ("s2", 2, True, ["noindex", "schema_missing"]), ("s3", 3, False, []), ("s4", 4, True, ["http_error"]), ("s5", 5, True, [])]
+    outcomes = spark.createDataFrame([("i", *x) for x in seen] + [("j", "s0", 0, False, []), ("k", "s0", 0, True, [])], "incident_id string, snapshot_id string, at int, comparable boolean, unhealthy array<string>")
+    rows = recovery.recovered_signals(active, outcomes, ranges=3)
+    got = {(r.incident_id, r.snapshot_id): (r.recovered, r.remaining, r.returned) for r in rows.collect()}
+    both = ["http_error", "noindex"]
+    assert got == {("i", "s1"): ([], both, []), ("i", "s2"): (["http_error"], ["noindex"], []), ("i", "s3"): (["http_error"], ["noindex"], []), ("i", "s4"): (["noindex"], ["http_error"], ["http_error"]), ("i", "s5"): (both, [], []),
+                   ("j", "s0"): ([], ["canonical_away"], [])}
+    some = spark.createDataFrame([("i", ["opened"]), ("j", None)], "incident_id string, evidence array<string>")
+    kept = {r.incident_id: r.evidence for r in recovery.appended_evidence(some, rows).collect()}
+    assert kept["j"] == [] and kept["i"][:3] == ["opened", "snapshot s1: recovered none; remaining http_error, noindex", "snapshot s2: recovered http_error; remaining noindex"] and len(kept["i"]) == 5
+
+
+def test_feed_and_issue_recovery(spark):
+    some = spark.createDataFrame([("a", "s", "open", "c", 0, "u"), ("b", "s", "ignored", "c", 0, "u"), ("d", "s", "open", "d", 0, "v")], "incident_id string, store_id string, status string, config string, opened_at int, feed_url string")
+    checks = spark.createDataFrame([("s0", "s", 0, "u", "success"), ("s1", "s", 1, "u", "timeout"), ("s2", "s", 2, "u", "partial"), ("s3", "s", 3, "u", "success")], "snapshot_id string, store_id string, at int, feed_url string, status string")
+    assert judged(recovery.feed_health(some, checks)) == {("a", "s1"): (True, False, "feed_check_failed"), ("a", "s2"): (False, False, "feed_check_partial"), ("a", "s3"): (True, True, "feed_check_succeeded")}
+    snapshots = spark.createDataFrame([(f"s{n}", "s", n, "c") for n in range(1, 4)], "snapshot_id string, store_id string, at int, config string")
+    observed = spark.createDataFrame([("s1", 2), ("s2", 0)], "snapshot_id string, affected int")
+    got = judged(recovery.item_issues(some, snapshots, observed))
+    assert {k[1]: v for k, v in got.items() if k[0] == "a"} == {"s1": (True, False, "item_issues_remain"), "s2": (True, True, "no_item_issues"), "s3": (False, False, "scan_incomplete")}
+    assert {v for k, v in got.items() if k[0] == "d"} == {(False, False, "configuration_changed")}
+
+
 def test_drive_equals_the_steps(spark):
     rng = random.Random(5)
     firsts = ["open", "investigating", "acknowledged", "recovering"]

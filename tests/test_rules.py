@@ -15,29 +15,60 @@ def test_divergence(spark, missing, category, want):
     assert [tuple(r)[1:4] for r in rules.source_divergence(matches, checks).collect()] == want
 
 
+SIDE = "item_id string, url string, title string, price string, currency string, availability string"
+MATCH = "snapshot_id string, feed_item_id string, storefront_item_id string, match_method string, match_confidence double"
+
+
+def price_tables(spark, pairs):
+    """matches and items of (snapshot, feed side, shop side, method, confidence); a side is (url, title, price, currency, availability)."""
+    items = [(f"f{k}", *f) for k, (_, f, _, _, _) in enumerate(pairs)] + [(f"s{k}", *s) for k, (_, _, s, _, _) in enumerate(pairs)]
+    matches = [(snapshot, f"f{k}", f"s{k}", method, confidence) for k, (snapshot, _, _, method, confidence) in enumerate(pairs)]
+    return spark.createDataFrame([*matches, ("a", "f0", None, "offer_id", 1.0)], MATCH), spark.createDataFrame(items, SIDE)
+
+
+def pair(snapshot, n, price="11.00", feed="EUR", shop="EUR", state="in stock", method="offer_id", confidence=0.98, url=None):
+    return (snapshot, (f"u{n}", "t", "10.00", feed, "available"), (url, None, price, shop, state), method, confidence)
+
+
+def passed(spark, snapshots):
+    return spark.createDataFrame([(s, x, "success", 1) for s in snapshots for x in ("feed", "product_page")], CHECKS)
+
+
 def test_prices_and_availability(spark):
-    def pairs(snapshot, bad, confidence=0.98):
-        return [(snapshot, f"p{n}", confidence, "10.00" if n < bad else "20", "USD", "in stock", "11.00" if n < bad else "20.00", "USD", "sold out" if n == 0 else "in_stock") for n in range(25)]
+    def some(snapshot, bad, **more):
+        return [pair(snapshot, n, "11.00" if n < bad else "10", state="sold out" if n == 0 else "in_stock", **more) for n in range(25)]
+
+    checks = passed(spark, "abc").unionByName(spark.createDataFrame([("d", "feed", "success", 1)], CHECKS))
+    tables = price_tables(spark, some("a", 5) + some("b", 4) + some("c", 25, confidence=0.5) + some("d", 9) + some("a", 25, method="fallback"))
+    got = {r.snapshot_id: (r.compared, r.price_bad, r.availability_bad, r.total_affected, r.is_open) for r in rules.price_availability(*tables, checks).collect()}
+    assert got == {"a": (25, 5, 1, 5, True), "b": (25, 4, 1, 0, False)}
 
-    df = spark.createDataFrame(pairs("a", 5) + pairs("b", 4) + pairs("c", 25, 0.5) + pairs("d", 9), "snapshot_id string, product string, confidence double, feed_price string, feed_currency string, feed_availability string, shop_price string, shop_currency string, shop_availability string")
-    checks = spark.createDataFrame([(s, x, "success", 1) for s in "abc" for x in ("feed", "product_page")] + [("d", "feed", "success", 1)], CHECKS)
-    got = {r.snapshot_id: (r.compared, r.price_bad, r.availability_bad, r.affected, r.is_open) for r in rules.price_availability(df, checks).collect()}
-    assert got == {"a": (25, 5, 1, 5, True), "b": (25, 4, 1, 4, False)}
+
+def test_match_rows_count_and_names_are_distinct(spark):
+    """A product that is matched three times counts three times; what is affected counts by address and title."""
+    rows = [pair("a", n % 2, url="same" if n < 3 else None) for n in range(6)] + [pair("a", 9, "10.00") for _ in range(14)]
+    got = rules.price_availability(*price_tables(spark, rows), passed(spark, "a")).collect()
+    assert [(r.compared, r.price_bad, r.signals, r.total_affected, r.is_open) for r in got] == [(20, 6, ["price_mismatch_count"], 3, False)]
+    apart = rows[:6] + [pair("a", 20 + n) for n in range(2)] + [pair("a", 9, "10.00") for _ in range(12)]
+    got = rules.price_availability(*price_tables(spark, apart), passed(spark, "a")).collect()
+    assert [(r.price_bad, r.total_affected, r.is_open) for r in got] == [(8, 5, True)]
 
 
 def test_currencies_and_signals_apart(spark):
     """Currencies compare upper-cased, a missing one doesn't; each signal needs its own count."""
-    def pair(s, n, fc, sc, bad=False, av="in stock"):
-        return (s, f"p{n}", 0.98, "10.00", fc, "available", "11.00" if bad else "10.00", sc, av)
-
-    data = [pair("a", n, "eur", "EUR", n < 5) for n in range(20)] + [pair("b", n, None, None, True) for n in range(20)] + [pair("c", n, "EUR", "EUR", n < 4, "unavailable" if 4 <= n < 8 else "in stock") for n in range(20)]
-    data += [pair("d", n, "EUR", "EUR", n < 4) for n in range(19)]
-    df = spark.createDataFrame(data, "snapshot_id string, product string, confidence double, feed_price string, feed_currency string, feed_availability string, shop_price string, shop_currency string, shop_availability string")
-    checks = spark.createDataFrame([(s, x, "success", 1) for s in "abcd" for x in ("feed", "product_page")], CHECKS)
-    got = {r.snapshot_id: (r.price_bad, r.availability_bad, r.signals, r.total_affected, r.is_open) for r in rules.price_availability(df, checks).collect()}
+    data = [pair("a", n, "11.00" if n < 5 else "10.00", "eur") for n in range(20)] + [pair("b", n, feed=None, shop=None) for n in range(20)]
+    data += [pair("c", n, "11.00" if n < 4 else "10.00", state="unavailable" if 4 <= n < 8 else "in stock") for n in range(20)] + [pair("d", n, "11.00" if n < 4 else "10.00") for n in range(19)]
+    got = {r.snapshot_id: (r.price_bad, r.availability_bad, r.signals, r.total_affected, r.is_open) for r in rules.price_availability(*price_tables(spark, data), passed(spark, "abcd")).collect()}
     assert got == {"a": (5, 0, ["price_mismatch_count"], 5, True), "b": (0, 0, [], 0, False), "c": (4, 4, [], 0, False), "d": (4, 0, [], 0, False)}
 
 
+def test_thresholds_of_the_rows(spark):
+    rows = rules.match_rows(*price_tables(spark, [pair("a", n, "10.05" if n < 3 else "10.00") for n in range(10)]), passed(spark, "a"))
+    asked = spark.createDataFrame([(1, 3, 0.3, 10, 0.05), (2, 3, 0.31, 10, 0.05), (3, 3, 0.3, 11, 0.05), (4, 3, 0.3, 10, 0.06), (5, None, None, None, None)], "set int, minimum_affected_count int, minimum_affected_ratio double, minimum_comparable_matches int, price_absolute double")
+    got = {r.set: (r.enough, r.is_open, r.price_bad) for r in rules.price_signals(rows.crossJoin(asked), ["set"]).collect()}
+    assert got == {1: (True, True, 3), 2: (True, False, 3), 3: (False, False, 3), 4: (True, False, 0), 5: (False, False, 3)}
+
+
 def test_seo(spark):
     rows = [(s, f"u{n}", ("noindex" if n < 6 else None) if s == "s2" else None, "different" if s == "s2" and n < 5 else "missing" if s == "s2" and n == 5 else "self", None if s == "s2" and n < 2 else True, 404 if s == "s2" and n == 0 else 200)
             for s in ("s1", "s2", "s3", "s5") for n in range(25 if s != "s3" else 10)]

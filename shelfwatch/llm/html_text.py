@@ -8,7 +8,7 @@ Layout: paragraphs, headings, lists and tables are set apart by a blank line, ot
 have a mark and their further lines are indented below it; cells of a table are aligned in columns; preformatted text
 keeps its spaces and lines.  ``<br><br>`` is a blank line.
 
-Visibility: not rendered are head, scripts, styles, templates, comments, replaced elements' fallback, closed dialogs,
+Visibility: not rendered are head, scripts, ``noscript`` (pages are shown as where scripts run), styles, templates, comments, replaced elements' fallback, closed dialogs,
 what a closed ``details`` holds besides its summary, drawings but for their text, and elements whose inline style ends
 in ``display: none`` or which have the attribute ``hidden`` without a ``display`` of their own.  ``visibility`` is
 inherited and a descendant may turn it on again: invisible text isn't written, but its cell keeps its column.  Form
@@ -25,7 +25,7 @@ and after the last cell of a row if the table has columns further on.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -60,8 +60,11 @@ INLINE_DISPLAY = frozenset("inline inline-block inline-flex inline-grid contents
 BLOCK_DISPLAY = frozenset("block flex grid flow-root list-item table".split())
 
 TOKEN = re.compile(
-    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*+)[^>]*(?:>|\Z)"
+    r"|<([a-zA-Z][^\s/>]*+)", re.S)
+#: The rest of a start tag up to its ``>``, which quotes hide; without one, up to the next ``>`` of any kind.
+REST, BARE_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"), re.compile(r"([^>]*)(?:>|\Z)")
+MARKS = re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 LINE_ENDS = re.compile(r"\r\n?")
@@ -217,9 +220,43 @@ class _Builder:
         return node
 
 
+class _Rests:
+    """The rests of a page's start tags, in linear time: once a search to the page's end has found no ``>`` outside quotes,
+    whether one follows is known for every place from one pass from right to left."""
+
+    def __init__(self, html: str):
+        self.html, self.marks, self.close = html, None, None
+
+    def _learn(self) -> None:
+        """For each mark, where the ``>`` is that ends a tag whose rest comes to that mark outside quotes, -1 if there is none."""
+        self.marks = [m.start() for m in MARKS.finditer(self.html)]
+        n = len(self.marks)
+        self.close = [-1] * (n + 1)
+        after = {'"': -1, "'": -1}  # inside quotes of a kind: what the next mark of that kind leads to
+        for k in range(n - 1, -1, -1):
+            sign = self.html[self.marks[k]]
+            if sign == ">":
+                self.close[k] = self.marks[k]
+            else:
+                self.close[k], after[sign] = after[sign], self.close[k + 1]
+
+    def at(self, place: int) -> tuple[str, int]:
+        """(raw attributes, where the tag ends) of the rest that begins at place."""
+        if self.marks is None:
+            m = REST.match(self.html, place)
+            if m:
+                return m[1], m.end()
+            self._learn()
+        end = self.close[bisect_left(self.marks, place)]
+        if end >= 0:
+            return self.html[place:end], end + 1
+        m = BARE_REST.match(self.html, place)
+        return m[1], m.end()
+
+
 def parse(html: str) -> Node:
     """The tree of a page: nodes and strings."""
-    build = _Builder()
+    build, rests = _Builder(), _Rests(html)
     at, size = 0, len(html)
     while at < size:
         m = TOKEN.search(html, at)
@@ -232,10 +269,10 @@ def parse(html: str) -> Node:
         if m[1]:
             build.end(m[1].lower())
             continue
-        name, raw = (m[2], m[3]) if m[2] else (m[4], m[5])
-        if not name:
+        if not m[2]:
             continue
-        name = name.lower()
+        name = m[2].lower()
+        raw, at = rests.at(at)
         if name == "image":
             name = "img"
         node = build.start(name, raw)
@@ -450,9 +487,12 @@ class _Renderer:
             at += widths[column] + 3
         self.out.flush()
         for row, cells in zip(grid, bodies, strict=True):
+            open_ = list(zip(row, cells, strict=True))
             for k in range(max(map(len, cells), default=0)):
                 line = ""
-                for column, lines in zip(row, cells, strict=True) if k == 0 else [(c, x) for c, x in zip(row, cells, strict=True) if len(x) > k]:
+                if k:  # cells drop out as they end, so that a tall one doesn't cost its whole row for each line
+                    open_ = [(c, x) for c, x in open_ if len(x) > k]
+                for column, lines in open_:
                     text = lines[k] if len(lines) > k else ""
                     if k == 0 and column != row[0] or k and line.strip():
                         line = line.ljust(offsets[column] - 3) + " | " + text
@@ -507,16 +547,34 @@ def _parts(table: Node) -> tuple[list[list[Node]], list[list]]:
 
 
 def _placed(rows: list[list[Node]]) -> list[list[int]]:
-    """The column of each cell, by the column and row spans of those before."""
-    held: list[tuple[int, int, int]] = []  # columns that cells from above reach into: first, last + 1, row + 1 where they end
+    """The column of each cell, by the column and row spans of those before.
+
+    Columns that cells from above reach into are runs, each until a row of its own.  A row walks over the runs before its
+    cells; where it has leapt from a column to the next free one, later rows leap at once while no run has ended.
+    """
+    starts, stops = [], []  # runs in order of columns: first, last + 1
+    ending: dict[int, list[int]] = {}  # first columns of runs by the row where they end
+    leaps: dict[int, int] = {}
     grid = []
     for r, row in enumerate(rows):
-        held = [h for h in held if h[2] > r]
-        own, fresh, column, p = [], [], 0, 0
+        for first in ending.pop(r, ()):
+            k = bisect_left(starts, first)
+            del starts[k], stops[k]
+            leaps.clear()
+        own, column, p = [], 0, 0
+        fresh: list[tuple[int, int, int]] = []
         for cell in row:
-            while p < len(held) and held[p][0] <= column:
-                column = max(column, held[p][1])
+            begin = column
+            if begin in leaps:
+                column = leaps[begin]
+                p = bisect_right(starts, column)
+                if p and stops[p - 1] > column:
+                    column = stops[p - 1]
+            while p < len(starts) and starts[p] <= column:
+                column = max(column, stops[p])
                 p += 1
+            if column > begin:
+                leaps[begin] = column
             wide = max(1, cell.number("colspan", 1000) or 1)
             high = cell.number("rowspan", 65534)
             high = len(rows) if high == 0 else max(1, high or 1)
@@ -527,7 +585,13 @@ def _placed(rows: list[list[Node]]) -> list[list[int]]:
                 else:
                     fresh.append((column, column + wide, r + high))
             column += wide
-        held = sorted(held + fresh) if fresh else held
+        for first, stop, end in fresh:  # no run begins at first: a cell is put where none is
+            k = bisect_left(starts, first)
+            if k < len(starts) and starts[k] < stop or k and stops[k - 1] > first:
+                leaps.clear()  # runs that overlap
+            starts.insert(k, first)
+            stops.insert(k, stop)
+            ending.setdefault(end, []).append(first)
         grid.append(own)
     return grid
 

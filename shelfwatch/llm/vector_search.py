@@ -116,15 +116,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that no square is too large or too small; exact, and no cosine changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def usable(rows: DataFrame, vec: str = "vec") -> DataFrame:
-    """Rows whose vector isn't null or zero and holds finite numbers only (and whose squares can be summed)."""
-    size = F.aggregate(F.transform(vec, lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x * x)
-    return rows.where(F.col("id").isNotNull() & F.col(vec).isNotNull() & (F.size(vec) > 0) & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x))
-                      & (size > 0) & (size < F.lit(float("inf"))))
+    """Rows whose vector isn't null or zero and holds finite numbers only."""
+    return rows.where(F.col("id").isNotNull() & F.col(vec).isNotNull() & (F.size(vec) > 0) & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vec, lambda x: x != 0))
 
 
 class _Block:
@@ -132,7 +136,7 @@ class _Block:
 
     def __init__(self, vecs: np.ndarray, ids: np.ndarray, cells: np.ndarray):
         order = np.argsort(cells, kind="stable")
-        self.vecs, self.ids = vecs[order], ids[order]
+        self.vecs, self.ids = _scaled(vecs[order]), ids[order]
         self.norm = np.sqrt((self.vecs * self.vecs).sum(1))
         self.unit = self.vecs / self.norm[:, None]
         self.cells, self.starts, self.sizes = np.unique(cells[order], return_index=True, return_counts=True)
@@ -142,7 +146,7 @@ class _Block:
         n, width = len(self.ids), len(index.books[1])
         step = max(1, MATRIX // n)
         for s in range(0, len(queries), step):
-            q = queries[s: s + step]
+            q = _scaled(queries[s: s + step])
             unit = _unit(q)
             a, b = index.distances(unit)
             seen = a[:, self.cells // width] + b[:, self.cells % width] <= reach[s: s + step, None] + 1e-12

@@ -31,12 +31,6 @@ def email_subject(alert_type: Column, title: Column, store: Column) -> Column:
     return shortened(F.concat(prefix, F.lit(": "), title, F.lit(" - "), store), 200)
 
 
-def chat_text(title: Column, summary: Column, evidence: Column, most: int = 3900) -> Column:
-    """Escaped lines, three pieces of evidence at most."""
-    lines = F.concat(F.array(F.concat(F.lit("<b>"), escaped_html(title), F.lit("</b>")), escaped_html(summary)), F.transform(F.slice(evidence, 1, 3), lambda e: F.concat(F.lit("- "), escaped_html(e))))
-    return shortened(F.array_join(lines, "\n"), most)
-
-
 #: The payload's version, its bounds, and the units of metrics that their names don't tell.
 VERSION, MOST_EVIDENCE, MOST_SAMPLES = "v1", 10, 8
 PAGE_METRICS = ("noindex", "canonical_away", "schema_missing", "http_error")
@@ -100,7 +94,11 @@ def payloads(events: DataFrame, signals: DataFrame) -> DataFrame:
     return rows.select("event_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
 
 
+#: Fixed value: what a delivery error's code looks like.
+ERROR_CODE = "^[a-z][a-z0-9_]{0,100}$"
+
+
 def delivery_error(error: Column) -> Column:
     """The code before a delivery error's first colon if it looks like one, else delivery_failed; null for null or nothing."""
     code = F.trim(F.split(error, ":", 2)[0])
-    return F.when(error != "", F.when(code.rlike("^[a-z][a-z0-9_]{0,100}$"), code).otherwise("delivery_failed"))
+    return F.when(error != "", F.when(code.rlike(ERROR_CODE), code).otherwise("delivery_failed"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_hash, canonical_json
-from ..operators import candidates, recovery, rules, settings, store
+from ..operators import candidates, messages, recovery, rules, settings, store
 from .base import query, table
 
 #: Seconds since the start of 2024, time running forty times as fast, so that a user's events come minutes apart.
@@ -193,3 +193,56 @@ def long_windows(spark, sf_dir):
                                               (F.col("o_orderdate") + F.expr("make_dt_interval(0, 0, 0, pow(4, o_orderkey % 14))")).alias("ends_at"), F.lit(None).cast("timestamp").alias("cancelled_at"))
     e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg((F.min("l_suppkey") % 3).alias("key"), F.min("l_shipdate").alias("t"))
     return store.active_window(e, w, "t", ["key"], ["id"]).select("id", "window_id")
+
+
+@query("""
+WITH m AS (SELECT l_orderkey, list('<b>' || upper(l_returnflag) || ' Size' || repeat('x', CAST(l_partkey % 40 * 25 AS INTEGER)) || ':</b> ' || CASE WHEN l_suppkey % 3 = 0 THEN 'unknown' ELSE '' || l_suppkey END || ' → ' || l_partkey || CASE WHEN l_linenumber % 2 = 0 THEN ' a&amp;b' ELSE '' END
+             ORDER BY l_linenumber, l_partkey, l_suppkey) AS metrics, list('• Title ' || l_partkey || CASE WHEN l_linenumber % 2 = 1 THEN ' — https://a.example/' || l_suppkey ELSE '' END ORDER BY l_linenumber, l_partkey, l_suppkey) AS samples FROM lineitem GROUP BY 1),
+o AS (SELECT *, '<b>Store:</b> ' || c_name || ' &lt;&#39;&amp;&quot; (' || CASE WHEN o_orderkey % 4 = 0 THEN repeat('d', 197) || '...' ELSE 'https://shop.example' END || ')' AS store, coalesce(metrics, [])[1:6] AS ms, coalesce(samples, [])[1:5] AS ss,
+             ['<b>Evidence</b>', '• at ' || o_orderpriority, '• 🙂' || CASE WHEN o_orderkey % 2 = 0 THEN repeat('é', 275) || '...' ELSE '' END, '• third'] AS es FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN m ON l_orderkey = o_orderkey),
+x AS (SELECT *, [''] || es || CASE WHEN len(ss) > 0 THEN ['', '<b>Examples</b>'] || ss ELSE [] END AS proof FROM o),
+l AS (SELECT o_orderkey, CASE
+    WHEN o_orderkey % 5 = 4 THEN ['<b>✅ Incident resolved</b>', store, '<b>Incident:</b> ' || CASE WHEN o_orderkey % 3 = 0 THEN 'Feed monitoring failure' WHEN o_orderkey % 3 = 1 THEN 'Catalog drop' ELSE 'SEO regression' END, 'S' || o_orderstatus] || ms || CASE WHEN o_orderkey % 2 = 1 THEN ['<b>Recovery:</b> because'] ELSE [] END
+    WHEN o_orderkey % 3 = 0 THEN ['<b>⚠️ Feed monitoring failure' || CASE WHEN o_orderkey % 5 = 3 THEN ' worsened' ELSE '' END || '</b>', store, 'S' || o_orderstatus, '<b>Products are not confirmed missing.</b>'] || CASE WHEN o_orderkey % 2 = 1 THEN ['<b>Status:</b> because'] ELSE [] END || proof
+    ELSE ['<b>🔴 ' || CASE WHEN o_orderkey % 5 = 3 THEN 'Incident worsened: ' || CASE WHEN o_orderkey % 3 = 1 THEN 'Catalog drop' ELSE 'SEO regression' END WHEN o_orderkey % 3 = 1 THEN 'Catalog drop detected' ELSE 'T' || o_orderpriority END || '</b>', store, '<b>Affected:</b> ' || o_custkey] || ms
+      || CASE WHEN o_orderkey % 2 = 0 THEN ['<b>Confidence:</b> ' || CAST(floor((o_orderkey % 101) / 100.0::DOUBLE * 100 + 0.5) AS INTEGER) || '%'] ELSE [] END || ['<b>Likely source:</b> feed'] || proof END AS lines FROM x),
+u AS (SELECT o_orderkey, unnest(lines) AS line, generate_subscripts(lines, 1) AS i, len(lines) AS n FROM l),
+w AS (SELECT *, sum(length(line) + CASE WHEN contains(line, '🔴') OR contains(line, '🙂') THEN 1 ELSE 0 END + 1) OVER (PARTITION BY o_orderkey ORDER BY i) - 1 AS reach FROM u)
+SELECT o_orderkey AS event_id, string_agg(line, chr(10) ORDER BY i) FILTER (reach + 4 <= 3900) || CASE WHEN bool_and(reach + 4 <= 3900) THEN '' ELSE chr(10) || '...' END AS text FROM w GROUP BY 1""")
+def chat_messages(spark, sf_dir):
+    """Chat messages of three templates out of payloads, cut at whole lines: orders as incidents, their lines as metrics with long names and as samples."""
+    o, n, none = F.col("o_orderkey"), F.col("l_linenumber"), F.lit(None).cast("string")
+    li = table(spark, sf_dir, "lineitem")
+    name = F.concat(F.lower("l_returnflag"), F.lit("_size"), F.repeat(F.lit("x"), (F.col("l_partkey") % 40 * 25).cast("int")))
+    metric = F.struct(name.alias("name"), F.when(F.col("l_suppkey") % 3 != 0, F.col("l_suppkey").cast("string")).alias("beforeValue"), F.col("l_partkey").cast("string").alias("afterValue"), F.when(n % 2 == 0, "a&b").alias("unit"))
+    sample = F.struct(F.concat(F.lit("Title "), F.col("l_partkey").cast("string")).alias("title"), F.lit("o").alias("offerId"), F.when(n % 2 == 1, F.concat(F.lit("https://a.example/"), F.col("l_suppkey").cast("string"))).alias("url"))
+    per = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(n, "l_partkey", "l_suppkey", metric.alias("m"), sample.alias("s")))).alias("x"))
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(per, F.col("l_orderkey") == o, "left")
+    kind = F.when(o % 3 == 0, "source_health").when(o % 3 == 1, "catalog_drop").otherwise("seo_regression")
+    incident = F.struct(kind.alias("type"), F.concat(F.lit("T"), "o_orderpriority").alias("title"), F.concat(F.lit("S"), "o_orderstatus").alias("summary"), F.col("o_custkey").alias("affectedCount"), F.lit("feed").alias("likelySource"),
+                        F.when(o % 2 == 0, (o % 101) / F.lit(100.0)).alias("confidenceScore"))
+    body = F.struct(F.when(o % 5 == 4, "incident_resolved").when(o % 5 == 3, "incident_worsened").otherwise("incident_opened").alias("alertType"),
+                    F.struct(F.concat("c_name", F.lit(" <'&\"")).alias("name"), F.when(o % 4 == 0, F.repeat(F.lit("d"), 300)).otherwise("https://shop.example").alias("domain")).alias("store"), incident.alias("incident"),
+                    F.coalesce(F.transform("x", lambda r: r["m"]), F.array()).alias("metrics"), F.array(F.concat(F.lit("at "), "o_orderpriority"), F.concat(F.lit("🙂"), F.repeat(F.lit("é"), F.when(o % 2 == 0, 400).otherwise(0))), F.lit("third"), F.lit("no more")).alias("evidence"),
+                    F.coalesce(F.transform("x", lambda r: r["s"]), F.array()).alias("samples"), F.struct(F.when(o % 2 == 1, "because").otherwise(none).alias("reason")).alias("event"))
+    return messages.chat_texts(rows.select(o.alias("event_id"), F.to_json(body).alias("payload")))
+
+
+@query("""
+SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 7 = 0 THEN 'unsupported_payload_version' WHEN o_orderkey % 23 IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13) OR o_orderkey % 5 = 1 THEN 'payload_validation_failed' ELSE 'valid' END AS state FROM orders""")
+def payload_validity(spark, sf_dir):
+    """Whether payloads hold what their version asks for: orders as deliveries, thirteen kinds of faults in some and other alert types in others."""
+    o = F.col("o_orderkey")
+    fault = o % 23
+    uuid = F.format_string("00000000-0000-4000-8000-%012d", o)
+    moment, null = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("null")
+    word = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    parts = [
+        '{"version":"v1","alertType":"incident_opened","store":{"id":', word(F.when(fault == 1, "x").otherwise(uuid)), ',"name":"n","domain":', F.when(fault == 2, null).otherwise('"d"'), '},"incident":{"id":', word(uuid), ',"type":', word(F.when(fault == 3, "other").otherwise("catalog_drop")),
+        ',"severity":"warning","title":"t","summary":"s","status":"open","affectedCount":', F.when(fault == 4, "1.5").when(fault == 5, "-1").otherwise("3"), ',"likelySource":', F.when(fault == 6, '"moon"').when(o % 2 == 0, '"feed"').otherwise(null), ',"confidenceScore":',
+        F.when(fault == 7, "1.01").when(o % 2 == 0, "0.5").otherwise(null), ',"firstDetectedAt":', word(F.when(fault == 8, "yesterday").otherwise(moment)), F.when(fault == 9, ',"more":1').otherwise(""), '},"metrics":[{"name":"m","beforeValue":null,"afterValue":"1"', F.when(fault == 10, "").otherwise(',"unit":null'),
+        '}],"evidence":["e"', F.when(fault == 11, ",7").otherwise(""), '],"samples":[', F.when(fault == 12, F.array_join(F.array_repeat(F.lit('{"url":"u"}'), 11), ",")).when(fault == 13, '{"url":null}').otherwise('{},{"title":"t"}'), '],"event":{"id":', word(uuid), ',"type":"x","reason":null,"occurredAt":', word(moment), "}}"]
+    text = F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    rows = table(spark, sf_dir, "orders").select(o.alias("key"), F.when(o % 7 == 0, "v2").otherwise("v1").alias("payload_version"), text.alias("payload"), F.when(o % 5 == 1, "incident_resolved").otherwise("incident_opened").alias("alert_type"),
+                                                 uuid.alias("event_id"), uuid.alias("incident_id"), uuid.alias("store_id"))
+    return messages.payload_states(rows).select(F.col("key").alias("event_id"), "state")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_hash, canonical_json
-from ..operators import candidates, messages, recovery, rules, settings, store
+from ..operators import candidates, identity, messages, recovery, rules, settings, snapshots, store
+from ..sources import product_page
 from .base import query, table
 
 #: Seconds since the start of 2024, time running forty times as fast, so that a user's events come minutes apart.
@@ -246,3 +247,102 @@ def payload_validity(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(o.alias("key"), F.when(o % 7 == 0, "v2").otherwise("v1").alias("payload_version"), text.alias("payload"), F.when(o % 5 == 1, "incident_resolved").otherwise("incident_opened").alias("alert_type"),
                                                  uuid.alias("event_id"), uuid.alias("incident_id"), uuid.alias("store_id"))
     return messages.payload_states(rows).select(F.col("key").alias("event_id"), "state")
+
+
+@query("""
+WITH p AS (SELECT page_id, html, page_id % 6 AS k, 'https://shop.example/p/' || page_id AS u FROM pages),
+o AS (SELECT *, CASE WHEN contains(lower(html), 'noindex') THEN 'noindex' ELSE 'indexable' END AS indexability, CASE k WHEN 1 THEN 'self' WHEN 2 THEN 'different' WHEN 5 THEN 'invalid' ELSE 'missing' END AS canonical_state, k = 3 AS schema_present,
+             CASE k WHEN 3 THEN 'json_ld' WHEN 4 THEN 'embedded_json' ELSE 'html' END AS strategy, CASE k WHEN 3 THEN page_id || '.5' WHEN 4 THEN '7' WHEN 5 THEN '9.99 EUR' END AS price, CASE k WHEN 3 THEN 'EUR' END AS currency FROM p)
+SELECT page_id, CAST(len(regexp_extract_all(html, '<a href')) AS BIGINT) AS links, indexability, canonical_state, schema_present, strategy, price, currency, 'url:' || u AS stable_key,
+       CASE WHEN k IN (3, 4) THEN sha256('{"finalUrl":"' || u || '","httpStatus":200,"indexability":"' || indexability || '","canonicalState":"missing","schemaPresent":' || schema_present || ',"schemaValidEnough":' || schema_present
+         || ',"effectivePrice":"' || price || '"' || CASE WHEN k = 3 THEN ',"currency":"EUR","availability":"in \\"stock\\"","imageUrl":"https://shop.example/i.png"' ELSE '' END || '}') END AS raw_hash FROM o""")
+def page_links(spark, sf_dir):
+    """Product pages as observations and items: a head before every page says nothing, a canonical address of three kinds, linked data, embedded JSON, or a price in the text."""
+    k, page = F.col("page_id") % 6, F.col("page_id").cast("string")
+    url = F.concat(F.lit("https://Shop.example/p/"), page)
+    linked = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"Thing"},{"x":{"@type":["A","Product"],"name":" N ","image":["/i.png"],"offers":[{"price":'), page, F.lit('.50,"priceCurrency":"EUR","availability":"in \\"stock\\""}]}}]}</script>'))
+    embedded = F.lit('<script type="application/ld+json">{no json</script><script type="application/json">{"a":[{"b":{"type":"Product","title":"E","price":7.0}}]}</script>')
+    head = (F.when(k == 1, F.concat(F.lit('<link rel="canonical" href="'), url, F.lit('/?x=1">'))).when(k == 2, F.lit('<link rel="canonical" href="/other">')).when(k == 3, linked).when(k == 4, embedded)
+            .when(k == 5, F.lit('<link rel="canonical" href="mailto:a"><b class="x price"> 9.99 EUR</b>')).otherwise(""))
+    rows = table(spark, sf_dir, "pages").select("page_id", url.alias("url"), url.alias("final_url"), F.lit(200).alias("http_status"), F.lit(None).cast("string").alias("robots_header"), F.concat(head, F.coalesce("html", F.lit(""))).alias("html"))
+    seen = product_page.observations(rows)
+    items = product_page.page_items(seen.select("*", F.col("strategy").alias("how"), F.col("links").alias("n"), F.col("canonical_state").alias("state")))
+    return items.select("page_id", F.col("n").cast("long").alias("links"), "indexability", F.col("state").alias("canonical_state"), "schema_present", F.col("how").alias("strategy"), "price", "currency", "stable_key",
+                        F.when(F.col("how") != "html", F.col("raw_hash")).alias("raw_hash"))
+
+
+@query("""
+WITH i AS (SELECT l_orderkey % 9 AS snapshot_id, l_partkey % 700 AS k, l_linenumber % 2 AS side, min(l_orderkey * 10 + l_linenumber) AS id FROM lineitem GROUP BY 1, 2, 3),
+m AS (SELECT snapshot_id, k, min(id) FILTER (side = 0) AS feed, min(id) FILTER (side = 1) AS shop FROM i GROUP BY 1, 2)
+SELECT snapshot_id, 'offer:p' || k AS matched_key, feed AS feed_id, shop AS storefront_id FROM m WHERE snapshot_id NOT IN (3, 4) UNION ALL SELECT snapshot_id, 'offer:p' || k, feed, shop FROM m WHERE snapshot_id = 3 AND k % 2 = 0""")
+def replaced_matches(spark, sf_dir):
+    """Matches written by snapshot and replaced: all nine snapshots, then one again with half of its products and one without any, read back."""
+    li = table(spark, sf_dir, "lineitem")
+    none = F.lit(None).cast("string")
+    items = li.groupBy((F.col("l_orderkey") % 9).alias("snapshot_id"), (F.col("l_partkey") % 700).alias("k"), (F.col("l_linenumber") % 2).alias("side")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    items = items.select("id", "snapshot_id", "k", F.when(F.col("side") == 0, "feed").otherwise("storefront").alias("source"), F.concat(F.lit(" P"), F.col("k").cast("string")).alias("offer_id"), none.alias("url"), none.alias("canonical_url"), none.alias("final_url"))
+    path = snapshots.shared_folder(spark, "matches")
+    every = identity.source_matches(items)
+    snapshots.replace_snapshots(every, items.select("snapshot_id"), path)
+    again = identity.source_matches(items.where("snapshot_id = 3 and k % 2 = 0 or snapshot_id = 5"))
+    asked = items.where("snapshot_id in (3, 4, 5)").select("snapshot_id")
+    snapshots.replace_snapshots(again, asked, path)
+    return snapshots.read_snapshots(spark, path).select(F.col("snapshot_id").cast("long").alias("snapshot_id"), "matched_key", "feed_id", "storefront_id")
+
+
+@query("""
+WITH c AS (SELECT event_id, user_id % 40 * 100 + day(ts) AS snapshot_id, CASE event_id % 3 WHEN 0 THEN 'sitemap' WHEN 1 THEN 'feed' ELSE 'merchant_center' END AS source, CASE event_type WHEN 'error' THEN 'timeout' WHEN 'click' THEN 'partial' ELSE 'success' END AS status, event_id % 100 AS n, ts FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, source ORDER BY ts DESC, event_id DESC) AS r FROM c),
+m AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY ts DESC, event_id DESC) AS r FROM c WHERE source = 'merchant_center' AND event_id % 4 <> 0)
+SELECT c.snapshot_id, CASE WHEN bool_and(c.status = 'success') THEN 'completed' WHEN count(*) FILTER (c.status IN ('success', 'partial')) > 0 THEN 'partial' ELSE 'failed' END AS status,
+       (SELECT n FROM k WHERE k.snapshot_id = c.snapshot_id AND source = 'sitemap' AND r = 1) AS sitemap_url_count, (SELECT n FROM k WHERE k.snapshot_id = c.snapshot_id AND source = 'feed' AND r = 1) AS feed_product_count,
+       (SELECT n FROM m WHERE m.snapshot_id = c.snapshot_id AND r = 1) AS merchant_total FROM c GROUP BY 1""")
+def snapshot_rollup(spark, sf_dir):
+    """State and counts of snapshots out of their checks: the events of a user group's day as checks of three sources, the parts of some counts not adding up."""
+    k = F.col("event_id")
+    checks = table(spark, sf_dir, "events").select(
+        k.alias("check_id"), (F.col("user_id") % 40 * 100 + F.dayofmonth("ts")).alias("snapshot_id"), F.when(k % 3 == 0, "sitemap").when(k % 3 == 1, "feed").otherwise("merchant_center").alias("source"),
+        F.when(F.col("event_type") == "error", "timeout").when(F.col("event_type") == "click", "partial").otherwise("success").alias("status"), (k % 100).alias("items_observed"), (k % 100).alias("total"),
+        (k % 100 + F.when(k % 4 == 0, 5).otherwise(0)).alias("approved"), F.lit(0).alias("pending"), F.lit(0).alias("disapproved"), F.col("ts").alias("finished_at"))
+    return snapshots.rollup(checks).select("snapshot_id", "status", "sitemap_url_count", "feed_product_count", "merchant_total")
+
+
+@query("""
+WITH d AS (SELECT DISTINCT user_id % 7 AS store, 'https://a.example/' || CASE WHEN event_id % 3 = 0 THEN 'Products/' WHEN event_id % 3 = 1 THEN 'x/' ELSE 'product/' END || event_id % 400 AS url FROM events WHERE event_type <> 'error' AND (event_id % 3 <> 1 OR event_type = 'view')),
+r AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY md5(store || ':' || url), url) AS n FROM d),
+u AS (SELECT store, list(url ORDER BY n) AS urls FROM r WHERE n <= 25 GROUP BY 1)
+SELECT store AS store_id, CAST(len(urls) AS BIGINT) AS selected_count, sha256('["' || array_to_string(urls, '","') || '"]') AS urls_hash FROM u""")
+def sample_manifest(spark, sf_dir):
+    """Sample manifests (a top-k by hash is the feature): events as the items of seven stores, those of shops by source, others by address."""
+    k = F.col("event_id")
+    part = F.when(k % 3 == 0, "Products/").when(k % 3 == 1, "x/").otherwise("product/")
+    items = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("store_id"), F.lit(1).alias("snapshot_id"), F.when(F.col("event_type") == "view", "feed").otherwise("sitemap").alias("source"),
+                                                  F.when(F.col("event_type") != "error", F.concat(F.lit("https://a.example/"), part, (k % 400).cast("string"))).alias("url"))
+    return snapshots.sample_manifests(items).select("store_id", F.col("selected_count").cast("long").alias("selected_count"), "urls_hash")
+
+
+@query("""
+WITH c AS (SELECT l_suppkey AS snapshot_id, CASE WHEN l_quantity < 26 THEN l_shipmode ELSE 'q' || CAST(l_quantity AS BIGINT) END AS code, l_partkey FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) WHERE l_linenumber <> 2),
+g AS (SELECT snapshot_id, code, CAST(count(*) AS BIGINT) AS issues, CAST(count(DISTINCT l_partkey) AS BIGINT) AS products FROM c GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY issues DESC, code) AS rank FROM g)
+SELECT snapshot_id, rank, code, issues, products FROM r WHERE rank <= 10""")
+def issue_codes(spark, sf_dir):
+    """The ten most frequent issue codes of each scan (a top-k report): suppliers as scans, lines as issues of their parts."""
+    li = table(spark, sf_dir, "lineitem")
+    code = F.when(F.col("l_quantity") < 26, F.concat("l_returnflag", "l_linestatus")).otherwise(F.concat(F.lit("q"), F.col("l_quantity").cast("long").cast("string")))
+    products = li.groupBy(F.col("l_suppkey").alias("snapshot_id"), F.col("l_partkey").alias("product")).agg(F.collect_list(F.when(F.col("l_linenumber") != 2, F.struct(code.alias("code")))).alias("issues"))
+    got = snapshots.issue_codes(products)
+    return got.select("snapshot_id", F.col("rank").cast("long").alias("rank"), "code", "issues", "products")
+
+
+@query("""
+SELECT c_custkey AS baseline_id, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 <> 0 AND o.at IS NOT NULL THEN 'active' ELSE CASE c_custkey % 3 WHEN 0 THEN 'ready_for_confirmation' WHEN 1 THEN 'active' ELSE 'learning' END END AS status,
+       CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 <> 0 THEN o.who END AS confirmed_by
+FROM customer LEFT JOIN (SELECT o_custkey, min((o_orderdate, o_orderkey))[1] AS at, min((o_orderdate, o_orderkey))[2] AS who FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) o ON o_custkey = c_custkey""")
+def baseline_confirmation(spark, sf_dir):
+    """Baselines after their confirmations: customers as baselines, some replaced already, finished orders as confirmations; the first one counts."""
+    k = F.col("c_custkey")
+    metrics = table(spark, sf_dir, "customer").select(k.alias("baseline_id"), F.lit("s").alias("store_id"), F.lit(1).alias("version"), F.when(k % 3 == 0, "ready_for_confirmation").when(k % 3 == 1, "active").otherwise("learning").alias("status"),
+                                                      F.when(k % 5 == 0, F.lit("2020-01-01").cast("date")).alias("valid_to"), F.lit(None).cast("long").alias("confirmed_by"), F.lit(None).cast("timestamp_ntz").alias("confirmed_at"))
+    asked = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("baseline_id"), F.col("o_orderkey").alias("by"), F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
+    return snapshots.confirmed_baseline(metrics, asked).select("baseline_id", "status", "confirmed_by")

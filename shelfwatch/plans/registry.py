@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.canonical import canonical_hash
 from ..operators import alerts, baseline, correlation, identity, incidents, lifecycle, recovery, reports, rules, store, timeline
-from ..sources import category, landed, merchant
+from ..sources import category, merchant
 from . import decisions  # noqa: F401 (its queries register themselves)
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
 from .base import query as _query
@@ -283,13 +283,6 @@ def url_normalize(spark, sf_dir):
     return _table(spark, sf_dir, "pages").groupBy(C.url_key(F.col("url")).alias("url_key")).agg(F.count("*").alias("n"))
 
 
-@_query(r"""SELECT page_id, len(regexp_extract_all(html, '<a href')) AS links, html LIKE '%noindex%' AS noindex, 'missing' AS canonical_state, false AS schema_present FROM pages""")
-def page_links(spark, sf_dir):
-    """Product-page scan: robots, canonical address, structured data and links of every page."""
-    found = landed.product_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return found.select("page_id", F.col("links").cast("long").alias("links"), "noindex", "canonical_state", "schema_present")
-
-
 @_query("SELECT lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS offer, count(*) AS n, count(DISTINCT p_brand) AS brands FROM part GROUP BY 1")
 def offer_normalize(spark, sf_dir):
     """Offer ids normalised and grouped: part names."""

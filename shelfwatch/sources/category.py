@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -12,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import url_key
+from . import nested
 
 # Strategies from the most to the least trusted, and what pages say that load more or are empty.
 STRATEGIES = ("shopify_json", "embedded_json", "json_ld", "html_links")
 LOADS_MORE = re.compile("infinite|load more|data-next-url", re.I)
 EMPTY = re.compile("no products|nothing found|empty", re.I)
-DEPTH = 60  # of JSON that is searched
 PAGE_FIELDS = [("strategy", pa.int32()), ("urls", pa.list_(pa.string())), ("reported", pa.int64()), ("has_next", pa.bool_()), ("loads_more", pa.bool_()), ("says_empty", pa.bool_())]
 
 
@@ -50,21 +49,11 @@ class _Category(HTMLParser):
 
 def _loaded(text: str):
     try:
-        return json.loads(text)
-    except (ValueError, RecursionError):
+        return nested.loads(text)
+    except ValueError:
         return None
 
 
-def _nodes(value, depth: int = 0):
-    """The objects inside value, outer ones first."""
-    if depth > DEPTH:
-        return
-    if isinstance(value, dict):
-        yield value
-    for x in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
-        yield from _nodes(x, depth + 1)
-
-
 def _address(product, base: str) -> str | None:
     if not isinstance(product, dict):
         return None
@@ -95,12 +84,12 @@ def parse_category(body: str | None, base: str | None) -> tuple:
     flags = page.has_next, bool(LOADS_MORE.search(body)), bool(EMPTY.search(body))
     parsed = [(kind, _loaded("".join(text))) for kind, text in page.scripts]
     for kind, value in parsed:
-        for node in _nodes(value) if kind == "application/json" else ():
+        for node in nested.objects(value) if kind == "application/json" else ():
             products = next((node[n] for n in ("products", "items") if isinstance(node.get(n), list)), None)
             if products is not None:
                 return 1, [u for u in (_address(p, base) for p in products) if u], _total(node), *flags
     for kind, value in parsed:
-        found = [_address(n, base) for n in _nodes(value) if "Product" in (n.get("@type"), n.get("type"))] if kind != "application/json" else []
+        found = [_address(n, base) for n in nested.objects(value) if "Product" in (n.get("@type"), n.get("type"))] if kind != "application/json" else []
         if any(found):
             return 2, [u for u in found if u], None, *flags
     links = []

@@ -5,11 +5,6 @@ Fetching isn't part of the engine: files are landed by whatever fetches, and rea
 
 from __future__ import annotations
 
-import json
-import re
-from html.parser import HTMLParser
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +12,7 @@ from ..functions.columns import collapsed, money, offer_key, url_key
 from ..operators.store import top_one
 
 UNSAFE_XML = r"(?i)<!DOCTYPE|<!ENTITY"
-FEED_SCHEMA = "id string, title string, link string, price string, sale_price string, availability string, image_link string"
+FEED_SCHEMA = "id string, title string, link string, price string, sale_price string, availability string, image_link string, brand string, gtin string, mpn string"
 
 
 def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
@@ -41,7 +36,7 @@ def unsafe_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feed_items(rows: DataFrame) -> DataFrame:
-    """(file, stable_key, offer_id, url, title, price, currency, availability, image_url, raw_hash, skipped): one row a key.
+    """(file, stable_key, offer_id, url, title, price, currency, availability, image_url, brand, gtin, mpn, raw_hash, skipped): one row a key.
 
     Rows with neither id nor link are skipped, and so are rows whose key an unlike row has already; skipped counts them
     on the row that stays. The smallest hash stays where rows differ, for files have no order on a cluster.
@@ -49,13 +44,21 @@ def feed_items(rows: DataFrame) -> DataFrame:
     price = money(F.coalesce("sale_price", "price"))
     offer, link = offer_key(F.col("id")), url_key(F.col("link"))
     rows = rows.select("file", F.coalesce(F.concat(F.lit("offer:"), offer), F.concat(F.lit("url:"), link)).alias("stable_key"), offer.alias("offer_id"), link.alias("url"),
-                       collapsed(F.col("title")).alias("title"), price["amount"].alias("price"), price["currency"].alias("currency"), "availability", F.col("image_link").alias("image_url"))
+                       collapsed(F.col("title")).alias("title"), price["amount"].alias("price"), price["currency"].alias("currency"), "availability", F.col("image_link").alias("image_url"), *[collapsed(F.col(c)).alias(c) for c in ("brand", "gtin", "mpn")])
     rows = rows.where("stable_key is not null")
     rows = rows.withColumn("raw_hash", F.sha2(F.to_json(F.struct(*[c for c in rows.columns if c != "file"])).cast("binary"), 256))
     unlike = rows.groupBy("file", "stable_key").agg((F.countDistinct("raw_hash") - 1).alias("skipped"))
     return top_one(rows, ["file", "stable_key"], [F.asc("raw_hash")]).join(unlike, ["file", "stable_key"])
 
 
+def feed_counts(rows: DataFrame) -> DataFrame:
+    """(file, seen, kept, keyless, repeated) of read_feed()'s rows: items in the file, distinct keys, items with neither id nor link, and items whose key another has."""
+    key = F.coalesce(F.concat(F.lit("offer:"), offer_key(F.col("id"))), F.concat(F.lit("url:"), url_key(F.col("link"))))
+    per = rows.select("file", key.alias("key")).groupBy("file", "key").agg(F.count("*").alias("n"))
+    return per.groupBy("file").agg(F.sum("n").alias("seen"), F.count("key").alias("kept"), F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n"))), F.lit(0)).alias("keyless"),
+                                   F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("n") - 1)), F.lit(0)).alias("repeated"))
+
+
 def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
     """(file, url): the distinct normalised addresses of sitemaps (urlset)."""
     rows = spark.read.format("xml").option("rowTag", "url").option("ignoreNamespace", "true").schema("loc string").load(path)
@@ -68,97 +71,6 @@ def read_sitemap_index(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.input_file_name().alias("file"), url_key(F.trim("loc")).alias("url")).where("url is not null").distinct()
 
 
-class _Page(HTMLParser):
-    def __init__(self):
-        super().__init__()
-        self.robots = self.canonical = None
-        self.scripts: list[str] = []
-        self.meta: dict[str, str] = {}
-        self.links = 0
-        self._in = False
-
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        if tag == "meta" and a.get("name", "").lower() in ("robots", "googlebot"):
-            self.robots = f"{self.robots or ''},{a.get('content', '')}"
-        elif tag == "meta" and (a.get("property") or a.get("itemprop")):
-            self.meta.setdefault((a.get("property") or a.get("itemprop")).lower(), a.get("content", ""))
-        elif tag == "link" and "canonical" in a.get("rel", "").lower().split() and self.canonical is None:
-            self.canonical = a.get("href", "")
-        elif tag == "script" and a.get("type", "").lower() == "application/ld+json":
-            self._in = True
-            self.scripts.append("")
-        elif tag == "a" and "href" in a:
-            self.links += 1
-
-    def handle_endtag(self, tag):
-        if tag == "script":
-            self._in = False
-
-    def handle_data(self, data):
-        if self._in:
-            self.scripts[-1] += data
-
-
-def _products(node, depth: int = 0):
-    """Nodes of type Product, depth first."""
-    if depth > 60:
-        return
-    if isinstance(node, list):
-        for x in node:
-            yield from _products(x, depth + 1)
-    elif isinstance(node, dict):
-        kind = node.get("@type")
-        if kind == "Product" or isinstance(kind, list) and "Product" in kind:
-            yield node
-        for x in node.values():
-            yield from _products(x, depth + 1)
-
-
-PAGE_SCHEMA = "noindex boolean, canonical string, schema_present boolean, name string, price string, currency string, availability string, links int"
-
-
-def parse_page(html: str | None) -> tuple:
-    """The fields of PAGE_SCHEMA."""
-    page = _Page()
-    page.feed(html or "")
-    page.close()
-    product = None
-    for s in page.scripts:
-        try:
-            product = product or next(_products(json.loads(s)), None)
-        except (ValueError, RecursionError):
-            continue
-    offer = (product or {}).get("offers") or {}
-    offer = next((o for o in offer if isinstance(o, dict)), {}) if isinstance(offer, list) else offer if isinstance(offer, dict) else {}
-    said = lambda x: None if x in (None, "") else str(x)
-    noindex = bool(re.search(r"(^|[,\s])(noindex|none)([,\s]|$)", (page.robots or "").lower()))
-    return (noindex, said(page.canonical), product is not None, said((product or {}).get("name")) or said(page.meta.get("og:title")),
-            said(offer.get("price")) or said(page.meta.get("product:price:amount")), said(offer.get("priceCurrency")) or said(page.meta.get("product:price:currency")),
-            said(offer.get("availability")), page.links)
-
-
-def product_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """pages without html, with the fields of PAGE_SCHEMA and canonical_state (self, different, missing, invalid)."""
-    at = pages.columns.index(html)
-    rest = [k for k in range(len(pages.columns)) if k != at]
-    kinds = [pa.bool_(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()]
-    names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
-
-    def run(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                rows = [parse_page(h) for h in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in rest], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]],
-                                                 names=[*[part.schema.names[k] for k in rest], *names])
-
-    fields = [f"`{pages.columns[k]}` {pages.schema[k].dataType.simpleString()}" for k in rest]
-    found = pages.mapInArrow(run, ", ".join([*fields, PAGE_SCHEMA]))
-    own, said = url_key(F.col(url)), url_key(F.col("canonical"))
-    return found.withColumn("canonical_state", F.when(F.col("canonical").isNull(), "missing").when(said.isNull(), "invalid").when(said == own, "self").otherwise("different"))
-
-
 def merchant_status(pages: DataFrame) -> DataFrame:
     """Totals of landed status pages (store_id, body JSON): approved, pending, disapproved, skipped, status.
 

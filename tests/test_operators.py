@@ -115,13 +115,6 @@ def test_feed(spark, tmp_path):
     assert landed.unsafe_files(spark, str(tmp_path)).count() == 0
 
 
-def test_product_page():
-    html = ('<html><head><meta name="robots" content="noindex, follow"><link rel="canonical" href="https://a.example/p"><script type="application/ld+json">'
-            '{"@graph":[{"@type":["Thing","Product"],"name":"P","offers":[{"price":79.0,"priceCurrency":"USD","availability":"InStock"}]}]}</script></head><a href="/x">x</a></html>')
-    assert landed.parse_page(html) == (True, "https://a.example/p", True, "P", "79.0", "USD", "InStock", 1)
-    assert landed.parse_page(None) == (False, None, False, None, None, None, None, 0)
-
-
 def test_merchant_status(spark):
     import json
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .baseline import LEAST, MOST, is_drop, is_matched_loss
+from .timeline import running
 
 #: A status check and an identity check count if they succeeded under the configuration of the snapshot's account.
 SOURCES = ("feed", "merchant_status", "merchant_identity")
@@ -28,13 +29,19 @@ def _own_checks(snapshots: DataFrame, checks: DataFrame) -> DataFrame:
     return got.where(" and ".join(f"{s} = 1" for s in SOURCES)).where("own.at is not null").select("snapshot_id", "own.*")
 
 
-def merchant_baseline(candidates: DataFrame, snapshots: DataFrame, checks: DataFrame) -> DataFrame:
+BUFFER = 64  # of the checks before a candidate that its row carries
+
+
+def merchant_baseline(candidates: DataFrame, snapshots: DataFrame, checks: DataFrame, buffer: int = BUFFER) -> DataFrame:
     """(candidate_id, samples, broken, median) of the MOST approved counts before each candidate's own.
 
     candidates: candidate_id, store_id, config, first_snapshot_id, at, created_at, check_id. A completed snapshot of
     store and configuration with an identity check gives its latest status check before (at, created_at, check_id).
-    broken counts those whose numbers don't add up. The join is by store and configuration; a candidate meets the
-    history of its own store only.
+    broken counts those whose numbers don't add up.
+
+    Each check of the history carries the last buffer checks up to itself, in one window, and a candidate takes what the
+    check before it carries: linear in candidates and history. Only where so many checks come from fewer than MOST
+    snapshots while there are earlier ones do a candidate and its store's history meet.
     """
     good = checks.where("status = 'success'")
     known = good.where("source = 'merchant_identity' and complete").select("snapshot_id", "config").distinct()
@@ -42,10 +49,29 @@ def merchant_baseline(candidates: DataFrame, snapshots: DataFrame, checks: DataF
                .join(snapshots.where("status = 'completed'").select("snapshot_id", "store_id", "created_at"), "snapshot_id")
                .select("store_id", "config", F.col("snapshot_id").alias("h_snapshot"), F.struct(F.col("finished_at").alias("at"), "created_at", "check_id").alias("h"), "approved_count"))
     mark = candidates.select("candidate_id", "store_id", "config", "first_snapshot_id", F.struct("at", "created_at", "check_id").alias("cut"))
-    before = mark.join(history, ["store_id", "config"]).where((F.col("h_snapshot") != F.col("first_snapshot_id")) & (F.col("h") < F.col("cut")))
+
+    order = Window.partitionBy("store_id", "config").orderBy("h")
+    held = history.select("store_id", "config", "h", F.struct(F.collect_list(F.struct("h_snapshot", F.col("approved_count").alias("value"))).over(order.rowsBetween(1 - buffer, 0)).alias("last"), F.row_number().over(order).alias("n")).alias("__held"))
+    none = F.lit(None).cast(held.schema["__held"].dataType.simpleString())
+    moment = lambda c: [F.col(f"{c}.at").alias("__at"), F.col(f"{c}.created_at").alias("__created"), F.col(f"{c}.check_id").alias("__check")]
+    rows = held.select("store_id", "config", *moment("h"), F.lit(1).alias("__kind"), "__held", F.lit(None).cast(mark.schema["candidate_id"].dataType).alias("candidate_id"), F.lit(None).cast(mark.schema["first_snapshot_id"].dataType).alias("first_snapshot_id"))
+    rows = rows.unionByName(mark.select("store_id", "config", *moment("cut"), F.lit(0).alias("__kind"), none.alias("__held"), "candidate_id", "first_snapshot_id"))  # a candidate comes before a check of its own moment
+    met = running(rows, ["store_id", "config"], "__at", ["__created", "__check", "__kind"], last={"__seen": "__held"}).where("__kind = 0 and __seen is not null")
+    last = F.col("__seen.last")
+    newest = F.filter(last, lambda x, i: ~F.exists(F.slice(last, i + 2, buffer), lambda y: y["h_snapshot"] == x["h_snapshot"]) & (x["h_snapshot"] != F.col("first_snapshot_id")))
+    met = met.withColumn("__newest", newest).withColumn("__whole", (F.size("__newest") >= MOST) | (F.col("__seen.n") <= buffer))
+    values = F.transform(F.slice("__newest", F.greatest(F.lit(1), F.size("__newest") - (MOST - 1)), F.lit(MOST)), lambda x: x["value"])
+    sound = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
+    n = F.size(sound)
+    middle = lambda k: F.get(sound, F.floor(k / 2).cast("int")).cast("double")
+    easy = met.where("__whole").select("candidate_id", F.size(values).cast("long").alias("samples"), (F.size(values) - n).cast("long").alias("broken"), ((middle(n - 1) + middle(n)) / 2).alias("median")).where("samples > 0")
+
+    hard = mark.join(met.where("not __whole").select("candidate_id"), "candidate_id", "left_semi")
+    before = hard.join(history, ["store_id", "config"]).where((F.col("h_snapshot") != F.col("first_snapshot_id")) & (F.col("h") < F.col("cut")))
     each = before.groupBy("candidate_id", "h_snapshot").agg(F.max("h").alias("h"), F.max_by("approved_count", "h").alias("value"))
     last = each.withColumn("n", F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("h")))).where(F.col("n") <= MOST)
-    return last.groupBy("candidate_id").agg(F.count("*").alias("samples"), F.count_if(F.col("value").isNull()).alias("broken"), F.percentile("value", F.lit(0.5)).alias("median"))
+    rest = last.groupBy("candidate_id").agg(F.count("*").alias("samples"), F.count_if(F.col("value").isNull()).alias("broken"), F.percentile("value", F.lit(0.5)).alias("median"))
+    return easy.unionByName(rest)
 
 
 def feed_merchant_correlation(candidates: DataFrame, incidents: DataFrame, recorded: DataFrame, snapshots: DataFrame, checks: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -68,7 +94,7 @@ def feed_merchant_correlation(candidates: DataFrame, incidents: DataFrame, recor
     rows = rows.join(base, "candidate_id", "left").join(mapping.withColumnRenamed("snapshot_id", "first_snapshot_id"), "first_snapshot_id", "left")
     pct, abs_ = F.col("percent_threshold"), F.col("absolute_threshold")
     no = lambda c: ~F.coalesce(c, F.lit(False))
-    ladder = [
+    ladder = [  # fixed values: the names of reasons
         ("candidate_context_unavailable", no((F.col("type") == "catalog_drop") & F.col("confirmation_snapshot_id").isNotNull() & F.col("status").isin("pending_confirmation", "confirmed"))),
         ("incident_unavailable", no(~F.col("i_status").isin("ignored", "resolved"))),
         ("already_recorded", F.col("recorded").isNotNull()),

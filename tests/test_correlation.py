@@ -107,3 +107,48 @@ def test_alert_texts(spark):
     assert [r.e for r in df.select(alerts.evidence_texts(C.F.col("j"), C.F.col("m")).alias("e")).collect()] == [want for _, _, want in rows]
     codes = spark.createDataFrame([("timeout: x",), ("Bad thing",), (None,), ("",), (":",)], "e string")
     assert [r[0] for r in codes.select(alerts.delivery_error(C.F.col("e"))).collect()] == ["timeout", "delivery_failed", None, None, "delivery_failed"]
+
+
+def test_merchant_baseline_equals_a_slow_one(spark):
+    """Snapshots with one check or many, ties of time, checks of a candidate's own moment; buffers from tiny to large."""
+    import random
+
+    from shelfwatch.operators import correlation
+
+    rnd = random.Random(11)
+    snaps = [(f"s{k}", rnd.choice("ab"), "completed" if k % 9 else "partial", k) for k in range(70)]
+    checks, n = [], 0
+    for s, _, _, k in snaps:
+        if rnd.random() < 0.9:
+            checks.append((n, s, "merchant_identity", "success", "c", True, None, k))
+        for _ in range(rnd.choice([1, 1, 1, 12])):
+            n += 1
+            checks.append((n, s, "merchant_status", "success" if rnd.random() < 0.95 else "timeout", "c", None, rnd.choice([None, rnd.randint(50, 99)]), rnd.randint(0, 60)))
+        n += 1
+    status = [c for c in checks if c[2] == "merchant_status"]
+    marks = []
+    for k in range(50):
+        own = rnd.choice(status)
+        store, created = next((st, cr) for s, st, _, cr in snaps if s == own[1])
+        marks.append((k, store, "c", own[1], own[7], created, own[0]))
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    candidates = df(marks, "candidate_id int, store_id string, config string, first_snapshot_id string, at int, created_at int, check_id int")
+    s = df(snaps, "snapshot_id string, store_id string, status string, created_at int")
+    c = df(checks, "check_id int, snapshot_id string, source string, status string, config string, complete boolean, approved_count int, finished_at int")
+    known = {x[1] for x in checks if x[2] == "merchant_identity"}
+    want = {}
+    for k, store, _, first, at, created, check in marks:
+        newest = {}
+        for i, snap, _, fine, _, _, value, t in status:
+            st, state, cr = next((x[1], x[2], x[3]) for x in snaps if x[0] == snap)
+            if fine == "success" and snap in known and state == "completed" and st == store and snap != first and (t, cr, i) < (at, created, check) and ((t, cr, i) > newest.get(snap, ((-1,),))[0]):
+                newest[snap] = ((t, cr, i), value)
+        last = [v for _, v in sorted(newest.values(), key=lambda x: x[0])[-14:]]
+        if last:
+            sound = sorted(v for v in last if v is not None)
+            median = (sound[(len(sound) - 1) // 2] + sound[len(sound) // 2]) / 2 if sound else None
+            want[k] = (len(last), len(last) - len(sound), median)
+    assert len(want) > 30
+    for buffer in (3, 20, 64, 1000):
+        got = {r.candidate_id: (r.samples, r.broken, r.median) for r in correlation.merchant_baseline(candidates, s, c, buffer).collect()}
+        assert got == want

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A string, a sign of structure, or a run of other characters (numbers, true, false, null).
-TOKEN = r'"(?:[^"\\]|\\.)*+"|[{}\[\],:]|[^\s{}\[\],:"]++'
+TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^\s{}\[\],:"]++'
 FRAME = "struct<open:string,key:string,items:array<struct<late:boolean,place:decimal(10,0),name:string collate UNICODE,key:string,text:string>>>"
 STATE = f"struct<stack:array<{FRAME}>,done:string,bad:boolean>"
 #: JSON's short escapes, the backslash first.
@@ -50,12 +50,8 @@ def number(text: Column) -> Column:
     return F.when(value == 0, "0").when(F.abs(value) == float("inf"), "null").otherwise(said)
 
 
-def canonical_json(json: Column) -> Column:
-    """json (a text) without white space, every object's keys in order and once (the last one's value), values spelt alike.
-
-    Keys that are whole numbers below 2**32 - 1 come first, by number; the others as people sort words (root collation:
-    signs, digits, letters, small before capital only where all else is equal). Null if json is null or no JSON value.
-    """
+def _folded(json: Column, ordered: bool, hidden: str | None = None) -> Column:
+    """json written anew: members ordered or as they come, those whose key matches hidden left out at any depth."""
     empty_items = F.array().cast("array<struct<late:boolean,place:decimal(10,0),name:string collate UNICODE,key:string,text:string>>")
     start = F.struct(F.array().cast(f"array<{FRAME}>").alias("stack"), F.lit(None).cast("string").alias("done"), F.lit(False).alias("bad")).cast(STATE)
 
@@ -81,13 +77,16 @@ def canonical_json(json: Column) -> Column:
         last = F.element_at(stack, -1)
         lacks_key = (last["open"] == "{") & last["key"].isNull()
         kept = F.when(last["open"] == "{", F.filter(last["items"], lambda m: m["key"] != last["key"])).otherwise(last["items"])
-        grown = F.concat(F.slice(stack, F.lit(1), F.size(stack) - 1), F.array(frame(last["open"], F.lit(None).cast("string"), F.concat(kept, F.array(member(last["key"], text)).cast(empty_type)))))
+        added = F.concat(kept, F.array(member(last["key"], text)).cast(empty_type))
+        if hidden is not None:
+            added = F.when(F.coalesce(last["key"].rlike(hidden), F.lit(False)), kept).otherwise(added)
+        grown = F.concat(F.slice(stack, F.lit(1), F.size(stack) - 1), F.array(frame(last["open"], F.lit(None).cast("string"), added)))
         return F.when(F.size(stack) == 0, state(stack, text, bad | done.isNotNull())).otherwise(state(grown, done, bad | lacks_key))
 
     empty_type = "array<struct<late:boolean,place:decimal(10,0),name:string collate UNICODE,key:string,text:string>>"
 
     def closed(f: Column) -> Column:
-        members = F.transform(F.array_sort(f["items"]), lambda m: F.concat(quoted(m["key"]), F.lit(":"), m["text"]))
+        members = F.transform(F.array_sort(f["items"]) if ordered else f["items"], lambda m: F.concat(quoted(m["key"]), F.lit(":"), m["text"]))
         return F.when(f["open"] == "{", F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))).otherwise(
             F.concat(F.lit("["), F.array_join(F.transform(f["items"], lambda m: m["text"]), ","), F.lit("]")))
 
@@ -108,6 +107,20 @@ def canonical_json(json: Column) -> Column:
     return F.when((F.size(end["stack"]) == 0) & ~end["bad"], end["done"])
 
 
+def canonical_json(json: Column) -> Column:
+    """json (a text) without white space, every object's keys in order and once (the last one's value), values spelt alike.
+
+    Keys that are whole numbers below 2**32 - 1 come first, by number; the others as people sort words (root collation:
+    signs, digits, letters, small before capital only where all else is equal). Null if json is null or no JSON value.
+    """
+    return _folded(json, ordered=True)
+
+
+def redacted_json(json: Column, hidden: str) -> Column:
+    """A JSON object without white space and without the members whose key matches hidden, at any depth; null for null and for what is no object."""
+    return F.when(json.rlike(r"^\s*\{"), _folded(json, ordered=False, hidden=hidden))
+
+
 def canonical_hash(json: Column) -> Column:
     """SHA-256, lower-case hex, of the canonical form."""
     return F.sha2(canonical_json(json).cast("binary"), 256)

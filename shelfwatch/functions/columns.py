@@ -191,6 +191,21 @@ def http_status_class(status: Column) -> Column:
     return (F.when(status.isNull(), "timeout").when(status.isin(403, 429), "blocked").when(status.between(200, 299), "success").otherwise("source_unavailable"))
 
 
+def feed_status_class(status: Column) -> Column:
+    """How a fetch of a feed went: feeds may ask for credentials."""
+    return F.when(status == 401, "authentication_failed").otherwise(http_status_class(status))
+
+
+def labelled(name: Column) -> Column:
+    """a_b as A B: underscores as blanks, each word's first letter upper-cased, the rest as it is."""
+    return F.array_join(F.transform(F.split(name, "_"), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w)))), " ")
+
+
+def rounded_percent(share: Column) -> Column:
+    """A share as whole percents, halves up."""
+    return F.concat(F.floor(share * 100 + 0.5).cast("long").cast("string"), F.lit("%"))
+
+
 def retry_seconds(attempt: Column, retry_after: Column) -> Column:
     """Delay before the next delivery attempt: the server's wish within a day, else a ladder."""
     ladder = F.element_at(F.array(*[F.lit(n) for n in (60, 300, 900, 3600)]), F.least(F.greatest(attempt, F.lit(1)), F.lit(4)).cast("int"))

@@ -2,39 +2,20 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.canonical import redacted_json
 from .alerts import delivery_error, sample_items
 
 # Names of members that aren't shown, and the states that an action starts from.
-SENSITIVE = re.compile(r"actor|token|secret|password|authorization|api[_-]?key|recipient|email|chat[_-]?id|thread[_-]?id|provider|payload|body|content", re.I)
+SENSITIVE = r"(?i)actor|token|secret|password|authorization|api[_-]?key|recipient|email|chat[_-]?id|thread[_-]?id|provider|payload|body|content"
 ACTIONS = {"acknowledge": ("acknowledged", ("open", "investigating")), "ignore": ("ignored", ("open", "investigating", "acknowledged", "recovering"))}
 
 
-def _shown(value):
-    if isinstance(value, dict):
-        return {k: _shown(v) for k, v in value.items() if not SENSITIVE.search(k)}
-    return [_shown(v) for v in value] if isinstance(value, list) else value
-
-
-def _shown_text(text: str | None) -> str | None:
-    try:
-        found = _shown(json.loads(text)) if text is not None else None
-    except (ValueError, RecursionError):
-        return None
-    return json.dumps(found, ensure_ascii=False, separators=(",", ":")) if isinstance(found, dict) else None
-
-
-@F.pandas_udf(T.StringType())
-def redacted(metadata: pd.Series) -> pd.Series:
+def redacted(metadata: Column) -> Column:
     """JSON objects without sensitive members, at any depth; null for null and for what is no object."""
-    return metadata.map(_shown_text, na_action="ignore").astype(object).where(lambda s: s.notna(), None)
+    return redacted_json(metadata, SENSITIVE)
 
 
 def _sorted(kind: DataFrame, name: str, order: list[str]) -> DataFrame:
@@ -50,7 +31,7 @@ def details(incidents: DataFrame, events: DataFrame, signals: DataFrame, deliver
     before_value, after_value, sample_items_json. deliveries: incident_id, at, channel, status, error. The timeline shows
     metadata redacted, a delivery its error's code only.
     """
-    timeline = _sorted(events.withColumn("metadata", redacted("metadata_json")).withColumn("reason", F.get_json_object("metadata_json", "$.reason")).drop("metadata_json"), "timeline", ["at", "event_id"])
+    timeline = _sorted(events.withColumn("metadata", redacted(F.col("metadata_json"))).withColumn("reason", F.get_json_object("metadata_json", "$.reason")).drop("metadata_json"), "timeline", ["at", "event_id"])
     each = signals.withColumn("samples", sample_items(F.col("sample_items_json"))).drop("sample_items_json")
     told = _sorted(each, "signals", ["source", "metric"])
     told = told.select("incident_id", F.transform("signals", lambda s: s.dropFields("samples")).alias("signals"), F.flatten(F.transform("signals", lambda s: s["samples"])).alias("samples"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import number
-from ..functions.columns import escaped_html
+from ..functions.columns import escaped_html, labelled, rounded_percent
 
 # The bounds of a message and its parts, counted in UTF-16 units as chats do, and its wordings.
 MOST = 3900
@@ -66,7 +66,7 @@ def _label(kind: Column) -> Column:
 
 def _metric_lines(metrics: Column) -> Column:
     def line(m: Column) -> Column:
-        words = F.array_join(F.transform(F.split(m["name"], "_"), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w)))), " ")
+        words = labelled(m["name"])
         unit = F.coalesce(F.concat(F.lit(" "), _filled(m["unit"])), F.lit(""))
         told = lambda c: escaped_html(F.coalesce(m[c], F.lit("unknown")))
         return F.when(m["beforeValue"].isNotNull() | m["afterValue"].isNotNull(), F.concat(F.lit("<b>"), escaped_html(words), F.lit(":</b> "), told("beforeValue"), F.lit(" → "), told("afterValue"), escaped_html(unit)))
@@ -93,10 +93,9 @@ def chat_lines(p: Column) -> Column:
     worse = p["alertType"] == "incident_worsened"
     store = _bold("Store", F.concat(_shown(p["store"]["name"], 120), F.lit(" ("), _shown(p["store"]["domain"], 200), F.lit(")")))
     heading = F.when(worse, F.concat(F.lit("Incident worsened: "), _label(incident["type"]))).when(incident["type"] == "catalog_drop", "Catalog drop detected").otherwise(incident["title"])
-    sure = F.floor(incident["confidenceScore"] * 100 + 0.5).cast("string")
     business = F.concat(
         F.array(F.concat(F.lit("<b>🔴 "), _shown(heading, 180), F.lit("</b>")), store, _bold("Affected", number(incident["affectedCount"].cast("string")))), _metric_lines(p["metrics"]),
-        _some(_bold("Confidence", F.concat(sure, F.lit("%"))), _bold("Likely source", _shown(_filled(incident["likelySource"]), 120))), _proof_lines(p))
+        _some(_bold("Confidence", rounded_percent(incident["confidenceScore"])), _bold("Likely source", _shown(_filled(incident["likelySource"]), 120))), _proof_lines(p))
 
     failing = F.get(F.filter(p["metrics"], lambda m: m["name"] == "source_check_failure_count"), F.lit(0))["afterValue"]
     answer = F.get(F.filter(p["evidence"], lambda e: F.startswith(F.lower(e), F.lit(FEED_ANSWER))), F.lit(0))

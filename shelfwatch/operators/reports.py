@@ -37,6 +37,20 @@ def store_summary(stores: DataFrame, checks: DataFrame, incidents: DataFrame, ba
                        F.col("c.status").alias("source_status"), F.col("c.items_observed").alias("source_items"), F.col("c.finished_at").alias("source_checked_at"))
 
 
+def nested_summary(summary: DataFrame) -> DataFrame:
+    """A row a store of store_summary's: store_id, name, domain, incidents (open, critical, high, recovering), sources (array by name of source, status, items, checked_at), baseline (status, updated_at), last_checked_at."""
+    each = F.struct("source", F.col("source_status").alias("status"), F.col("source_items").alias("items"), F.col("source_checked_at").alias("checked_at"))
+    same = ["store_id", "name", "domain", "baseline_status", "baseline_updated_at", "open_incidents", "critical_incidents", "high_incidents", "recovering_incidents", "last_checked_at"]
+    rows = summary.groupBy(*same).agg(F.array_sort(F.collect_list(each)).alias("sources"))
+    counts = F.struct(*[F.col(f"{c}_incidents").alias(c) for c in ("open", "critical", "high", "recovering")])
+    return rows.select("store_id", "name", "domain", counts.alias("incidents"), "sources", F.struct(F.col("baseline_status").alias("status"), F.col("baseline_updated_at").alias("updated_at")).alias("baseline"), "last_checked_at")
+
+
+def header_sums(stores: DataFrame) -> DataFrame:
+    """One row: stores, and the sums of their open, critical and recovering incidents."""
+    return stores.agg(F.count("*").alias("stores"), *[F.coalesce(F.sum(f"incidents.{c}"), F.lit(0)).alias(c) for c in ("open", "critical", "recovering")])
+
+
 def priority_rank(severity: Column) -> Column:
     """3 for severe ones, 2 for a warning, else 1."""
     return F.when(severity.isin(*SEVERE), 3).when(severity == "warning", 2).otherwise(1)
@@ -145,7 +159,7 @@ def incident_list(incidents: DataFrame, stores: DataFrame, **filters: object) ->
     for name, value in filters.items():
         if value is not None:
             incidents = incidents.where(F.col(name) == F.lit(value))
-    stamp = F.date_format(F.col("updated_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    stamp = F.date_format(F.to_utc_timestamp(F.col("updated_at").cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")  # whatever the session's zone
     return incidents.join(stores.select("store_id", F.col("name").alias("store_name")), "store_id").withColumn("updated_at_cursor", stamp)
 
 

@@ -15,7 +15,7 @@ from ..functions import columns as C
 from ..functions.canonical import canonical_hash
 from ..operators import alerts, baseline, correlation, identity, incidents, lifecycle, recovery, reports, rules, store, timeline
 from ..sources import category, merchant
-from . import decisions  # noqa: F401 (its queries register themselves)
+from . import decisions, values  # noqa: F401 (their queries register themselves)
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
 from .base import query as _query
 from .base import table as _table
@@ -484,6 +484,10 @@ FROM customer CROSS JOIN (VALUES ('sitemap'), ('feed'), ('category'), ('product_
 LEFT JOIN (SELECT user_id, max(ts) AS t FROM events GROUP BY 1) l ON l.user_id = c_custkey""")
 def store_grid(spark, sf_dir):
     """Summary of every store and source: customers as stores, events as checks, orders as incidents and baselines."""
+    return _summary(spark, sf_dir).drop("domain", "baseline_status")
+
+
+def _summary(spark, sf_dir):
     kind = F.col("event_type")
     source = F.when(kind == "click", "sitemap").when(kind == "error", "feed").when(kind == "purchase", "category").when(kind == "signup", "product_page").otherwise("merchant_center")
     checks = _table(spark, sf_dir, "events").select(F.col("user_id").alias("store_id"), source.alias("source"), F.when(F.col("event_id") % 3 == 0, "partial").otherwise("success").alias("status"), (F.col("event_id") % 100).alias("items_observed"),
@@ -493,8 +497,28 @@ def store_grid(spark, sf_dir):
     incident = orders.select(F.col("o_custkey").alias("store_id"), F.when(six == 0, "open").when(six == 1, "investigating").when(six == 2, "acknowledged").when(six == 3, "recovering").otherwise("resolved").alias("status"),
                              F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "critical").otherwise("warning").alias("severity"))
     stores = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("store_id"), F.col("c_name").alias("name"), F.lit("d").alias("domain"), F.lit("active").alias("baseline_status"))
-    got = reports.store_summary(stores, checks, incident, orders.select(F.col("o_custkey").alias("store_id"), F.col("o_orderdate").alias("updated_at")))
-    return got.drop("domain", "baseline_status")
+    return reports.store_summary(stores, checks, incident, orders.select(F.col("o_custkey").alias("store_id"), F.col("o_orderdate").alias("updated_at")))
+
+
+@_query("""
+WITH c AS (SELECT user_id AS store_id, CASE event_type WHEN 'click' THEN 'sitemap' WHEN 'error' THEN 'feed' WHEN 'purchase' THEN 'category' WHEN 'signup' THEN 'product_page' ELSE 'merchant_center' END AS source, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events),
+g AS (SELECT c_custkey AS store_id, s AS source, event_id FROM customer CROSS JOIN (VALUES ('sitemap'), ('feed'), ('category'), ('product_page'), ('merchant_center')) t(s) LEFT JOIN c ON c.store_id = c_custkey AND c.source = s AND r = 1),
+n AS (SELECT store_id, string_agg(source || '=' || coalesce(CASE WHEN event_id % 3 = 0 THEN 'partial' ELSE 'success' END || ':' || event_id % 100, '-'), ',' ORDER BY source) FILTER (event_id IS NOT NULL OR true) AS sources FROM (SELECT store_id, source, event_id FROM g) GROUP BY 1),
+i AS (SELECT o_custkey, count(*) FILTER (o_orderkey % 6 < 3) AS a, count(*) FILTER (o_orderkey % 6 = 3) AS d FROM orders GROUP BY 1)
+SELECT store_id, regexp_replace(sources, '=(partial|success)?:?$', '=-') AS sources, coalesce(a, 0) AS open, coalesce(d, 0) AS recovering FROM n LEFT JOIN i ON o_custkey = store_id""")
+def store_dashboard(spark, sf_dir):
+    """The summary with a store's sources nested in one row: what store_grid says, as lists."""
+    nested = reports.nested_summary(_summary(spark, sf_dir))
+    said = F.transform("sources", lambda s: F.concat(s["source"], F.lit("="), F.coalesce(F.concat(s["status"], F.lit(":"), s["items"].cast("string")), F.lit("-"))))
+    return nested.select("store_id", F.array_join(said, ",").alias("sources"), F.col("incidents.open").alias("open"), F.col("incidents.recovering").alias("recovering"))
+
+
+@_query("""
+WITH i AS (SELECT CASE o_orderkey % 6 WHEN 0 THEN 'open' WHEN 1 THEN 'open' WHEN 2 THEN 'open' WHEN 3 THEN 'recovering' ELSE 'resolved' END AS status, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'critical' ELSE 'warning' END AS severity FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT (SELECT count(*) FROM customer) AS stores, count(*) FILTER (status = 'open') AS open, count(*) FILTER (status <> 'resolved' AND severity = 'critical') AS critical, count(*) FILTER (status = 'recovering') AS recovering FROM i""")
+def header_sums(spark, sf_dir):
+    """Sums over all stores' summaries."""
+    return reports.header_sums(reports.nested_summary(_summary(spark, sf_dir)))
 
 
 ISSUES = """

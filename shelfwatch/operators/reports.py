@@ -126,11 +126,20 @@ def issue_totals(products: DataFrame, scope: str = "incident_id", order: str = "
         F.col("scope").alias(scope), F.coalesce("products", F.lit(0)).alias("products"), F.coalesce("issues", F.lit(0)).alias("issues"), "products_truncated", no("issues_truncated"), no("groups_truncated"))
 
 
+#: The orders of the remediation queue's pages, a column and whether it descends.
+REMEDIATION_ORDERS = {
+    "priority": [("priority_rank", True), ("issue_count", True), ("stable_key_key", False), ("item_id", False)],
+    "issue_count": [("issue_count", True), ("priority_rank", True), ("stable_key_key", False), ("item_id", False)],
+    "stable_key": [("stable_key_key", False), ("priority_rank", True), ("issue_count", True), ("item_id", False)],
+    "title": [("title_key", False), ("priority_rank", True), ("issue_count", True), ("stable_key_key", False), ("item_id", False)],
+}
+
+
 def remediation_rows(items: DataFrame, code: str | None = None, severity: str | None = None, priority: str | None = None, search: str | None = None) -> DataFrame:
     """items (incident_id, item_id, stable_key, offer_id, title, issues) that have issues and pass the filters, with issue_count, priority_rank, stable_key_key, title_key and truncated.
 
     Of an item's issues the first MOST_ISSUES count. A severity is compared in lower case, a search is contained in key,
-    offer or title without case. Sort and cut with store.page, by priority_rank and issue_count descending, stable_key_key and item_id.
+    offer or title without case. Sort and cut with store.page by one of REMEDIATION_ORDERS.
     """
     rows = items.select("incident_id", "item_id", "stable_key", "offer_id", "title", normal_issues(F.col("issues")).alias("issues"), (F.size("issues") > MOST_ISSUES).alias("truncated"))
     rows = rows.where(F.size("issues") > 0).select(

@@ -166,6 +166,44 @@ def merchant_item_issues(products: DataFrame) -> DataFrame:
     return got.select("snapshot_id", "products", "affected", F.when(F.col("severe"), "critical").otherwise("warning").alias("severity"), (F.col("affected") > 0).alias("significant"))
 
 
+def issue_codes(products: DataFrame, most: int = 10) -> DataFrame:
+    """(snapshot_id, rank, code, issues, products): the most frequent issue codes of each snapshot, then by code as people sort words; issues and affected products.
+
+    products: snapshot_id, product, issues (array of structs with code; null: none). A product is counted once a code.
+    """
+    each = products.select("snapshot_id", "product", F.explode("issues").alias("i")).groupBy("snapshot_id", F.col("i.code").alias("code"), "product").agg(F.count("*").alias("n"))
+    codes = each.groupBy("snapshot_id", "code").agg(F.sum("n").alias("issues"), F.count("*").alias("products"))
+    ranked = codes.withColumn("rank", F.row_number().over(Window.partitionBy("snapshot_id").orderBy(F.desc("issues"), F.collate("code", "UNICODE"), "code")))
+    return ranked.where(F.col("rank") <= most).select("snapshot_id", "rank", "code", "issues", "products")
+
+
+def item_issue_evaluations(products: DataFrame, checks: DataFrame) -> DataFrame:
+    """(snapshot_id, products, affected, issue_count, critical, warning, severity, codes, evidence, summary, significant, config) of scans that can be judged.
+
+    products: as merchant_item_issues takes them, issues with code too. checks: snapshot_id, status, config (of the scan),
+    account_config (of the account as it is now); a snapshot needs exactly one check, of success, and both configurations
+    alike. codes are the ten most frequent ones with their counts (snapshots.issue_codes). A product is critical if any
+    of its issues is severe.
+    """
+    gate = checks.groupBy("snapshot_id").agg(F.count("*").alias("n"), F.min(F.struct("status", "config", "account_config")).alias("c")).where("n = 1 and c.status = 'success' and c.config = c.account_config")
+    some = products.join(gate.select("snapshot_id"), "snapshot_id", "left_semi")
+    severe = F.coalesce(F.exists("issues", lambda i: F.lower(i["severity"]).isin(*SEVERE)), F.lit(False))
+    per = some.groupBy("snapshot_id", "product").agg(F.bool_or(severe).alias("severe"), F.sum(F.greatest(F.coalesce(F.size("issues"), F.lit(0)), F.lit(0))).alias("n"))
+    got = per.groupBy("snapshot_id").agg(F.count("*").alias("products"), F.count_if(F.col("n") > 0).alias("affected"), F.sum("n").alias("issue_count"), F.count_if("severe").alias("critical"))
+    named = issue_codes(some).groupBy("snapshot_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "code", "issues"))), lambda x: F.concat(x["code"], F.lit(" ("), x["issues"].cast("string"), F.lit(")"))).alias("codes"))
+    rows = got.join(named, "snapshot_id", "left").join(gate.select("snapshot_id", F.col("c.config").alias("config")), "snapshot_id")
+    rows = rows.withColumns({"codes": F.coalesce("codes", F.array().cast("array<string>")), "warning": F.greatest(F.lit(0), F.col("affected") - F.col("critical"))})
+    said = lambda c, one, many: F.concat(F.col(c).cast("string"), F.lit(" "), F.when(F.col(c) == 1, one).otherwise(many))
+    plural, issues = F.when(F.col("affected") == 1, "product").otherwise("products"), F.when(F.col("issue_count") == 1, "issue").otherwise("issues")
+    evidence = F.array(
+        F.concat(F.lit("Merchant Center reported "), said("affected", "product", "products"), F.lit(" with item-level issues.")), F.concat(F.lit("Collected "), F.col("issue_count").cast("string"), F.lit(" normalized "), issues, F.lit(" from a complete successful check.")),
+        F.concat(F.lit("Products with critical-severity issues: "), F.col("critical").cast("string"), F.lit(".")), F.concat(F.lit("Products with warning-severity issues: "), F.col("warning").cast("string"), F.lit(".")),
+        F.when(F.size("codes") > 0, F.concat(F.lit("Most common issue codes: "), F.array_join("codes", ", "), F.lit("."))).otherwise("No normalized issue codes were available."))
+    summary = F.concat(F.lit("Merchant Center reports "), F.col("affected").cast("string"), F.lit(" "), plural, F.lit(" with "), F.col("issue_count").cast("string"), F.lit(" item-level "), issues, F.lit("."))
+    return rows.select("snapshot_id", "products", "affected", "issue_count", "critical", "warning", F.when(F.col("critical") > 0, "critical").otherwise("warning").alias("severity"), "codes", evidence.alias("evidence"), summary.alias("summary"),
+                       (F.col("affected") > 0).alias("significant"), "config")
+
+
 def recovery_outcome(share: Column, number: Column, pct: float, abs_: float) -> Column:
     """unhealthy beyond both bounds, healthy within both, else not_comparable (no transition)."""
     return F.when((share >= pct) & (number >= abs_), "unhealthy").when((share < pct) & (number < abs_), "healthy").otherwise("not_comparable")

@@ -87,17 +87,6 @@ def confirmed_baseline(metrics: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in metrics.columns])
 
 
-def issue_codes(products: DataFrame, most: int = 10) -> DataFrame:
-    """(snapshot_id, rank, code, issues, products): the most frequent issue codes of each snapshot, then by code; issues and affected products.
-
-    products: snapshot_id, product, issues (array of structs with code; null: none). A product is counted once a code.
-    """
-    each = products.select("snapshot_id", "product", F.explode("issues").alias("i")).groupBy("snapshot_id", F.col("i.code").alias("code"), "product").agg(F.count("*").alias("n"))
-    codes = each.groupBy("snapshot_id", "code").agg(F.sum("n").alias("issues"), F.count("*").alias("products"))
-    ranked = codes.withColumn("rank", F.row_number().over(Window.partitionBy("snapshot_id").orderBy(F.desc("issues"), "code")))
-    return ranked.where(F.col("rank") <= most).select("snapshot_id", "rank", "code", "issues", "products")
-
-
 def minute(at: Column) -> Column:
     """The minute that a time lies in: retries of one minute share a key."""
     return F.date_trunc("minute", at)

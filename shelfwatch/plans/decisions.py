@@ -324,14 +324,14 @@ def sample_manifest(spark, sf_dir):
 @query("""
 WITH c AS (SELECT l_suppkey AS snapshot_id, CASE WHEN l_quantity < 26 THEN l_shipmode ELSE 'q' || CAST(l_quantity AS BIGINT) END AS code, l_partkey FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) WHERE l_linenumber <> 2),
 g AS (SELECT snapshot_id, code, CAST(count(*) AS BIGINT) AS issues, CAST(count(DISTINCT l_partkey) AS BIGINT) AS products FROM c GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY issues DESC, code) AS rank FROM g)
+r AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY issues DESC, lower(code)) AS rank FROM g)
 SELECT snapshot_id, rank, code, issues, products FROM r WHERE rank <= 10""")
 def issue_codes(spark, sf_dir):
     """The ten most frequent issue codes of each scan (a top-k report): suppliers as scans, lines as issues of their parts."""
     li = table(spark, sf_dir, "lineitem")
     code = F.when(F.col("l_quantity") < 26, F.concat("l_returnflag", "l_linestatus")).otherwise(F.concat(F.lit("q"), F.col("l_quantity").cast("long").cast("string")))
     products = li.groupBy(F.col("l_suppkey").alias("snapshot_id"), F.col("l_partkey").alias("product")).agg(F.collect_list(F.when(F.col("l_linenumber") != 2, F.struct(code.alias("code")))).alias("issues"))
-    got = snapshots.issue_codes(products)
+    got = rules.issue_codes(products)
     return got.select("snapshot_id", F.col("rank").cast("long").alias("rank"), "code", "issues", "products")
 
 

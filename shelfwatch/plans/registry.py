@@ -574,6 +574,47 @@ def remediation_queue(spark, sf_dir):
     return reports.remediation_rows(items, severity="Warning", priority="high", search="1").select("incident_id", "stable_key", "issue_count", "priority_rank", "truncated")
 
 
+@_query("""
+WITH r AS (SELECT c_custkey AS id, 'k' || c_custkey % 100 AS key, c_mktsegment AS title, 1 + c_custkey % 3 AS n, CASE c_nationkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS p FROM customer),
+o AS (SELECT id, row_number() OVER (ORDER BY p DESC, n DESC, key, id) AS a, row_number() OVER (ORDER BY n DESC, p DESC, key, id) AS b, row_number() OVER (ORDER BY key, p DESC, n DESC, id) AS c, row_number() OVER (ORDER BY title, p DESC, n DESC, key, id) AS d FROM r)
+SELECT 'priority' AS sort, id AS item_id FROM o WHERE a BETWEEN 21 AND 41 UNION ALL SELECT 'issue_count', id FROM o WHERE b BETWEEN 21 AND 41 UNION ALL SELECT 'stable_key', id FROM o WHERE c BETWEEN 21 AND 41 UNION ALL SELECT 'title', id FROM o WHERE d BETWEEN 21 AND 41""")
+def remediation_pages(spark, sf_dir):
+    """The second page of the remediation queue in each of its four orders, after the cursor of the first (top-k reports): customers as items."""
+    k, nation = F.col("c_custkey"), F.col("c_nationkey") % 3
+    severity = F.when(nation == 0, "error").when(nation == 1, "warning").otherwise("info")
+    issue = lambda n: F.struct(F.lit(f"c{n}").alias("code"), severity.alias("severity"), F.lit("a").alias("attribute"))
+    items = _table(spark, sf_dir, "customer").select(F.lit("i").alias("incident_id"), k.alias("item_id"), F.concat(F.lit("k"), (k % 100).cast("string")).alias("stable_key"), F.lit("o").alias("offer_id"), F.col("c_mktsegment").alias("title"),
+                                                     F.slice(F.array(*[issue(n) for n in range(3)]), F.lit(1), (k % 3 + 1).cast("int")).alias("issues"))
+    rows, pages = reports.remediation_rows(items), []
+    for name, order in reports.REMEDIATION_ORDERS.items():
+        last = store.page(rows, order, 19).select(*[c for c, _ in order]).collect()[-1]  # the last of a page of twenty
+        after = store.decode_cursor(store.encode_cursor(tuple(last)))
+        pages.append(store.page(rows, order, 20, after).select(F.lit(name).alias("sort"), "item_id"))
+    return pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3])
+
+
+@_query("""
+WITH l AS (SELECT l_suppkey % 30 AS snapshot_id, l_partkey, CASE WHEN l_discount > 0.09 THEN l_returnflag || l_linestatus END AS code, l_returnflag = 'R' AS severe FROM lineitem),
+p AS (SELECT snapshot_id, l_partkey, coalesce(bool_or(severe) FILTER (code IS NOT NULL), false) AS severe, count(code) AS n FROM l WHERE snapshot_id % 7 NOT IN (2, 3, 4) GROUP BY 1, 2),
+g AS (SELECT snapshot_id, count(*) AS products, count(*) FILTER (n > 0) AS affected, CAST(sum(n) AS BIGINT) AS issue_count, count(*) FILTER (severe) AS critical FROM p GROUP BY 1),
+c AS (SELECT snapshot_id, code, count(*) AS n FROM l WHERE code IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT snapshot_id, string_agg(code || ' (' || n || ')', ', ' ORDER BY n DESC, code) AS codes FROM c GROUP BY 1)
+SELECT g.snapshot_id, affected, critical, CASE WHEN critical > 0 THEN 'critical' ELSE 'warning' END AS severity,
+       'Merchant Center reported ' || affected || CASE WHEN affected = 1 THEN ' product' ELSE ' products' END || ' with item-level issues.|Collected ' || issue_count || ' normalized ' || CASE WHEN issue_count = 1 THEN 'issue' ELSE 'issues' END || ' from a complete successful check.|Products with critical-severity issues: '
+       || critical || '.|Products with warning-severity issues: ' || affected - critical || '.|' || CASE WHEN codes IS NULL THEN 'No normalized issue codes were available.' ELSE 'Most common issue codes: ' || codes || '.' END AS evidence
+FROM g LEFT JOIN t USING (snapshot_id)""")
+def item_issue_rule(spark, sf_dir):
+    """Item issues of scans with their evidence: supplier groups as scans, discounted lines as issues of their parts; some scans failed, are of another account, or have two checks."""
+    li = _table(spark, sf_dir, "lineitem")
+    issue = F.when(F.col("l_discount") > 0.09, F.struct(F.concat("l_returnflag", "l_linestatus").alias("code"), F.when(F.col("l_returnflag") == "R", "Error").otherwise("warning").alias("severity")))
+    products = li.groupBy((F.col("l_suppkey") % 30).alias("snapshot_id"), F.col("l_partkey").alias("product")).agg(F.collect_list(issue).alias("issues"))
+    k = F.col("snapshot_id") % 7
+    checks = li.select((F.col("l_suppkey") % 30).alias("snapshot_id")).distinct().withColumn("n", F.explode(F.sequence(F.lit(1), F.when(k == 4, 2).otherwise(1))))
+    checks = checks.select("snapshot_id", F.when(k == 2, "partial").otherwise("success").alias("status"), F.lit("c").alias("config"), F.when(k == 3, "d").otherwise("c").alias("account_config"))
+    got = rules.item_issue_evaluations(products, checks)
+    return got.select("snapshot_id", "affected", "critical", "severity", F.array_join("evidence", "|").alias("evidence"))
+
+
 @_query("""
 WITH k AS (SELECT 'part' AS side, p_partkey AS id, 'offer:' || lower(p_name) AS key FROM part
            UNION ALL SELECT 'storefront', p_partkey, 'offer:' || lower(p_name) FROM part WHERE p_partkey % 3 = 0)

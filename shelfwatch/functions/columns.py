@@ -160,6 +160,22 @@ def merged_metadata(old: Column, new: Column) -> Column:
     return F.to_json(whole)
 
 
+# How items say which data of a merchant account they hold, and what belongs to an identity.
+DATA_KIND, IDENTITY_KIND, ISSUES_KIND = "merchantDataKind", "product_identity", "item_issues"
+IDENTITY_FIELDS = ("merchantProductIdentityVersion", "merchantItemIssuesConfigurationHash")
+
+
+def merged_item_metadata(old: Column, new: Column, keep_identity: Column) -> Column:
+    """merged_metadata, but where keep_identity and issues come to an item of an identity scan, the item stays one: its kind and IDENTITY_FIELDS are the old ones, or go if the old object lacks them."""
+    merged = merged_metadata(old, new)
+    said = lambda json: F.get_json_object(json, f"$.{DATA_KIND}")
+    kept = F.coalesce(keep_identity & (said(old) == IDENTITY_KIND) & (said(new) == ISSUES_KIND), F.lit(False))
+    own, whole = _object(old), _object(merged)
+    names = F.array(*[F.lit(n) for n in (DATA_KIND, *IDENTITY_FIELDS)])
+    identity = F.map_concat(F.map_filter(whole, lambda k, _: ~F.array_contains(names, k)), F.map_filter(own, lambda k, _: F.array_contains(names, k)))
+    return F.when(kept, F.to_json(identity)).otherwise(merged)
+
+
 def countries(codes: Column) -> Column:
     """Distinct two-letter country codes, upper-cased, 50 at most."""
     return F.slice(F.array_distinct(F.filter(F.transform(codes, lambda c: F.upper(F.trim(c))), lambda c: c.rlike("^[A-Z]{2}$"))), 1, 50)

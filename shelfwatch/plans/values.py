@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.canonical import canonical_json
 from ..operators import baseline, incidents, rules, snapshots, store
 from ..sources import landed
 from .base import query, table
@@ -140,3 +141,17 @@ def incident_details(spark, sf_dir):
     got = incidents.details(some, events, signals, sent)
     shown = F.transform("timeline", lambda e: F.concat_ws(" ", e["event_id"].cast("string"), F.coalesce(F.replace(e["metadata"], F.lit(',"reason":"because"'), F.lit("")), F.lit("-")), F.coalesce(e["reason"], F.lit("-"))))
     return got.select("incident_id", F.array_join(shown, ";").alias("timeline"), F.array_join(F.transform("deliveries", lambda d: F.concat_ws(" ", d["at"].cast("string"), d["error"])), ";").alias("sent"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 2 = 0 AS identity, o_orderkey % 3 = 0 AS issues, o_orderkey % 5 <> 0 AS keep FROM orders)
+SELECT k AS o_orderkey, '{"a":2,"discoveredFrom":["feed","page' || k % 4 || '"],"merchantDataKind":"' || CASE WHEN issues AND NOT (identity AND keep) THEN 'item_issues' WHEN identity THEN 'product_identity' ELSE 'other' END
+       || '"' || CASE WHEN issues AND identity AND keep THEN ',"merchantItemIssuesConfigurationHash":"old"' WHEN issues THEN ',"merchantItemIssuesConfigurationHash":"new"' WHEN identity THEN ',"merchantItemIssuesConfigurationHash":"old"' ELSE '' END
+       || CASE WHEN identity THEN ',"merchantProductIdentityVersion":"v1"' ELSE '' END || ',"old":1,"sourceHashes":{"feed":"x","page":"y"}}' AS metadata FROM o""")
+def metadata_merge(spark, sf_dir):
+    """Metadata of an item merged with what a later scan says: lists and hashes grow, and an item of an identity scan stays one."""
+    o = F.col("o_orderkey")
+    old = F.concat(F.lit('{"old":1,"a":1,"discoveredFrom":["feed"],"sourceHashes":{"feed":"x"},"merchantDataKind":"'), F.when(o % 2 == 0, "product_identity").otherwise("other"), F.lit('"'),
+                   F.when(o % 2 == 0, ',"merchantProductIdentityVersion":"v1","merchantItemIssuesConfigurationHash":"old"').otherwise(""), F.lit("}"))
+    new = F.concat(F.lit('{"a":2,"discoveredFrom":["page'), (o % 4).cast("string"), F.lit('","feed"],"sourceHashes":{"page":"y"}'), F.when(o % 3 == 0, ',"merchantDataKind":"item_issues","merchantItemIssuesConfigurationHash":"new"').otherwise(""), F.lit("}"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", canonical_json(C.merged_item_metadata(old, new, o % 5 != 0)).alias("metadata"))

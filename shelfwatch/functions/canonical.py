@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 #: A string, a sign of structure, or a run of other characters (numbers, true, false, null).
 TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^\s{}\[\],:"]++'
-FRAME = "struct<open:string,key:string,items:array<struct<late:boolean,place:decimal(10,0),name:string collate UNICODE,key:string,text:string>>>"
+ITEMS = "array<struct<late:boolean,place:decimal(10,0),name:string collate UNICODE,key:string,text:string>>"
+FRAME = f"struct<open:string,key:string,items:{ITEMS}>"
 STATE = f"struct<stack:array<{FRAME}>,done:string,bad:boolean>"
 #: JSON's short escapes, the backslash first.
 ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\t", "\\t"), ("\n", "\\n"), ("\f", "\\f"), ("\r", "\\r")]
@@ -20,9 +21,15 @@ ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\t", "\\t"), ("\n", "\
 
 def quoted(text: Column) -> Column:
     """text as a JSON string: the short escapes, \\u00xx in lower case for other control characters, all else as it is."""
+    escaped = text
     for plain, escape in [*ESCAPES, *[(chr(c), f"\\u{c:04x}") for c in range(32) if chr(c) not in "\b\t\n\f\r"]]:
-        text = F.replace(text, F.lit(plain), F.lit(escape))
-    return F.concat(F.lit('"'), text, F.lit('"'))
+        escaped = F.replace(escaped, F.lit(plain), F.lit(escape))
+    return F.concat(F.lit('"'), F.when(text.rlike('[\\x00-\\x1f"\\\\]'), escaped).otherwise(text), F.lit('"'))
+
+
+def _with(value: Column, use) -> Column:
+    """use(value), the value being computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def unquoted(token: Column) -> Column:
@@ -32,41 +39,48 @@ def unquoted(token: Column) -> Column:
 
 def number(text: Column) -> Column:
     """A number as scripts print it: shortest digits, an exponent below 1e-6 and from 1e21 on, no sign of zero. Too large ones become null."""
-    value = text.try_cast("double")
-    shown = F.regexp_extract(F.abs(value).cast("string"), r"^(\d+)\.(\d+)(?:E(-?\d+))?$", 1)
-    part = F.regexp_replace(F.regexp_extract(F.abs(value).cast("string"), r"^(\d+)\.(\d+)(?:E(-?\d+))?$", 2), "0+$", "")
-    power = F.coalesce(F.regexp_extract(F.abs(value).cast("string"), r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-    both = F.concat(shown, part)
-    digits = F.regexp_replace(both, "^0+", "")
-    point = F.length(shown) + power - (F.length(both) - F.length(digits))  # places of digits before the point
-    digits = F.regexp_replace(digits, "0+$", "")
-    n = F.length(digits)
-    exponent = point - 1
-    science = F.concat(F.left(digits, F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""),
-                       F.when(exponent < 0, "e-").otherwise("e+"), F.abs(exponent).cast("string"))
-    plain = (F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-             .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n))).otherwise(F.concat(F.left(digits, point), F.lit("."), F.substring(digits, point + 1, n))))
-    said = F.concat(F.when(value < 0, "-").otherwise(""), F.when((point < -5) | (point > 21), science).otherwise(plain))
-    return F.when(value == 0, "0").when(F.abs(value) == float("inf"), "null").otherwise(said)
+    shape = r"^(\d+)\.(\d+?)0*(?:E(-?\d+))?$"  # of a double's text
+
+    def parts(shown: Column) -> Column:
+        whole, part = F.regexp_extract(shown, shape, 1), F.regexp_extract(shown, shape, 2)
+        return F.struct(whole.alias("whole"), F.when(part == "0", "").otherwise(part).alias("part"), F.coalesce(F.nullif(F.regexp_extract(shown, shape, 3), F.lit("")).cast("int"), F.lit(0)).alias("power"))
+
+    def placed(p: Column) -> Column:
+        """Digits without zeros at the ends, and how many of them stand before the point."""
+        both = F.concat(p["whole"], p["part"])
+        digits = F.regexp_replace(both, "^0+", "")
+        return F.struct(F.regexp_replace(digits, "0+$", "").alias("digits"), (F.length(p["whole"]) + p["power"] - (F.length(both) - F.length(digits))).alias("point"))
+
+    def told(d: Column) -> Column:
+        digits, point, n = d["digits"], d["point"], F.length(d["digits"])
+        science = F.concat(F.left(digits, F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), F.when(point < 1, "e-").otherwise("e+"), F.abs(point - 1).cast("string"))
+        plain = (F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+                 .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n))).otherwise(F.concat(F.left(digits, point), F.lit("."), F.substring(digits, point + 1, n))))
+        return F.when((point < -5) | (point > 21), science).otherwise(plain)
+
+    def spelt(value: Column) -> Column:
+        said = _with(_with(F.abs(value).cast("string"), parts), lambda p: _with(placed(p), told))
+        return F.when(value == 0, "0").when(F.abs(value) == float("inf"), "null").otherwise(F.concat(F.when(value < 0, "-").otherwise(""), said))
+
+    short = text.rlike(r"^-?[1-9]\d{0,14}$")  # spelt so already
+    return F.when(short, text).when(text.isNotNull(), _with(text.try_cast("double"), spelt))
 
 
 def _folded(json: Column, ordered: bool, hidden: str | None = None) -> Column:
     """json written anew: members ordered or as they come, those whose key matches hidden left out at any depth."""
-    empty_items = F.array().cast("array<struct<late:boolean,place:decimal(10,0),name:string collate UNICODE,key:string,text:string>>")
+    # no casts below: one of a whole state would copy all that is open at each token
+    empty_items = F.array().cast(ITEMS)
     start = F.struct(F.array().cast(f"array<{FRAME}>").alias("stack"), F.lit(None).cast("string").alias("done"), F.lit(False).alias("bad")).cast(STATE)
 
     def state(stack: Column, done: Column, bad: Column) -> Column:
-        return F.struct(stack.alias("stack"), done.alias("done"), bad.alias("bad")).cast(STATE)
+        return F.struct(stack.alias("stack"), done.alias("done"), bad.alias("bad"))
 
     def frame(open_: Column, key: Column, items: Column) -> Column:
-        return F.struct(open_.alias("open"), key.alias("key"), items.alias("items")).cast(FRAME)
+        return F.struct(open_.alias("open"), key.alias("key"), items.alias("items"))
 
     def below(s: Column) -> Column:
         return F.slice(s["stack"], F.lit(1), F.size(s["stack"]) - 1)
 
-    def top(s: Column) -> Column:
-        return F.element_at(s["stack"], -1)
-
     def member(key: Column, text: Column) -> Column:
         whole = key.rlike(r"^(0|[1-9]\d{0,9})$") & (key.try_cast("decimal(10,0)") < 4294967295)
         place = F.when(whole, key.try_cast("decimal(10,0)"))
@@ -74,16 +88,16 @@ def _folded(json: Column, ordered: bool, hidden: str | None = None) -> Column:
 
     def put(stack: Column, done: Column, bad: Column, text: Column) -> Column:
         """The state after a whole value: the result, an array's item or the value of an object's key."""
-        last = F.element_at(stack, -1)
-        lacks_key = (last["open"] == "{") & last["key"].isNull()
-        kept = F.when(last["open"] == "{", F.filter(last["items"], lambda m: m["key"] != last["key"])).otherwise(last["items"])
-        added = F.concat(kept, F.array(member(last["key"], text)).cast(empty_type))
-        if hidden is not None:
-            added = F.when(F.coalesce(last["key"].rlike(hidden), F.lit(False)), kept).otherwise(added)
-        grown = F.concat(F.slice(stack, F.lit(1), F.size(stack) - 1), F.array(frame(last["open"], F.lit(None).cast("string"), added)))
-        return F.when(F.size(stack) == 0, state(stack, text, bad | done.isNotNull())).otherwise(state(grown, done, bad | lacks_key))
+        def into(last: Column) -> Column:
+            lacks_key = (last["open"] == "{") & last["key"].isNull()
+            kept = F.when(last["open"] == "{", F.filter(last["items"], lambda m: m["key"] != last["key"])).otherwise(last["items"])
+            added = F.concat(kept, F.array(member(last["key"], text)))
+            if hidden is not None:
+                added = F.when(F.coalesce(last["key"].rlike(hidden), F.lit(False)), kept).otherwise(added)
+            grown = F.concat(F.slice(stack, F.lit(1), F.size(stack) - 1), F.array(frame(last["open"], F.lit(None).cast("string"), added)))
+            return state(grown, done, bad | lacks_key)
 
-    empty_type = "array<struct<late:boolean,place:decimal(10,0),name:string collate UNICODE,key:string,text:string>>"
+        return F.when(F.size(stack) == 0, state(stack, text, bad | done.isNotNull())).otherwise(_with(F.element_at(stack, -1), into))
 
     def closed(f: Column) -> Column:
         members = F.transform(F.array_sort(f["items"]) if ordered else f["items"], lambda m: F.concat(quoted(m["key"]), F.lit(":"), m["text"]))
@@ -92,19 +106,27 @@ def _folded(json: Column, ordered: bool, hidden: str | None = None) -> Column:
 
     def step(s: Column, token: Column) -> Column:
         is_text = F.startswith(token, F.lit('"'))
-        opens, closes = token.isin("{", "["), token.isin("}", "]")
-        names = is_text & (F.size(s["stack"]) > 0) & (top(s)["open"] == "{") & top(s)["key"].isNull()
-        named = F.concat(below(s), F.array(frame(top(s)["open"], unquoted(token), top(s)["items"])))
-        matches = F.coalesce((top(s)["open"] == F.when(token == "}", "{").otherwise("[")) & top(s)["key"].isNull(), F.lit(False))
-        scalar = F.when(is_text, quoted(unquoted(token))).when(token.isin("true", "false", "null"), token).otherwise(number(token))
-        known = is_text | token.isin("true", "false", "null") | token.rlike(r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$")
-        return (F.when(token.isin(",", ":"), s).when(opens, state(F.concat(s["stack"], F.array(frame(token, F.lit(None).cast("string"), empty_items))), s["done"], s["bad"]))
-                .when(names, state(named, s["done"], s["bad"])).when(closes & ~matches, state(s["stack"], s["done"], F.lit(True)))
-                .when(closes, put(below(s), s["done"], s["bad"], closed(top(s)))).otherwise(put(s["stack"], s["done"], s["bad"] | ~known, scalar)))
+        word = token.isin("true", "false", "null")
+
+        def scalar(_: Column) -> Column:
+            known = is_text | word | token.rlike(r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$")
+            said = F.when(is_text, quoted(unquoted(token))).when(word, token).otherwise(number(token))
+            return _with(said, lambda text: put(s["stack"], s["done"], s["bad"] | ~known, text))
+
+        def at_text(last: Column) -> Column:
+            names = (last["open"] == "{") & last["key"].isNull()
+            named = F.concat(below(s), F.array(frame(last["open"], unquoted(token), last["items"])))
+            return F.when(F.coalesce(names, F.lit(False)), state(named, s["done"], s["bad"])).otherwise(scalar(token))
+
+        def at_close(last: Column) -> Column:
+            matches = F.coalesce((last["open"] == F.when(token == "}", "{").otherwise("[")) & last["key"].isNull(), F.lit(False))
+            return F.when(matches, _with(F.struct(below(s).alias("stack"), closed(last).alias("text")), lambda b: put(b["stack"], s["done"], s["bad"], b["text"]))).otherwise(state(s["stack"], s["done"], F.lit(True)))
+
+        return (F.when(token.isin(",", ":"), s).when(token.isin("{", "["), state(F.concat(s["stack"], F.array(frame(token, F.lit(None).cast("string"), empty_items))), s["done"], s["bad"]))
+                .when(token.isin("}", "]"), _with(F.try_element_at(s["stack"], F.lit(-1)), at_close)).when(is_text, _with(F.try_element_at(s["stack"], F.lit(-1)), at_text)).otherwise(scalar(token)))
 
     tokens = F.regexp_extract_all(json, F.lit(TOKEN), F.lit(0))
-    end = F.aggregate(tokens, start, step)
-    return F.when((F.size(end["stack"]) == 0) & ~end["bad"], end["done"])
+    return _with(F.aggregate(tokens, start, step), lambda end: F.when((F.size(end["stack"]) == 0) & ~end["bad"], end["done"]))
 
 
 def canonical_json(json: Column) -> Column:

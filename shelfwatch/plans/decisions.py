@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import canonical_hash, canonical_json
+from ..functions.canonical import canonical_json
 from ..operators import candidates, identity, messages, recovery, rules, settings, snapshots, store
 from ..sources import product_page
 from .base import query, table
@@ -64,7 +64,8 @@ def canonical_config(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     meta = F.struct(F.struct(F.lit('a "quote"').alias("says"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("at")).alias("10"), F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("2"))
     text = F.to_json(F.struct(F.col("o_totalprice").alias("total"), meta.alias("Meta"), F.coalesce("lines", F.array()).alias("lines")), {"pretty": "true"})
-    return rows.select("o_orderkey", F.length(canonical_json(text)).cast("long").alias("size"), canonical_hash(text).alias("config_hash"))
+    told = rows.select("o_orderkey", canonical_json(text).alias("j"))
+    return told.select("o_orderkey", F.length("j").cast("long").alias("size"), F.sha2(F.col("j").cast("binary"), 256).alias("config_hash"))
 
 
 #: Fields of a store's alert preferences, and the updates that events stand for.
@@ -185,14 +186,14 @@ def driven_recovery(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT o_orderkey AS id, o_custkey % 3 AS key, o_orderdate AS a, o_orderdate + INTERVAL 1 SECOND * CAST(pow(4, o_orderkey % 14) AS BIGINT) AS b FROM orders),
-e AS (SELECT l_orderkey AS id, min(l_suppkey) % 3 AS key, min(l_shipdate) AS t FROM lineitem GROUP BY 1)
+WITH w AS (SELECT o_orderkey AS id, o_custkey % 97 AS key, o_orderdate AS a, o_orderdate + INTERVAL 1 SECOND * CAST(pow(4, o_orderkey % 14) AS BIGINT) AS b FROM orders),
+e AS (SELECT l_orderkey AS id, min(l_suppkey) % 97 AS key, min(l_shipdate) AS t FROM lineitem GROUP BY 1)
 SELECT e.id, max_by(w.id, (w.a, w.id)) AS window_id FROM e LEFT JOIN w ON w.key = e.key AND w.a <= e.t AND w.b > e.t GROUP BY 1""")
 def long_windows(spark, sf_dir):
-    """Windows of seconds to years on three hot keys, by bins of time: orders as windows, orders' first shipments as events; the latest start wins."""
-    w = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("window_id"), (F.col("o_custkey") % 3).alias("key"), F.col("o_orderdate").alias("starts_at"),
+    """Windows of seconds to years by bins of time: orders as windows, orders' first shipments as events; the latest start wins."""
+    w = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("window_id"), (F.col("o_custkey") % 97).alias("key"), F.col("o_orderdate").alias("starts_at"),
                                               (F.col("o_orderdate") + F.expr("make_dt_interval(0, 0, 0, pow(4, o_orderkey % 14))")).alias("ends_at"), F.lit(None).cast("timestamp").alias("cancelled_at"))
-    e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg((F.min("l_suppkey") % 3).alias("key"), F.min("l_shipdate").alias("t"))
+    e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg((F.min("l_suppkey") % 97).alias("key"), F.min("l_shipdate").alias("t"))
     return store.active_window(e, w, "t", ["key"], ["id"]).select("id", "window_id")
 
 

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\s ﻿\p{Z}]"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), the value being computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapsed(text: Column) -> Column:
     """Trimmed, with each run of white space as one space; null stays null."""
     return F.regexp_replace(F.regexp_replace(text, f"{SPACE}+", " "), "^ | $", "")
@@ -136,8 +141,8 @@ def fingerprint(store: Column, kind: Column, *scope: Column) -> Column:
 
 
 def _over(old: Column, new: Column) -> Column:
-    """The entries of two maps, the new ones winning."""
-    return F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
+    """The entries of two maps, the new ones winning; both are named twice, so give values already computed."""
+    return once(F.map_keys(new), lambda names: F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(names, k)), new))
 
 
 def _object(json: Column) -> Column:
@@ -145,19 +150,29 @@ def _object(json: Column) -> Column:
     return F.coalesce(F.when(json.rlike(r"^\s*\{"), F.from_json(json, "map<string,variant>")), F.from_json(F.lit("{}"), "map<string,variant>"))
 
 
+def _merged_maps(old: Column, new: Column) -> Column:
+    """What merged_metadata says, of maps and as a map."""
+    field = lambda m, name: F.to_json(F.element_at(m, name))
+    texts = lambda json: F.coalesce(F.when(json.rlike(r"^\["), F.transform(F.from_json(json, "array<variant>"), lambda v: F.to_json(v))), F.array().cast("array<string>"))
+    fits = lambda a, b, shape: F.coalesce(a.rlike(shape), F.lit(False)) | F.coalesce(b.rlike(shape), F.lit(False))
+    none = F.from_json(F.lit("{}"), "map<string,variant>")
+
+    def grown(m: Column) -> Column:
+        found = F.concat(F.lit("["), F.array_join(F.array_distinct(F.concat(texts(m["fa"]), texts(m["fb"]))), ","), F.lit("]"))
+        hashes = once(F.struct(_object(m["ha"]).alias("a"), _object(m["hb"]).alias("b")), lambda h: F.to_json(_over(h["a"], h["b"])))
+        more = [F.when(fits(m[f"{c}a"], m[f"{c}b"], shape), F.create_map(F.lit(name), F.parse_json(json))).otherwise(none)
+                for c, name, shape, json in (("f", "discoveredFrom", r"^\[", found), ("h", "sourceHashes", r"^\{", hashes))]
+        return once(F.map_concat(*more), lambda added: once(_over(m["a"], m["b"]), lambda whole: _over(whole, added)))
+
+    both = F.struct(old.alias("a"), new.alias("b"))
+    fields = [(f"{c}{side}", side, name) for c, name in (("f", "discoveredFrom"), ("h", "sourceHashes")) for side in "ab"]
+    return once(both, lambda m: once(F.struct(m["a"].alias("a"), m["b"].alias("b"), *[field(m[side], name).alias(n) for n, side, name in fields]), grown))
+
+
 def merged_metadata(old: Column, new: Column) -> Column:
     """JSON text of two JSON objects merged, the new fields winning; but the elements of both discoveredFrom arrays stay, each
     once by its JSON text, and so do the fields of both sourceHashes objects. Null and what is no object count as empty."""
-    a, b = _object(old), _object(new)
-    field = lambda m, name: F.to_json(F.element_at(m, name))
-    texts = lambda json: F.coalesce(F.when(json.rlike(r"^\["), F.transform(F.from_json(json, "array<variant>"), lambda v: F.to_json(v))), F.array().cast("array<string>"))
-    all_of = lambda name, shape: F.coalesce(field(a, name).rlike(shape), F.lit(False)) | F.coalesce(field(b, name).rlike(shape), F.lit(False))
-    found = F.concat(F.lit("["), F.array_join(F.array_distinct(F.concat(texts(field(a, "discoveredFrom")), texts(field(b, "discoveredFrom")))), ","), F.lit("]"))
-    hashes = F.to_json(_over(_object(field(a, "sourceHashes")), _object(field(b, "sourceHashes"))))
-    whole = _over(a, b)
-    for name, shape, json in (("discoveredFrom", r"^\[", found), ("sourceHashes", r"^\{", hashes)):
-        whole = F.when(all_of(name, shape), _over(whole, F.create_map(F.lit(name), F.parse_json(json)))).otherwise(whole)
-    return F.to_json(whole)
+    return F.to_json(_merged_maps(_object(old), _object(new)))
 
 
 # How items say which data of a merchant account they hold, and what belongs to an identity.
@@ -167,13 +182,15 @@ IDENTITY_FIELDS = ("merchantProductIdentityVersion", "merchantItemIssuesConfigur
 
 def merged_item_metadata(old: Column, new: Column, keep_identity: Column) -> Column:
     """merged_metadata, but where keep_identity and issues come to an item of an identity scan, the item stays one: its kind and IDENTITY_FIELDS are the old ones, or go if the old object lacks them."""
-    merged = merged_metadata(old, new)
     said = lambda json: F.get_json_object(json, f"$.{DATA_KIND}")
     kept = F.coalesce(keep_identity & (said(old) == IDENTITY_KIND) & (said(new) == ISSUES_KIND), F.lit(False))
-    own, whole = _object(old), _object(merged)
     names = F.array(*[F.lit(n) for n in (DATA_KIND, *IDENTITY_FIELDS)])
-    identity = F.map_concat(F.map_filter(whole, lambda k, _: ~F.array_contains(names, k)), F.map_filter(own, lambda k, _: F.array_contains(names, k)))
-    return F.when(kept, F.to_json(identity)).otherwise(merged)
+
+    def told(m: Column) -> Column:
+        identity = lambda whole: F.map_concat(F.map_filter(whole, lambda k, _: ~F.array_contains(names, k)), F.map_filter(m["a"], lambda k, _: F.array_contains(names, k)))
+        return once(_merged_maps(m["a"], m["b"]), lambda whole: F.to_json(F.when(m["kept"], identity(whole)).otherwise(whole)))
+
+    return once(F.struct(_object(old).alias("a"), _object(new).alias("b"), kept.alias("kept")), told)
 
 
 def countries(codes: Column) -> Column:

@@ -154,4 +154,5 @@ def metadata_merge(spark, sf_dir):
     old = F.concat(F.lit('{"old":1,"a":1,"discoveredFrom":["feed"],"sourceHashes":{"feed":"x"},"merchantDataKind":"'), F.when(o % 2 == 0, "product_identity").otherwise("other"), F.lit('"'),
                    F.when(o % 2 == 0, ',"merchantProductIdentityVersion":"v1","merchantItemIssuesConfigurationHash":"old"').otherwise(""), F.lit("}"))
     new = F.concat(F.lit('{"a":2,"discoveredFrom":["page'), (o % 4).cast("string"), F.lit('","feed"],"sourceHashes":{"page":"y"}'), F.when(o % 3 == 0, ',"merchantDataKind":"item_issues","merchantItemIssuesConfigurationHash":"new"').otherwise(""), F.lit("}"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", canonical_json(C.merged_item_metadata(old, new, o % 5 != 0)).alias("metadata"))
+    merged = table(spark, sf_dir, "orders").select("o_orderkey", C.merged_item_metadata(old, new, o % 5 != 0).alias("merged"))
+    return merged.select("o_orderkey", canonical_json(F.col("merged")).alias("metadata"))

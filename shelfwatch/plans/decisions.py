@@ -64,7 +64,7 @@ def canonical_config(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     meta = F.struct(F.struct(F.lit('a "quote"').alias("says"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("at")).alias("10"), F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("2"))
     text = F.to_json(F.struct(F.col("o_totalprice").alias("total"), meta.alias("Meta"), F.coalesce("lines", F.array()).alias("lines")), {"pretty": "true"})
-    told = rows.select("o_orderkey", canonical_json(text).alias("j"))
+    told = rows.select("o_orderkey", text.alias("text")).select("o_orderkey", canonical_json(F.col("text")).alias("j"))
     return told.select("o_orderkey", F.length("j").cast("long").alias("size"), F.sha2(F.col("j").cast("binary"), 256).alias("config_hash"))
 
 

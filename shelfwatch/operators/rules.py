@@ -65,20 +65,21 @@ def price_signals(rows: DataFrame, keys: list[str]) -> DataFrame:
     thresholds.
     """
     own = {n: F.coalesce(F.col(n), F.lit(v)) if n in rows.columns else F.lit(v) for n, v in PRICE_THRESHOLDS.items()}
-    a, b = price_number(F.col("feed_price")), price_number(F.col("shop_price"))
+    # read once, as columns: the conditions below name each several times
+    rows = rows.withColumns({"__a": price_number(F.col("feed_price")), "__b": price_number(F.col("shop_price")), "__x": availability(F.col("feed_availability")), "__y": availability(F.col("shop_availability"))})
+    a, b, x, y = (F.col(f"__{n}") for n in "abxy")
     one = (F.col("feed_currency") != "") & (F.upper("feed_currency") == F.upper("shop_currency"))
     diff = F.abs(a - b)
-    x, y = availability(F.col("feed_availability")), availability(F.col("shop_availability"))
     far = (diff >= own["price_absolute"]) & (diff / F.greatest(F.abs(a), F.abs(b), F.lit(1.0)) >= own["price_relative"])
     no = F.lit(False)
     text = lambda c: F.coalesce(f"shop_{c}", f"feed_{c}", F.lit(""))
     flagged = rows.select(*keys, *[v.alias(f"t_{n}") for n, v in own.items()], F.coalesce(one & far, no).alias("p"), F.coalesce((x != "unknown") & (y != "unknown") & (x != y), no).alias("v"),
                           F.concat(text("url"), F.lit(":"), text("title")).alias("named"))
     groups = [*keys, *[f"t_{n}" for n in own]]
-    # distinct names by which of the two signals they are in, so that no name is kept for whole groups
-    names = flagged.where("p or v").groupBy(*groups, "named").agg(F.bool_or("p").alias("p"), F.bool_or("v").alias("v")).groupBy(*groups).agg(
-        F.count_if("p").alias("p_names"), F.count_if("v").alias("v_names"), F.count("*").alias("names"))
-    out = flagged.groupBy(*groups).agg(F.count("*").alias("compared"), F.count_if("p").alias("price_bad"), F.count_if("v").alias("availability_bad")).join(names, groups, "left")
+    # one pass: rows by name first, names that no signal holds as one, so that no name is kept for whole groups
+    names = flagged.withColumn("named", F.when(F.col("p") | F.col("v"), F.col("named"))).groupBy(*groups, "named").agg(F.count("*").alias("n"), F.count_if("p").alias("p"), F.count_if("v").alias("v"))
+    out = names.groupBy(*groups).agg(F.sum("n").alias("compared"), F.sum("p").alias("price_bad"), F.sum("v").alias("availability_bad"),
+                                     F.count_if(F.col("p") > 0).alias("p_names"), F.count_if(F.col("v") > 0).alias("v_names"), F.count("named").alias("names"))
     least, ratio = F.col("t_minimum_affected_count"), F.col("t_minimum_affected_ratio")
     p, v = ((F.col(n) >= least) & (F.col(n) / F.col("compared") >= ratio) for n in ("price_bad", "availability_bad"))
     total = F.coalesce(F.when(p & v, F.col("names")).when(p, F.col("p_names")).when(v, F.col("v_names")), F.lit(0))

@@ -218,7 +218,7 @@ def chat_messages(spark, sf_dir):
     name = F.concat(F.lower("l_returnflag"), F.lit("_size"), F.repeat(F.lit("x"), (F.col("l_partkey") % 40 * 25).cast("int")))
     metric = F.struct(name.alias("name"), F.when(F.col("l_suppkey") % 3 != 0, F.col("l_suppkey").cast("string")).alias("beforeValue"), F.col("l_partkey").cast("string").alias("afterValue"), F.when(n % 2 == 0, "a&b").alias("unit"))
     sample = F.struct(F.concat(F.lit("Title "), F.col("l_partkey").cast("string")).alias("title"), F.lit("o").alias("offerId"), F.when(n % 2 == 1, F.concat(F.lit("https://a.example/"), F.col("l_suppkey").cast("string"))).alias("url"))
-    per = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(n, "l_partkey", "l_suppkey", metric.alias("m"), sample.alias("s")))).alias("x"))
+    per = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(n, "l_partkey", "l_suppkey", metric.alias("m"), sample.alias("s")))).alias("x"))
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(per, F.col("l_orderkey") == o, "left")
     kind = F.when(o % 3 == 0, "source_health").when(o % 3 == 1, "catalog_drop").otherwise("seo_regression")
     incident = F.struct(kind.alias("type"), F.concat(F.lit("T"), "o_orderpriority").alias("title"), F.concat(F.lit("S"), "o_orderstatus").alias("summary"), F.col("o_custkey").alias("affectedCount"), F.lit("feed").alias("likelySource"),
@@ -331,7 +331,7 @@ def issue_codes(spark, sf_dir):
     """The ten most frequent issue codes of each scan (a top-k report): suppliers as scans, lines as issues of their parts."""
     li = table(spark, sf_dir, "lineitem")
     code = F.when(F.col("l_quantity") < 26, F.concat("l_returnflag", "l_linestatus")).otherwise(F.concat(F.lit("q"), F.col("l_quantity").cast("long").cast("string")))
-    products = li.groupBy(F.col("l_suppkey").alias("snapshot_id"), F.col("l_partkey").alias("product")).agg(F.collect_list(F.when(F.col("l_linenumber") != 2, F.struct(code.alias("code")))).alias("issues"))
+    products = li.select(F.col("l_suppkey").alias("snapshot_id"), F.col("l_partkey").alias("product"), F.when(F.col("l_linenumber") != 2, F.array(F.struct(code.alias("code")))).alias("issues"))
     got = rules.issue_codes(products)
     return got.select("snapshot_id", F.col("rank").cast("long").alias("rank"), "code", "issues", "products")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import escaped_html, shortened
+from ..functions.columns import escaped_html, once, shortened
 
 CHANNELS = ("email", "telegram")
 
@@ -45,8 +45,7 @@ def metric_unit(metric: Column) -> Column:
 
 def _elements(json: Column) -> Column:
     """The elements of a JSON array as variants; none if the text is null or something else."""
-    v = F.try_parse_json(json)
-    return F.coalesce(F.when(F.schema_of_variant(v).startswith("ARRAY"), v.try_cast("array<variant>")), F.array().cast("array<variant>"))
+    return F.coalesce(F.try_parse_json(json).try_cast("array<variant>"), F.array().cast("array<variant>"))
 
 
 def _said(v: Column, *names: str) -> Column:
@@ -61,7 +60,7 @@ def evidence_texts(json: Column, message: Column) -> Column:
     text = lambda v: F.when(kind(v) == "STRING", F.nullif(F.trim(F.try_variant_get(v, "$", "string")), F.lit(""))).when(
         kind(v).startswith("OBJECT"), F.coalesce(_said(v, "reason", "message", "description", "status"), F.nullif(F.to_json(v), F.lit("{}"))))
     found = F.slice(F.filter(F.transform(_elements(json), text), lambda t: t.isNotNull()), 1, MOST_EVIDENCE)
-    return F.when(F.size(found) > 0, found).when(F.trim(message) != "", F.array(F.trim(message))).otherwise(F.array().cast("array<string>"))
+    return once(found, lambda some: F.when(F.size(some) > 0, some).when(F.trim(message) != "", F.array(F.trim(message))).otherwise(F.array().cast("array<string>")))
 
 
 def sample_items(json: Column) -> Column:
@@ -80,7 +79,7 @@ def payloads(events: DataFrame, signals: DataFrame) -> DataFrame:
     """
     each = F.struct("position", "metric", F.struct(F.col("metric").alias("name"), F.col("before_value").alias("beforeValue"), F.col("after_value").alias("afterValue"), metric_unit(F.col("metric")).alias("unit")).alias("m"),
                     F.slice(sample_items(F.col("sample_items_json")), 1, MOST_SAMPLES).alias("s"))
-    per = signals.select("incident_id", each.alias("x")).groupBy("incident_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    per = signals.select("incident_id", each.alias("x")).groupBy("incident_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
     per = per.select("incident_id", F.transform("x", lambda x: x["m"]).alias("metrics"), F.slice(F.flatten(F.transform("x", lambda x: x["s"])), 1, MOST_SAMPLES).alias("samples"))
     rows = events.join(per, "incident_id", "left")
     metric_type = per.schema["metrics"].dataType

@@ -48,25 +48,32 @@ def _elements(json: Column) -> Column:
     return F.coalesce(F.try_parse_json(json).try_cast("array<variant>"), F.array().cast("array<variant>"))
 
 
-def _said(v: Column, *names: str) -> Column:
-    """The first of an object's members that is a text with something in it."""
-    member = lambda n: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant")) == "STRING", F.nullif(F.trim(F.try_variant_get(v, f"$.{n}", "string")), F.lit("")))
+def _said(members: Column, *names: str) -> Column:
+    """The first of an object's members (a map of variants) that is a text with something in it."""
+    x = lambda n: F.element_at(members, n)
+    member = lambda n: F.when(F.schema_of_variant(x(n)) == "STRING", F.nullif(F.trim(x(n).try_cast("string")), F.lit("")))
     return F.coalesce(*[member(n) for n in names])
 
 
+def _members(v: Column, use) -> Column:
+    """use(the object's members as a map of variants, null for what is no object), the map being made once."""
+    return once(v.try_cast("map<string,variant>"), use)
+
+
 def evidence_texts(json: Column, message: Column) -> Column:
     """Ten texts at most: strings, and what objects say by reason, message, description or status, else their JSON; if there are none, message."""
     kind = F.schema_of_variant
     text = lambda v: F.when(kind(v) == "STRING", F.nullif(F.trim(F.try_variant_get(v, "$", "string")), F.lit(""))).when(
-        kind(v).startswith("OBJECT"), F.coalesce(_said(v, "reason", "message", "description", "status"), F.nullif(F.to_json(v), F.lit("{}"))))
+        kind(v).startswith("OBJECT"), F.coalesce(_members(v, lambda m: _said(m, "reason", "message", "description", "status")), F.nullif(F.to_json(v), F.lit("{}"))))
     found = F.slice(F.filter(F.transform(_elements(json), text), lambda t: t.isNotNull()), 1, MOST_EVIDENCE)
     return once(found, lambda some: F.when(F.size(some) > 0, some).when(F.trim(message) != "", F.array(F.trim(message))).otherwise(F.array().cast("array<string>")))
 
 
 def sample_items(json: Column) -> Column:
     """The objects of a JSON array as structs of stableKey, offerId, url and title, those that have one of them."""
-    item = lambda v: F.struct(_said(v, "stableKey", "stable_key").alias("stableKey"), _said(v, "offerId", "offer_id").alias("offerId"), _said(v, "url").alias("url"), _said(v, "title").alias("title"))
-    return F.filter(F.transform(_elements(json), item), lambda i: F.coalesce(i["stableKey"], i["offerId"], i["url"], i["title"]).isNotNull())
+    item = lambda m: F.struct(_said(m, "stableKey", "stable_key").alias("stableKey"), _said(m, "offerId", "offer_id").alias("offerId"), _said(m, "url").alias("url"), _said(m, "title").alias("title"))
+    objects = F.filter(F.transform(_elements(json), lambda v: v.try_cast("map<string,variant>")), lambda m: m.isNotNull())
+    return F.filter(F.transform(objects, item), lambda i: F.coalesce(i["stableKey"], i["offerId"], i["url"], i["title"]).isNotNull())
 
 
 def payloads(events: DataFrame, signals: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeline import bins
+from .timeline import latest_window
 
 
 def merge_latest(versions: DataFrame, keys: list[str], seq: str, coalesce: list[str] = ()) -> DataFrame:
@@ -89,15 +89,9 @@ def replaced_inventory(items: DataFrame, incoming: DataFrame, scans: DataFrame)
 
 
 def active_window(events: DataFrame, windows: DataFrame, at: str, keys: list[str], id_: list[str]) -> DataFrame:
-    """events with the window of their keys that holds at (starts_at <= at < ends_at, not cancelled), the latest start winning; null if none.
+    """events (id_ first) with the window of their keys that holds at (starts_at <= at < ends_at, not cancelled), the latest start winning; null if none.
 
-    The join is on keys and a bin of time (timeline.bins), so neither a hot key nor a long window meets all events.
+    One pass over the times of both (timeline.latest_window): however many windows hold an event, it doesn't meet them one by one.
     """
-    live = windows.where("cancelled_at is null").select(*[F.col(k).alias(f"w_{k}") for k in keys], "window_id", "starts_at", "ends_at")
-    w, e = bins(live, events.select(*id_, *keys, at), keys, "starts_at", "ends_at", at)
-    w = w.withColumnsRenamed({"__level": "w_level", "__bin": "w_bin"})
-    on = (F.col("__level") == F.col("w_level")) & (F.col("__bin") == F.col("w_bin")) & (F.col("starts_at") <= F.col(at)) & (F.col("ends_at") > F.col(at))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"w_{k}"))
-    best = e.join(w, on).groupBy(*id_).agg(F.max_by("window_id", F.struct("starts_at", "window_id")).alias("window_id"))
-    return events.join(best, id_, "left")
+    found = latest_window(events, windows.where("cancelled_at is null"), keys, at, "starts_at", "ends_at", "window_id")
+    return found.select(*id_, *[c for c in events.columns if c not in id_], "window_id")

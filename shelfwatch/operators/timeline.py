@@ -8,8 +8,11 @@ share only by rows of one key and one instant.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,15 +20,28 @@ from pyspark.sql import types as T
 RANGES = 32
 
 
-def range_of(rows: DataFrame, at: str, ranges: int = RANGES) -> Column:
-    """The number of the range that a row's time lies in, from 0; times are numbers, dates or timestamps. Null times are in range 0."""
+def cuts(rows: DataFrame, at: str, ranges: int = RANGES) -> list[Column]:
+    """The times, in order, at which a next range begins; times are numbers, dates or timestamps."""
     kind = rows.schema[at].dataType
     shares = [k / ranges for k in range(1, ranges)]
     if not shares:
-        return F.lit(0)
+        return []
     bounds = rows.agg(F.percentile_approx(at, shares, 1000).cast("array<string>")).first()[0]  # ranges - 1 texts
-    edges = [F.lit(b).cast(kind) for b in sorted(set(bounds or []))]
-    return sum((F.when(F.col(at) >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    return [F.lit(b).cast(kind) for b in dict.fromkeys(bounds or [])]  # they come in order
+
+
+def place(time: Column, edges: list[Column]) -> Column:
+    """The number of the range that a time lies in, from 0. Null times are in range 0."""
+    def among(low: int, high: int) -> Column:
+        middle = (low + high + 1) // 2
+        return F.lit(low) if low == high else F.when(time >= edges[middle - 1], among(middle, high)).otherwise(among(low, middle - 1))
+
+    return among(0, len(edges))
+
+
+def range_of(rows: DataFrame, at: str, ranges: int = RANGES) -> Column:
+    """The number of the range that a row's time lies in, of ranges with about as many rows each."""
+    return place(F.col(at), cuts(rows, at, ranges))
 
 
 def running(rows: DataFrame, keys: list[str], at: str, ties: list[str] = (), last: dict[str, str] | None = None, before: dict[str, str] | None = None,
@@ -70,29 +86,65 @@ def as_of(rows: DataFrame, versions: DataFrame, key: str, at: str, valid_from: s
     return both.select("__row.*", *[F.col(f"__in_force.{c}").alias(c) for c in values])
 
 
-def _seconds(rows: DataFrame, column: str) -> Column:
-    """A time column as seconds that grow with it; of times without a zone, as their clock shows them."""
-    kind, c = rows.schema[column].dataType, F.col(column)
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(c) / 1e6
-    if isinstance(kind, T.TimestampNTZType):
-        return F.unix_date(F.to_date(c)) * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.date_part(F.lit("SECOND"), c).cast("double")
-    return F.unix_date(c) * 86400.0 if isinstance(kind, T.DateType) else c.cast("double")
+def _values(column: pa.Array) -> list:
+    """A column's values in Python; timestamps as microseconds."""
+    column = column.cast(pa.int64()) if pa.types.is_timestamp(column.type) else column
+    return column.to_numpy().tolist() if pa.types.is_integer(column.type) and not column.null_count else column.to_pylist()
 
 
-def bins(windows: DataFrame, points: DataFrame, keys: list[str], starts: str, ends: str, at: str, least: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """windows with (__level, __bin) and points with the same, so that a point shares exactly one pair with each window that can hold it.
+def _topmost(keys: int, columns: list[str]):
+    """A function of batches in order of __k*, __bin, __t, __kind and __window: points with the latest window that still holds them.
 
-    A bin of level n is least * 2**n seconds wide.  A window's level is the first whose bins are no shorter than the
-    window, so it lies in two bins at most, however long it is; a point has a row for each level that some window has
-    (64 at most: as many as a long has powers of two).
+    Windows lie on a stack, those that began last on top. One that has ended, or that ends before a later one does, is
+    never seen again, so it leaves: each window comes and goes once, and what stays has ends that fall towards the top.
+    A point's __until is its time.
+    """
+    groups = [*[f"__k{k}" for k in range(keys)], "__bin"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ends, open_ = None, [], []
+        for batch in batches:
+            found = []
+            come = iter(batch.filter(pc.equal(batch["__kind"], 0))["__window"].to_pylist())
+            for own, is_point, until in zip(zip(*[_values(batch[c]) for c in groups], strict=True), _values(batch["__kind"]), _values(batch["__until"]), strict=True):
+                if own != group:
+                    group, ends, open_ = own, [], []
+                while ends and ends[-1] <= until:
+                    ends.pop()
+                    open_.pop()
+                if is_point:
+                    found.append(open_[-1] if open_ else None)
+                else:
+                    ends.append(until)
+                    open_.append(next(come))
+            points = batch.filter(pc.equal(batch["__kind"], 1))
+            yield pa.RecordBatch.from_arrays([*[points[c] for c in columns], pa.array(found, batch["__window"].type)], names=[*columns, "window_id"])
+
+    return run
+
+
+def latest_window(points: DataFrame, windows: DataFrame, keys: list[str], at: str, starts: str, ends: str, window: str, ranges: int = RANGES) -> DataFrame:
+    """points with window_id: of their keys' windows with starts <= at < ends the one that starts last (of these the largest), null if none.
+
+    No pairs are made: a pass over the sorted times of windows and points keeps the windows that can still be seen. A key's
+    time is cut into ranges; a window goes to the range where it starts and to that where it ends. Of the windows that
+    cover a range whole only the latest can be seen in it, so each key and range has one row for them.
     """
-    begin, end, when = (_seconds(df, c) / least for df, c in ((windows, starts), (windows, ends), (points, at)))
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(end - begin, F.lit(1.0))))).cast("int")
-    placed = windows.where(F.col(ends) > F.col(starts)).withColumn("__level", level)
-    width = F.pow(F.lit(2.0), F.col("__level"))
-    first, final = (F.floor(c / width).cast("long") for c in (begin, end))
-    placed = placed.withColumn("__bin", F.explode(F.sequence(first, final)))
-    levels = [r[0] for r in placed.select("__level").distinct().collect()]  # 64 numbers at most
-    spread = points.withColumn("__level", F.explode(F.lit(levels).cast("array<int>"))).withColumn("__bin", F.floor(when / F.pow(F.lit(2.0), F.col("__level"))).cast("long"))
-    return placed, spread
+    live = windows.where(F.col(ends) > F.col(starts)).dropna(subset=keys)
+    both = live.select(F.coalesce(starts, ends).alias("__t")).unionByName(points.select(F.col(at).alias("__t")))  # of the type in which they compare
+    kind = both.schema["__t"].dataType
+    edges = cuts(live.select(F.col(starts).cast(kind).alias("__t")).unionByName(points.select(F.col(at).cast(kind).alias("__t"))), "__t", ranges)
+    own = [f"__k{k}" for k in range(len(keys))]
+    w = live.select(*[F.col(c).alias(k) for c, k in zip(keys, own, strict=True)], F.col(starts).cast(kind).alias("__t"), F.col(window).alias("__window"), F.col(ends).cast(kind).alias("__until"))
+    w = w.withColumns({"__first": place(F.col("__t"), edges), "__final": place(F.col("__until"), edges)})
+    parts = w.withColumn("w_bin", F.explode(F.array_distinct(F.array("__first", "__final")))).drop("__first", "__final")
+    if len(edges) > 1:
+        over = w.where("__final - __first > 1").groupBy(*own, "__first", "__final").agg(F.max(F.struct("__t", "__window", "__until")).alias("__w"))
+        over = over.withColumn("w_bin", F.explode(F.sequence(F.col("__first") + 1, F.col("__final") - 1))).groupBy(*own, "w_bin").agg(F.max("__w").alias("__w"))
+        parts = parts.unionByName(over.select(*own, "w_bin", "__w.*"))
+    p = points.select(*[F.col(c).alias(k) for c, k in zip(keys, own, strict=True)], F.col(at).cast(kind).alias("__t"), *points.columns)
+    p = p.withColumns({"__bin": place(F.col("__t"), edges), "__until": F.col("__t"), "__kind": F.lit(1)})
+    rows = p.unionByName(parts.withColumnRenamed("w_bin", "__bin").withColumn("__kind", F.lit(0)), allowMissingColumns=True)
+    rows = rows.repartition(*own, "__bin").sortWithinPartitions(*own, "__bin", "__t", "__kind", "__window")
+    schema = T.StructType([*[rows.schema[c] for c in points.columns], T.StructField("window_id", rows.schema["__window"].dataType)])
+    return rows.mapInArrow(_topmost(len(keys), points.columns), schema)

@@ -67,6 +67,33 @@ def test_windows_of_seconds_to_years(spark, kind):
     assert "__bin" in plan and "w_bin" in plan
 
 
+def test_windows_that_all_hold_the_same_events(spark):
+    """One key, each window inside the one before it: 30,000 of them times 60,000 events are 900 million pairs; an event meets one."""
+    n = 30000
+    i = F.col("id")
+    w = spark.range(0, n, 1, 4).select(F.lit("hot").alias("key"), i.alias("window_id"), i.alias("starts_at"), (2 * n - i).alias("ends_at"), F.lit(None).cast("timestamp").alias("cancelled_at"))
+    e = spark.range(0, 2 * n, 1, 4).select("id", F.lit("hot").alias("key"), i.alias("at"), F.lit(3).alias("more"))
+    began = time.time()
+    found = store.active_window(e, w, "at", ["key"], ["id"])
+    assert found.columns == ["id", "key", "at", "more", "window_id"]
+    assert found.where(F.col("window_id").eqNullSafe(F.when(i < n, i).otherwise(2 * n - i - 1)) & (F.col("at") == i) & (F.col("more") == 3)).count() == 2 * n
+    assert time.time() - began < 15
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 32])
+def test_latest_window_over_ranges(spark, ranges):
+    """Null keys and times, ties, empty and backward windows, keys of two columns, wider types of the ends; long windows cover whole ranges."""
+    rnd = random.Random(ranges)
+    key = lambda: (rnd.choice(["hot", "hot", "b", None]), rnd.choice([1, 1, None]))
+    windows = [(*key(), rnd.choice([None, k]) if k % 50 == 0 else k, (a := rnd.randint(0, 300)), rnd.choice([None, a + 0.0, a - 5.0, a + 0.5, a + 1.0, a + 7.0, a + 90.0, a + 250.0])) for k in range(400)]
+    points = [(*key(), k, rnd.choice([None, rnd.randint(-5, 600), rnd.randint(0, 300)])) for k in range(500)]
+    w = spark.createDataFrame(windows, "a string, b int, w int, s int, e double")
+    got = timeline.latest_window(spark.createDataFrame(points, "a string, b int, id int, t long"), w, ["a", "b"], "t", "s", "e", "w", ranges)
+    holds = lambda p, v: None not in (p[0], p[1], p[3], v[4]) and p[:2] == v[:2] and v[3] <= p[3] < v[4]
+    slow = {p[2]: max(((v[3], v[2] is not None, v[2]) for v in windows if holds(p, v)), default=(0, False, None))[2] for p in points}
+    assert {r.id: r.window_id for r in got.collect()} == slow and sum(x is not None for x in slow.values()) > 100
+
+
 def test_versions_and_freezing(spark):
     fields = {"enabled": "boolean", "level": "int", "muted": "array<string>"}
     updates = [("s", 1, 1, '{"enabled": true, "level": 1, "muted": ["b", "a"]}'), ("s", 5, 2, '{"muted": ["a", "b"]}'), ("s", 5, 3, '{"level": 2}'), ("s", 9, 4, "{}"), ("s", 9, 5, '{"level": 1, "unknown": 3}'), ("t", 2, 1, '{"level": 7}')]

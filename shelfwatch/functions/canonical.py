@@ -190,6 +190,7 @@ def _plain(ordered: bool, hidden: str | None = None):
     def told(texts: pd.Series) -> pd.Series:
         read = _decoder(ordered, hidden).decode
 
+        @functools.cache  # of this batch: texts often come again
         def one(text: str | None) -> str | None:
             try:
                 said = write(read(text)) if text else None

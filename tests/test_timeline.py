@@ -113,6 +113,33 @@ def test_versions_and_freezing(spark):
     assert {r.snapshot: r.version for r in again.collect()} == {"x": 1, "y": 3, "z": None, "w": 5, "new": 99}
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 32])
+def test_versions_equal_a_slow_pass_and_read_updates_once(spark, ranges):
+    """Random updates of a hot key, of null keys and of none; each text is made once, not once a step and range."""
+    rnd = random.Random(7)
+    patches = ["{}", None, "{broken", '{"level": 1}', '{"level": 2, "muted": []}', '{"muted": ["b", "a"]}', '{"muted": ["a", "b"]}', '{"level": null, "enabled": false}', '{"enabled": true}']
+    rows = [(rnd.choice(["hot"] * 8 + ["b", None]), rnd.choice([1, 1, None]), rnd.randint(0, 60), n, rnd.randrange(len(patches))) for n in range(600)]
+    read = spark.sparkContext.accumulator(0)
+
+    def text(k):
+        read.add(1)
+        return patches[k]
+
+    updates = spark.createDataFrame(rows, "store string, part int, at int, n int, k int").select("store", "part", "at", "n", F.udf(text, "string")("k").alias("patch"))
+    fields = {"enabled": "boolean", "level": "int", "muted": "array<string>"}
+    got = {r.n: (r.version, r.state, r.settings.asDict(), r.hash) for r in settings.versions(updates, ["store", "part"], "at", ["n"], fields, "preferences", ["muted"], ranges).collect()}
+    assert read.value == len(rows) == len(got)
+    held = {}
+    for store_, part, _, n, k in sorted(rows, key=lambda r: (r[2], r[3])):
+        now, version, state, old = held.get((store_, part), ({f: None for f in fields}, 0, 0, None))
+        patch = json.loads(patches[k]) if patches[k] not in (None, "{broken") else {}
+        now = now | {f: v for f, v in patch.items() if v is not None}
+        told = {f: sorted(v) if f == "muted" else v for f, v in now.items() if v is not None}
+        code = hashlib.sha256(json.dumps({"preferences": told, "version": "alert_preferences_v1"}, separators=(",", ":")).encode()).hexdigest()
+        held[store_, part] = now, version + 1, state + (code != old), code
+        assert got[n] == (version + 1, state + (code != old), now, code)
+
+
 def canonical_slow(v):
     if isinstance(v, dict):
         whole = sorted((k for k in v if k.isdigit()), key=int)
